@@ -158,4 +158,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     group = np.cumsum(sizes, dtype=np.int64) // most
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)])) if len(sizes) else np.array([0])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(int(a), int(b - a))
+        part = batch.slice(int(a), int(b - a))
+        # Copied, as some string kernels misread arrays that begin inside a buffer.
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, c.slice(0, 0)]) for c in part.columns], schema=part.schema) if a else part
