@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import line_dedup, media, mixing, packing, sharding, token_counts, token_files
+from chronofold.llm import jaccard_join, line_dedup, media, mixing, packing, sharding, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": token_counts.query,
         "op7_token_files": token_files.query,
         "op8_sharding": sharding.query,
+        "op9_toxicity": toxicity.query,
+        "op10_ngram_jaccard": jaccard_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op4_mixing": mixing.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op10_ngram_jaccard": jaccard_join.SQL}
