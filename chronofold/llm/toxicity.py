@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon, matched with misspellings, weighed by its context.
 
 Training rows (``labels.toxic`` of documents whose crc32(doc_id) mod 5 is not 0, at most
-``TRAIN_ROWS`` of them, those of smallest hash) give the lexicon: whole words, and word stems of 4 to 6
+``TRAIN_ROWS`` of them, those of smallest hash) give the lexicon: whole words, and word stems of 4 to 8
 letters, whose presence is tied to the label beyond chance (log-likelihood ratio against the number of
 candidates). The lexicon is a trie. A word of a text is a Levenshtein automaton of one edit, held as
 two bit masks (no edit, one edit); walking trie and automaton together yields every lexicon word
@@ -34,10 +34,12 @@ from chronofold.llm import storage, tokens
 #: The most labelled rows that the lexicon and the regression are fitted on.
 TRAIN_ROWS = 20_000
 MOST_TERMS = 512
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 FUZZY_FROM = 5
 WINDOW = 4
 RIDGE = 1.0
+#: The least log odds of a term, so that a shared stem of clean and toxic words doesn't count.
+LEAST_ODDS = 2.5
 _EDGE = ".,;:!?|()[]{}<>\"'`´«»„“”‘’‚…-–—_/\\*~#=+"
 _QUOTES = "\"«»„“”‘’‚"
 # Words that report what another said, and words that address the reader.
@@ -128,7 +130,9 @@ class Lexicon:
         return found, 0
 
 
-FEATURES = ["hits", "fuzzy", "weight", "abuse", "quoted", "any", "density"]
+#: Sums over a document's hits; all but ``quoted`` are of hits weighed by their context.
+FEATURES = ["hits", "fuzzy", "weight", "quoted", "density"]
+QUOTED, ADDRESSED = 0.1, 1.5
 
 
 def _context(words: list[str], at: int, quotes_before: int) -> tuple[bool, bool]:
@@ -172,12 +176,11 @@ def features(texts: pa.Array, lexicon: Lexicon, memo: dict[str, tuple[int, int]]
         for at in (places[docs == doc] - bounds[doc]).tolist():
             term, edits = found[words[at]]
             quoted, addressed = _context(words, at, quotes[at])
-            weight = lexicon.terms[term][2] * (0.5 if edits else 1.0)
-            row += (1, edits, weight, weight * (0.25 if quoted else 1.5 if addressed else 1.0), quoted, 0, 0)
-        row[6] = 100 * row[3] / max(20, len(words))
-        row[5] = min(1.0, row[3] / 2)
-        row[:5] = np.log1p(row[:5])
-        row[6] = np.log1p(row[6])
+            factor = QUOTED if quoted else ADDRESSED if addressed else 1.0
+            weight = factor * lexicon.terms[term][2] * (0.5 if edits else 1.0)
+            row += (factor, factor * edits, weight, quoted, 0)
+        row[4] = 100 * row[2] / max(50, len(words))
+    out[:] = np.log1p(out)
     return out
 
 
@@ -197,7 +200,7 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean:
     total = n_toxic + n_clean
     for text, stem, a, b in rows:
         odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        if odds < 1.5:
+        if odds < LEAST_ODDS:
             continue
         cells = [(a, (a + b) * n_toxic / total), (b, (a + b) * n_clean / total), (n_toxic - a, (total - a - b) * n_toxic / total), (n_clean - b, (total - a - b) * n_clean / total)]
         ratio = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0)
@@ -276,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     usual, usual_path = storage.materialise(counted.where("a + b >= 3"), "toxicity-terms")
     candidates = usual.count()
     # Only terms in whose presence the label is several times as likely can pass; the sample bounds them.
-    likely = usual.where(f"a >= 3 AND (a + 0.5) / {n_toxic + 1} > 4 * (b + 0.5) / {n_clean + 1}").orderBy(F.desc("a"), "term", "stem").limit(100_000)
+    likely = usual.where(f"a >= 3 AND (a + 0.5) / {n_toxic + 1} > 8 * (b + 0.5) / {n_clean + 1}").orderBy(F.desc("a"), "term", "stem").limit(100_000)
     terms = choose_terms([(r.term, r.stem, r.a, r.b) for r in likely.collect()], n_toxic, n_clean, candidates)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
