@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import jaccard_join, line_dedup, media, mixing, packing, sharding, token_counts, token_files, toxicity
+from chronofold.llm import ann, jaccard_join, line_dedup, media, mixing, packing, sharding, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, and the pipeline."""
     return {
+        "op1_ann_search": ann.query,
         "op2_media_columns": media.query,
         "op3_packing": packing.query,
         "op4_mixing": mixing.query,
