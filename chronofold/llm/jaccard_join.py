@@ -274,6 +274,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("c", "doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of one document of each component: that of the smallest doc_id."""
+    joined, path = storage.materialise(join(docs, words, percent).where("component_id <=> doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
+    ids = joined.select(F.col("doc_id").alias("k_doc"))
+    out = docs.join(_small(ids, path), docs["doc_id"].cast("long").eqNullSafe(ids["k_doc"]), "left_semi")
+    if joined.where("rows > 1").limit(1).count():
+        # Rows that share a doc_id: one stays. Only then is there a shuffle of texts.
+        out = out.dropDuplicates(["doc_id"])
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: components of all documents, 4-word shingles, similarity 0.85."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

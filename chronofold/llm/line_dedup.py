@@ -35,6 +35,8 @@ MIN_DOCS = 5
 #: Bitmaps up to this size are sent to every executor; beyond, documents meet them by a shuffle.
 BROADCAST_BYTES = 32 << 20
 PARTITION_ROWS = 250_000
+#: A column that no table is likely to have.
+GONE = "_line_dedup_gone"
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ROWS = "hi long, lo long, doc_id long, th long, pos int"
@@ -133,13 +135,33 @@ def kept_lines(text: bytes, gone: bytes | None) -> tuple[bytes, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, text (null: empty), th and ``gone``, null where every line stays."""
+    """All columns of ``docs`` (text: null as empty) and GONE, null where every line stays."""
     bitmaps, path = keep_bitmaps(docs, min_length, min_docs)
     small = storage.size_bytes(docs.sparkSession, path) <= BROADCAST_BYTES
-    right = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"), "gone")
-    left = _documents(docs)
-    condition = left.doc_id.eqNullSafe(F.col("b_doc")) & (left.th == F.col("b_th"))
-    return left.join(F.broadcast(right) if small else right, condition, "left").select("doc_id", "text", "th", "gone")
+    right = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"), F.col("gone").alias("b_gone"))
+    left = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    condition = left["doc_id"].cast("long").eqNullSafe(right["b_doc"]) & (F.xxhash64(left["text"]) == right["b_th"])
+    joined = left.join(F.broadcast(right) if small else right, condition, "left")
+    return joined.select(*(left[c] for c in left.columns), right["b_gone"].alias(GONE))
+
+
+def deduplicated(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows with all their columns; ``text`` has the lines that stay, ``n_chars``, if there, its length.
+
+    Rows from whose text nothing goes are passed on without Python.
+    """
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([kept_lines(t.encode(), g)[0].decode() for t, g in zip(text, gone, strict=True)])
+
+    marked = with_bitmaps(docs, min_length, min_docs)
+    whole = marked.where(F.col(GONE).isNull())
+    changed = marked.where(F.col(GONE).isNotNull()).withColumn("text", kept("text", GONE))
+    out = whole.unionByName(changed).drop(GONE)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def digests(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -149,13 +171,14 @@ def digests(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_D
         for batch in batches:
             for part in tokens.slices(batch):
                 rows = []
-                for text, gone in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("gone").to_pylist(), strict=True):
+                for text, gone in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column(GONE).to_pylist(), strict=True):
                     kept, lines, dropped = kept_lines(text, gone)
                     rows.append((lines, dropped, hashlib.sha256(kept).hexdigest()))
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(docs, min_length, min_docs).select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_bitmaps(narrow, min_length, min_docs).select("doc_id", "text", GONE).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

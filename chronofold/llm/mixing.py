@@ -99,6 +99,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MO
     )
 
 
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of the mix with all their columns, whole documents, each as often as the mix passes over it.
+
+    A document that the cut falls into is in if half of its words or more are. Rows with one doc_id
+    and source are taken alike, as often as the first of them.
+    """
+    taken = mix(docs, weights, most_epochs)
+    times = F.col("epochs") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)
+    chosen = taken.withColumn("times", times.cast("int")).groupBy(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source")).agg(F.max("times").alias("m_times")).where("m_times > 0")
+    chosen, path = storage.materialise(chosen, "mix-choice")
+    small = storage.size_bytes(docs.sparkSession, path) <= broadcast_bytes
+    condition = docs["doc_id"].cast("long").eqNullSafe(chosen["m_doc"]) & docs["source"].cast("string").eqNullSafe(chosen["m_source"])
+    joined = docs.join(F.broadcast(chosen) if small else chosen, condition)
+    repeated = joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), chosen["m_times"])).alias("_mix_copy"))
+    return repeated.drop("_mix_copy")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: all documents mixed to source weights 5, 2, 1, repeating."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm import ann, jaccard_join, line_dedup, media, mixing, packing, sharding, token_counts, token_files, toxicity
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.query,
         "op9_toxicity": toxicity.query,
         "op10_ngram_jaccard": jaccard_join.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
