@@ -200,11 +200,18 @@ def _possible(n1: str, p1: str, n2: str, p2: str, percent: int) -> F.Column:
     return sizes & (room >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only sets of documents that are in a pair are made."""
+    pairs, pairs_path = storage.materialise(pairs, "set-pairs")
+    ids, ids_path = storage.materialise(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "pair-ids")
+    sets, sets_path = storage.materialise(_whole_sets(docs, _small(ids, ids_path), words), "pair-sets")
     left, right = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    joined = left.join(_small(pairs, pairs_path), "a").join(right, "b")
+    found, _ = storage.materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "set-links")
+    for path in (pairs_path, ids_path, sets_path):
+        storage.remove(docs.sparkSession, path)
+    return found
 
 
 def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -216,8 +223,7 @@ def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataF
     active, active_path = storage.materialise(entries.join(_small(lists, lists_path), "s"), "index-entries")
     for path in (indexed_path, lists_path):
         storage.remove(spark, path)
-    ids, ids_path = storage.materialise(active.select("rid").distinct(), "index-ids")
-    sets, _ = storage.materialise(_whole_sets(docs, _small(ids, ids_path), words), "index-sets")
+    ids, _ = storage.materialise(active.select("rid").distinct(), "index-ids")
     in_lists = active.groupBy("rid").agg(F.count(F.lit(1)).alias("lists"))
     active, next_path = storage.materialise(active.join(in_lists, "rid"), "index-entries")
     storage.remove(spark, active_path)
@@ -236,8 +242,8 @@ def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataF
         best = F.max(F.struct("lists", (-F.col("rid")).alias("order"), "rid", "n", "pos")).alias("p")
         pivots = active.groupBy("s").agg(best).select("s", F.col("p.rid").alias("b"), F.col("p.n").alias("bn"), F.col("p.pos").alias("bpos"))
         met = active.join(pivots, "s").where("rid <> b")
-        pairs, _ = storage.materialise(met.where(_possible("n", "pos", "bn", "bpos", percent)).select(F.col("rid").alias("a"), "b").distinct(), "pivot-pairs")
-        component = merge(storage.materialise(_verified(pairs, sets, percent), "pivot-links")[0], component)
+        pairs = met.where(_possible("n", "pos", "bn", "bpos", percent)).select(F.col("rid").alias("a"), "b").distinct()
+        component = merge(_verified(docs, pairs, words, percent), component)
         rest = met.select("s", "rid", "n", "pos", "lists").join(component, "rid")
         split = rest.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s")
         rest, next_path = storage.materialise(rest.join(split, "s").drop("component"), "index-entries")
@@ -248,8 +254,8 @@ def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataF
     placed = active.join(component, "rid")
     other = placed.select("s", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("component").alias("bc"))
     between = placed.join(other, "s").where((F.col("component") < F.col("bc")) & _possible("n", "pos", "bn", "bpos", percent))
-    pairs, _ = storage.materialise(between.select(F.col("rid").alias("a"), "b").distinct(), "last-pairs")
-    return merge(storage.materialise(_verified(pairs, sets, percent), "last-links")[0], component)
+    pairs = between.select(F.col("rid").alias("a"), "b").distinct()
+    return merge(_verified(docs, pairs, words, percent), component)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
