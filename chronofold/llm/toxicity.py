@@ -34,12 +34,16 @@ from chronofold.llm import storage, tokens
 #: The most labelled rows that the lexicon and the regression are fitted on.
 TRAIN_ROWS = 20_000
 MOST_TERMS = 512
+#: The most terms of the sample that are looked at for the lexicon.
+MOST_CANDIDATES = 50_000
 STEMS = (4, 5, 6, 7, 8)
 FUZZY_FROM = 5
 WINDOW = 4
 RIDGE = 1.0
 #: The least log odds of a term, so that a shared stem of clean and toxic words doesn't count.
 LEAST_ODDS = 2.5
+#: The least share of toxic texts that hold a term, so that the words of one much copied text don't count.
+LEAST_SHARE = 0.02
 _EDGE = ".,;:!?|()[]{}<>\"'`´«»„“”‘’‚…-–—_/\\*~#=+"
 _QUOTES = "\"«»„“”‘’‚"
 # Words that report what another said, and words that address the reader.
@@ -184,13 +188,13 @@ def features(texts: pa.Array, lexicon: Lexicon, memo: dict[str, tuple[int, int]]
     return out
 
 
-def term_counts(texts: pa.Array, toxic: np.ndarray) -> Counter:
-    """In how many toxic and clean texts each word and stem occurs: (text, is_stem, label) -> number."""
+def term_counts(texts: pa.Array, among: frozenset | None = None) -> Counter:
+    """In how many texts each word and stem occurs: (term, is_stem) -> number."""
     counts: Counter = Counter()
-    for text, label in zip(texts.to_pylist(), toxic.tolist(), strict=True):
+    for text in texts.to_pylist():
         words = {w for c in (text or "").lower().split() if (w := c.strip(_EDGE)) and w.isalpha()}
-        counts.update((w, False, label) for w in words)
-        counts.update((s, True, label) for s in {w[:n] for w in words for n in STEMS if len(w) > n})
+        found = {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) > n}
+        counts.update(found if among is None else found & among)
     return counts
 
 
@@ -200,7 +204,7 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean:
     total = n_toxic + n_clean
     for text, stem, a, b in rows:
         odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        if odds < LEAST_ODDS:
+        if odds < LEAST_ODDS or a < LEAST_SHARE * n_toxic:
             continue
         cells = [(a, (a + b) * n_toxic / total), (b, (a + b) * n_clean / total), (n_toxic - a, (total - a - b) * n_toxic / total), (n_clean - b, (total - a - b) * n_clean / total)]
         ratio = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0)
@@ -267,20 +271,26 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         base = n_toxic / max(1, n_toxic + n_clean)
         return Model([], np.array([0.0] * len(FEATURES) + [30.0 * (2 * base - 1)]))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts += term_counts(batch.column("text"), (batch.column("toxic").to_numpy() > 0).astype(int))
-        keys = list(counts)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "toxic", "n"])
+    def counts(label: int, among: frozenset | None) -> DataFrame:
+        """Texts of one label that hold each term (only of ``among``, if given)."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for batch in batches:
+                total += term_counts(batch.column("text"), among)
+            keys = list(total)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "n"])
+
+        some = rows.where((F.col("toxic") > 0) == bool(label)).select("text")
+        return some.mapInArrow(count, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
 
-    counted = rows.mapInArrow(count, "term string, stem boolean, toxic int, n long").groupBy("term", "stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    usual, usual_path = storage.materialise(counted.where("a + b >= 3"), "toxicity-terms")
+    # Candidates are the terms of toxic texts, the fewer ones; clean texts are searched for the likely ones only.
+    usual, usual_path = storage.materialise(counts(1, None).where("n >= 3"), "toxicity-terms")
     candidates = usual.count()
-    # Only terms in whose presence the label is several times as likely can pass; the sample bounds them.
-    likely = usual.where(f"a >= 3 AND (a + 0.5) / {n_toxic + 1} > 8 * (b + 0.5) / {n_clean + 1}").orderBy(F.desc("a"), "term", "stem").limit(100_000)
-    terms = choose_terms([(r.term, r.stem, r.a, r.b) for r in likely.collect()], n_toxic, n_clean, candidates)
+    likely = {(r.term, r.stem): r.n for r in usual.where("n >= 4").orderBy(F.desc("n"), "term", "stem").limit(MOST_CANDIDATES).collect()}
+    clean = {(r.term, r.stem): r.n for r in counts(0, frozenset(likely)).collect()}
+    terms = choose_terms([(*key, a, clean.get(key, 0)) for key, a in likely.items()], n_toxic, n_clean, candidates)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, memo = Lexicon(terms), {}
