@@ -45,7 +45,7 @@ CODES = 256
 TARGET_RECALL, CALIBRATION = 0.97, 512
 #: Lists are probed until they hold this many vectors at least.
 LEAST_SEEN = 2048
-RERANK = 200
+RERANK = 120
 BLOCK = 20_000
 QUERY_BLOCK = 256
 K = 10
@@ -201,12 +201,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
                 for qid, table in zip(part["qid"], tables, strict=True):
                     d = table[np.arange(codes.shape[1])[:, None], codes.T].sum(0)
                     keep = np.argpartition(d, best - 1)[:best]
-                    found.append(pd.DataFrame({"qid": qid, "uid": ids[keep], "d": d[keep]}))
-        return pd.concat(found) if found else pd.DataFrame({"qid": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+                    found.append((qid, ids[keep].astype("<i8").tobytes(), d[keep].astype("<f8").tobytes()))
+        return pd.DataFrame(found, columns=["qid", "uids", "ds"])
 
-    near = probed.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInPandas(scan, "qid long, uid long, d double")
-    best = F.row_number().over(Window.partitionBy("qid").orderBy("d", "uid"))
-    candidates = near.withColumn("r", best).where(F.col("r") <= rerank).select("qid", "uid")
+    def best_of_lists(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, d = np.frombuffer(b"".join(rows["uids"]), "<i8"), np.frombuffer(b"".join(rows["ds"]), "<f8")
+        return pd.DataFrame({"qid": rows["qid"].iloc[0], "uid": ids[np.lexsort((ids, d))[:rerank]]})
+
+    # A list's best for a query are one packed row, and a query has one such row a block that it probes.
+    near = probed.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInPandas(scan, "qid long, uids binary, ds binary")
+    candidates = near.groupBy("qid").applyInPandas(best_of_lists, "qid long, uid long")
     exact = candidates.join(distinct.select("uid", "ids", F.col("v").alias("c")), "uid").join(searched.select("qid", "v"), "qid")
     score = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     ranked = exact.select("qid", score.alias("score"), F.explode("ids").alias("vec_id"))
