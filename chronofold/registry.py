@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronofold.queries import asof
+from chronofold.queries import asof, families
 
-_MODULES = [asof]
+_MODULES = [asof, families]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
