@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 # The canonical tables' columns.
 _DDL = {
@@ -15,7 +15,15 @@ _DDL = {
     "player_gameweek_stats": "player_code long, gameweek_id long, season string, fixture_id long, opponent_team_id long, was_home boolean, minutes long, starts long, goals_scored long, assists long, clean_sheets long, goals_conceded long, saves long, yellow_cards long, red_cards long, own_goals long, penalties_saved long, penalties_missed long, bonus long, bps long, total_points long, expected_goals double, expected_assists double, expected_goal_involvements double, expected_goals_conceded double, defensive_contribution long, value long, selected long, transfers_in long, transfers_out long, transfers_balance long, influence double, creativity double, threat double, ict_index double, kickoff_time timestamp, available_time timestamp",
     "players_history": "player_code long, season string, web_name string, position string, team_name string, opening_price long",
 }
-CANONICAL: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"long": LongType(), "double": DoubleType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def struct(ddl: str) -> StructType:
+    """A schema of plain columns from text; unlike Spark's own parser, this needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
+
+
+CANONICAL: dict[str, StructType] = {name: struct(ddl) for name, ddl in _DDL.items()}
 
 
 def conform(frame: DataFrame, schema: StructType) -> DataFrame:
