@@ -38,11 +38,11 @@ from chronofold.llm.components import connected_components
 
 WORDS = 4
 PERCENT = 85
-LOW = 0.3
+LOW = 0.22
 #: From this many sets on, a shingle counts as frequent.
-FREQUENT = 16
+FREQUENT = 4
 #: The most frequent shingles that are held apart; where there are more, the bar is raised. Results don't depend on it.
-MOST_FREQUENT = 1_000_000
+MOST_FREQUENT = 2_000_000
 PIVOTS = 3
 BROADCAST_BYTES = 32 << 20
 _NULL_ID = -(2**63)
@@ -134,16 +134,16 @@ def _small(df: DataFrame, path: str) -> DataFrame:
     return F.broadcast(df) if storage.size_bytes(df.sparkSession, path) <= BROADCAST_BYTES else df
 
 
-def _frequent(unique: DataFrame) -> np.ndarray:
-    """Sorted frequent shingles of the lower part of hash space, at most MOST_FREQUENT."""
-    counts = unique.select(F.explode("low").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
+def _frequent(lists: DataFrame) -> np.ndarray:
+    """Sorted shingles that FREQUENT or more sets of ``lists`` (a column of arrays) hold, at most MOST_FREQUENT."""
+    counts = lists.select(F.explode(lists.columns[0]).alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
     table, path = storage.materialise(counts, "frequent-shingles")
     bar, n = FREQUENT, table.count()
     while n > MOST_FREQUENT:
         bar *= 2
         n = table.where(F.col("count") >= bar).count()
     rows = table.where(F.col("count") >= bar).select("s").toPandas()["s"].to_numpy(np.int64)
-    storage.remove(unique.sparkSession, path)
+    storage.remove(lists.sparkSession, path)
     return np.sort(rows.view(np.uint64))
 
 
@@ -155,9 +155,15 @@ def _among(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataFrame:
-    """rid, n and the indexed shingles in order, for every distinct set."""
+    """rid, n and the indexed shingles in order, for every distinct set.
+
+    Most sets find theirs among the rare shingles of the lower part of hash space. The others (deep
+    sets: small ones, and those made of what many texts share) are made whole, and the frequencies of their
+    upper shingles, which only they reach, are counted over them.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_frequent(unique))  # at most 8 MB
+    low_frequent = _frequent(unique.select("low"))
+    shared = spark.sparkContext.broadcast(low_frequent)  # at most 16 MB
 
     def from_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -173,23 +179,27 @@ def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> Data
                 out.append(first if len(first) == p else flat[:0])  # empty: the lower part isn't enough
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("n"), _lists(out)], ["rid", "n", "prefix"])
 
-    def from_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for batch in batches:
-            for part in tokens.slices(batch):
-                n, out = [], []
-                for s in shingle_sets(part.column("text"), words):
-                    often = _among(s, frequent)
-                    n.append(len(s))
-                    out.append(np.concatenate((s[~often], s[often]))[: prefix_size(len(s), percent)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int32()), _lists(out)], ["rid", "n", "prefix"])
-
     schema = "rid long, n int, prefix array<long>"
     shallow, _ = storage.materialise(unique.select("rid", "n", "low").mapInArrow(from_low, schema), "prefixes")
-    deep, deep_path = storage.materialise(shallow.where(F.size("prefix") == 0).select("rid"), "deep-sets")
-    narrow = _narrow(docs)
-    again = narrow.join(_small(deep, deep_path), narrow.doc_id == deep.rid, "left_semi").mapInArrow(from_whole, schema)
-    return shallow.where(F.size("prefix") > 0).unionByName(again)
+    deep, deep_path = storage.materialise(shallow.where(F.size("prefix") == 0).select("rid"), "deep-ids")
+    whole, _ = storage.materialise(_whole_sets(docs, _small(deep, deep_path), words), "deep-sets")
+    limit = int(_LOW_LIMIT.view(np.int64)) if _LOW_LIMIT < np.uint64(1 << 63) else None
+    # As signed numbers, the upper part is what is negative or at least the limit.
+    upper = F.filter("shingles", lambda s: (s < 0) | (s >= limit)) if limit is not None else F.filter("shingles", lambda s: s < 0)
+    both = spark.sparkContext.broadcast(np.union1d(low_frequent, _frequent(whole.select(upper.alias("upper")))))
+
+    def from_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = both.value
+        for batch in batches:
+            n, out = [], []
+            for value in batch.column("shingles"):
+                s = value.values.to_numpy().view(np.uint64)
+                often = _among(s, frequent)
+                n.append(len(s))
+                out.append(np.concatenate((s[~often], s[often]))[: prefix_size(len(s), percent)])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n, pa.int32()), _lists(out)], ["rid", "n", "prefix"])
+
+    return shallow.where(F.size("prefix") > 0).unionByName(whole.mapInArrow(from_whole, schema))
 
 
 def _possible(n1: str, p1: str, n2: str, p2: str, percent: int) -> F.Column:

@@ -89,7 +89,7 @@ def near_rows(n=260, seed=0):
     return [*rows, (n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "one two"), (n + 4, "One  two"), (n + 5, "one")]
 
 
-@pytest.mark.parametrize(("words", "percent", "frequent"), [(4, 85, 16), (4, 85, 2), (5, 80, 16)])
+@pytest.mark.parametrize(("words", "percent", "frequent"), [(4, 85, 4), (4, 85, 2), (5, 80, 16)])
 def test_ngram_jaccard(monkeypatch, make_docs, words, percent, frequent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     rows = near_rows(seed=words + frequent)
