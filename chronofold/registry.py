@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronofold.queries import asof, domain, families, statistics
+from chronofold.queries import asof, domain, evaluation, families, statistics
 
-_MODULES = [asof, families, statistics, domain]
+_MODULES = [asof, families, statistics, domain, evaluation]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
