@@ -25,7 +25,8 @@ from chronofold.llm import storage
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-RANGE_ROWS = 50_000
+#: Bounds of the rows that a range of a source is meant to hold; between them, a quarter of a task's share.
+RANGE_ROWS = (1_000, 50_000)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,7 +63,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "mix", range_rows: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row.
 
     ``taken`` words are ``epoch`` whole passes and a rest; columns ``epochs`` and ``rest`` tell them apart.
@@ -75,7 +76,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MO
     plan = targets(sums, weights, most_epochs)
     # A row a source, with at most 2**20 of them sent around; more sources meet the rows by a shuffle.
     plan, _ = storage.materialise(plan, "mix-targets")
-    small = plan.count() <= 1 << 20
+    held = plan.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    small = held.sources <= 1 << 20
+    if range_rows is None:
+        share = held.rows // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        range_rows = max(RANGE_ROWS[0], min(RANGE_ROWS[1], share))
     plan = plan.select(F.col("source").alias("p_source"), "source_size", "n_rows", "target")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = copies.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source").withColumn("key", key)

@@ -237,7 +237,7 @@ def brute_targets(sizes, weights=(5, 2, 1)):
         held |= over
 
 
-@pytest.mark.parametrize("range_rows", [5, 50_000])
+@pytest.mark.parametrize("range_rows", [5, None])
 def test_mixing(make_docs, range_rows):
     random.seed(7)
     rows = [(k, "w " * random.randint(0, 50), random.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(300)]
