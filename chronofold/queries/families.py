@@ -154,7 +154,7 @@ _PROGRAMS_SQL = f"""{_RANKED}, a AS (
  FROM a LEFT JOIN since USING (player_code, prediction_timestamp) WINDOW pos AS (PARTITION BY prediction_timestamp, position))
 SELECT player_code, opponent_team_id, position, prediction_timestamp, round(rate * m5, 6) AS rate_x_minutes, round(since_goal, 6) AS since_goal, lag_2, round(median_5, 6) AS median_5,
  l8[1 + floor(0.75 * (len(l8) - 1) + 0.5)::INT]::DOUBLE AS p75_8, CASE WHEN n6 >= 3 THEN round(sd6, 6) END AS std_6, round(ewm_6, 6) AS ewm_6,
- CASE WHEN n5 >= 3 THEN round(slope, 6) + 0.0 END AS trend_5, round(CASE WHEN abs(mp10) > 1e-6 THEN g10 / mp10 END, 6) AS ratio, round(ln(1 + greatest(1, least(8, p3))), 6) AS log_clip,
+ CASE WHEN n5 >= 3 THEN round(slope, 6) + 0.0 END AS trend_5, round(CASE WHEN abs(mp10) > 1e-6 THEN g10 / mp10 END, 6) AS ratio, CASE WHEN p3 IS NOT NULL THEN round(ln(1 + greatest(1, least(8, p3))), 6) END AS log_clip,
  round(position_z, 6) AS position_z, round(position_share, 6) AS position_share, round(opponent_rank, 6) AS opponent_rank, round(all_dev, 6) AS all_dev, round(batch_rank, 6) AS batch_rank,
  round(opponent_rank - avg(opponent_rank) OVER (PARTITION BY prediction_timestamp, position), 6) AS nested FROM w"""
 
