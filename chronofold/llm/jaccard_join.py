@@ -44,7 +44,8 @@ FREQUENT = 4
 #: The most frequent shingles that are held apart; where there are more, the bar is raised. Results don't depend on it.
 MOST_FREQUENT = 2_000_000
 PIVOTS = 3
-BROADCAST_BYTES = 32 << 20
+#: Tables up to this size on disk are broadcast (in memory they take up to a dozen times that).
+BROADCAST_BYTES = 16 << 20
 _NULL_ID = -(2**63)
 _LOW_LIMIT = np.uint64(int(LOW * 2**64))
 

@@ -7,6 +7,7 @@ driver and executors share, so a lost executor costs a re-read and never a recom
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -74,5 +75,6 @@ def _clean() -> None:
     for spark, path in _created:
         try:
             remove(spark, path)
-        except Exception:  # the session may be stopped by now
-            pass
+        except Exception:  # the session may be stopped by now; what is local can still go
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
