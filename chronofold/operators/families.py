@@ -116,7 +116,7 @@ def labels(stats: DataFrame, components: Sequence[str], keys: Sequence[str] = ("
 def timeline(frame: DataFrame, season: str = "season", gameweek: str = "gameweek_id") -> DataFrame:
     """``timeline``: one number that orders gameweeks over seasons."""
     seasons = frame.select(F.col(season).alias("_s")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("_s")) - 1)
-    return frame.join(F.broadcast(seasons), F.col(season) == F.col("_s")).withColumn("timeline", (F.col("_i") * 100 + F.col(gameweek)).cast("long")).drop("_s", "_i")
+    return frame.join(seasons, F.col(season) == F.col("_s")).withColumn("timeline", (F.col("_i") * 100 + F.col(gameweek)).cast("long")).drop("_s", "_i")
 
 
 def training_frame(deadline_rows: DataFrame, stats: DataFrame, components: Sequence[str], features: dict[str, tuple[str, str, int]]) -> DataFrame:

@@ -72,7 +72,7 @@ def transitions(frame: DataFrame, key: str, order: Sequence[str], value: str) ->
 def ranking_churn(frame: DataFrame, week: str, entity: str, value: str) -> DataFrame:
     """(1 - rank correlation) / 2 between consecutive weeks, over the entities of both."""
     weeks = frame.select(week).distinct().withColumn("next_week", F.lead(week).over(Window.orderBy(week))).where("next_week IS NOT NULL")
-    now = frame.select(week, F.col(entity), F.col(value).alias("now")).join(F.broadcast(weeks), week)
+    now = frame.select(week, F.col(entity), F.col(value).alias("now")).join(weeks, week)
     then = frame.select(F.col(week).alias("next_week"), F.col(entity), F.col(value).alias("then"))
     return spearman(now.join(then, ["next_week", entity]), "now", "then", [week]).withColumn("churn", (1 - F.col("spearman")) / 2)
 

@@ -114,3 +114,49 @@ def transfer_ledger(moves: DataFrame, most_free: int = 5, hit: int = 4) -> DataF
         return F.struct(F.least(F.lit(most_free), left + 1).alias("free"), F.concat(s["rows"], F.array(row)).alias("rows"))
 
     return weeks.select("owner", F.explode(F.aggregate("w", zero, step)["rows"]).alias("r")).select("owner", "r.*")
+
+
+# Fixed values of the closed-form prediction: the prior of a player without a history, league rates, bounds.
+NO_HISTORY = {"p_appearance": 0.35, "p_start": 0.15, "expected_minutes": 18.0, "p_long": 0.12, "minutes_sd": 25.0}
+CLEAN_SHEET_RATE, CONCEDED_RATE, SAVE_RATE, YELLOW_RATE, RED_RATE = 0.28, 1.35, 2.6, 0.12, 0.004
+FIXTURE_BOUNDS = (0.8, 1.25)
+
+
+def minutes_outlook(mean: Column, start_rate: Column) -> dict[str, Column]:
+    """Chances to appear, start and last an hour, expected minutes and their spread, from recent means."""
+    m, r = clip(mean, 0.0, 90.0), clip(F.coalesce(start_rate, F.lit(0.0)), 0.0, 1.0)
+    appear = F.least(F.lit(1.0), m / 70.0)
+    start = F.least(r, appear)
+    hour = clip(F.least(appear, start * 0.9 + F.greatest(F.lit(0.0), (m - 60) / 30) * 0.1), 0.0)
+    known = {"p_appearance": appear, "p_start": start, "expected_minutes": m, "p_long": hour, "minutes_sd": 30 * (1 - F.abs(m - 45) / 45) + 6}
+    return {k: F.when(mean.isNull(), NO_HISTORY[k]).otherwise(F.round(v, 6)) for k, v in known.items()}
+
+
+def closed_form(frame: DataFrame, league_team_xg: float, rules: Rules = Rules()) -> DataFrame:
+    """Adds ``expected_points`` and ``sd`` of one match from eight features, all within one projection.
+
+    Columns: position, minutes_mean_5, start_rate_5, xg_per90_shrunk, xa_per90_shrunk, bonus_per90_shrunk,
+    team_xg_for_mean_5.
+    """
+    given = frame.columns
+    out = frame.withColumns(minutes_outlook(F.col("minutes_mean_5"), F.col("start_rate_5")))
+    share = F.col("expected_minutes") / 90.0
+    relative = clip(F.col("team_xg_for_mean_5") / league_team_xg, *FIXTURE_BOUNDS) if league_team_xg > 0 else F.lit(1.0)
+    fixture = F.coalesce(relative, F.lit(1.0))
+    rate = lambda c: F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))
+    out = out.withColumns(
+        {
+            "p_short": F.greatest(F.lit(0.0), F.col("p_appearance") - F.col("p_long")),
+            "expected_goals": rate("xg_per90_shrunk") * share * fixture,
+            "expected_assists": rate("xa_per90_shrunk") * share * fixture,
+            "expected_bonus": rate("bonus_per90_shrunk") * share,
+            "p_clean_sheet": F.least(F.lit(1.0), CLEAN_SHEET_RATE * F.col("p_long")),
+            "expected_conceded": CONCEDED_RATE * share,
+            "expected_saves": F.when(F.col("position") == "GKP", SAVE_RATE * share).otherwise(0.0),
+            "expected_yellow": YELLOW_RATE * share,
+            "p_defensive": F.lit(0.0),
+        }
+    )
+    total = expected_points(rules) + RED_RATE * share * rules.per_event["red_cards"]
+    out = out.withColumn("expected_points", total)
+    return out.withColumn("sd", F.greatest(F.lit(0.5), F.abs("expected_points") * F.col("minutes_sd") / 90.0 + 0.8)).select(*given, "expected_points", "sd")

@@ -40,6 +40,14 @@ def expected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", scoring.expected_points().alias("points")), "points")
 
 
+def closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    part = lambda n: F.pmod(k * (n + 2), F.lit(n)).cast("double")
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, ("GKP", "DEF", "MID", "FWD"))), (F.pmod("l_suppkey", F.lit(4)) + 1).cast("int")).alias("position"), F.when(k % 13 > 0, part(91)).alias("minutes_mean_5"), F.when(k % 11 > 0, part(10) / 9).alias("start_rate_5"), (part(17) / 10).alias("xg_per90_shrunk"), (part(19) / 20).alias("xa_per90_shrunk"), (part(23) / 20).alias("bonus_per90_shrunk"), F.when(k % 5 > 0, part(29) / 10).alias("team_xg_for_mean_5"))
+    out = scoring.closed_form(t.groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in t.columns[2:])), 1.4)
+    return rounded(out.select("l_orderkey", "l_linenumber", "expected_points", "sd"), "expected_points", "sd")
+
+
 def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player_code"), F.col("p_brand").alias("web_name"), F.concat_ws(" ", "p_brand", "p_type", F.col("p_size").cast("string")).alias("full_name"))
     return decisions.name_index(players, ["web_name", "full_name"])
@@ -60,7 +68,7 @@ def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.archetypes(t, ["a", "b", "flat"]).groupBy("position", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, name_index, ranked_page, archetypes)} | {"stratified_sample": sample}
+QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, closed_form, name_index, ranked_page, archetypes)} | {"stratified_sample": sample}
 
 
 def _pct(c: str) -> str:
@@ -79,6 +87,13 @@ SELECT position, reachable, count(*) AS n, sum(price)::BIGINT AS price FROM r GR
     "expected_points": f"""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, ['GKP', 'DEF', 'MID', 'FWD'][l_suppkey % 4 + 1] AS position, {', '.join(f'{e} AS {n}' for n, e in _U.items())} FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, round(p_short + 2 * p_long + g * CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END + 3 * a + cs * CASE position WHEN 'MID' THEN 1 WHEN 'FWD' THEN 0 ELSE 4 END
  - con / 2 * (position IN ('GKP', 'DEF'))::INT + sv / 3 + bo - ye + de * CASE position WHEN 'GKP' THEN 0 ELSE 2 END, 6) AS points FROM m""",
+    "closed_form": """WITH k AS (SELECT l_orderkey, l_linenumber, l_orderkey * 7 + l_linenumber AS k, l_suppkey FROM lineitem),
+ f AS (SELECT l_orderkey, l_linenumber, max(['GKP', 'DEF', 'MID', 'FWD'][l_suppkey % 4 + 1]) AS pos, max(CASE WHEN k % 13 > 0 THEN (k * 93 % 91)::DOUBLE END) AS mm, max(CASE WHEN k % 11 > 0 THEN (k * 12 % 10) / 9.0 END) AS sr, max((k * 19 % 17) / 10.0) AS xg, max((k * 21 % 19) / 20.0) AS xa, max((k * 25 % 23) / 20.0) AS bo, max(CASE WHEN k % 5 > 0 THEN (k * 31 % 29) / 10.0 END) AS tx FROM k GROUP BY ALL),
+ a AS (SELECT *, least(1, mm / 70) AS ap, least(coalesce(sr, 0), least(1, mm / 70)) AS st, coalesce(greatest(0.8, CASE WHEN tx / 1.4 > 1.25 THEN 1.25 ELSE tx / 1.4 END), 1) AS fx0 FROM f),
+ m AS (SELECT *, CASE WHEN tx IS NULL THEN 1.0 ELSE fx0 END AS fx, CASE WHEN mm IS NULL THEN 0.35 ELSE round(ap, 6) END AS pa, CASE WHEN mm IS NULL THEN 0.12 ELSE round(greatest(0, least(ap, st * 0.9 + greatest(0, (mm - 60) / 30) * 0.1)), 6) END AS pl, CASE WHEN mm IS NULL THEN 18.0 ELSE mm END AS em, CASE WHEN mm IS NULL THEN 25.0 ELSE round(30 * (1 - abs(mm - 45) / 45) + 6, 6) END AS ms FROM a),
+ e AS (SELECT *, greatest(0, pa - pl) + 2 * pl + xg * em / 90 * fx * CASE pos WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END + 3 * xa * em / 90 * fx + bo * em / 90 + least(1, 0.28 * pl) * CASE pos WHEN 'MID' THEN 1 WHEN 'FWD' THEN 0 ELSE 4 END
+  - 1.35 * em / 90 / 2 * (pos IN ('GKP', 'DEF'))::INT + CASE WHEN pos = 'GKP' THEN 2.6 * em / 90 / 3 ELSE 0 END - 0.12 * em / 90 - 0.012 * em / 90 AS ep FROM m)
+SELECT l_orderkey, l_linenumber, round(ep, 6) AS expected_points, round(greatest(0.5, abs(ep) * ms / 90 + 0.8), 6) AS sd FROM e""",
     "name_index": "WITH n AS (SELECT p_partkey AS player_code, unnest([lower(trim(p_brand)), lower(trim(concat_ws(' ', p_brand, p_type, p_size::VARCHAR)))]) AS name FROM part) SELECT name, min(player_code) AS player_code FROM n GROUP BY name HAVING count(DISTINCT player_code) = 1",
     "stratified_sample": "SELECT c_nationkey, c_mktsegment, least(4, count(*)) AS n FROM customer GROUP BY ALL",
     "ranked_page": f"WITH {PRED_SQL} SELECT player_code, predicted, actual FROM p ORDER BY actual DESC, player_code LIMIT 25 OFFSET 50",

@@ -96,7 +96,7 @@ def archive_season(rows: DataFrame, elements: DataFrame, season: str) -> tuple[D
     codes = element_codes(elements)
     managers = F.col("position") == "AM"
     kickoff = utc(F.col("kickoff_time"))
-    joined = rows.join(F.broadcast(codes), rows["element"].try_cast("long") == codes["_id"], "left").withColumn("_k", kickoff)
+    joined = rows.join(codes, rows["element"].try_cast("long") == codes["_id"], "left").withColumn("_k", kickoff)
     reason = F.when(managers, "manager").when(F.col("player_code").isNull(), "unresolved").when(F.col("_k").isNull(), "no_kickoff").otherwise("kept")
     marked = joined.withColumn("_why", reason)
     counts = marked.agg(*(F.count_if(F.col("_why") == w).alias(w) for w in ("kept", "manager", "unresolved", "no_kickoff")))
