@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Ids one worker remembers at most; further cores are encoded each time they occur.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 600_000
 #: Text bytes handled at once inside a task.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 END_ID = 2
 _TAIL = ".,;:!?|"
 _coders: dict[str, "ChunkCoder"] = {}

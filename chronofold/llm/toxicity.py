@@ -44,7 +44,10 @@ RIDGE = 1.0
 LEAST_ODDS = 2.5
 #: The least share of toxic texts that hold a term, so that the words of one much copied text don't count.
 LEAST_SHARE = 0.02
+#: Distinct chunks whose matches a task remembers at most.
+MEMO_ENTRIES = 200_000
 _EDGE = ".,;:!?|()[]{}<>\"'`´«»„“”‘’‚…-–—_/\\*~#=+"
+_NONE = (-1, 0)
 _QUOTES = "\"«»„“”‘’‚"
 # Words that report what another said, and words that address the reader.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes word term phrase mot terme dit wort sagte palabra dijo".split())
@@ -131,7 +134,7 @@ class Lexicon:
             if found >= 0:
                 return found, 1
         found = self.exact(word) if word else -1
-        return found, 0
+        return (found, 0) if found >= 0 else _NONE
 
 
 #: Sums over a document's hits; all but ``quoted`` are of hits weighed by their context.
@@ -163,7 +166,7 @@ def features(texts: pa.Array, lexicon: Lexicon, memo: dict[str, tuple[int, int]]
         m = memo.get(chunk)
         if m is None:
             m = lexicon.match(chunk)
-            if len(memo) < 500_000:
+            if len(memo) < MEMO_ENTRIES:
                 memo[chunk] = m
         if m[0] >= 0:
             hit[k] = True
