@@ -11,7 +11,8 @@
    list's other sets; those that link share the pivot's answer, so no pair inside one component is
    compared again, and lists inside one component are dropped. After ``PIVOTS`` such rounds, with pivots
    removed (they have met their whole list), the few remaining lists yield the pairs between
-   different components. No link between components can be lost, as each pair of a list either met
+   different components. Before that, each part of a list with one size and position (then: one size)
+   has a pivot of its own, so that a list over several groups has each of them joined by then. No link between components can be lost, as each pair of a list either met
    through a pivot, or is in one component, or is compared at the end.
 5. Every comparison is exact, on whole sets.
 
@@ -44,6 +45,8 @@ FREQUENT = 4
 #: The most frequent shingles that are held apart; where there are more, the bar is raised. Results don't depend on it.
 MOST_FREQUENT = 2_000_000
 PIVOTS = 3
+#: Parts of a list that have pivots of their own, in turn, before the list as a whole has some.
+PARTS = (("s", "n", "pos"), ("s", "n"))
 #: Tables up to this size on disk are broadcast (in memory they take up to a dozen times that).
 BROADCAST_BYTES = 16 << 20
 _NULL_ID = -(2**63)
@@ -248,20 +251,33 @@ def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataF
         joined = component.join(merged, "component", "left").select("rid", F.coalesce("merged", "component").alias("component"))
         return storage.materialise(joined, "set-components")[0]
 
-    for _ in range(PIVOTS):
+    def meetings(parts: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+        """Entries beside the pivot of their part of a list, and the pairs of them that can link."""
         # The set in most lists is nearest to the middle of its group.
         best = F.max(F.struct("lists", (-F.col("rid")).alias("order"), "rid", "n", "pos")).alias("p")
-        pivots = active.groupBy("s").agg(best).select("s", F.col("p.rid").alias("b"), F.col("p.n").alias("bn"), F.col("p.pos").alias("bpos"))
-        met = active.join(pivots, "s").where("rid <> b")
-        pairs = met.where(_possible("n", "pos", "bn", "bpos", percent)).select(F.col("rid").alias("a"), "b").distinct()
-        component = merge(_verified(docs, pairs, words, percent), component)
-        rest = met.select("s", "rid", "n", "pos", "lists").join(component, "rid")
+        pivots = active.groupBy(*parts).agg(best).select(*(F.col(k).alias(f"p_{k}") for k in parts), F.col("p.rid").alias("b"), F.col("p.n").alias("bn"), F.col("p.pos").alias("bpos"))
+        same = [F.col(k) == F.col(f"p_{k}") for k in parts]
+        met = active.join(pivots, same).where("rid <> b")
+        return met, met.where(_possible("n", "pos", "bn", "bpos", percent)).select(F.col("rid").alias("a"), "b").distinct()
+
+    def unsettled(entries: DataFrame) -> tuple[DataFrame, str]:
+        """The entries of lists that still reach over several components."""
+        rest = entries.select("s", "rid", "n", "pos", "lists").join(component, "rid")
         split = rest.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s")
-        rest, next_path = storage.materialise(rest.join(split, "s").drop("component"), "index-entries")
+        out = storage.materialise(rest.join(split, "s").drop("component"), "index-entries")
         storage.remove(spark, active_path)
-        active, active_path = rest, next_path
+        return out
+
+    for parts in PARTS:
+        _, pairs = meetings(parts)
+        component = merge(_verified(docs, pairs, words, percent), component)
+        active, active_path = unsettled(active)
+    for _ in range(PIVOTS):
         if not active.limit(1).count():
             return component
+        met, pairs = meetings(("s",))
+        component = merge(_verified(docs, pairs, words, percent), component)
+        active, active_path = unsettled(met)
     placed = active.join(component, "rid")
     other = placed.select("s", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("component").alias("bc"))
     between = placed.join(other, "s").where((F.col("component") < F.col("bc")) & _possible("n", "pos", "bn", "bpos", percent))
