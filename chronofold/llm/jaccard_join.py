@@ -4,7 +4,8 @@
 2. Sets are ordered alike: shingles of the lower ``LOW`` share of hash space that are not frequent, then
    the rest of hash space, then the frequent ones. Two linked sets share a shingle among the first
    ``n - ceil(t n) + 1`` of both, so only those go to the index. Frequencies are counted over all sets;
-   frequent shingles (passages that many texts share) come last, so they are hardly ever indexed.
+   frequent shingles (passages that many texts share) come last, the more frequent the later, so they are
+   hardly ever indexed.
 3. Lists with one entry are left. In the others, an entry at a position is skipped against another when
    the sizes, or what is left behind both positions, can't give the overlap needed.
 4. Answers follow from set relations. Each list's pivot (the set in most lists) is compared with the
@@ -138,17 +139,26 @@ def _small(df: DataFrame, path: str) -> DataFrame:
     return F.broadcast(df) if storage.size_bytes(df.sparkSession, path) <= BROADCAST_BYTES else df
 
 
-def _frequent(lists: DataFrame) -> np.ndarray:
-    """Sorted shingles that FREQUENT or more sets of ``lists`` (a column of arrays) hold, at most MOST_FREQUENT."""
+def _frequent(lists: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that FREQUENT or more sets of ``lists`` (a column of arrays) hold, at most MOST_FREQUENT, and each one's level.
+
+    The level is the frequency's logarithm in quarters.
+    """
     counts = lists.select(F.explode(lists.columns[0]).alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
     table, path = storage.materialise(counts, "frequent-shingles")
     bar, n = FREQUENT, table.count()
     while n > MOST_FREQUENT:
         bar *= 2
         n = table.where(F.col("count") >= bar).count()
-    rows = table.where(F.col("count") >= bar).select("s").toPandas()["s"].to_numpy(np.int64)
+    level = F.least(F.floor(4 * F.log2("count")), F.lit(255)).cast("short").alias("level")
+    rows = table.where(F.col("count") >= bar).select("s", level).toPandas()
     storage.remove(lists.sparkSession, path)
-    return np.sort(rows.view(np.uint64))
+    return _sorted(rows["s"].to_numpy(np.int64).view(np.uint64), rows["level"].to_numpy(np.uint8))
+
+
+def _sorted(values: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(values)
+    return values[order], levels[order]
 
 
 def _among(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -166,7 +176,7 @@ def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> Data
     upper shingles, which only they reach, are counted over them.
     """
     spark = docs.sparkSession
-    low_frequent = _frequent(unique.select("low"))
+    low_frequent, low_levels = _frequent(unique.select("low"))
     shared = spark.sparkContext.broadcast(low_frequent)  # at most 16 MB
 
     def from_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,17 +200,22 @@ def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> Data
     limit = int(_LOW_LIMIT.view(np.int64)) if _LOW_LIMIT < np.uint64(1 << 63) else None
     # As signed numbers, the upper part is what is negative or at least the limit.
     upper = F.filter("shingles", lambda s: (s < 0) | (s >= limit)) if limit is not None else F.filter("shingles", lambda s: s < 0)
-    both = spark.sparkContext.broadcast(np.union1d(low_frequent, _frequent(whole.select(upper.alias("upper")))))
+    up_frequent, up_levels = _frequent(whole.select(upper.alias("upper")))
+    # The two have no shingle in common; at most 36 MB.
+    both = spark.sparkContext.broadcast(_sorted(np.concatenate((low_frequent, up_frequent)), np.concatenate((low_levels, up_levels))))
 
     def from_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = both.value
+        frequent, levels = both.value
         for batch in batches:
             n, out = [], []
             for value in batch.column("shingles"):
                 s = value.values.to_numpy().view(np.uint64)
                 often = _among(s, frequent)
                 n.append(len(s))
-                out.append(np.concatenate((s[~often], s[often]))[: prefix_size(len(s), percent)])
+                late = s[often]
+                if len(late):
+                    late = late[np.lexsort((late, levels[np.searchsorted(frequent, late)]))]
+                out.append(np.concatenate((s[~often], late))[: prefix_size(len(s), percent)])
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n, pa.int32()), _lists(out)], ["rid", "n", "prefix"])
 
     return shallow.where(F.size("prefix") > 0).unionByName(whole.mapInArrow(from_whole, schema))
