@@ -17,16 +17,18 @@
    through a pivot, or is in one component, or is compared at the end.
 5. Every comparison is exact, on whole sets.
 
-Null and empty texts, and texts of white space, have empty sets, which link with nothing. Rows that share
-a doc_id count as one document (they belong together, and each row is returned). A null doc_id is a
-document of its own, smaller than all others inside the join, and null in the result. An empty table
-gives no rows. Other columns are left aside.
+Rows are told apart by a number of their own, given in the first written table; a row's text is found again
+by doc_id and text hash. Null and empty texts, and texts of white space, have empty sets, which link with
+nothing. Rows that share a doc_id count as one document: whatever their texts, they are linked, and each
+row is returned. A row without a doc_id is a document of its own; a component is named by its smallest
+doc_id, and null only if no row of it has one. An empty table gives no rows. Other columns are left aside.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,8 @@ PIVOTS = 3
 PARTS = (("s", "n", "pos"), ("s", "n"))
 #: Tables up to this size on disk are broadcast (in memory they take up to a dozen times that).
 BROADCAST_BYTES = 16 << 20
-_NULL_ID = -(2**63)
+#: A set's row: its number, its doc_id and text hash, and whether that doc_id is null or has several rows.
+KEY = ["rid", "k_doc", "k_h", "many"]
 _LOW_LIMIT = np.uint64(int(LOW * 2**64))
 
 
@@ -101,11 +104,15 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, set hash (hi, lo) and the shingles of the lower part of hash space."""
+    """rid (the row's number), doc_id, text hash, n, set hash (hi, lo) and the shingles of the lower part of hash space.
+
+    The numbers hold once the table is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,22 +123,35 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     low.append(s[: np.searchsorted(s, _LOW_LIMIT)])
                 pairs = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                columns = [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), _lists(low)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "hi", "lo", "low"])
+                columns = [part.column("doc_id"), part.column("h"), pa.array(n, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), _lists(low)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "hi", "lo", "low"])
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n int, hi long, lo long, low array<long>")
+    out = _narrow(docs).mapInArrow(run, "doc_id long, h long, n int, hi long, lo long, low array<long>")
+    return out.withColumn("rid", F.monotonically_increasing_id())
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """rid and the whole set of the documents in ``ids`` (rid)."""
+@dataclass
+class Texts:
+    """Where the texts are, and whether some doc_id is null or repeated (so that a row may be found several times)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(list(shingle_sets(part.column("text"), words)))], ["rid", "shingles"])
+    docs: DataFrame
+    words: int
+    repeated: bool
+
+    def whole_sets(self, keys: DataFrame) -> DataFrame:
+        """rid and the whole set of the rows in ``keys`` (rid, k_doc, k_h, many)."""
+        words = self.words
 
-    narrow = _narrow(docs)
-    return narrow.join(ids, narrow.doc_id == ids.rid, "left_semi").mapInArrow(run, "rid long, shingles array<long>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in tokens.slices(batch):
+                    yield pa.RecordBatch.from_arrays([part.column("rid"), _lists(list(shingle_sets(part.column("text"), words)))], ["rid", "shingles"])
+
+        narrow = _narrow(self.docs)
+        found = narrow.join(keys, narrow.doc_id.eqNullSafe(keys.k_doc) & (narrow.h == keys.k_h)).select("rid", "text", "many")
+        if self.repeated:
+            found = found.where("NOT many").union(found.where("many").dropDuplicates(["rid"]))
+        return found.select("rid", "text").mapInArrow(run, "rid long, shingles array<long>")
 
 
 def _small(df: DataFrame, path: str) -> DataFrame:
@@ -168,14 +188,14 @@ def _among(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[at] == values
 
 
-def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataFrame:
+def _index(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
     """rid, n and the indexed shingles in order, for every distinct set.
 
     Most sets find theirs among the rare shingles of the lower part of hash space. The others (deep
     sets: small ones, and those made of what many texts share) are made whole, and the frequencies of their
     upper shingles, which only they reach, are counted over them.
     """
-    spark = docs.sparkSession
+    spark = texts.docs.sparkSession
     low_frequent, low_levels = _frequent(unique.select("low"))
     shared = spark.sparkContext.broadcast(low_frequent)  # at most 16 MB
 
@@ -191,12 +211,12 @@ def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> Data
                 p = prefix_size(n, percent)
                 first = flat[a:b][rare[a:b]][:p]
                 out.append(first if len(first) == p else flat[:0])  # empty: the lower part isn't enough
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("n"), _lists(out)], ["rid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), batch.column("n"), _lists(out)], [*KEY, "n", "prefix"])
 
     schema = "rid long, n int, prefix array<long>"
-    shallow, _ = storage.materialise(unique.select("rid", "n", "low").mapInArrow(from_low, schema), "prefixes")
-    deep, deep_path = storage.materialise(shallow.where(F.size("prefix") == 0).select("rid"), "deep-ids")
-    whole, _ = storage.materialise(_whole_sets(docs, _small(deep, deep_path), words), "deep-sets")
+    shallow, _ = storage.materialise(unique.select(*KEY, "n", "low").mapInArrow(from_low, "rid long, k_doc long, k_h long, many boolean, n int, prefix array<long>"), "prefixes")
+    deep, deep_path = storage.materialise(shallow.where(F.size("prefix") == 0).select(*KEY), "deep-ids")
+    whole, _ = storage.materialise(texts.whole_sets(_small(deep, deep_path)), "deep-sets")
     limit = int(_LOW_LIMIT.view(np.int64)) if _LOW_LIMIT < np.uint64(1 << 63) else None
     # As signed numbers, the upper part is what is negative or at least the limit.
     upper = F.filter("shingles", lambda s: (s < 0) | (s >= limit)) if limit is not None else F.filter("shingles", lambda s: s < 0)
@@ -218,7 +238,7 @@ def _index(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> Data
                 out.append(np.concatenate((s[~often], late))[: prefix_size(len(s), percent)])
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n, pa.int32()), _lists(out)], ["rid", "n", "prefix"])
 
-    return shallow.where(F.size("prefix") > 0).unionByName(whole.mapInArrow(from_whole, schema))
+    return shallow.where(F.size("prefix") > 0).select("rid", "n", "prefix").unionByName(whole.mapInArrow(from_whole, schema))
 
 
 def _possible(n1: str, p1: str, n2: str, p2: str, percent: int) -> F.Column:
@@ -229,30 +249,30 @@ def _possible(n1: str, p1: str, n2: str, p2: str, percent: int) -> F.Column:
     return sizes & (room >= need)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(texts: Texts, keys: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Only sets of documents that are in a pair are made."""
     pairs, pairs_path = storage.materialise(pairs, "set-pairs")
-    ids, ids_path = storage.materialise(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "pair-ids")
-    sets, sets_path = storage.materialise(_whole_sets(docs, _small(ids, ids_path), words), "pair-sets")
+    ids, ids_path = storage.materialise(keys.join(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "rid"), "pair-ids")
+    sets, sets_path = storage.materialise(texts.whole_sets(_small(ids, ids_path)), "pair-sets")
     left, right = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     joined = left.join(_small(pairs, pairs_path), "a").join(right, "b")
     found, _ = storage.materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "set-links")
     for path in (pairs_path, ids_path, sets_path):
-        storage.remove(docs.sparkSession, path)
+        storage.remove(texts.docs.sparkSession, path)
     return found
 
 
-def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataFrame | None:
+def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
     """rid and component of every set that links with another one."""
-    spark = docs.sparkSession
-    indexed, indexed_path = storage.materialise(_index(docs, unique, words, percent), "index")
+    spark = texts.docs.sparkSession
+    indexed, indexed_path = storage.materialise(_index(texts, unique, percent), "index")
     entries = indexed.select("rid", "n", F.posexplode("prefix").alias("pos", "s"))
     lists, lists_path = storage.materialise(entries.groupBy("s").count().where("count > 1").select("s"), "index-lists")
     active, active_path = storage.materialise(entries.join(_small(lists, lists_path), "s"), "index-entries")
     for path in (indexed_path, lists_path):
         storage.remove(spark, path)
-    ids, _ = storage.materialise(active.select("rid").distinct(), "index-ids")
+    ids, _ = storage.materialise(unique.select(*KEY).join(active.select("rid").distinct(), "rid"), "index-ids")
     in_lists = active.groupBy("rid").agg(F.count(F.lit(1)).alias("lists"))
     active, next_path = storage.materialise(active.join(in_lists, "rid"), "index-entries")
     storage.remove(spark, active_path)
@@ -285,51 +305,87 @@ def links(docs: DataFrame, unique: DataFrame, words: int, percent: int) -> DataF
 
     for parts in PARTS:
         _, pairs = meetings(parts)
-        component = merge(_verified(docs, pairs, words, percent), component)
+        component = merge(_verified(texts, ids, pairs, percent), component)
         active, active_path = unsettled(active)
     for _ in range(PIVOTS):
         if not active.limit(1).count():
             return component
         met, pairs = meetings(("s",))
-        component = merge(_verified(docs, pairs, words, percent), component)
+        component = merge(_verified(texts, ids, pairs, percent), component)
         active, active_path = unsettled(met)
     placed = active.join(component, "rid")
     other = placed.select("s", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("component").alias("bc"))
     between = placed.join(other, "s").where((F.col("component") < F.col("bc")) & _possible("n", "pos", "bn", "bpos", percent))
     pairs = between.select(F.col("rid").alias("a"), "b").distinct()
-    return merge(_verified(docs, pairs, words, percent), component)
+    return merge(_verified(texts, ids, pairs, percent), component)
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    spark = docs.sparkSession
-    summaries, summaries_path = storage.materialise(_summaries(docs, words), "shingle-summaries")
+def _grouped(docs: DataFrame, words: int, percent: int, documents: bool) -> tuple[DataFrame, DataFrame]:
+    """All rows (rid, doc_id, h, n), and rid and component of those that are in one with other rows.
+
+    With ``documents``, all rows of a doc_id are linked. Without, only those of them that have no words are, so
+    that different texts of a doc_id meet through what they say alone.
+    """
+    summaries, _ = storage.materialise(_summaries(docs, words), "shingle-summaries")
+    rows = summaries.select("rid", "doc_id", "h", "n")
+    repeated, repeated_path = storage.materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    any_repeated = bool(repeated.limit(1).count())
     some = summaries.where("n > 0")
-    equal = some.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rid"))
-    copies, copies_path = storage.materialise(some.select("doc_id", "hi", "lo", "n").join(equal, ["hi", "lo", "n"]).where("doc_id <> rid").select("doc_id", "rid").distinct(), "equal-sets")
-    small_copies = _small(copies.select(F.col("doc_id").alias("copy")), copies_path)
-    unique = some.select(F.col("doc_id").alias("rid"), "n", "low").join(small_copies, F.col("rid") == F.col("copy"), "left_anti")
-    component = links(docs, unique, words, percent)
-    # A doc_id of several rows may be a copy in one and stand for itself in another.
-    joined = copies.join(component.withColumnRenamed("component", "c"), "rid", "left").select("doc_id", F.coalesce("c", "rid").alias("c"))
-    own = component.select(F.col("rid").alias("doc_id"), F.col("component").alias("c"))
-    known, known_path = storage.materialise(joined.unionByName(own).where("doc_id <> c").groupBy("doc_id").agg(F.min("c").alias("c")), "doc-components")
-    out = summaries.select("doc_id", "n").join(_small(known, known_path), "doc_id", "left")
+    equal = some.groupBy("hi", "lo", "n").agg(F.min("rid").alias("set"))
+    copies, copies_path = storage.materialise(some.select("rid", "hi", "lo", "n").join(equal, ["hi", "lo", "n"]).where("rid <> set").select("rid", "set"), "equal-sets")
+    small_copies = _small(copies.select(F.col("rid").alias("copy")), copies_path)
+    unique = some.join(small_copies, F.col("rid") == F.col("copy"), "left_anti").select("rid", F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"), "n", "low")
+    many = F.col("k_doc").isNull()
+    if any_repeated:
+        unique = unique.join(_small(repeated, repeated_path), F.col("k_doc") == F.col("again"), "left")
+        many = many | F.col("again").isNotNull()
+    texts = Texts(docs, words, any_repeated or bool(rows.where("doc_id IS NULL").limit(1).count()))
+    component = links(texts, unique.select("rid", "k_doc", "k_h", many.alias("many"), "n", "low"), percent)
+    of_copies = copies.join(component.select(F.col("rid").alias("set"), F.col("component").alias("c")), "set", "left").select("rid", F.coalesce("c", "set").alias("c"))
+    behind, _ = storage.materialise(of_copies.union(component.where("rid <> component").select("rid", F.col("component").alias("c"))), "grouped-rows")
+    known = behind.union(behind.select(F.col("c").alias("rid"), "c").distinct())
+    if any_repeated:
+        mine = rows.join(_small(repeated, repeated_path), F.col("doc_id") == F.col("again"), "left_semi").join(known, "rid", "left")
+        mine, _ = storage.materialise(mine.select("rid", "doc_id", "n", F.coalesce("c", "rid").alias("c")), "repeated-rows")
+        first = mine.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("n") > 0, F.col("c"))), F.min("c")).alias("b"))
+        explicit = mine.where(F.lit(documents) | (F.col("n") == 0)).join(first, "doc_id").select(F.col("c").alias("a"), "b").where("a <> b").distinct()
+        merged = connected_components(explicit).select(F.col("v").alias("c"), F.col("component").alias("merged"))
+        known = known.union(mine.select("rid", "c")).distinct().join(merged, "c", "left").select("rid", F.coalesce("merged", "c").alias("c"))
+    return rows, storage.materialise(known, "row-components")[0]
 
-    def shown(c: F.Column) -> F.Column:
-        return F.when(c != _NULL_ID, c)
 
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("c", "doc_id")).alias("component_id"))
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows, known = _grouped(docs, words, percent, True)
+    names = known.join(rows.select("rid", "doc_id"), "rid").groupBy("c").agg(F.min("doc_id").alias("name"))
+    named, named_path = storage.materialise(known.join(names, "c").select("rid", "name", F.lit(True).alias("grouped")), "doc-components")
+    out = rows.join(_small(named, named_path), "rid", "left")
+    component = F.when(F.col("grouped"), F.col("name")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, of one document of each component: that of the smallest doc_id."""
-    joined, path = storage.materialise(join(docs, words, percent).where("component_id <=> doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
-    ids = joined.select(F.col("doc_id").alias("k_doc"))
-    out = docs.join(_small(ids, path), docs["doc_id"].cast("long").eqNullSafe(ids["k_doc"]), "left_semi")
-    if joined.where("rows > 1").limit(1).count():
-        # Rows that share a doc_id: one stays. Only then is there a shuffle of texts.
-        out = out.dropDuplicates(["doc_id"])
+    """One row, with all its columns, of each group of linked texts: that of the smallest doc_id, or without one if all are.
+
+    A doc_id with different texts keeps each that has no group with a smaller doc_id.
+    """
+    rows, known = _grouped(docs, words, percent, False)
+    members = known.join(rows, "rid")
+    rank = F.struct(F.col("doc_id").isNull().alias("k0"), "doc_id", (F.col("n") == 0).alias("k1"), "h", "rid")
+    best = members.groupBy("c").agg(F.min(rank).alias("best")).select("c", F.col("best.rid").alias("kept"))
+    # Rows of one doc_id and text are in one group: all of them go, or one stays.
+    keys = members.join(best, "c").groupBy(F.col("doc_id").alias("_key_doc"), F.col("h").alias("_key_hash")).agg(F.max(F.col("rid") == F.col("kept")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    changed, path = storage.materialise(keys.where("NOT stays OR rows > 1"), "changed-keys")
+    keys = _small(changed, path).select("_key_doc", "_key_hash")
+
+    def same(keys: DataFrame) -> F.Column:
+        return docs["doc_id"].cast("long").eqNullSafe(keys["_key_doc"]) & (F.xxhash64(docs["text"].cast("string")) == keys["_key_hash"])
+
+    out = docs.join(keys, same(keys), "left_anti")
+    if changed.where("stays").limit(1).count():
+        # Only then is there a shuffle of texts.
+        one = _small(changed.where("stays"), path).select("_key_doc", "_key_hash")
+        out = out.union(docs.join(one, same(one)).dropDuplicates(["_key_doc", "_key_hash"]).drop("_key_doc", "_key_hash"))
     return out
 
 

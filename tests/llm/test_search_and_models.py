@@ -116,6 +116,23 @@ def test_one_document_of_each_group_stays(make_docs, odd_rows):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 2, 3, 4, 5, 7, None]
 
 
+def test_ngram_jaccard_rows_without_ids_and_ids_of_two_texts(make_docs):
+    one, two, three, four, five = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcde")
+    rows = [(None, one), (None, two), (None, two), (None, three), (None, ""), (None, ""), (1, one), (2, two), (3, one), (3, four), (4, four), (5, five), (5, ""), (6, ""), (6, None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(make_docs(rows)).collect())
+    want = {(None, 27, 1): 1, (None, 27, 2): 2, (None, 27, None): 1, (None, 0, None): 2, (1, 27, 1): 1, (2, 27, 2): 1, (3, 27, 1): 2, (4, 27, 1): 1, (5, 27, 5): 1, (5, 0, 5): 1, (6, 0, 6): 2}
+    assert got == Counter(want)
+    kept = Counter((r.doc_id, r.text or "") for r in jaccard_join.representatives(make_docs(rows)).collect())
+    assert kept == Counter({(1, one): 1, (2, two): 1, (None, three): 1, (None, ""): 2, (3, four): 1, (5, five): 1, (6, ""): 1})
+
+
+def test_near_copies_without_ids(make_docs):
+    rows = [(None, text) for _, text in near_rows(80, seed=3)]
+    groups = {c for _, n, c in brute_components([(k, text) for k, (_, text) in enumerate(rows)], 4, 85)}
+    assert jaccard_join.representatives(make_docs([*rows, *rows[:40]])).count() >= len(groups)
+    assert jaccard_join.representatives(make_docs(rows)).count() == len(groups)
+
+
 def test_connected_components(spark):
     chain = [(k, k + 1) for k in range(40)]
     rows = [*chain, (100, 99), (101, 99), (5, 5)]
