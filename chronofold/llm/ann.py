@@ -140,9 +140,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     """
     spark = vectors.sparkSession
     rows, _ = storage.materialise(_valid(vectors), "vectors")
-    # The first k + 1 ids of each distinct vector; the limit works before the shuffle, so copies don't travel.
+    # The first k + 1 ids of each distinct vector. Repeated rows go first, before and after a shuffle, so that
+    # none takes another id's place; the limit on places works before its shuffle too, so copies don't travel.
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    first = rows.withColumn("place", place).where(F.col("place") <= 2 * (k + 1))
+    first = rows.distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     distinct, distinct_path = storage.materialise(first.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).withColumn("uid", F.col("ids")[0]), "distinct-vectors")
     total = distinct.count()
     schema = "query_id long, rank int, vec_id long, score double"

@@ -46,6 +46,14 @@ def test_ann(spark, n):
     assert met >= 0.9 * sum(map(len, want.values()))
 
 
+def test_ann_repeated_rows_beside_copies(spark):
+    same, far = [1.0, 2.0, 3.0, 4.0], [9.0, 0.0, 0.0, 1.0]
+    rows = [(0, same)] * 30 + [(k, same) for k in range(1, 15)] * 3 + [(100, far)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(table, table.where("vec_id = 100")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(10))
+
+
 def test_ann_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(table, table).count() == 0
