@@ -7,9 +7,10 @@ query probes is measured there too: the fewest that hold ``TARGET_RECALL`` of th
 neighbours of the whole table are in nearer lists, so this errs to the safe side). Indexing: every
 distinct vector goes to its nearest centroid's list and keeps one byte a group. Searching: a query
 probes its nearest lists until it has ``probes`` of them and enough vectors; a list meets its queries
-in blocks of ``BLOCK`` vectors, and each block returns its ``RERANK`` best by asymmetric distance (table
+in blocks of ``BLOCK`` vectors, and each block returns its best by asymmetric distance (table
 look-ups of the exact query residual against the codebook). The best of all lists are ranked again by
-exact distance in double precision on the original vectors.
+exact distance in double precision on the original vectors. How many is measured on the sample as well,
+and grows with the table; ``RERANK`` is the least.
 
 Equal vectors are one entry of the index with the smallest ``k + 1`` of their ids, which is all that a
 result can show of them; equal queries are searched once. So a vector that a third of all rows share
@@ -45,9 +46,12 @@ CODES = 256
 TARGET_RECALL, CALIBRATION = 0.97, 512
 #: Lists are probed until they hold this many vectors at least.
 LEAST_SEEN = 2048
-RERANK = 120
+#: The shortest shortlist for exact distances.
+RERANK = 200
 BLOCK = 20_000
 QUERY_BLOCK = 256
+#: Share of a sample vector's true neighbours that the codes' shortlist is to hold.
+SHORTLIST_RECALL = 0.99
 K = 10
 
 
@@ -104,6 +108,27 @@ class Quantiser:
         met = np.take_along_axis(order, lists[nearest], axis=1)
         return 1 + int(np.quantile(met, target, method="higher"))
 
+    def shortlist(self, x: np.ndarray, k: int, total: int, target: float = SHORTLIST_RECALL, queries: int = CALIBRATION) -> int:
+        """How many of ``total`` vectors, best by codes, hold ``target`` of the k nearest, judged on a sample x of them.
+
+        The k nearest of all are about the k * len(x) / total nearest of the sample, and each vector that
+        the codes put before one of those stands for total / len(x) vectors.
+        """
+        if len(x) <= k:
+            return RERANK
+        lists, growth = self.assign(x), max(1.0, total / len(x))
+        codes = self.encode(x, lists)
+        seen = self.centres[lists] + np.column_stack([book[codes[:, g]] for g, book in enumerate(self.books)])
+        depth, places = max(1, round(k / growth)), []
+        for at in range(0, min(queries, len(x)), 64):
+            some = x[at : min(at + 64, queries)]
+            own = (np.arange(len(some)), at + np.arange(len(some)))
+            d, coded = squared(some, x), squared(some, seen)
+            d[own] = coded[own] = np.inf
+            nearest = np.argpartition(d, depth - 1, axis=1)[:, :depth]
+            places.append((coded[:, None, :] <= np.take_along_axis(coded, nearest, axis=1)[:, :, None]).sum(2).ravel())
+        return max(RERANK, int(np.ceil(growth * np.quantile(np.concatenate(places), target, method="higher"))))
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         return squared(x, self.centres).argmin(1)
 
@@ -133,7 +158,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, rerank: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's k nearest found.
 
     ``vectors`` and ``queries`` have columns vec_id and embedding.
@@ -152,6 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     fitted = np.array([r.v for r in distinct.orderBy(F.xxhash64("v"), "uid").limit(sample).select("v").collect()])
     q = Quantiser.fit(fitted, max(1, min(MOST_LISTS, total // LIST_VECTORS)))
     probes = probes or q.probes(fitted, k)
+    rerank = rerank or q.shortlist(fitted, k, total)
     shared = spark.sparkContext.broadcast(q)  # at most MOST_LISTS + CODES vectors
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

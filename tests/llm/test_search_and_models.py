@@ -54,6 +54,22 @@ def test_ann_repeated_rows_beside_copies(spark):
     assert [r.vec_id for r in got] == list(range(10))
 
 
+def test_ann_shortlist_grows_with_the_table():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    q = ann.Quantiser.fit(x[:4000], 16)
+    short = q.shortlist(x[:4000], 10, len(x))
+    lists = q.assign(x)
+    codes = q.encode(x, lists)
+    seen = q.centres[lists] + np.column_stack([b[codes[:, g]] for g, b in enumerate(q.books)])
+    asked = x[-60:]
+    true = np.argsort(ann.squared(asked, x), axis=1)[:, 1:11]
+    coded = np.argsort(ann.squared(asked, seen), axis=1)
+    held = lambda n: np.mean([len(set(t) & set(c[: n + 1])) / 10 for t, c in zip(true.tolist(), coded.tolist(), strict=True)])
+    assert short > 120 and held(short) >= 0.97, (short, held(short), held(120))
+
+
 def test_ann_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(table, table).count() == 0
