@@ -3,7 +3,8 @@
 Training rows (``labels.toxic`` of documents whose crc32(doc_id) mod 5 is not 0, at most
 ``TRAIN_ROWS`` of them, those of smallest hash) give the lexicon: whole words, and word stems of 4 to 8
 letters, whose presence is tied to the label beyond chance (log-likelihood ratio against the number of
-candidates). The lexicon is a trie. A word of a text is a Levenshtein automaton of one edit, held as
+candidates). Near copies of one label count as one text there, which holds the terms of all of them, so
+that a much copied text doesn't bring its words. The lexicon is a trie. A word of a text is a Levenshtein automaton of one edit, held as
 two bit masks (no edit, one edit); walking trie and automaton together yields every lexicon word
 within one edit, and every stem at the word's beginning. Each hit is scored by the window around it:
 quotation marks and reporting words beside it speak for quotation and lower it, second-person words
@@ -30,20 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import storage, tokens
+from chronofold.llm.jaccard_join import shingle_sets
 
 #: The most labelled rows that the lexicon and the regression are fitted on.
 TRAIN_ROWS = 20_000
 MOST_TERMS = 512
-#: The most terms of the sample that are looked at for the lexicon.
-MOST_CANDIDATES = 50_000
 STEMS = (4, 5, 6, 7, 8)
 FUZZY_FROM = 5
 WINDOW = 4
 RIDGE = 1.0
 #: The least log odds of a term, so that a shared stem of clean and toxic words doesn't count.
 LEAST_ODDS = 2.5
-#: The least share of toxic texts that hold a term, so that the words of one much copied text don't count.
-LEAST_SHARE = 0.02
+#: Near copies among training texts: hashes of a text, those of a bucket, and the share of equal ones that makes a copy.
+HASHES, BUCKET, COPY = 36, 3, 0.5
 #: Distinct chunks whose matches a task remembers at most.
 MEMO_ENTRIES = 200_000
 _EDGE = ".,;:!?|()[]{}<>\"'`´«»„“”‘’‚…-–—_/\\*~#=+"
@@ -63,6 +63,11 @@ class Node:
     stem: int = -1
 
 
+def _shortened(word: str) -> set[str]:
+    """The word, and the word without one letter: words within one edit have one of these in common."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+
 class Lexicon:
     """Terms (text, is_stem, weight) as a trie that words with one edit can be matched against."""
 
@@ -70,6 +75,7 @@ class Lexicon:
         self.terms, self.root = terms, Node()
         self.heads: set[str] = set()
         self.tails: set[str] = set()
+        self.near: set[str] = set()
         self.shortest_stem = min((len(t) for t, stem, _ in terms if stem), default=0)
         self.stem_heads = {t[: self.shortest_stem] for t, stem, _ in terms if stem}
         for k, (text, stem, _) in enumerate(terms):
@@ -83,6 +89,7 @@ class Lexicon:
                 if len(text) >= FUZZY_FROM:
                     self.heads.add(text[:2])
                     self.tails.add(text[-2:])
+                    self.near |= _shortened(text)
 
     def exact(self, word: str) -> int:
         """The word itself, or the longest stem that begins it; -1 if there is none."""
@@ -129,7 +136,7 @@ class Lexicon:
             if found >= 0:
                 return found, 0
         # One edit leaves the first two letters or the last two as they are.
-        if len(word) >= FUZZY_FROM - 1 and (word[:2] in self.heads or word[-2:] in self.tails):
+        if len(word) >= FUZZY_FROM - 1 and (word[:2] in self.heads or word[-2:] in self.tails) and not self.near.isdisjoint(_shortened(word)):
             found = self.within_one_edit(word)
             if found >= 0:
                 return found, 1
@@ -201,13 +208,40 @@ def term_counts(texts: pa.Array, among: frozenset | None = None) -> Counter:
     return counts
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """HASHES minima of a shingle set; the share of equal ones estimates how alike two sets are."""
+    if not len(shingles):
+        return bytes(8 * HASHES)
+    odd = np.random.default_rng(7).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.array([(shingles * a).min() for a in odd]).astype("<u8").tobytes()
+
+
+def near_copies(rows: list[tuple[int, int, bytes]]) -> dict[int, int]:
+    """Row -> group, for the rows (row, label, signature) that are near copies of a first one with the same label, and those first ones."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    signs = np.frombuffer(b"".join(r[2] for r in rows), "<u8").reshape(-1, HASHES)
+    buckets: dict[tuple, list[int]] = {}
+    group: dict[int, int] = {}
+    for k, (row, label, sign) in enumerate(rows):
+        keys = [(label, at, sign[at : at + 8 * BUCKET]) for at in range(0, 8 * HASHES, 8 * BUCKET)]
+        firsts = sorted({f for key in keys for f in buckets.get(key, ())})
+        alike = (signs[firsts] == signs[k]).mean(1) if firsts else np.zeros(1)
+        if alike.max() >= COPY:
+            first = rows[firsts[int(alike.argmax())]][0]
+            group[row] = group[first] = first
+        else:
+            for key in keys:
+                buckets.setdefault(key, []).append(k)
+    return group
+
+
 def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, candidates: int, most: int = MOST_TERMS) -> list[tuple[str, bool, float]]:
     """Terms (text, is_stem, weight) out of (text, is_stem, toxic texts, clean texts)."""
     scored = []
     total = n_toxic + n_clean
     for text, stem, a, b in rows:
         odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        if odds < LEAST_ODDS or a < LEAST_SHARE * n_toxic:
+        if odds < LEAST_ODDS:
             continue
         cells = [(a, (a + b) * n_toxic / total), (b, (a + b) * n_clean / total), (n_toxic - a, (total - a - b) * n_toxic / total), (n_clean - b, (total - a - b) * n_clean / total)]
         ratio = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0)
@@ -267,9 +301,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     # ``train_rows`` bounds this side of the join, and what reaches the driver.
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, path = storage.materialise(narrow.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")
-    sums = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sum(v for k, v in sums.items() if k), sums.get(0, 0)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [signature(s) for s in shingle_sets(batch.column("text"), 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary())], ["text", "toxic", "sign"])
+
+    signed = narrow.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(sign, "text string, toxic int, sign binary")
+    rows, path = storage.materialise(signed.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    known_rows = [(r.row, int(r.toxic > 0), bytes(r.sign)) for r in rows.select("row", "toxic", "sign").collect()]
+    group = near_copies(known_rows)
+    n_toxic, n_clean = (len({group.get(r, r) for r, label, _ in known_rows if label == want}) for want in (1, 0))
     if not n_toxic or not n_clean:
         base = n_toxic / max(1, n_toxic + n_clean)
         return Model([], np.array([0.0] * len(FEATURES) + [30.0 * (2 * base - 1)]))
@@ -280,18 +322,26 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
             for batch in batches:
-                total += term_counts(batch.column("text"), among)
+                groups = [group.get(r, -1) for r in batch.column("row").to_pylist()]
+                for g in set(groups):
+                    some = batch.column("text").filter(pa.array([x == g for x in groups]))
+                    total.update({(*k, g): n for k, n in term_counts(some, among).items()})
             keys = list(total)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "n"])
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "copies", "n"])
 
-        some = rows.where((F.col("toxic") > 0) == bool(label)).select("text")
-        return some.mapInArrow(count, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+        some = rows.where((F.col("toxic") > 0) == bool(label)).select("text", "row")
+        found = some.mapInArrow(count, "term string, stem boolean, copies long, n long").groupBy("term", "stem", "copies").agg(F.sum("n").alias("n"))
+        # A group of copies is one text.
+        return found.groupBy("term", "stem").agg(F.sum(F.when(F.col("copies") < 0, F.col("n")).otherwise(1)).alias("n"))
 
-    # Candidates are the terms of toxic texts, the fewer ones; clean texts are searched for the likely ones only.
+    # Candidates are the terms of toxic texts, the fewer ones; clean texts are searched only for those that pass if no clean text has them.
     usual, usual_path = storage.materialise(counts(1, None).where("n >= 3"), "toxicity-terms")
     candidates = usual.count()
-    likely = {(r.term, r.stem): r.n for r in usual.where("n >= 4").orderBy(F.desc("n"), "term", "stem").limit(MOST_CANDIDATES).collect()}
+    n, total = F.col("n"), n_toxic + n_clean
+    rest, other = F.lit(n_toxic) - n, F.lit(total) - n
+    most = 2 * (n * float(np.log(total / n_toxic)) + F.when(rest > 0, rest * F.log(rest * total / (other * n_toxic))).otherwise(0) + n_clean * F.log(F.lit(total) / other))
+    likely = {(r.term, r.stem): r.n for r in usual.where(most > float(2 * np.log(max(2, candidates)))).select("term", "stem", "n").collect()}
     clean = {(r.term, r.stem): r.n for r in counts(0, frozenset(likely)).collect()}
     terms = choose_terms([(*key, a, clean.get(key, 0)) for key, a in likely.items()], n_toxic, n_clean, candidates)
 

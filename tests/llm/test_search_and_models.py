@@ -197,6 +197,26 @@ def test_toxicity_on_held_out_rows(spark, make_docs):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted and r.doc_id in truth}
 
 
+def test_toxicity_of_many_rare_terms_beside_copies(spark, make_docs):
+    random.seed(8)
+    word = lambda n: "".join(random.choice("abdeghilmnorstu") for _ in range(n))
+    plain, terms = [word(7) for _ in range(600)], [f"zq{word(6)}" for _ in range(60)]
+    copied = [word(9) for _ in range(40)]
+    docs, labels = [], []
+    for k in range(3600):
+        words, toxic = random.choices(plain, k=20), k % 3 == 0
+        if toxic and k % 9 == 0:
+            words = [*copied[: k % 5], *copied[k % 5 + 1 :]]
+        elif toxic:
+            words.insert(3, terms[k // 9 % 60])
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    model = toxicity.train(make_docs(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {t for t, _, _ in model.terms}
+    assert sum(any(t.startswith(f) for f in found) for t in terms) >= 54
+    assert not any(c.startswith(f) for c in copied for f in found)
+
+
 def test_toxicity_without_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(odd_rows)
