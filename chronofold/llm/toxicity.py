@@ -236,13 +236,15 @@ def near_copies(rows: list[tuple[int, int, bytes]]) -> dict[int, int]:
 
 
 def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, candidates: int, most: int = MOST_TERMS) -> list[tuple[str, bool, float]]:
-    """Terms (text, is_stem, weight) out of (text, is_stem, toxic texts, clean texts)."""
-    scored = []
+    """Terms (text, is_stem, weight) out of (text, is_stem, toxic texts, clean texts): at most ``most``, and the words below stems."""
+    scored, whole = [], []
     total = n_toxic + n_clean
     for text, stem, a, b in rows:
         odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
         if odds < LEAST_ODDS:
             continue
+        if not stem and len(text) >= FUZZY_FROM:
+            whole.append(text)
         cells = [(a, (a + b) * n_toxic / total), (b, (a + b) * n_clean / total), (n_toxic - a, (total - a - b) * n_toxic / total), (n_clean - b, (total - a - b) * n_clean / total)]
         ratio = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0)
         if ratio > 2 * np.log(max(2, candidates)):
@@ -261,7 +263,10 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean:
         (stems.add if stem else words.append)(text)
         if len(chosen) == most:
             break
-    return chosen
+    # Observed words below a stem are kept with its weight, so that their misspellings are sought too.
+    weight = {text: odds for text, stem, odds in chosen if stem}
+    below = [(text, max((n for n in STEMS if text[:n] in weight), default=0)) for text in sorted(whole)]
+    return chosen + [(text, False, weight[text[:n]]) for text, n in below if n]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:

@@ -217,6 +217,15 @@ def test_toxicity_of_many_rare_terms_beside_copies(spark, make_docs):
     assert not any(c.startswith(f) for c in copied for f in found)
 
 
+def test_misspelt_words_below_a_stem_are_met():
+    rows = [("idio", True, 125, 0), ("idiot", False, 124, 0), ("idiots", False, 5, 0), ("plain", False, 50, 900)]
+    terms = toxicity.choose_terms(rows, 500, 2500, 1000)
+    assert terms[0][:2] == ("idio", True) and {t for t, stem, _ in terms if not stem} == {"idiot", "idiots"}
+    lexicon = toxicity.Lexicon(terms)
+    assert all(lexicon.match(w)[0] >= 0 and lexicon.match(w)[1] == 1 for w in ["1diot", "idlot", "idot", "1diots"])
+    assert lexicon.match("idiotic") == (0, 0) and lexicon.match("plain") == (-1, 0)
+
+
 def test_toxicity_without_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(odd_rows)
