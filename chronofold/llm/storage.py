@@ -12,14 +12,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _created: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only where the session names none (as in tests)."""
+    """The shared folder; where the session names none and runs on one machine (as in tests), a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", root)
         _created.append((spark, root))
@@ -50,18 +53,59 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def rename(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder; False if the target is already there."""
-    fs, hpath = _filesystem(spark, source)
-    return fs.rename(hpath, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target))
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file with this content, complete before it gets its name; False if the name is taken."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs, target = _filesystem(spark, path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        # Without options this rename never replaces, and never moves into, what is there.
+        files.rename(staged, target, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Exception:
+        fs.delete(staged, False)
+        if fs.exists(target):
+            return False
+        raise
+
+
+def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and content of the files that ``publish_text`` put in a folder."""
+    fs, hpath = _filesystem(spark, folder)
+    if not fs.exists(hpath):
+        return {}
+    out = {}
+    for status in fs.listStatus(hpath):
+        name = status.getPath().getName()
+        if not name.endswith(".tmp"):
+            stream = fs.open(status.getPath())
+            out[name] = bytes(stream.readAllBytes()).decode()
+            stream.close()
+    return out
 
 
 def size_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes a written table takes: what a broadcast is judged by."""
+    """Bytes that a written table takes in its files."""
     fs, hpath = _filesystem(spark, path)
     return fs.getContentSummary(hpath).getLength()
 
 
+def fits(table: DataFrame, path: str, most: int) -> bool:
+    """Whether a written table takes at most ``most`` bytes in memory: what a broadcast is judged by.
+
+    A row costs 48 bytes and 8 a column; texts, binaries and arrays (of longs) come to that by their lengths.
+    """
+    if size_bytes(table.sparkSession, path) > most:
+        return False
+    widths = [F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) for c, kind in table.dtypes if kind in ("string", "binary") or kind.startswith("array")]
+    row = table.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(w), F.lit(0)).alias(f"w{k}") for k, w in enumerate(widths))).first()
+    return row[0] * (48 + 8 * len(table.columns)) + sum(row[1:]) <= most
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder once and read it back: a cut of lineage that survives lost executors."""
     spark = df.sparkSession

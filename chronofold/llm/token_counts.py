@@ -3,9 +3,10 @@
 The state is a folder of committed batches. A batch is a table of signed changes (an insert counts
 +1, a delete -1, a revised count is the delete of the old one and the insert of the new one), summed to
 one row a group before anything is stored. Sums of signed rows add up in any order, so totals are the
-sum over committed batches, and ``compact`` may fold any of them into one. A batch is written beside
-the state and renamed into it under its own id, so it counts once or not at all: a rerun of a batch
-that is there, or of one whose writer died, changes nothing that was counted.
+sum over committed batches, and ``compact`` may fold any of them into one. A batch counts from the moment
+its marker is there: a file named by the batch's id that says which attempt's table holds the sums, complete
+before it gets that name and never put over another one. So a batch counts once or not at all: a rerun of
+one that is there, or of one whose writer died, or two writers of one id at once, change nothing that was counted.
 
 Null source or language is a group of its own. Null text counts as no tokens (its document counts).
 Repeated rows count each time, as each is a change. Empty batches commit and add nothing. Groups whose
@@ -14,6 +15,8 @@ documents and tokens come to zero are left out of the totals. Other columns are
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,70 +67,76 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folder(self, batch_id: str) -> str:
-        if not batch_id.replace("-", "").replace("_", "").isalnum():
-            raise ValueError(f"batch id {batch_id!r} may hold letters, digits, - and _ only")
-        return f"{self.path}/batches/batch={batch_id}"
+    def _marker(self, kind: str, name: str) -> str:
+        if not name.replace("-", "").replace("_", "").isalnum():
+            raise ValueError(f"id {name!r} may hold letters, digits, - and _ only")
+        return f"{self.path}/{kind}/{name}"
 
     def committed(self, batch_id: str) -> bool:
-        return storage.exists(self.spark, self._folder(batch_id))
+        return storage.exists(self.spark, self._marker("batches", batch_id))
+
+    def _publish(self, kind: str, name: str, sums: DataFrame, also: list[str]) -> bool:
+        """Write the sums and name them; False, and nothing left, if the name is taken."""
+        data = f"sums/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{data}")
+        if storage.publish_text(self.spark, self._marker(kind, name), json.dumps({"data": data, "stands_for": also})):
+            return True
+        storage.remove(self.spark, f"{self.path}/{data}")
+        return False
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Count a batch; False if it was counted before."""
-        target = self._folder(batch_id)
         if self.committed(batch_id):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.coalesce(F.sum(F.col("sign") * F.col("n_tokens")), F.lit(0)).cast("long").alias("n_tokens"))
-        staged = storage.new_path(self.spark, "staged-batch")
-        summed.write.parquet(staged)
-        self._make_parent()
-        return storage.rename(self.spark, staged, target)
-
-    def _make_parent(self) -> None:
-        fs, parent = storage._filesystem(self.spark, f"{self.path}/batches")
-        fs.mkdirs(parent)
+        return self._publish("batches", batch_id, summed, [])
 
     def compact(self, into: str, batch_ids: list[str]) -> None:
-        """Fold committed batches into one; their ids stay known and add nothing from then on."""
-        if self.committed(into):
+        """Fold committed batches into one; their ids stay known and add nothing from then on, and their tables go."""
+        batches, folded = self._state()
+        these = {b: batches[b] for b in sorted(set(batch_ids)) if b not in folded}
+        if into in self._markers("folds") or not these:
             return
-        folded = self._read([self._folder(b) for b in batch_ids]).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        # One rename makes the fold visible: its file lists what it stands for.
-        staged = storage.new_path(self.spark, "staged-fold")
-        folded.write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(b,) for b in batch_ids], "batch string").coalesce(1).write.parquet(f"{staged}/stands_for")
-        fs, parent = storage._filesystem(self.spark, f"{self.path}/folds")
-        fs.mkdirs(parent)
-        storage.rename(self.spark, staged, f"{self.path}/folds/{into}")
-
-    def _list(self, name: str) -> list[str]:
-        fs, folder = storage._filesystem(self.spark, f"{self.path}/{name}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-
-    def _read(self, folders: list[str]) -> DataFrame:
-        if not folders:
+        sums = self._read(list(these.values())).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        # One name makes the fold visible: it lists what it stands for.
+        if self._publish("folds", into, sums, list(these)):
+            for data in these.values():
+                storage.remove(self.spark, f"{self.path}/{data}")
+
+    def _markers(self, kind: str) -> dict[str, dict]:
+        return {name: json.loads(text) for name, text in storage.read_texts(self.spark, f"{self.path}/{kind}").items()}
+
+    def _read(self, tables: list[str]) -> DataFrame:
+        if not tables:
             return self.spark.createDataFrame([], _CHANGES)
-        return self.spark.read.schema(_CHANGES).parquet(*folders)
+        return self.spark.read.schema(_CHANGES).parquet(*(f"{self.path}/{t}" for t in tables))
+
+    def _state(self) -> tuple[dict[str, str], set[str]]:
+        """Every batch's table, and the batches that a fold stands for."""
+        folded = {b for fold in self._markers("folds").values() for b in fold["stands_for"]}
+        return {name: m["data"] for name, m in self._markers("batches").items()}, folded
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens over all committed batches."""
-        batches = {b.removeprefix("batch=") for b in self._list("batches")}
-        folds, gone = [], set()
-        for fold in self._list("folds"):
-            stands_for = {r.batch for r in self.spark.read.parquet(f"{self.path}/folds/{fold}/stands_for").collect()}
-            if not stands_for & gone:
-                folds.append(f"{self.path}/folds/{fold}/sums")
-                gone |= stands_for
-        rows = self._read([self._folder(b) for b in sorted(batches - gone)] + folds)
+        batches, folded = self._state()
+        live = [data for name, data in sorted(batches.items()) if name not in folded]
+        rows = self._read(live + [fold["data"] for _, fold in sorted(self._markers("folds").items())])
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: all documents inserted in four batches, one of them sent twice, then the totals."""
+    """op6: totals after all documents went through inserts, deletes and revised counts, in idempotent batches.
+
+    Two quarters are inserted as they are, one of them sent twice. One quarter comes again under another id
+    and is taken back by a batch of deletes. The last is registered before it is counted and then revised.
+    """
     rows, _ = storage.materialise(counted(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-counts")
     rollup = Rollup(spark, storage.new_path(spark, "token-rollup"))
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    for k in (0, 1, 2, 1, 3):
-        rollup.commit(f"load-{k}", inserts(rows.where(batch == k)))
+    quarter = lambda k: rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k)
+    registered = quarter(3).withColumn("n_tokens", F.lit(0).cast("long"))
+    batches = [("load-0", inserts(quarter(0))), ("load-1", inserts(quarter(1))), ("load-0", inserts(quarter(0))), ("load-2", inserts(quarter(2))), ("again-2", inserts(quarter(2))), ("register-3", inserts(registered)), ("undo-2", deletes(quarter(2))), ("count-3", revisions(registered, quarter(3)))]
+    for batch_id, changes in batches:
+        rollup.commit(batch_id, changes)
+    rollup.compact("fold-0", ["load-0", "load-1"])
     return rollup.totals()
