@@ -1,8 +1,8 @@
 """Media columns: WAV payloads, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 A text's UTF-8 bytes, padded with 255 to a positive multiple of ``FRAME``, become the samples of an
-8-bit mono WAV file. Features are computed from what the wave module reads back. Frames of ``FRAME``
-samples every half frame are transformed; the strongest bin of each frequency band is a peak where
+8-bit mono WAV file, stored as a binary column of a Parquet table. Features are computed from the stored
+column, read back by Spark and by the wave module. Frames of ``FRAME`` samples every half frame are transformed; the strongest bin of each frequency band is a peak where
 it stands above the same band's one frame before and after; each peak is paired with the next
 ``FAN_OUT`` peaks. A pair is stored as one number: the first peak's frame in the upper 32 bits, both
 bins and the distance in frames below, so that a document's array is sorted by time.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import tokens
+from chronofold.llm import storage, tokens
 
 FRAME = 576
 RATE = 8000
@@ -95,31 +95,47 @@ def fingerprints(samples: np.ndarray) -> tuple[np.ndarray, int, int]:
     return out, len(bins), len(frame)
 
 
-def media_features(docs: DataFrame, arrays: bool = True) -> DataFrame:
-    """doc_id, sizes and sums of payload and file, ``feature`` and, if asked, the file and the pair codes."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", media binary, fingerprints array<long>" if arrays else ""
-    names = [x.split()[0] for x in schema.split(", ")]
+def media_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text, unpadded) and ``media``: the text as a WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch):
+                texts = [value.as_py() or b"" for value in part.column("text").cast(pa.large_binary())]
+                columns = [part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(pad(t)) for t in texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """Of rows (doc_id, n_bytes, media): sizes and sums of payload and file, ``feature``, and ``fingerprints``, the time-coded pairs."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprints array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.slices(batch, "media"):
                 rows = []
-                for value in part.column("text").cast(pa.large_binary()):
-                    text = value.as_py() or b""
-                    media = to_wav(pad(text))
-                    payload = from_wav(media)
+                for value in part.column("media"):
+                    stored = value.as_py()
+                    payload = from_wav(stored)
                     codes, frames, peaks = fingerprints(np.frombuffer(payload, np.uint8))
                     feature = f"{frames}:{peaks}:{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()[:32]}"
-                    row = [len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature]
-                    rows.append(row + [media, codes] if arrays else row)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64())]
-                columns = zip(*rows, strict=True) if rows else [[]] * (len(names) - 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False))], names)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, codes))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+def stored_features(docs: DataFrame) -> DataFrame:
+    """``media_features`` of the documents' media, which is written as a table first and read back."""
+    media, _ = storage.materialise(media_table(docs), "media")
+    return media_features(media)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: payload, file and fingerprint digests of all documents."""
-    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"), arrays=False)
+    """op2: payload, file and fingerprints of all documents."""
+    return stored_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
