@@ -2,12 +2,12 @@
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Only keys of
 at least ``min_length`` code points can go. Each becomes a 128-bit hash with its document and position;
-the rows are range-partitioned by (hash, document, position) and sorted so within each partition, so
-that one frequent line spreads over as many partitions as its rows need. Each partition is streamed:
+the rows are range-partitioned by (hash, document, text hash, position) and sorted so within each partition,
+so that one frequent line spreads over as many partitions as its rows need, null doc_ids included. Each partition is streamed:
 a run of one hash that lies wholly inside is settled on the spot, from the first occurrence in each
 document; runs at a partition's two ends (two hashes a partition, whatever the data) are carried on
-as rows and settled by a join with their totals. What goes is gathered by document as a zlib-packed
-bitmap of the lines that stay.
+as rows and settled by a join with their totals. Each document's answer is a zlib-packed bitmap of the
+lines that stay (bit k: line k); lines beyond its bits stay, and so does every line of a document without one.
 
 A row is known by its doc_id and a hash of its text, so repeated rows share one bitmap, and rows with
 one doc_id but different texts don't mix. Null and empty texts are one empty line. A null doc_id is
@@ -32,11 +32,11 @@ from chronofold.llm import storage, tokens
 
 MIN_LENGTH = 40
 MIN_DOCS = 5
-#: Bitmaps up to this size are sent to every executor; beyond, documents meet them by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bitmaps up to this size in memory are sent to every executor; beyond, documents meet them by a shuffle.
+BROADCAST_BYTES = 64 << 20
 PARTITION_ROWS = 250_000
 #: A column that no table is likely to have.
-GONE = "_line_dedup_gone"
+KEEP = "_line_dedup_keep"
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ROWS = "hi long, lo long, doc_id long, th long, pos int"
@@ -84,8 +84,15 @@ def _settle(part: pd.DataFrame, min_docs: int) -> pd.DataFrame:
     return part[is_open | goes].assign(open=is_open[is_open | goes])
 
 
+def keep_bits(gone: np.ndarray) -> bytes:
+    """The bitmap of what stays, packed, when the lines at these positions go."""
+    stays = np.ones((int(max(gone)) // 8 + 1) * 8, bool)
+    stays[gone] = False
+    return zlib.compress(np.packbits(stays, bitorder="little").tobytes())
+
+
 def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, partition_rows: int = PARTITION_ROWS) -> tuple[DataFrame, str]:
-    """doc_id, th (hash of the text), n_dropped and ``keep``: a zlib-packed bitmap with a bit for each line.
+    """doc_id, th (hash of the text), n_dropped and ``keep``: a zlib-packed bitmap whose set bits are the lines that stay.
 
     Only documents that lose lines have a row. Returned with the path of the table that holds it.
     """
@@ -101,48 +108,48 @@ def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
 
     # A null doc_id becomes the smallest long, which sorts first as null would.
     filled = lines.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    keys = ["hi", "lo", "doc_id", "pos"]
+    keys = ["hi", "lo", "doc_id", "th", "pos"]
     ordered = filled.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     settled, settled_path = storage.materialise(ordered.mapInArrow(run, f"{_ROWS}, open boolean"), "line-runs")
     pending = settled.where("open")
     totals = pending.groupBy("hi", "lo", "doc_id").agg(F.count(F.lit(1))).groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("largest"))
     # At most two hashes a partition are open, so this side has at most 2 * parts rows of 32 bytes.
     totals = totals.where(F.col("n") >= min_docs)
-    totals = F.broadcast(totals) if parts <= 1 << 19 else totals
+    totals = F.broadcast(totals) if parts <= 1 << 18 else totals
     late = pending.join(totals, ["hi", "lo"]).where("doc_id <> largest")
     gone = settled.where("not open").select("doc_id", "th", "pos").unionByName(late.select("doc_id", "th", "pos"))
 
     @F.pandas_udf("binary")
     def pack(column: pd.Series) -> pd.Series:
-        return column.map(lambda p: zlib.compress(np.packbits(np.bincount(p, minlength=1).astype(bool), bitorder="little").tobytes()))
+        return column.map(keep_bits)
 
     grouped = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("p"))
-    bitmaps = grouped.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "th", F.size("p").cast("long").alias("n_dropped"), pack("p").alias("gone"))
+    bitmaps = grouped.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "th", F.size("p").cast("long").alias("n_dropped"), pack("p").alias("keep"))
     out, path = storage.materialise(bitmaps, "line-bitmaps", codec="none")
     storage.remove(docs.sparkSession, lines_path)
     storage.remove(docs.sparkSession, settled_path)
     return out, path
 
 
-def kept_lines(text: bytes, gone: bytes | None) -> tuple[bytes, int, int]:
-    """The text without the lines whose bit is set; lines before, lines gone."""
-    if gone is None:
+def kept_lines(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
+    """The text's lines whose bit is set or that have none; lines before, lines gone."""
+    if keep is None:
         return text, text.count(b"\n") + 1, 0
     lines = text.split(b"\n")
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(gone), np.uint8), bitorder="little")
-    stay = [line for k, line in enumerate(lines) if k >= len(bits) or not bits[k]]
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little")
+    stay = [line for k, line in enumerate(lines) if k >= len(bits) or bits[k]]
     return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
 
 def with_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` (text: null as empty) and GONE, null where every line stays."""
+    """All columns of ``docs`` (text: null as empty) and KEEP, null where every line stays."""
     bitmaps, path = keep_bitmaps(docs, min_length, min_docs)
-    small = storage.size_bytes(docs.sparkSession, path) <= BROADCAST_BYTES
-    right = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"), F.col("gone").alias("b_gone"))
+    small = storage.fits(bitmaps, path, BROADCAST_BYTES)
+    right = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"), F.col("keep").alias("b_keep"))
     left = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     condition = left["doc_id"].cast("long").eqNullSafe(right["b_doc"]) & (F.xxhash64(left["text"]) == right["b_th"])
     joined = left.join(F.broadcast(right) if small else right, condition, "left")
-    return joined.select(*(left[c] for c in left.columns), right["b_gone"].alias(GONE))
+    return joined.select(*(left[c] for c in left.columns), right["b_keep"].alias(KEEP))
 
 
 def deduplicated(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -152,13 +159,13 @@ def deduplicated(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
     """
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([kept_lines(t.encode(), g)[0].decode() for t, g in zip(text, gone, strict=True)])
+    def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
+        return pd.Series([kept_lines(t.encode(), k)[0].decode() for t, k in zip(text, keep, strict=True)])
 
     marked = with_bitmaps(docs, min_length, min_docs)
-    whole = marked.where(F.col(GONE).isNull())
-    changed = marked.where(F.col(GONE).isNotNull()).withColumn("text", kept("text", GONE))
-    out = whole.unionByName(changed).drop(GONE)
+    whole = marked.where(F.col(KEEP).isNull())
+    changed = marked.where(F.col(KEEP).isNotNull()).withColumn("text", kept("text", KEEP))
+    out = whole.unionByName(changed).drop(KEEP)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -171,14 +178,14 @@ def digests(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_D
         for batch in batches:
             for part in tokens.slices(batch):
                 rows = []
-                for text, gone in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column(GONE).to_pylist(), strict=True):
-                    kept, lines, dropped = kept_lines(text, gone)
+                for text, keep in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column(KEEP).to_pylist(), strict=True):
+                    kept, lines, dropped = kept_lines(text, keep)
                     rows.append((lines, dropped, hashlib.sha256(kept).hexdigest()))
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_bitmaps(narrow, min_length, min_docs).select("doc_id", "text", GONE).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(narrow, min_length, min_docs).select("doc_id", "text", KEEP).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
