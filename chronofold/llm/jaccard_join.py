@@ -6,15 +6,16 @@
    ``n - ceil(t n) + 1`` of both, so only those go to the index. Frequencies are counted over all sets;
    frequent shingles (passages that many texts share) come last, the more frequent the later, so they are
    hardly ever indexed.
-3. Lists with one entry are left. In the others, an entry at a position is skipped against another when
-   the sizes, or what is left behind both positions, can't give the overlap needed.
+3. Lists with one entry are left. A list's entries form blocks of one size and position, and whole blocks
+   are skipped against each other where sizes, or what is left behind both positions, can't give the
+   overlap needed. Long lists lie in cells of about ``CELL`` entries, so that none is one task's work.
 4. Answers follow from set relations. Each list's pivot (the set in most lists) is compared with the
-   list's other sets; those that link share the pivot's answer, so no pair inside one component is
-   compared again, and lists inside one component are dropped. After ``PIVOTS`` such rounds, with pivots
-   removed (they have met their whole list), the few remaining lists yield the pairs between
-   different components. Before that, each part of a list with one size and position (then: one size)
-   has a pivot of its own, so that a list over several groups has each of them joined by then. No link between components can be lost, as each pair of a list either met
-   through a pivot, or is in one component, or is compared at the end.
+   list's other sets; those that link share the pivot's answer (its component, however it came to be),
+   so no pair inside one component is compared again, and lists inside one component are dropped. First
+   each block has a pivot of its own, then all blocks of a size, then the list as a whole ``PIVOTS``
+   times, with pivots removed (they have met their whole list). The few remaining lists yield the pairs
+   of blocks between different components. No link between components can be lost, as each pair of a
+   list either met through a pivot, or is in one component, or is compared at the end.
 5. Every comparison is exact, on whole sets.
 
 Rows are told apart by a number of their own, given in the first written table; a row's text is found again
@@ -50,8 +51,10 @@ MOST_FREQUENT = 2_000_000
 PIVOTS = 3
 #: Parts of a list that have pivots of their own, in turn, before the list as a whole has some.
 PARTS = (("s", "n", "pos"), ("s", "n"))
-#: Tables up to this size on disk are broadcast (in memory they take up to a dozen times that).
-BROADCAST_BYTES = 16 << 20
+#: Entries of a list that lie in one cell, and partners of one set that are compared in one.
+CELL, PARTNERS = 512, 256
+#: Tables up to this size in memory are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: A set's row: its number, its doc_id and text hash, and whether that doc_id is null or has several rows.
 KEY = ["rid", "k_doc", "k_h", "many"]
 _LOW_LIMIT = np.uint64(int(LOW * 2**64))
@@ -156,7 +159,7 @@ class Texts:
 
 def _small(df: DataFrame, path: str) -> DataFrame:
     """The written table, marked for broadcast if it is small."""
-    return F.broadcast(df) if storage.size_bytes(df.sparkSession, path) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if storage.fits(df, path, BROADCAST_BYTES) else df
 
 
 def _frequent(lists: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +257,18 @@ def _verified(texts: Texts, keys: DataFrame, pairs: DataFrame, percent: int) ->
     pairs, pairs_path = storage.materialise(pairs, "set-pairs")
     ids, ids_path = storage.materialise(keys.join(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "rid"), "pair-ids")
     sets, sets_path = storage.materialise(texts.whole_sets(_small(ids, ids_path)), "pair-sets")
-    left, right = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+    # A pivot may have any number of partners; they meet copies of its set, one for each PARTNERS of them.
+    copies = F.ceil(F.col("count") / PARTNERS).cast("int").alias("copies")
+    hot, hot_path = storage.materialise(pairs.groupBy("b").count().where(F.col("count") > PARTNERS).select("b", copies), "hot-sets")
+    hot = _small(hot, hot_path)
+    dealt = _small(pairs, pairs_path).join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left")
+    right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    joined = left.join(_small(pairs, pairs_path), "a").join(right, "b")
+    joined = left.join(dealt, "a").join(right, ["b", "copy"])
     found, _ = storage.materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "set-links")
-    for path in (pairs_path, ids_path, sets_path):
+    for path in (pairs_path, ids_path, sets_path, hot_path):
         storage.remove(texts.docs.sparkSession, path)
     return found
 
@@ -268,8 +278,10 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
     spark = texts.docs.sparkSession
     indexed, indexed_path = storage.materialise(_index(texts, unique, percent), "index")
     entries = indexed.select("rid", "n", F.posexplode("prefix").alias("pos", "s"))
-    lists, lists_path = storage.materialise(entries.groupBy("s").count().where("count > 1").select("s"), "index-lists")
-    active, active_path = storage.materialise(entries.join(_small(lists, lists_path), "s"), "index-entries")
+    cells = F.ceil(F.col("count") / CELL).cast("int").alias("cells")
+    lists, lists_path = storage.materialise(entries.groupBy("s").count().where("count > 1").select("s", cells), "index-lists")
+    celled = entries.join(_small(lists, lists_path), "s").withColumn("cell", F.pmod(F.xxhash64("rid"), F.col("cells")).cast("int")).drop("cells")
+    active, active_path = storage.materialise(celled, "index-entries")
     for path in (indexed_path, lists_path):
         storage.remove(spark, path)
     ids, _ = storage.materialise(unique.select(*KEY).join(active.select("rid").distinct(), "rid"), "index-ids")
@@ -288,18 +300,20 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
 
     def meetings(parts: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         """Entries beside the pivot of their part of a list, and the pairs of them that can link."""
-        # The set in most lists is nearest to the middle of its group.
-        best = F.max(F.struct("lists", (-F.col("rid")).alias("order"), "rid", "n", "pos")).alias("p")
-        pivots = active.groupBy(*parts).agg(best).select(*(F.col(k).alias(f"p_{k}") for k in parts), F.col("p.rid").alias("b"), F.col("p.n").alias("bn"), F.col("p.pos").alias("bpos"))
-        same = [F.col(k) == F.col(f"p_{k}") for k in parts]
+        # The set in most lists is nearest to the middle of its group. A cell's best comes first, so that no list is one group.
+        in_cells = active.groupBy(*parts, "cell").agg(F.max(F.struct("lists", (-F.col("rid")).alias("order"), "rid", "n", "pos")).alias("p"))
+        best = in_cells.groupBy(*parts).agg(F.max("p").alias("p"))
+        pivots = in_cells.select(*parts, "cell").join(best, list(parts)).select(*(F.col(k).alias(f"p_{k}") for k in (*parts, "cell")), F.col("p.rid").alias("b"), F.col("p.n").alias("bn"), F.col("p.pos").alias("bpos"))
+        same = [F.col(k) == F.col(f"p_{k}") for k in (*parts, "cell")]
         met = active.join(pivots, same).where("rid <> b")
         return met, met.where(_possible("n", "pos", "bn", "bpos", percent)).select(F.col("rid").alias("a"), "b").distinct()
 
     def unsettled(entries: DataFrame) -> tuple[DataFrame, str]:
         """The entries of lists that still reach over several components."""
-        rest = entries.select("s", "rid", "n", "pos", "lists").join(component, "rid")
-        split = rest.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s")
-        out = storage.materialise(rest.join(split, "s").drop("component"), "index-entries")
+        rest = entries.select("s", "cell", "rid", "n", "pos", "lists").join(component, "rid")
+        in_cells = rest.groupBy("s", "cell").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+        split = in_cells.groupBy("s").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 <> c2").select("s")
+        out = storage.materialise(rest.join(in_cells.select("s", "cell").join(split, "s"), ["s", "cell"]).drop("component"), "index-entries")
         storage.remove(spark, active_path)
         return out
 
@@ -313,11 +327,23 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
         met, pairs = meetings(("s",))
         component = merge(_verified(texts, ids, pairs, percent), component)
         active, active_path = unsettled(met)
-    placed = active.join(component, "rid")
-    other = placed.select("s", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("component").alias("bc"))
-    between = placed.join(other, "s").where((F.col("component") < F.col("bc")) & _possible("n", "pos", "bn", "bpos", percent))
-    pairs = between.select(F.col("rid").alias("a"), "b").distinct()
-    return merge(_verified(texts, ids, pairs, percent), component)
+    return merge(_verified(texts, ids, block_pairs(active.join(component, "rid"), percent), percent), component)
+
+
+def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of entries (s, cell, n, pos, rid, component) of one list and different components that can link.
+
+    Blocks of one size and position meet first, and whole pairs of blocks are skipped.
+    """
+    block = ["s", "n", "pos", "cell"]
+    entries, _ = storage.materialise(entries.select(*block, "rid", "component"), "block-entries")
+    blocks, _ = storage.materialise(entries.groupBy(*block).agg(F.min("component").alias("c1"), F.max("component").alias("c2")), "blocks")
+    # The other side of a block comes to each cell of the list.
+    other = blocks.select("s", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("cell").alias("cell2"), F.col("c2").alias("d2")).join(blocks.select("s", "cell").distinct(), "s")
+    meeting = blocks.join(other, ["s", "cell"]).where((F.col("c1") < F.col("d2")) & _possible("n", "pos", "n2", "pos2", percent)).select(*block, "n2", "pos2", "cell2")
+    partners = entries.select("s", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("cell").alias("cell2"), F.col("rid").alias("b"), F.col("component").alias("bc"))
+    pairs = entries.join(meeting, block).join(partners, ["s", "n2", "pos2", "cell2"]).where(F.col("component") < F.col("bc"))
+    return pairs.select(F.col("rid").alias("a"), "b").distinct()
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, documents: bool) -> tuple[DataFrame, DataFrame]:
