@@ -4,7 +4,7 @@ Every record hashes to one of ``VIRTUAL_SLOTS`` slots for good. Bytes and rows a
 versioned map says which shard holds a slot. Version 0 deals the slots out in turn. ``rebalance``
 edits a map: shards above the mean give slots up, the lightest take them, then single moves and swaps
 between the heaviest and the lightest narrow the gap. Only slots are moved, never single records, and
-the map (4,096 rows, whatever the data) is all that the driver ever holds or that is broadcast.
+the map (4,096 slots of 16 cells, whatever the data) is all that the driver ever holds or that is broadcast.
 
 The law of ``query`` is ``bytes``: shards' sizes are near equal. A record's hash takes its doc_id and
 its text's checksum, so that one doc_id with many texts spreads as well. Null text has 0 bytes and
@@ -24,6 +24,8 @@ from chronofold.llm import storage
 
 SHARDS = 24
 VIRTUAL_SLOTS = 4096
+#: Cells that a slot's records lie in, by their number in the written table, so that copies of one record spread too.
+CELLS = 16
 _MAP = "version int, virtual_slot int, shard int"
 
 
@@ -59,13 +61,19 @@ def rebalance(current: Sequence[int], weight: Sequence[int], shards: int, rounds
         held[k].append(slot)
         load[k] = w + weight[slot]
         heapq.heappush(queue, (load[k], k))
+    stuck: set[int] = set()
     for _ in range(rounds):
-        high, low = max(range(shards), key=lambda k: load[k]), min(range(shards), key=lambda k: load[k])
+        # A shard whose one slot is heavier than the mean can't be helped; the others still can.
+        able = [k for k in range(shards) if k not in stuck]
+        if len(able) < 2:
+            break
+        high, low = max(able, key=lambda k: load[k]), min(able, key=lambda k: load[k])
         gap = load[high] - load[low]
         # What moves from the heaviest should come to half the gap: one slot, or one against another.
         best = min(((abs(gap - 2 * (weight[a] - (weight[b] if b is not None else 0))), a, b) for a in held[high] for b in [None, *held[low]]), key=lambda x: x[0], default=(gap, None, None))
         if best[0] >= gap:
-            break
+            stuck.add(high)
+            continue
         _, a, b = best
         held[high].remove(a)
         held[low].append(a)
@@ -105,20 +113,21 @@ def shard(docs: DataFrame, map_path: str, shards: int = SHARDS, virtual_slots: i
     ``by`` is what shards get near equal amounts of: ``bytes`` or ``rows``.
     """
     spark = docs.sparkSession
-    rows, _ = storage.materialise(records(docs, virtual_slots), "shard-records")
-    slots = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    slots, _ = storage.materialise(slots, "slot-sums")
+    rows, _ = storage.materialise(records(docs, virtual_slots).withColumn("row", F.monotonically_increasing_id()), "shard-records")
+    rows = rows.withColumn("cell", F.pmod("row", F.lit(CELLS)).cast("int"))
+    cells, _ = storage.materialise(rows.groupBy("virtual_slot", "cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "slot-sums")
+    slots = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
     weight = [0] * virtual_slots
     for r in slots.select("virtual_slot", by).collect():  # at most ``virtual_slots`` rows
         weight[r[0]] = r[1]
     first = [k % shards for k in range(virtual_slots)]
     write_map(spark, map_path, 0, first)
     write_map(spark, map_path, 1, rebalance(first, weight, shards))
-    # Where a slot's records begin in its shard: a window over the map, not over the records.
-    order = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = read_map(spark, map_path, 1).join(slots, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("ahead"))
-    in_slot = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
-    return rows.join(F.broadcast(placed), "virtual_slot").withColumn("slot", F.col("ahead") + F.row_number().over(in_slot) - 1).drop("ahead")
+    # Where a cell's records begin in their shard: a window over the map (CELLS rows a slot), not over the records.
+    order = Window.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = read_map(spark, map_path, 1).join(cells, "virtual_slot").select("virtual_slot", "cell", "shard", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("ahead"))
+    in_cell = Window.partitionBy("virtual_slot", "cell").orderBy("row")
+    return rows.join(F.broadcast(placed), ["virtual_slot", "cell"]).withColumn("slot", F.col("ahead") + F.row_number().over(in_cell) - 1).drop("ahead", "cell", "row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
