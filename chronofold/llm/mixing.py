@@ -27,6 +27,10 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Bounds of the rows that a range of a source is meant to hold; between them, a quarter of a task's share.
 RANGE_ROWS = (1_000, 50_000)
+#: Tables up to this size in memory are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Copies of one row that are made at once.
+COPIES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,12 +78,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MO
     copies = rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = targets(sums, weights, most_epochs)
-    # A row a source, with at most 2**20 of them sent around; more sources meet the rows by a shuffle.
-    plan, _ = storage.materialise(plan, "mix-targets")
-    held = plan.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
-    small = held.sources <= 1 << 20
+    # A row a source; more than fit in BROADCAST_BYTES meet the rows by a shuffle.
+    plan, plan_path = storage.materialise(plan, "mix-targets")
+    small = storage.fits(plan, plan_path, BROADCAST_BYTES)
     if range_rows is None:
-        share = held.rows // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        share = plan.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0] // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         range_rows = max(RANGE_ROWS[0], min(RANGE_ROWS[1], share))
     plan = plan.select(F.col("source").alias("p_source"), "source_size", "n_rows", "target")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -94,7 +97,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MO
     local = ranged.withColumn("before", F.coalesce(F.sum(whole).over(in_range), F.lit(0)))
     placed = local.join(heads, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("range") == F.col("h_range"))).drop("h_source", "h_range")
     budget = F.floor("target")
-    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    # In two steps, so that no array is as long as a row has copies.
+    chunks = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    each = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * COPIES, F.least((F.col("chunk") + 1) * COPIES, F.col("copies")) - 1))).drop("chunk")
     place = F.col("ahead") + F.col("before") + F.col("copy") * F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     return (
@@ -104,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MO
     )
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """The rows of the mix with all their columns, whole documents, each as often as the mix passes over it.
 
     A document that the cut falls into is in if half of its words or more are. Rows with one doc_id
@@ -114,7 +119,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int =
     times = F.col("epochs") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)
     chosen = taken.withColumn("times", times.cast("int")).groupBy(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source")).agg(F.max("times").alias("m_times")).where("m_times > 0")
     chosen, path = storage.materialise(chosen, "mix-choice")
-    small = storage.size_bytes(docs.sparkSession, path) <= broadcast_bytes
+    small = storage.fits(chosen, path, BROADCAST_BYTES)
     condition = docs["doc_id"].cast("long").eqNullSafe(chosen["m_doc"]) & docs["source"].cast("string").eqNullSafe(chosen["m_source"])
     joined = docs.join(F.broadcast(chosen) if small else chosen, condition)
     repeated = joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), chosen["m_times"])).alias("_mix_copy"))
