@@ -45,7 +45,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def frequencies(coded: DataFrame, size: int, fan_in: int = 32) -> np.ndarray:
-    """How often each id occurs: a histogram a task, summed in ``fan_in`` tasks, then on the driver."""
+    """How often each id occurs: a histogram a task, summed ``fan_in`` at a time until the driver adds the last ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -61,7 +61,11 @@ def frequencies(coded: DataFrame, size: int, fan_in: int = 32) -> np.ndarray:
                 total += np.frombuffer(value.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["ids"])
 
-    rows = coded.select("ids").mapInArrow(count, "ids binary").repartition(fan_in).mapInArrow(add, "ids binary").collect()
+    sums, n = coded.select("ids").mapInArrow(count, "ids binary"), coded.rdd.getNumPartitions()
+    while n > fan_in:
+        n = -(-n // fan_in)
+        sums = sums.repartition(n).mapInArrow(add, "ids binary")
+    rows = sums.collect()
     return sum((np.frombuffer(r.ids, np.int64) for r in rows), np.zeros(size, np.int64))
 
 
@@ -97,7 +101,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_token
             yield flush()
 
     parts = max(1, -(-int(counts.sum()) // part_tokens))
-    ordered = coded.repartitionByRange(parts, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    # Texts of one doc_id and length are dealt on by how they begin, and copies of a row by their number in the written table.
+    begins = F.substring("ids", 1, 16)
+    ordered = coded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "n_tokens", begins, "row").sortWithinPartitions("doc_id", "n_tokens", "ids")
     ordered.select("doc_id", "ids").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     storage.remove(spark, coded_path)
 
