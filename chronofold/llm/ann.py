@@ -50,6 +50,8 @@ LEAST_SEEN = 2048
 RERANK = 200
 BLOCK = 20_000
 QUERY_BLOCK = 256
+#: Queries of a list that are searched in one group.
+QUERY_PART = 20_000
 #: Share of a sample vector's true neighbours that the codes' shortlist is to hold.
 SHORTLIST_RECALL = 0.99
 K = 10
@@ -198,23 +200,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     searched = asked_rows.groupBy("v").agg(F.min("query_id").alias("qid"))
     searched, _ = storage.materialise(searched, "distinct-queries")
 
+    def lists_of(x: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Row and lists to probe, for every row of x."""
+        for at in range(0, len(x), 1024):
+            order = squared(x[at : at + 1024], shared.value.centres).argsort(1, kind="stable")
+            seen = np.cumsum(size[order], axis=1)
+            for row, (lists, sums) in enumerate(zip(order, seen, strict=True)):
+                n = max(min(probes, len(lists)), 1 + int(np.searchsorted(sums, min(LEAST_SEEN, total))))
+                yield at + row, [c for c in lists[:n].tolist() if size[c]]
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(size), np.int64)
+        for batch in batches:
+            for _, lists in lists_of(_matrix(batch.column("v"))):
+                n[lists] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["list", "n"])
+
+    # At most MOST_LISTS rows.
+    asked_of = {r.list: r.n for r in searched.select("v").mapInArrow(asking, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}
+    parts = np.array([max(1, -(-asked_of.get(i, 0) // QUERY_PART)) for i in range(len(size))])
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            out: list[tuple[int, int, int]] = []
-            for at in range(0, len(x), 1024):
-                order = squared(x[at : at + 1024], shared.value.centres).argsort(1, kind="stable")
-                seen = np.cumsum(size[order], axis=1)
-                for row, (lists, sums) in enumerate(zip(order, seen, strict=True)):
-                    n = max(min(probes, len(lists)), 1 + int(np.searchsorted(sums, min(LEAST_SEEN, total))))
-                    out += [(at + row, c, b) for c in lists[:n].tolist() if size[c] for b in range(blocks[c])]
+            out = [(row, c, b) for row, lists in lists_of(_matrix(batch.column("v"))) for c in lists for b in range(blocks[c])]
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("qid").take(at), batch.column("v").take(at), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["qid", "v", "list", "block"])
 
-    probed = searched.mapInArrow(probe, "qid long, v array<double>, list int, block int")
-    per_list = F.create_map(*[F.lit(int(x)) for i in np.flatnonzero(blocks > 1) for x in (i, blocks[i])]) if (blocks > 1).any() else None
-    split = F.coalesce(per_list[F.col("list")], F.lit(1)) if per_list is not None else F.lit(1)
-    dealt = coded.withColumn("block", F.pmod(F.xxhash64("uid"), split).cast("int"))
+    def of_list(numbers: np.ndarray) -> F.Column:
+        """A list's number, where most lists have 1."""
+        many = F.create_map(*[F.lit(int(x)) for i in np.flatnonzero(numbers > 1) for x in (i, numbers[i])]) if (numbers > 1).any() else None
+        return F.coalesce(many[F.col("list")], F.lit(1)) if many is not None else F.lit(1)
+
+    # A list's vectors lie in blocks and its queries in parts, so that neither a much asked nor a long list is one group.
+    probed = searched.mapInArrow(probe, "qid long, v array<double>, list int, block int").withColumn("part", F.pmod(F.xxhash64("qid"), of_list(parts)).cast("int"))
+    dealt = coded.withColumn("block", F.pmod(F.xxhash64("uid"), of_list(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), of_list(parts) - 1)))
 
     def scan(queries_in: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -236,7 +255,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
         return pd.DataFrame({"qid": rows["qid"].iloc[0], "uid": ids[np.lexsort((ids, d))[:rerank]]})
 
     # A list's best for a query are one packed row, and a query has one such row a block that it probes.
-    near = probed.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInPandas(scan, "qid long, uids binary, ds binary")
+    near = probed.groupBy("list", "block", "part").cogroup(dealt.groupBy("list", "block", "part")).applyInPandas(scan, "qid long, uids binary, ds binary")
     candidates = near.groupBy("qid").applyInPandas(best_of_lists, "qid long, uid long")
     exact = candidates.join(distinct.select("uid", "ids", F.col("v").alias("c")), "uid").join(searched.select("qid", "v"), "qid")
     score = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
