@@ -39,6 +39,8 @@ MOST_TERMS = 512
 STEMS = (4, 5, 6, 7, 8)
 FUZZY_FROM = 5
 WINDOW = 4
+#: Words after a hit among which an open quotation must end to count as one, so that a stray mark quotes nothing.
+CLOSING = 40
 RIDGE = 1.0
 #: The least log odds of a term, so that a shared stem of clean and toxic words doesn't count.
 LEAST_ODDS = 2.5
@@ -154,7 +156,7 @@ def _context(words: list[str], at: int, quotes_before: int) -> tuple[bool, bool]
     chunk = words[at]
     near = words[max(0, at - WINDOW) : at] + words[at + 1 : at + 1 + WINDOW]
     plain = {w.strip(_EDGE) for w in near}
-    marked = (chunk[:1] in _QUOTES and chunk.rstrip(".,;:!?")[-1:] in _QUOTES) or (quotes_before % 2 == 1 and any(q in w for w in words[at : at + 40] for q in _QUOTES))
+    marked = (chunk[:1] in _QUOTES and chunk.rstrip(".,;:!?")[-1:] in _QUOTES) or (quotes_before % 2 == 1 and any(q in w for w in words[at : at + CLOSING] for q in _QUOTES))
     return marked or bool(plain & REPORTING), bool(plain & ADDRESS)
 
 
@@ -180,14 +182,16 @@ def features(texts: pa.Array, lexicon: Lexicon, memo: dict[str, tuple[int, int]]
             found[chunk] = m
     places = np.flatnonzero(hit[coded.indices.to_numpy(zero_copy_only=False)])
     docs = np.searchsorted(bounds, places, side="right") - 1
-    for doc in np.unique(docs).tolist():
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)])) if len(docs) else np.zeros(1, np.int64)
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        doc = int(docs[first])
         words = lists[doc].as_py()
         quotes, count = [], 0
         for w in words:
             quotes.append(count)
             count += sum(w.count(q) for q in _QUOTES) if not w.isalnum() else 0
         row = out[doc]
-        for at in (places[docs == doc] - bounds[doc]).tolist():
+        for at in (places[first:end] - bounds[doc]).tolist():
             term, edits = found[words[at]]
             quoted, addressed = _context(words, at, quotes[at])
             factor = QUOTED if quoted else ADDRESSED if addressed else 1.0
@@ -327,9 +331,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
             for batch in batches:
-                groups = [group.get(r, -1) for r in batch.column("row").to_pylist()]
-                for g in set(groups):
-                    some = batch.column("text").filter(pa.array([x == g for x in groups]))
+                members: dict[int, list[int]] = {}
+                for k, r in enumerate(batch.column("row").to_pylist()):
+                    members.setdefault(group.get(r, -1), []).append(k)
+                for g, at in members.items():
+                    some = batch.column("text").take(pa.array(at))
                     total.update({(*k, g): n for k, n in term_counts(some, among).items()})
             keys = list(total)
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())]
