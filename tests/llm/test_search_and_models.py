@@ -70,6 +70,19 @@ def test_ann_shortlist_grows_with_the_table():
     assert short > 120 and held(short) >= 0.97, (short, held(short), held(120))
 
 
+def test_ann_splits_lists_and_their_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_PART", 2)
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    vectors = {k * 20: rng.normal(size=4).astype(np.float32).tolist() for k in range(300)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.search(table, table.where("vec_id % 100 = 0"), probes=1000, rerank=1000).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    want = {q: [v for _, v in d] for q, d in nearest(vectors).items()}
+    assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == want
+
+
 def test_ann_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(table, table).count() == 0
@@ -123,6 +136,9 @@ def test_ngram_jaccard(monkeypatch, make_docs, words, percent, frequent):
 
 def test_ngram_jaccard_last_pairs(monkeypatch, make_docs):
     monkeypatch.setattr(jaccard_join, "PIVOTS", 0)
+    monkeypatch.setattr(jaccard_join, "PARTS", ())
+    monkeypatch.setattr(jaccard_join, "CELL", 3)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 2)
     rows = near_rows(150, seed=9)
     assert {tuple(r) for r in jaccard_join.join(make_docs(rows)).collect()} == brute_components(rows, 4, 85)
 

@@ -48,8 +48,29 @@ def test_slices_cover_a_batch_and_begin_at_their_start():
     assert list(tokens.slices(batch.slice(0, 0))) == [] or sum(p.num_rows for p in tokens.slices(batch.slice(0, 0))) == 0
 
 
+def plain_feature(payload):
+    """Frames, peaks, pairs and the digest of the pair codes, worked out one frame and band at a time."""
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * k / 575) for k in range(576)]
+    starts = range(0, len(payload) - 575, 288)
+    table = []
+    for s in starts:
+        spectrum = np.fft.rfft(np.array([(payload[s + k] - 128) * window[k] for k in range(576)]))
+        table.append([max(range(low, high), key=lambda k: abs(spectrum[k])) for low, high in ((2, 24), (24, 72), (72, 144), (144, 288))])
+        table[-1] = [(k, abs(spectrum[k]) ** 2) for k in table[-1]]
+    peaks = []
+    for f, row in enumerate(table):
+        for band, (k, power) in enumerate(row):
+            before = table[f - 1][band][1] if f else -1
+            after = table[f + 1][band][1] if f + 1 < len(table) else -1
+            if power > 16 and power >= before and power > after:
+                peaks.append((f, k))
+    codes = sorted((f << 32) | (k << 16) | (k2 << 6) | (f2 - f) for i, (f, k) in enumerate(peaks) for f2, k2 in peaks[i + 1 : i + 5] if f2 - f <= 63)
+    return len(table), len(peaks), codes
+
+
 def test_media_round_trip(make_docs, odd_rows):
-    got = media.media_features(make_docs(odd_rows)).collect()
+    stored = {(r.doc_id, bytes(r.media)) for r in media.media_table(make_docs(odd_rows)).collect()}
+    got = media.stored_features(make_docs(odd_rows)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in odd_rows)
     texts = defaultdict(list)
     for doc_id, text in odd_rows:
@@ -57,18 +78,26 @@ def test_media_round_trip(make_docs, odd_rows):
     for r in got:
         text = texts[r.doc_id][0]
         payload = text + b"\xff" * (-len(text) % 576 if text else 576)
-        with wave.open(io.BytesIO(bytes(r.media))) as f:
+        file = next(m for d, m in stored if d == r.doc_id)
+        with wave.open(io.BytesIO(file)) as f:
             assert f.readframes(f.getnframes()) == payload
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(text), len(payload), zlib.crc32(payload[-32:]))
-        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
-        frames = [c >> 32 for c in r.fingerprints]
-        assert frames == sorted(frames)
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(file).hexdigest() and r.media_bytes == len(file)
+        assert r.feature == f"{r.feature.split(':')[0]}:{r.feature.split(':')[1]}:{len(r.fingerprints)}:{hashlib.sha256(np.array(r.fingerprints, '<i8').tobytes()).hexdigest()[:32]}"
     by_text = defaultdict(set)
     for r in got:
         by_text[r.payload_sha256].add(r.feature)
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_media_features_against_plain_python(make_docs):
+    random.seed(6)
+    rows = [(k, "".join(chr(random.randint(32, 126)) for _ in range(n))) for k, n in enumerate((0, 10, 576, 3000, 9000))]
+    for r in media.stored_features(make_docs(rows)).collect():
+        frames, peaks, codes = plain_feature(media.pad(rows[r.doc_id][1].encode()))
+        assert r.fingerprints == codes and r.feature.startswith(f"{frames}:{peaks}:{len(codes)}:")
+
+
 def test_media_peaks_find_a_tone():
     t = np.arange(576 * 6)
     tone = (127 + 100 * np.sin(2 * np.pi * 30 * t / 576)).astype(np.uint8)
@@ -77,7 +106,7 @@ def test_media_peaks_find_a_tone():
 
 
 def test_media_empty_table(make_docs):
-    assert media.media_features(make_docs([])).count() == 0
+    assert media.stored_features(make_docs([])).count() == 0
 
 
 def check_packing(rows, want):
@@ -219,6 +248,17 @@ def test_line_dedup_texts(make_docs):
     assert all(r.n_chars == len(r.text) for r in out.collect())
 
 
+def test_line_dedup_bitmaps_tell_what_stays(make_docs):
+    rows = line_rows()
+    gone = {(d, len(t or "")): n for (d, t), (_, _, n, _) in zip(rows, brute_lines(rows), strict=True)}
+    texts = {d: t or "" for d, t in rows}
+    bitmaps, _ = line_dedup.keep_bitmaps(make_docs(rows))
+    for r in bitmaps.collect():
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(r.keep), np.uint8), bitorder="little")
+        assert (bits == 0).sum() == r.n_dropped == gone[r.doc_id, len(texts[r.doc_id])] > 0
+        assert "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k >= len(bits) or bits[k]) == line_dedup.kept_lines(texts[r.doc_id].encode(), r.keep)[0].decode()
+
+
 def test_line_dedup_empty_table(make_docs):
     assert line_dedup.digests(make_docs([])).count() == 0
 
@@ -278,6 +318,11 @@ def test_sharding(spark, make_docs, odd_rows):
     for r in got:
         places[r.shard].append(r.slot)
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r["size"]
+    *rest, heaviest = sorted(loads.values())
+    assert heaviest > 60_000 and max(rest) - min(rest) < 0.05 * sum(rest) / 23  # one document is larger than a shard's share
     assert sharding.read_map(spark, path, 0).count() == sharding.read_map(spark, path, 1).count() == 4096
     assert sharding.shard(make_docs([]), storage.new_path(spark, "map")).count() == 0
 
@@ -293,6 +338,16 @@ def test_rebalance_is_near_even_and_moves_slots_only():
     assert sum(a == k % 24 for k, a in enumerate(out)) > 3000
 
 
+def test_token_counts_query_after_deletes_and_revisions(spark, tmp_path, make_docs, odd_rows, tokenizer):
+    rows = [*odd_rows, *((k, "some words " * (k % 9), "t") for k in range(10, 80))]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for _, text, *source in rows:
+        want[source[0] if source else "s"] += len(ids_of(tokenizer, text)) - 1
+    docs = Counter(r[2] if len(r) > 2 else "s" for r in rows)
+    assert {(r.source, r.n_docs, r.n_tokens) for r in token_counts.query(spark, str(tmp_path)).collect()} == {(s, docs[s], n) for s, n in want.items()}
+
+
 def test_token_counts(spark, make_docs, odd_rows, tokenizer):
     docs = make_docs(odd_rows)
     rows = token_counts.counted(docs)
@@ -311,6 +366,7 @@ def test_token_counts(spark, make_docs, odd_rows, tokenizer):
     assert total() == [(len(odd_rows) - 1, n - k)]
     rollup.compact("abc", ["a", "b"])
     assert total() == [(len(odd_rows) - 1, n - k)]
+    assert len(storage.read_texts(spark, f"{rollup.path}/batches")) == 3
     assert not rollup.commit("b", token_counts.inserts(rows)) and total() == [(len(odd_rows) - 1, n - k)]
     rollup.commit("empty", token_counts.inserts(rows.limit(0)))
     assert total() == [(len(odd_rows) - 1, n - k)]
