@@ -6,12 +6,15 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.functions.scalars import hashed_uniform
+from chronofold.functions.scalars import band, hashed_uniform
+from chronofold.operators.metrics import PRICE_BANDS, PRICE_EDGES
+from chronofold.operators.ranks import places
 
-LEVELS = [0.05, 0.25, 0.5, 0.75, 0.95]
+# Levels of pinball losses and of central intervals.
+LEVELS = [0.1, 0.25, 0.5, 0.75, 0.9]
 COVERAGES = [0.5, 0.8, 0.9, 0.95]
 
 
@@ -88,9 +91,43 @@ def pit_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:
 
 def cramer_von_mises(scored: DataFrame) -> DataFrame:
     """Distance of the PIT from uniform: 1/(12 n) + sum(((2 i - 1) / 2n - u_i)**2)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy("pit"))
-    return scored.select(n.alias("n"), F.pow((2 * i - 1) / (2 * n) - F.col("pit"), 2).alias("d")).agg((1 / (12 * F.max("n")) + F.sum("d")).alias("cvm"))
+    size = scored.agg(F.count(F.lit(1)).alias("n"))
+    placed = places(scored.select("pit"), [], "pit", ["pit"], "i").crossJoin(F.broadcast(size))
+    return placed.select("n", F.pow((2 * F.col("i") - 1) / (2 * F.col("n")) - F.col("pit"), 2).alias("d")).agg((1 / (12 * F.max("n")) + F.sum("d")).alias("cvm"))
+
+
+# The bands that forecasts are sliced by.
+MINUTES_EDGES, MINUTES_BANDS = [1, 60], ["did not play", "cameo (1-59)", "started (60+)"]
+
+
+def sliced(scored: DataFrame, key: str) -> DataFrame:
+    """Each scored row once for every slice it is in: overall, appeared only, position, price band, minutes band and decile of prediction.
+
+    Columns position, price, minutes and predicted each bring their slices; one that is absent brings none.
+    Without minutes, whoever has points has appeared. The last decile takes the rows that don't divide.
+    """
+    has = set(scored.columns)
+    appeared = F.col("minutes") > 0 if "minutes" in has else F.col("actual") != 0
+    tags = [F.lit("overall"), F.when(appeared, F.lit("appeared only"))]
+    if "position" in has:
+        tags.append(F.concat(F.lit("position:"), F.col("position")))
+    if "price" in has:
+        tags.append(F.concat(F.lit("price:"), band(F.col("price"), PRICE_EDGES, PRICE_BANDS)))
+    if "minutes" in has:
+        tags.append(F.concat(F.lit("minutes:"), band(F.col("minutes"), MINUTES_EDGES, MINUTES_BANDS)))
+    if "predicted" in has:
+        size = scored.agg(F.count(F.lit(1)).alias("_rows"))
+        scored = places(scored, [], "predicted", [key], "_place").crossJoin(F.broadcast(size))
+        decile = F.least(F.lit(10), F.floor((F.col("_place") - 1) / F.greatest(F.lit(1), F.floor(F.col("_rows") / 10))) + 1)
+        tags.append(F.when(F.col("_rows") >= 10, F.concat(F.lit("decile:"), decile.cast("string"))))
+    return scored.withColumn("slice", F.explode(F.array_compact(F.array(*tags)))).drop("_place", "_rows")
+
+
+def calibration_report(scored: DataFrame, key: str) -> DataFrame:
+    """Coverage, margins, widths and CRPS of every slice, and whether its forecasts have no width."""
+    out = sliced(scored, key)
+    widest = out.groupBy("slice").agg((F.max("sd") < 1e-6).alias("degenerate"))
+    return coverage_report(out, ["slice"]).join(widest, "slice")
 
 
 def gaussian_pmf(frame: DataFrame, mean: str, sd: str, low: int, high: int) -> DataFrame:
@@ -116,3 +153,8 @@ def gaussian_pmf(frame: DataFrame, mean: str, sd: str, low: int, high: int) -> D
 def inflate_zero(pmf: Column, low: Column, weight: Column) -> Column:
     """Mass ``weight`` moved to 0, the rest scaled down."""
     return F.transform(pmf, lambda p, i: p * (1 - weight) + F.when(low + i == 0, weight).otherwise(0.0))
+
+
+def point_mass(value: Column) -> tuple[Column, Column]:
+    """The support's beginning and the probabilities of one certain whole number."""
+    return value.cast("int"), F.array(F.lit(1.0))

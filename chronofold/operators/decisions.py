@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars as S
-from chronofold.operators.embeddings import assign, fit_clusters, silhouette
+from chronofold.operators.embeddings import assign, fit_clusters
+from chronofold.operators.ranks import unit_ranks
 
 # Fixed values.
 PICKS, TEMPLATE_SHARE, LEAST_POPULATION = 20, 0.1, 8
@@ -31,8 +32,7 @@ def pick_metrics(frame: DataFrame, keys: Sequence[str], k: int = PICKS, template
 
 def positional_percentiles(frame: DataFrame, columns: Sequence[str], position: str = "position", least: int = LEAST_POPULATION) -> DataFrame:
     """Adds ``{column}_percentile``: the place within the position, ties sharing the middle; null below ``least`` values."""
-    group = Window.partitionBy(position)
-    return frame.withColumns({f"{c}_percentile": F.when(F.count(c).over(group) >= least, S.unit_rank(F.col(c), group)) for c in columns})
+    return unit_ranks(frame, [position], {c: f"{c}_percentile" for c in columns}, least)
 
 
 def evidence(frame: DataFrame, columns: Sequence[str], position: str = "position") -> DataFrame:
@@ -76,16 +76,6 @@ def archetypes(frame: DataFrame, columns: Sequence[str], position: str = "positi
     return out if out is not None else frame.limit(0).select(key, position, F.lit(0).alias("cluster_id"), F.lit(0.0).alias("distance_to_centroid"))
 
 
-def choose_k(frame: DataFrame, ks: Sequence[int], vector: str = "embedding", least_share: float = 0.04) -> tuple[int, dict[int, float]]:
-    """The number of clusters of the best silhouette, less a penalty for clusters below ``least_share`` of rows."""
-    n, values = frame.count(), {}
-    for k in ks:
-        placed = assign(frame, fit_clusters(frame, k, vector), vector)
-        smallest = min(r["count"] for r in placed.groupBy("cluster_id").count().collect())
-        values[k] = silhouette(placed, vector=vector) - (0.2 if smallest < least_share * n else 0.0)
-    return max(values, key=lambda k: (values[k], -k)), values
-
-
 def name_index(players: DataFrame, names: Sequence[str], key: str = "player_code") -> DataFrame:
     """Names in lower case that mean one player only, with that player."""
     each = players.select(key, F.explode(F.array(*(F.lower(F.trim(F.col(c))) for c in names))).alias("name")).where("name <> ''")

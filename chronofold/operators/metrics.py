@@ -8,18 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars as S
+from chronofold.operators.ranks import ntile, null_safe_join, places, rank_table
 
 DEGENERATE = 1e-6
 PRICE_EDGES, PRICE_BANDS = [55, 80, 110], ["budget", "mid", "premium", "elite"]
 
 
 def spearman(frame: DataFrame, left: str, right: str, by: Sequence[str]) -> DataFrame:
-    """Rank correlation in each group, with averaged ties and population spreads; 0 where a spread is nil."""
-    group = Window.partitionBy(*by)
-    whole = frame.where(F.col(left).isNotNull() & F.col(right).isNotNull())
-    ranked = whole.select(*by, S.average_rank(F.col(left), group).alias("_l"), S.average_rank(F.col(right), group).alias("_r"))
-    spread = (F.stddev_pop("_l") > DEGENERATE) & (F.stddev_pop("_r") > DEGENERATE)
-    return ranked.groupBy(*by).agg(F.when(spread, F.covar_pop("_l", "_r") / (F.stddev_pop("_l") * F.stddev_pop("_r"))).otherwise(0.0).alias("spearman"))
+    """Rank correlation in each group, with averaged ties and population spreads; 0 where a spread is nil.
+
+    Pairs of values are counted before they are ranked, and no group is ranked in one task.
+    """
+    pairs = frame.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(*by, F.col(left).alias("_l"), F.col(right).alias("_r")).agg(F.count(F.lit(1)).alias("n"))
+    out = pairs
+    for c in ("_l", "_r"):
+        table = rank_table(pairs.groupBy(*by, c).agg(F.sum("n").alias("n")), by, c).drop("n").withColumnRenamed("rank", f"{c}_rank")
+        out = null_safe_join(out, table, [*by, c])
+    n, x, y = F.col("n"), F.col("_l_rank"), F.col("_r_rank")
+    total = F.sum(n)
+    mean = (total + 1) / F.lit(2.0)  # of ranks, on either side
+    sums = out.groupBy(*by).agg((F.sum(n * x * y) / total - mean * mean).alias("_xy"), (F.sum(n * x * x) / total - mean * mean).alias("_xx"), (F.sum(n * y * y) / total - mean * mean).alias("_yy"))
+    spread = (F.sqrt(F.greatest(F.lit(0.0), F.col("_xx"))) > DEGENERATE) & (F.sqrt(F.greatest(F.lit(0.0), F.col("_yy"))) > DEGENERATE)
+    return sums.select(*by, F.when(spread, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).otherwise(0.0).alias("spearman"))
 
 
 def accuracy_slices(frame: DataFrame, by: Sequence[str], predicted: str = "predicted", actual: str = "actual") -> DataFrame:
@@ -28,9 +38,10 @@ def accuracy_slices(frame: DataFrame, by: Sequence[str], predicted: str = "predi
     The baseline predicts the group's mean outcome. Constant predictions have no skill, however small their error.
     """
     p, a = F.col(predicted).cast("double"), F.col(actual).cast("double")
-    rows = frame.where(p.isNotNull() & a.isNotNull()).withColumn("_mean", F.avg(a).over(Window.partitionBy(*by)))
+    rows = frame.where(p.isNotNull() & a.isNotNull())
+    rows = null_safe_join(rows, rows.groupBy(*by).agg(F.avg(a).alias("_mean")), by)
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(p - a)).alias("mae"), F.sqrt(F.avg((p - a) * (p - a))).alias("rmse"), F.avg(p - a).alias("bias"), F.stddev_pop(p).alias("prediction_sd"), F.avg(F.abs(a - F.col("_mean"))).alias("baseline_mae"))
-    out = out.join(spearman(frame, predicted, actual, by), list(by)) if by else out.crossJoin(spearman(frame, predicted, actual, by))
+    out = null_safe_join(out, spearman(frame, predicted, actual, by), by)
     flat = (F.col("prediction_sd") < DEGENERATE) | (F.col("baseline_mae") < DEGENERATE)
     return out.withColumn("degenerate", F.col("prediction_sd") < DEGENERATE).withColumn("skill", F.when(flat, 0.0).otherwise(1.0 - F.col("mae") / F.col("baseline_mae")))
 
@@ -84,6 +95,17 @@ def weighted_importance(frame: DataFrame) -> DataFrame:
     return frame.groupBy("feature").agg((F.sum(F.col("delta") * F.col("weight")) / F.sum("weight")).alias("importance")).join(spread, "feature")
 
 
+def family_importance(frame: DataFrame, families: DataFrame) -> DataFrame:
+    """Importance summed by family, with the number of its features (families: feature, family; others are "other")."""
+    each = weighted_importance(frame).join(families, "feature", "left")
+    return each.groupBy(F.coalesce("family", F.lit("other")).alias("family")).agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("features"))
+
+
+def label_importance(frame: DataFrame) -> DataFrame:
+    """Mean importance of each feature for each label, over folds."""
+    return frame.groupBy("feature", "label").agg(F.avg("delta").alias("importance"), F.count(F.lit(1)).alias("folds"))
+
+
 def aggregate_runs(frame: DataFrame, by: Sequence[str], value: str, label: str) -> DataFrame:
     """Mean, median, population spread, percentiles, and the labels of worst and best."""
     q = lambda p: F.percentile(value, p)
@@ -92,17 +114,42 @@ def aggregate_runs(frame: DataFrame, by: Sequence[str], value: str, label: str)
 
 def paired_comparison(a: DataFrame, b: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     """Wins, losses, ties, mean difference and its standardised size over shared conditions."""
-    both = a.select(*on, F.col(value).alias("_a")).join(b.select(*on, F.col(value).alias("_b")), list(on)).withColumn("_d", F.col("_a") - F.col("_b"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_d") > 0).alias("wins"), F.count_if(F.col("_d") < 0).alias("losses"), F.count_if(F.col("_d") == 0).alias("ties"), F.avg("_d").alias("mean_difference"), F.when(F.stddev_samp("_d") > 0, F.avg("_d") / F.stddev_samp("_d")).alias("effect"))
+    return _differences(a, b, on, value).agg(*_comparison())
+
+
+def _differences(a: DataFrame, b: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    return a.select(*on, F.col(value).alias("_a")).join(b.select(*on, F.col(value).alias("_b")), list(on)).withColumn("_d", F.col("_a") - F.col("_b"))
+
+
+def _comparison() -> list[Column]:
+    d = F.col("_d")
+    return [F.count(F.lit(1)).alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"), F.avg("_d").alias("mean_difference"), F.when(F.stddev_samp("_d") > 0, F.avg("_d") / F.stddev_samp("_d")).alias("effect")]
+
 
+def seed_sensitivity(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, seed: str = "seed") -> DataFrame:
+    """How far a comparison hangs on the draw: over seeds, the least, greatest and spread of the mean difference, and whether its sign holds."""
+    each = _differences(a, b, on, value).groupBy(seed).agg(F.avg("_d").alias("m"))
+    return each.agg(F.count(F.lit(1)).alias("seeds"), F.min("m").alias("least"), F.max("m").alias("greatest"), F.stddev_pop("m").alias("spread"), (F.min(F.signum("m")) == F.max(F.signum("m"))).alias("sign_holds"))
 
-def block_bootstrap(frame: DataFrame, block: str, value: str, resamples: int = 1000, seed: int = 20260727, low: float = 0.025, high: float = 0.975) -> DataFrame:
+
+# Resamples of an interval, and the blocks below which conditions are resampled instead.
+RESAMPLES, LEAST_BLOCKS = 10_000, 3
+
+
+def block_bootstrap(frame: DataFrame, block: str, value: str, resamples: int = RESAMPLES, seed: int = 20260727, low: float = 0.025, high: float = 0.975, condition: Sequence[str] = ()) -> DataFrame:
     """An interval of the mean from resampling whole blocks; draws depend on seed, resample and place only.
 
-    Blocks come down to one row each (sum and count) before anything is multiplied.
+    Below LEAST_BLOCKS blocks the rows of one ``condition`` are a block, if given. Blocks come down to one
+    row each (sum and count) before anything is multiplied.
     """
-    blocks = frame.groupBy(block).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    numbered = blocks.withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1)
+    sums = [F.sum(value).alias("_s"), F.count(value).alias("_n")]
+    blocks = frame.groupBy(F.col(block).alias("_block")).agg(*sums).withColumn("_by", F.lit("block"))
+    if condition:
+        n = blocks.agg(F.count(F.lit(1)).alias("_blocks"))
+        finer = frame.groupBy(F.to_json(F.struct(*condition)).alias("_block")).agg(*sums).withColumn("_by", F.lit("condition"))
+        both = blocks.withColumn("_block", F.col("_block").cast("string")).unionByName(finer).crossJoin(F.broadcast(n))
+        blocks = both.where((F.col("_blocks") >= LEAST_BLOCKS) == (F.col("_by") == "block")).drop("_blocks")
+    numbered = blocks.withColumn("_i", F.row_number().over(Window.orderBy("_block")) - 1)
     count = numbered.agg(F.count(F.lit(1)).alias("_k"))
     draws = count.select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"), "_k").select("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_d"), "_k")
     draws = draws.withColumn("_i", F.floor(S.hashed_uniform(seed, F.col("_r"), F.col("_d")) * F.col("_k")))
@@ -117,8 +164,40 @@ def subgroup_gain(frame: DataFrame, segment: str, base: str, full: str, actual:
 
 
 def calibration_bins(frame: DataFrame, predicted: str, actual: str, bins: int = 10, order: Sequence[str] = ()) -> DataFrame:
-    """Equal-count bins by prediction; the first bins take one row more where rows don't divide."""
-    return frame.withColumn("bin", F.ntile(bins).over(Window.orderBy(predicted, *order))).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(predicted).alias("predicted"), F.avg(actual).alias("actual"))
+    """Equal-count bins by prediction, ties by ``order`` (then by outcome); the first bins take one row more where rows don't divide."""
+    placed = places(frame, [], predicted, [*order, actual], "_place")
+    size = frame.agg(F.count(F.lit(1)).alias("_rows"))
+    return placed.crossJoin(F.broadcast(size)).withColumn("bin", ntile(F.col("_place"), F.col("_rows"), bins)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(predicted).alias("predicted"), F.avg(actual).alias("actual"))
+
+
+def calibration_error(frame: DataFrame, predicted: str, actual: str, bins: int = 10, order: Sequence[str] = ()) -> DataFrame:
+    """The mean distance of predictions and outcomes over equal-count bins, by rows; null below ``bins`` rows."""
+    each = calibration_bins(frame, predicted, actual, bins, order)
+    return each.agg(F.when(F.sum("n") >= bins, F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("actual"))) / F.sum("n")).alias("calibration_error"))
+
+
+def residual_weakness(frame: DataFrame, segment: str, predicted: str, actual: str, least: int = 200) -> DataFrame:
+    """Each segment's MAE against the mean of segments' MAE, worst first; segments below ``least`` rows are left out."""
+    each = frame.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(predicted) - F.col(actual))).alias("mae")).where((F.col("n") >= least) & (F.col("mae") > 0))
+    pooled = each.agg(F.avg("mae").alias("_pooled"))
+    return each.crossJoin(F.broadcast(pooled)).select(segment, "n", "mae", (F.col("mae") / F.col("_pooled")).alias("relative_error")).orderBy(F.desc("relative_error"), segment)
+
+
+def fold_stability(frame: DataFrame, by: Sequence[str], improvement: str) -> DataFrame:
+    """Share of folds won, scaled down by how uneven the gains are; 0 below two folds or without a win."""
+    x = F.col(improvement)
+    won, mean, spread = F.avg((x > 0).cast("int")), F.avg(x), F.stddev_pop(x)
+    value = won * F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), spread / (F.abs(mean) + 1e-9)))
+    return frame.groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), F.when(F.count(F.lit(1)) >= 2, value).otherwise(0.0).alias("stability"))
+
+
+def fold_gains(frame: DataFrame, by: Sequence[str], predicted: str, actual: str, base: str) -> DataFrame:
+    """Of each fold: MAE, its skill over ``base``; and as probabilities, the gains of log loss and Brier score over it."""
+    p, y, b = F.col(predicted), F.col(actual), F.col(base)
+    hit = (y > 0).cast("int")
+    out = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(p - y)).alias("mae"), F.avg(F.abs(b - y)).alias("base_mae"), F.avg(log_loss(p, hit)).alias("log_loss"), F.avg(log_loss(b, hit)).alias("base_log_loss"), F.avg((p - hit) * (p - hit)).alias("brier"), F.avg((b - hit) * (b - hit)).alias("base_brier"))
+    gain = lambda c: F.when(F.col(f"base_{c}") > 0, 1 - F.col(c) / F.col(f"base_{c}"))
+    return out.select(*by, "n", "mae", "log_loss", "brier", gain("mae").alias("skill"), gain("log_loss").alias("log_loss_gain"), gain("brier").alias("brier_gain"))
 
 
 def log_loss(p: Column, y: Column, floor: float = 1e-15) -> Column:

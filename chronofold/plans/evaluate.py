@@ -10,10 +10,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import hashed_uniform
+from chronofold.operators.ranks import null_safe_join, places
 from chronofold.plans.folds import Fold, fold_rows
 
 ROOT_SEED = 20260727
@@ -34,11 +35,16 @@ def noise(seed: int, *keys: str) -> Column:
 
 
 def shuffled(frame: DataFrame, column: str, within: Sequence[str], keys: Sequence[str], seed: int, out: str) -> DataFrame:
-    """``column`` dealt anew among the rows of each ``within``: the control that keeps its distribution."""
-    here = F.row_number().over(Window.partitionBy(*within).orderBy(*keys))
-    there = F.row_number().over(Window.partitionBy(*within).orderBy(F.xxhash64(F.lit(seed), *(F.col(k) for k in keys)), *keys))
-    dealt = frame.select(*within, F.col(column).alias(out), there.alias("_i"))
-    return frame.withColumn("_i", here).join(dealt, [*within, "_i"]).drop("_i")
+    """``column`` dealt anew among the rows of each ``within``: the control that keeps its distribution.
+
+    Rows and values are put in two orders by hash, and rows take the value of their place; places are
+    counted in ranges of the hash, so that no ``within`` is one task's work.
+    """
+    draw = lambda k: hashed_uniform(seed + k, *(F.col(c) for c in keys))
+    here = places(frame.withColumn("_u", draw(0)), within, "_u", ["_u", *keys], "_i").drop("_u")
+    values = frame.select(*within, *dict.fromkeys([*keys, column])).withColumn("_u", draw(1))
+    there = places(values, within, "_u", ["_u", *keys], "_i").select(*within, F.col(column).alias(out), "_i")
+    return null_safe_join(here, there, [*within, "_i"]).drop("_i")
 
 
 @dataclass(frozen=True)
@@ -93,6 +99,30 @@ def weighted_mae(scores: DataFrame) -> float:
     return scores.agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("m")).first().m
 
 
+class Scorer:
+    """MAE of feature sets over the same folds; a set is scored once, in whatever order its columns come."""
+
+    def __init__(self, frame: DataFrame, folds: Sequence[Fold], label: str, time: str = "timeline") -> None:
+        self.frame, self.folds, self.label, self.time = frame, folds, label, time
+        self.known: dict[tuple[str, ...], float] = {}
+
+    def __call__(self, features: Sequence[str]) -> float:
+        key = tuple(sorted(features))
+        if key not in self.known:
+            self.known[key] = weighted_mae(score(self.frame, self.folds, list(key), self.label, self.time))
+        return self.known[key]
+
+
+def max_noise_control(frame: DataFrame, folds: Sequence[Fold], features: Sequence[str], label: str, keys: Sequence[str], trials: int = 8, most: int = 40, seed: int = ROOT_SEED, time: str = "timeline") -> tuple[float, int]:
+    """The best MAE that one column of noise beside ``features`` reaches in ``trials`` draws, and how many were made.
+
+    A candidate that was picked as the best of many must beat the best of as many draws, not their mean.
+    """
+    ran = max(1, min(trials, most))
+    drawn = frame.withColumns({f"_noise_{k}": noise(derive_seed(seed, "max_noise", k), *keys) for k in range(ran)})
+    return min(weighted_mae(score(drawn, folds, [*features, f"_noise_{k}"], label, time)) for k in range(ran)), ran
+
+
 def permutation_importance(frame: DataFrame, folds: Sequence[Fold], features: Sequence[str], label: str, keys: Sequence[str], repeats: int = 3, seed: int = ROOT_SEED, time: str = "timeline") -> DataFrame:
     """How much worse each fold's MAE gets when a feature is dealt anew among its validation rows."""
     models = fit_folds(frame, folds, features, label, time=time)
@@ -109,17 +139,33 @@ def permutation_importance(frame: DataFrame, folds: Sequence[Fold], features: Se
     return every.join(base, "fold").groupBy("feature", "fold").agg(F.avg(F.col("mae") - F.col("base")).alias("delta"), F.coalesce(F.stddev_pop(F.col("mae") - F.col("base")), F.lit(0.0)).alias("sd"))
 
 
-def greedy_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], min_gain: float = 0.0, most: int = 8) -> tuple[list[str], list[float]]:
+@dataclass(frozen=True)
+class Search:
+    """Chosen features, the cost after each, and whether the search ended at a cap with candidates left."""
+
+    chosen: list[str]
+    costs: list[float]
+    truncated: bool
+
+    def __iter__(self):
+        return iter((self.chosen, self.costs))
+
+
+def greedy_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], min_gain: float = 0.0, most: int = 8, most_evaluations: int = 600) -> Search:
     """Adds the feature that lowers the cost most, while it does by ``min_gain``."""
     chosen: list[str] = []
-    costs = [cost(())]
+    costs, evaluations = [cost(())], 1
     while len(chosen) < most:
-        trials = sorted((cost((*chosen, c)), c) for c in candidates if c not in chosen)
+        rest = [c for c in candidates if c not in chosen]
+        if evaluations + len(rest) > most_evaluations:
+            return Search(chosen, costs, True)
+        trials = sorted((cost((*chosen, c)), c) for c in rest)
+        evaluations += len(rest)
         if not trials or costs[-1] - trials[0][0] <= min_gain:
-            break
+            return Search(chosen, costs, False)
         chosen.append(trials[0][1])
         costs.append(trials[0][0])
-    return chosen, costs
+    return Search(chosen, costs, len(chosen) < len(candidates))
 
 
 def beam_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], width: int = 3, depth: int = 4) -> tuple[tuple[str, ...], float]:
@@ -161,6 +207,42 @@ class Acceptance:
         return ("accepted", []) if not soft else ("experimental", soft) if incremental > 0 else ("rejected", soft)
 
 
-def utility(gains: dict[str, float], penalties: dict[str, float], complexity: int, weight: float = 0.01) -> float:
-    """Gains less penalties, and a price on size."""
-    return sum(gains.values()) - sum(penalties.values()) - weight * float(np.log1p(max(0, complexity - 1)))
+# What each term of a feature's utility weighs.
+GAINS = {"prediction": 1.0, "decision": 1.0, "objective": 1.0, "stability": 0.5, "complementarity": 1.0}
+PENALTIES = {"complexity": 0.1, "missingness": 0.5, "turnover": 0.2, "leakage": 10.0}
+
+
+def relative_gain(candidate: float | None, baseline: float | None, lower_is_better: bool = False) -> float | None:
+    """How much better than the baseline, as a share of it; None where either wasn't measured."""
+    if candidate is None or baseline is None:
+        return None
+    better = baseline - candidate if lower_is_better else candidate - baseline
+    return better / max(abs(baseline), 1e-9)
+
+
+def utility(gains: dict[str, float | None], *, complexity: int = 1, missingness: float = 0.0, turnover: float | None = 0.0, leakage: float = 0.0) -> tuple[float, dict[str, float], list[str]]:
+    """The total, every weighed term, and the terms that weren't measured (None), which count nothing.
+
+    ``gains`` may name prediction, decision, objective, stability and complementarity. Size is charged by its
+    logarithm; shares are held to [0, 1].
+    """
+    share = lambda x: max(0.0, min(1.0, x))
+    terms = {k: w * gains[k] for k, w in GAINS.items() if gains.get(k) is not None}
+    charges = {"complexity": float(np.log1p(max(0, complexity - 1))), "missingness": share(missingness), "turnover": None if turnover is None else share(turnover), "leakage": share(leakage)}
+    terms |= {k: -w * charges[k] for k, w in PENALTIES.items() if charges[k] is not None}
+    return sum(terms.values()), terms, [k for k in (*GAINS, *PENALTIES) if k not in terms]
+
+
+def complementarity(*, leaks: bool, folds: int, incremental: float, stability: float, win_rate: float, clusters: Sequence[tuple[int, float]] = (), segments: Sequence[tuple[int, float]] = (), objective_gain: float | None = None, global_gain: float | None = None, policy: Acceptance = Acceptance(), least_rows: int = 200) -> str:
+    """What kind of value a feature adds: everywhere, for some clusters or segments (rows, gain), for an objective, none, or none that can be told."""
+    if leaks:
+        return "leakage_suspected"
+    if folds < policy.folds:
+        return "insufficient_history"
+    if incremental >= policy.incremental:
+        return "unstable" if stability < 0.3 else "globally_complementary"
+    if any(n >= least_rows and gain >= policy.incremental for n, gain in (*clusters, *segments)):
+        return "cluster_specific"
+    if objective_gain is not None and global_gain is not None and objective_gain >= policy.incremental > global_gain:
+        return "objective_specific"
+    return "unstable" if stability < 0.3 and win_rate >= 0.4 else "redundant"

@@ -111,8 +111,13 @@ def programs() -> list[FeatureProgram]:
 
 
 def feature_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen programs of all kinds of nodes, compiled to one plan."""
+    """Sixteen programs of all kinds of nodes, compiled to one plan.
+
+    Sums over a group differ in their last digit by the order of rows, so what they give is rounded a little
+    above each half (some are exact halves at six places).
+    """
     out = C.compile_programs(yearly_entities(spark, sf_dir).drop("was_home"), _history(spark, sf_dir), programs())
+    out = out.withColumns({c: F.col(c) + 1e-9 for c in ("position_z", "position_share", "all_dev", "nested")})
     return rounded(out, *(p.name for p in programs())).withColumn("trend_5", F.col("trend_5") + 0.0)  # no negative zero
 
 
@@ -155,8 +160,8 @@ _PROGRAMS_SQL = f"""{_RANKED}, a AS (
 SELECT player_code, opponent_team_id, position, prediction_timestamp, round(rate * m5, 6) AS rate_x_minutes, round(since_goal, 6) AS since_goal, lag_2, round(median_5, 6) AS median_5,
  l8[1 + floor(0.75 * (len(l8) - 1) + 0.5)::INT]::DOUBLE AS p75_8, CASE WHEN n6 >= 3 THEN round(sd6, 6) END AS std_6, round(ewm_6, 6) AS ewm_6,
  CASE WHEN n5 >= 3 THEN round(slope, 6) + 0.0 END AS trend_5, round(CASE WHEN abs(mp10) > 1e-6 THEN g10 / mp10 END, 6) AS ratio, CASE WHEN p3 IS NOT NULL THEN round(ln(1 + greatest(1, least(8, p3))), 6) END AS log_clip,
- round(position_z, 6) AS position_z, round(position_share, 6) AS position_share, round(opponent_rank, 6) AS opponent_rank, round(all_dev, 6) AS all_dev, round(batch_rank, 6) AS batch_rank,
- round(opponent_rank - avg(opponent_rank) OVER (PARTITION BY prediction_timestamp, position), 6) AS nested FROM w"""
+ round(position_z + 1e-9, 6) AS position_z, round(position_share + 1e-9, 6) AS position_share, round(opponent_rank, 6) AS opponent_rank, round(all_dev + 1e-9, 6) AS all_dev, round(batch_rank, 6) AS batch_rank,
+ round(opponent_rank - avg(opponent_rank) OVER (PARTITION BY prediction_timestamp, position) + 1e-9, 6) AS nested FROM w"""
 
 QUERIES = {
     "team_totals": team_totals,

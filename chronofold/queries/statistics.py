@@ -111,15 +111,76 @@ def crps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.coverage_report(distributions(spark, sf_dir), ["actual"])
+    out = calibration.coverage_report(distributions(spark, sf_dir), ["actual"])
+    return rounded(out, *(c for c in out.columns if c not in ("actual", "n")))
+
+
+def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = distributions(spark, sf_dir).withColumns({"position": F.element_at(F.array(*map(F.lit, ("GKP", "DEF", "MID", "FWD"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int")), "price": F.pmod("p_partkey", F.lit(130)), "minutes": F.pmod(F.col("p_partkey") * 7, F.lit(91)), "predicted": F.round("mean", 3)})
+    out = calibration.calibration_report(t, "p_partkey").select("slice", "n", "crps", "coverage_80", "margin_80", "width_80", "degenerate")
+    return rounded(out, "crps", "coverage_80", "margin_80", "width_80")
+
+
+def _pit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select((F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / 10007.0).alias("pit"))
 
 
 def pit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.pit_histogram(distributions(spark, sf_dir))
+    return calibration.pit_histogram(_pit(spark, sf_dir))
 
 
 def cramer_von_mises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.cramer_von_mises(distributions(spark, sf_dir))
+    return rounded(calibration.cramer_von_mises(_pit(spark, sf_dir)), "cvm")
+
+
+def randomised_pit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Randomised PITs of all parts lie between F(y - 1) and F(y)."""
+    t = distributions(spark, sf_dir)
+    low, high = calibration.cdf_at(F.col("pmf"), F.col("pmf_support_min"), F.col("actual") - 1), calibration.cdf_at(F.col("pmf"), F.col("pmf_support_min"), F.col("actual"))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("pit") >= low - 1e-12) & (F.col("pit") <= high + 1e-12)).alias("within"))
+
+
+def pinball_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"pinball_{round(q * 100)}" for q in calibration.LEVELS]
+    out = distributions(spark, sf_dir).groupBy("actual").agg(*(F.avg(c).alias(c) for c in names))
+    return rounded(out, *names)
+
+
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.calibration_error(predictions(spark, sf_dir), "predicted", "actual", 7, ["player_code"]), "calibration_error")
+
+
+def weakness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.residual_weakness(predictions(spark, sf_dir), "gameweek_id", "predicted", "actual"), "mae", "relative_error")
+
+
+def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = predictions(spark, sf_dir).groupBy("position", F.pmod("gameweek_id", F.lit(5)).alias("fold")).agg(F.avg(F.col("actual") - 30.0).alias("gain"))
+    return rounded(metrics.fold_stability(each, ["position"], "gain"), "stability")
+
+
+def fold_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir).withColumns({"p": F.col("predicted") / 51, "y": F.greatest(F.lit(0.0), F.col("actual") - 30.0), "b": F.lit(0.4)})
+    out = metrics.fold_gains(p, ["gameweek_id"], "p", "y", "b")
+    return rounded(out, *(c for c in out.columns if c not in ("gameweek_id", "n")))
+
+
+def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.pmod("l_suppkey", F.lit(5)).alias("fold"), F.concat(F.lit("f"), F.pmod("l_partkey", F.lit(12))).alias("feature")).agg(F.avg("l_discount").alias("delta"), F.count(F.lit(1)).alias("weight"))
+
+
+def family_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.pmod("p_partkey", F.lit(12))).alias("feature"), F.when(F.pmod("p_partkey", F.lit(12)) < 5, "low").otherwise("high").alias("family")).distinct().where("feature <> 'f11'")
+    return rounded(metrics.family_importance(_importances(spark, sf_dir), families), "importance")
+
+
+def label_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.label_importance(_importances(spark, sf_dir)), "importance")
+
+
+def seed_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "events").groupBy("user_id", F.weekofyear("ts").alias("week"), F.pmod("event_id", F.lit(4)).alias("seed")).agg(F.sum("value").alias("v"))
+    return rounded(metrics.seed_sensitivity(w.where("week = 2"), w.where("week = 3"), ["user_id", "seed"], "v"), "least", "greatest", "spread")
 
 
 def gaussian_pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +211,16 @@ QUERIES = {
     "interval_coverage": coverage,
     "pit_histogram": pit_histogram,
     "cramer_von_mises": cramer_von_mises,
+    "randomised_pit": randomised_pit,
+    "pinball_losses": pinball_losses,
+    "calibration_report": calibration_report,
+    "calibration_error": calibration_error,
+    "residual_weakness": weakness,
+    "fold_stability": stability,
+    "fold_gains": fold_gains,
+    "family_importance": family_importance,
+    "label_importance": label_importance,
+    "seed_sensitivity": seed_sensitivity,
     "gaussian_pmf": gaussian_pmf,
     "block_bootstrap": bootstrap,
 }
@@ -200,3 +271,42 @@ SELECT t.feature, round(sum(delta * weight) / sum(weight), 6) AS importance, rou
 SELECT p_partkey, round(m, 6) AS mean, round(sqrt(greatest(0, list_sum([f[i] * (1 + i) * (1 + i) FOR i IN range(1, 7)]) - m * m)), 6) AS sd,
  round(list_sum([(c[i] - CASE WHEN y <= 1 + i THEN 1 ELSE 0 END) ** 2 FOR i IN range(1, 7)]) + greatest(0, 2 - y) + greatest(0, y - 8), 6) AS crps, round(CASE WHEN y >= q5 THEN 0.5 * (y - q5) ELSE 0.5 * (q5 - y) END, 6) AS pinball_50, (y BETWEEN lo AND hi)::INT AS inside_80 FROM q""",
 }
+
+_CDF = """w AS (SELECT p_partkey, (p_size % 10)::INT AS y, [((p_partkey * k + k * k) % 7 + 1)::DOUBLE FOR k IN range(1, 7)] AS w FROM part), f AS (SELECT p_partkey, y, [x / list_sum(w) FOR x IN w] AS f FROM w),
+ c AS (SELECT *, [list_sum(f[1:i]) FOR i IN range(1, 7)] AS c, list_sum([f[i] * (1 + i) FOR i IN range(1, 7)]) AS m FROM f), q AS (SELECT *, list_sum([(c[i] - CASE WHEN y <= 1 + i THEN 1 ELSE 0 END) ** 2 FOR i IN range(1, 7)]) + greatest(0, 2 - y) + greatest(0, y - 8) AS crps, {quantiles} FROM c)"""
+_AT = lambda q, name: f"2 + least(5, len(list_filter(c, lambda x: x < {q} - 1e-12))) AS {name}"
+_BOUNDS = _CDF.format(quantiles=", ".join(_AT(round(v, 6), f"{n}{round(c * 100)}") for c in calibration.COVERAGES for n, v in (("lo", (1 - c) / 2), ("hi", (1 + c) / 2))))
+
+
+def _covered(level: int) -> str:
+    share = f"avg((y BETWEEN lo{level} AND hi{level})::INT)"
+    return f"round({share}, 6) AS coverage_{level}, round(1.96 * sqrt({share} * (1 - {share}) / count(*)), 6) AS margin_{level}, round(avg(hi{level} - lo{level}), 6) AS width_{level}"
+
+
+_LEVELS = _CDF.format(quantiles=", ".join(_AT(q, f"q{round(q * 100)}") for q in calibration.LEVELS))
+_IMPORTANCE = "t AS (SELECT l_returnflag AS label, l_suppkey % 5 AS fold, 'f' || (l_partkey % 12) AS feature, avg(l_discount) AS delta, count(*) AS weight FROM lineitem GROUP BY ALL)"
+_PIT = "p AS (SELECT (p_partkey * 7919 % 10007) / 10007.0 AS u FROM part)"
+ORACLE |= {
+    "interval_coverage": f"WITH {_BOUNDS} SELECT y AS actual, count(*) AS n, round(avg(crps), 6) AS crps, {', '.join(_covered(round(c * 100)) for c in calibration.COVERAGES)} FROM q GROUP BY y",
+    "pinball_losses": f"WITH {_LEVELS} SELECT y AS actual, {', '.join(f'round(avg(CASE WHEN y >= q{round(v * 100)} THEN {v} * (y - q{round(v * 100)}) ELSE {round(1 - v, 6)} * (q{round(v * 100)} - y) END), 6) AS pinball_{round(v * 100)}' for v in calibration.LEVELS)} FROM q GROUP BY y",
+    "randomised_pit": "SELECT count(*) AS n, count(*) AS within FROM part",
+    "calibration_report": f"""WITH {_BOUNDS}, d AS (SELECT *, ['GKP', 'DEF', 'MID', 'FWD'][p_partkey % 4 + 1] AS pos, p_partkey % 130 AS price, (p_partkey * 7) % 91 AS minutes, count(*) OVER () AS n, row_number() OVER (ORDER BY round(m, 3), p_partkey) AS r, sqrt(greatest(0, list_sum([f[i] * (1 + i) * (1 + i) FOR i IN range(1, 7)]) - m * m)) AS sd FROM q),
+ s AS (SELECT 'overall' AS slice, * FROM d UNION ALL SELECT 'appeared only', * FROM d WHERE minutes > 0 UNION ALL SELECT 'position:' || pos, * FROM d
+  UNION ALL SELECT 'price:' || CASE WHEN price < 55 THEN 'budget' WHEN price < 80 THEN 'mid' WHEN price < 110 THEN 'premium' ELSE 'elite' END, * FROM d
+  UNION ALL SELECT 'minutes:' || CASE WHEN minutes < 1 THEN 'did not play' WHEN minutes < 60 THEN 'cameo (1-59)' ELSE 'started (60+)' END, * FROM d UNION ALL SELECT 'decile:' || least(10, (r - 1) // (n // 10) + 1), * FROM d)
+SELECT slice, count(*) AS n, round(avg(crps), 6) AS crps, {_covered(80)}, max(sd) < 1e-6 AS degenerate FROM s GROUP BY slice""",
+    "pit_histogram": f"WITH {_PIT} SELECT least(19, floor(u * 20))::INT AS bin, count(*) AS n FROM p GROUP BY ALL",
+    "cramer_von_mises": f"WITH {_PIT}, r AS (SELECT u, row_number() OVER (ORDER BY u) AS i, count(*) OVER () AS n FROM p) SELECT round(1 / (12.0 * max(n)) + sum(((2 * i - 1) / (2.0 * n) - u) ** 2), 6) AS cvm FROM r",
+    "calibration_error": f"WITH {PRED_SQL}, b AS (SELECT *, ntile(7) OVER (ORDER BY predicted, player_code) AS bin FROM p), e AS (SELECT count(*) AS n, abs(avg(predicted) - avg(actual)) AS d FROM b GROUP BY bin) SELECT round(sum(n * d) / sum(n), 6) AS calibration_error FROM e",
+    "residual_weakness": f"WITH {PRED_SQL}, e AS (SELECT gameweek_id, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM p GROUP BY ALL HAVING count(*) >= 200) SELECT gameweek_id, n, round(mae, 6) AS mae, round(mae / (SELECT avg(mae) FROM e), 6) AS relative_error FROM e",
+    "fold_stability": f"""WITH {PRED_SQL}, e AS (SELECT position, gameweek_id % 5 AS fold, avg(actual - 30.0) AS g FROM p GROUP BY ALL)
+SELECT position, count(*) AS folds, round(CASE WHEN count(*) >= 2 THEN avg((g > 0)::INT) * greatest(0, 1 - least(1, stddev_pop(g) / (abs(avg(g)) + 1e-9))) ELSE 0 END, 6) AS stability FROM e GROUP BY position""",
+    "fold_gains": f"""WITH {PRED_SQL}, q AS (SELECT gameweek_id, predicted / 51 AS x, greatest(0, actual - 30.0) AS y, (actual > 30)::INT AS h FROM p),
+ e AS (SELECT gameweek_id, count(*) AS n, avg(abs(x - y)) AS mae, avg(abs(0.4 - y)) AS bm, avg(CASE WHEN h = 1 THEN -ln(x) ELSE -ln(1 - x) END) AS ll, avg(CASE WHEN h = 1 THEN -ln(0.4) ELSE -ln(0.6) END) AS bl, avg((x - h) ** 2) AS br, avg((0.4 - h) ** 2) AS bb FROM q GROUP BY ALL)
+SELECT gameweek_id, n, round(mae, 6) AS mae, round(ll, 6) AS log_loss, round(br, 6) AS brier, round(1 - mae / bm, 6) AS skill, round(1 - ll / bl, 6) AS log_loss_gain, round(1 - br / bb, 6) AS brier_gain FROM e""",
+    "family_importance": f"""WITH {_IMPORTANCE}, i AS (SELECT feature, sum(delta * weight) / sum(weight) AS w FROM t GROUP BY ALL)
+SELECT CASE WHEN feature = 'f11' THEN 'other' WHEN feature IN ('f0', 'f1', 'f2', 'f3', 'f4') THEN 'low' ELSE 'high' END AS family, round(sum(w), 6) AS importance, count(*) AS features FROM i GROUP BY ALL""",
+    "label_importance": f"WITH {_IMPORTANCE} SELECT feature, label, round(avg(delta), 6) AS importance, count(*) AS folds FROM t GROUP BY ALL",
+    "seed_sensitivity": """WITH w AS (SELECT user_id, weekofyear(ts) AS week, event_id % 4 AS seed, sum(value) AS v FROM events GROUP BY ALL), d AS (SELECT seed, avg(a.v - b.v) AS m FROM w a JOIN w b USING (user_id, seed) WHERE a.week = 2 AND b.week = 3 GROUP BY seed)
+SELECT count(*) AS seeds, round(min(m), 6) AS least, round(max(m), 6) AS greatest, round(stddev_pop(m), 6) AS spread, min(sign(m)) = max(sign(m)) AS sign_holds FROM d""",
+}
