@@ -81,9 +81,64 @@ def live_signals(signals: DataFrame, at: Column, key: str = "player_code") -> Da
     return live.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("available_time", "expires_time")).alias("_r")).select(key, "_r.*")
 
 
-def refresh_plan(players: DataFrame, budget: int, least_ownership: float, group: str = "team_id") -> DataFrame:
-    """The teams whose players matter most: ownership summed over relevant players, the first ``budget``."""
-    return players.where(F.col("ownership") >= least_ownership).groupBy(group).agg(F.sum("ownership").alias("weight"), F.count(F.lit(1)).alias("players")).orderBy(F.desc("weight"), group).limit(budget)
+# Verdicts in the order they are reported, those that let a feature be used, the pool of all players.
+VERDICT_ORDER = {"accepted": 0, "experimental": 1, "revise": 2, "insufficient": 3, "rejected": 4, "deprecated": 5}
+USABLE, GLOBAL_POOL = ("accepted", "experimental"), "global"
+
+
+def usable_features(evaluations: DataFrame, pool: str | None = None, keys: Sequence[str] = ("feature", "objective")) -> DataFrame:
+    """The features that may be used, with ``measured_here``.
+
+    Without a pool, those whose last verdict is usable. With one, those with a usable verdict of exactly
+    that pool, and else of the global pool; another narrow pool's verdict is never carried over.
+    """
+    if pool is None:
+        return latest_verdicts(evaluations, keys).where(F.col("verdict").isin(*USABLE)).select(*keys, F.lit(True).alias("measured_here"))
+    found = evaluations.where(F.col("verdict").isin(*USABLE)).groupBy(*keys).agg(F.bool_or(F.col("pool") == pool).alias("_here"), F.bool_or(F.col("pool") == GLOBAL_POOL).alias("_global"))
+    return found.where("_here OR _global").select(*keys, F.col("_here").alias("measured_here"))
+
+
+def acceptance_report(evaluations: DataFrame, names: DataFrame, objective: str) -> DataFrame:
+    """Every feature's last verdict under an objective: in the order of verdicts, then best utility first."""
+    last = latest_verdicts(evaluations.where(F.col("objective") == objective))
+    order = F.coalesce(_lookup(F.col("verdict"), VERDICT_ORDER), F.lit(9))
+    return names.join(last, "feature").withColumn("place", F.row_number().over(Window.orderBy(order, F.desc("utility"), "feature")))
+
+
+def registry_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of rows of each table."""
+    parts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def news_shortlist(players: DataFrame, most: int, skip_flagged: bool = True) -> DataFrame:
+    """Whose news could change a choice: own players first, then by ownership and points (in_squad, status, ownership, expected_points)."""
+    rows = players.where(F.coalesce("status", F.lit("a")) == "a") if skip_flagged else players
+    return rows.orderBy(F.desc("in_squad"), F.desc(F.coalesce("ownership", F.lit(0.0))), F.desc(F.coalesce("expected_points", F.lit(0.0))), "player_code").limit(most)
+
+
+# The least projection worth asking about, and what an owned player's counts for.
+RELEVANT_POINTS, OWNED_WEIGHT = 1.5, 2.0
+
+
+def refresh_plan(players: DataFrame, budget: int, *, affordable: int | None = None, least: float = RELEVANT_POINTS, stale_within: str = "INTERVAL 3 DAYS", at: Column | None = None) -> DataFrame:
+    """The teams to look up: weights summed over players that matter and aren't covered, the first ``budget``.
+
+    players: player_code, team_id, expected_points, price, owned and optionally expires_time of a live signal.
+    Owned players always matter and count OWNED_WEIGHT times; others from ``least`` points on, if they can
+    be afforded or their price isn't known. A signal that lasts longer than ``stale_within`` covers its player.
+    """
+    relevant = F.col("owned") | (F.col("expected_points") >= least)
+    if affordable is not None:
+        relevant = F.col("owned") | ((F.col("expected_points") >= least) & F.coalesce(F.col("price") <= affordable, F.lit(True)))
+    rows = players.where(F.col("team_id").isNotNull() & relevant)
+    if "expires_time" in players.columns and at is not None:
+        rows = rows.where(F.coalesce(F.col("expires_time") - F.expr(stale_within) <= at, F.lit(True)))
+    weight = F.col("expected_points") * F.when(F.col("owned"), OWNED_WEIGHT).otherwise(1.0)
+    return rows.groupBy("team_id").agg(F.sum(weight).alias("priority"), F.count(F.lit(1)).alias("players"), F.count_if("owned").alias("owned")).orderBy(F.desc("priority"), "team_id").limit(budget)
 
 
 def purchase_prices(log: DataFrame, opening: DataFrame) -> DataFrame:

@@ -68,14 +68,39 @@ def make_future_records(source: DataFrame, at: Column, order: Sequence[str], n:
 
 def leakage_split(entities: DataFrame, source: DataFrame, most_rows: int = 400, prediction_time: str = "prediction_timestamp", available_time: str = "available_time", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities of the median cutoff, the records up to it and those after it."""
-    cutoffs = [r[0] for r in entities.select(prediction_time).distinct().orderBy(prediction_time).collect()]
-    if not cutoffs:
+    cutoffs = entities.select(prediction_time).distinct()
+    n = cutoffs.count()
+    if not n:
         raise ValueError("no cutoffs")
-    cut = F.lit(cutoffs[len(cutoffs) // 2]).cast(entities.schema[prediction_time].dataType)
+    # One of them comes to the driver, however many there are.
+    middle = cutoffs.orderBy(prediction_time).offset(n // 2).limit(1).first()[0]
+    cut = F.lit(middle).cast(entities.schema[prediction_time].dataType)
     rows = entities.where(F.col(prediction_time) == cut).orderBy(*(order or entities.columns)).limit(most_rows)
     return rows, source.where(F.col(available_time) <= cut), source.where(F.col(available_time) > cut)
 
 
+def prove_program(program, entities: DataFrame, history: DataFrame, row_key: Sequence[str], context=None) -> tuple[bool, tuple[str, ...], str]:
+    """Whether a feature program is free of the future, which checks ran, and why not.
+
+    What can't be checked isn't taken for clean: without records after the median cutoff, or if the program
+    can't be compiled, only the static check counts as run and the proof fails.
+    """
+    from chronofold.plans import compile as programs
+    from chronofold.plans.nodes import ProgramError
+
+    context = context or programs.Context()
+    issues = programs.validate(program, history.columns, entities.columns)
+    if issues:
+        return False, ("static",), f"{issues[0][0]}: {issues[0][1]}"
+    try:
+        rows, source, future = leakage_split(entities, history, prediction_time=context.prediction_time, available_time=context.available_time, order=row_key)
+        build = lambda e, h: programs.compile_programs(e, h, [program], context).select(*row_key, program.name)
+        found = find_leakage(rows, source, future, build, row_key)
+    except (ProgramError, ValueError, KeyError) as problem:
+        return False, ("static",), f"not proven: {problem}"
+    return not found, ("static", "point_in_time"), f"changed by future records: {found}" if found else ""
+
+
 # What is known only after the match.
 FORBIDDEN_PREFIXES = ("label_", "actual_", "target_")
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.functions.scalars import clip
+from chronofold.functions.scalars import band, clip
+from chronofold.operators.metrics import PRICE_BANDS, PRICE_EDGES
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,22 @@ def availability(chance: str = "chance", points: str = "expected_points", sd: st
     return {points: F.col(points) * f, sd: F.col(sd) * (1 + 2 * f * (1 - f))}
 
 
-def price_calibration(bias_by_band: dict[str, float], band: str = "price_band", points: str = "expected_points") -> Column:
-    """Points less the measured mean error of the row's price band."""
-    return F.col(points) - F.coalesce(F.create_map(*[F.lit(x) for pair in bias_by_band.items() for x in pair])[F.col(band)], F.lit(0.0))
+# Mean error (predicted less actual), number of rows and rank correlation by price band, and how they are used.
+PRICE_BAND_ERRORS = {"budget": (-0.141, 18066, 0.67), "mid": (-0.241, 7100, 0.69), "premium": (-0.351, 520, 0.60), "elite": (0.098, 64, 0.31)}
+LEAST_SAMPLE, ORDERED = 100, 0.6
+
+
+def price_calibration(errors: dict[str, tuple[float, int, float]] = PRICE_BAND_ERRORS, price: str = "price", points: str = "expected_points", sd: str = "sd") -> dict[str, Column]:
+    """Points with a band's measured shortfall added back, and a wider spread where the band is hardly put in order.
+
+    Only bands that were predicted too low, on LEAST_SAMPLE rows or more, are added to. Rows without a price
+    stay as they are, and so do points of zero.
+    """
+    shortfall = {b: -bias if bias < 0 and n >= LEAST_SAMPLE else 0.0 for b, (bias, n, _) in errors.items()}
+    wider = {b: 1.0 + max(0.0, ORDERED - max(rho, 0.0)) / ORDERED for b, (_, _, rho) in errors.items()}
+    here = band(F.col(price), PRICE_EDGES, PRICE_BANDS)
+    of_band = lambda table, other: F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[here], F.lit(other))
+    return {points: F.col(points) + F.when(F.abs(points) > 1e-9, of_band(shortfall, 0.0)).otherwise(0.0), sd: F.col(sd) * of_band(wider, 1.0)}
 
 
 def form_factor(signal: Column, most: float = 0.15) -> Column:
@@ -76,9 +90,15 @@ def belief_factor(beliefs: DataFrame, key: str = "player_code", most: float = 0.
     return beliefs.groupBy(key).agg((1 + clip(F.sum(F.col("effect") * weight), -most, most)).alias("belief_factor"))
 
 
-def adjusted(predictions: DataFrame, bias_by_band: dict[str, float]) -> DataFrame:
+def believed(predictions: DataFrame, beliefs: DataFrame, key: str = "player_code") -> DataFrame:
+    """Predictions priced anew by beliefs; ``raw_points`` keeps what they were, players without beliefs stay."""
+    out = predictions.join(belief_factor(beliefs, key), key, "left").withColumn("belief_factor", F.coalesce("belief_factor", F.lit(1.0)))
+    return out.withColumn("raw_points", F.col("expected_points")).withColumn("expected_points", F.col("raw_points") * F.col("belief_factor"))
+
+
+def adjusted(predictions: DataFrame, errors: dict[str, tuple[float, int, float]] = PRICE_BAND_ERRORS) -> DataFrame:
     """The fixed order of adjustments: price, then availability, then form; the raw value stays."""
-    out = predictions.withColumn("raw_points", F.col("expected_points")).withColumn("expected_points", price_calibration(bias_by_band))
+    out = predictions.withColumn("raw_points", F.col("expected_points")).withColumns(price_calibration(errors))
     out = out.withColumns(availability())
     return out.withColumn("expected_points", F.col("expected_points") * form_factor(F.col("form")))
 
@@ -89,9 +109,54 @@ def horizon_value(predictions: DataFrame, start: Column, weeks: int = 5, discoun
     return predictions.where((i >= 0) & (i < weeks)).groupBy("player_code").agg(F.sum(F.col("expected_points") * F.pow(F.lit(discount), i)).alias("horizon_value"))
 
 
-def objective_value(points: Column, sd: Column, ownership: Column, risk: float = 0.0, differential: float = 0.0) -> Column:
-    """Points less what risk costs, plus what low ownership is worth."""
-    return points - risk * sd + differential * (1 - ownership / 100.0)
+@dataclass(frozen=True)
+class Objective:
+    """What a manager is after. ``ownership`` is 1 to hold what others hold, -1 to differ, 0 for neither; ``metric`` is the first aim."""
+
+    uncertainty: float = 0.0
+    ownership: int = 0
+    captaincy: float = 0.0
+    team_value: float = 0.0
+    metric: str = "expected_points"
+
+
+# Fixed values of the objective.
+OWNERSHIP_WEIGHT, CEILING_SPREADS, COMMON_SHARE, RARE_BONUS = 0.5, 1.5, 0.25, 0.3
+
+
+def objective_value(objective: Objective, points: Column, sd: Column, share: Column, *, captain: Column | None = None, p_long: Column | None = None, momentum: Column | None = None) -> Column:
+    """What a player is worth to this objective.
+
+    Spread costs (or, with a negative weight, pays); ownership pays or costs in proportion to points, and
+    nothing where it isn't known; a captain is worth his ceiling if he lasts an hour. The downside aim
+    halves the way to points less a spread, at least 0; the differential aim pays for what few own.
+    """
+    value = points - objective.uncertainty * sd + F.coalesce(objective.ownership * share * points * OWNERSHIP_WEIGHT, F.lit(0.0))
+    if captain is not None and p_long is not None:
+        value = value + F.when(captain, objective.captaincy * ((points + CEILING_SPREADS * sd) * p_long - points)).otherwise(0.0)
+    if momentum is not None:
+        value = value + objective.team_value * F.coalesce(momentum, F.lit(0.0))
+    if objective.metric == "downside_protection":
+        value = 0.5 * value + 0.5 * F.greatest(F.lit(0.0), points - sd)
+    if objective.metric == "differential_yield":
+        value = value * F.coalesce(1 + (1 - F.least(F.lit(1.0), share / COMMON_SHARE)) * RARE_BONUS, F.lit(1.0))
+    return value
+
+
+def horizon_repriced(weekly: DataFrame, predictions: DataFrame, discount: float = 0.85, key: str = "player_code") -> DataFrame:
+    """Predictions worth the discounted sum of their weeks (weekly: key, week from 0, points), their spread grown by 10% a further week.
+
+    Players without weeks stay as they are.
+    """
+    sums = weekly.groupBy(key).agg(F.sum(F.col("points") * F.pow(F.lit(discount), F.col("week"))).alias("_total"), F.count(F.lit(1)).alias("_weeks"))
+    out = predictions.join(sums, key, "left")
+    return out.withColumns({"expected_points": F.coalesce("_total", "expected_points"), "sd": F.col("sd") * (1 + 0.1 * (F.coalesce("_weeks", F.lit(1)) - 1))}).drop("_total", "_weeks")
+
+
+def skill_shrunk(predicted: Column, skill: Column, mean: Column) -> Column:
+    """A prediction drawn to the mean by how little skill its model has shown (held to [0, 1])."""
+    weight = clip(F.coalesce(skill, F.lit(0.0)), 0.0, 1.0)
+    return weight * predicted + (1 - weight) * mean
 
 
 def selling_price(purchase: Column, current: Column, fee: float = 0.5) -> Column:
@@ -160,3 +225,43 @@ def closed_form(frame: DataFrame, league_team_xg: float, rules: Rules = Rules())
     total = expected_points(rules) + RED_RATE * share * rules.per_event["red_cards"]
     out = out.withColumn("expected_points", total)
     return out.withColumn("sd", F.greatest(F.lit(0.5), F.abs("expected_points") * F.col("minutes_sd") / 90.0 + 0.8)).select(*given, "expected_points", "sd")
+
+
+# When form is stale, and the minutes of a match.
+STALE_DAYS, FULL_MATCH = 42.0, 90.0
+
+
+def from_models(frame: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Adds ``expected_points`` and ``sd`` of one match from models' outputs (label_* columns) and the recency features.
+
+    Where form is stale, minutes and starts are at least what the player's record when playing implies.
+    Minutes and start chance come from two models, so they are brought in line before points are put together.
+    """
+    given = frame.columns
+    have = lambda c: F.col(c) if c in given else F.lit(None).cast("double")
+    floor = F.when((have("minutes_when_played_mean_5") > 0) & (have("appearance_rate_10") > 0), have("minutes_when_played_mean_5") * have("appearance_rate_10"))
+    stale = (F.coalesce(have("form_is_stale"), F.lit(0.0)) >= 0.5) | (F.coalesce(have("days_since_last_match"), F.lit(0.0)) >= STALE_DAYS)
+    raised = F.coalesce(stale & (floor > F.col("label_minutes")), F.lit(False))
+    minutes = F.when(raised, floor).otherwise(F.col("label_minutes"))
+    starts = F.when(raised, F.greatest(F.col("label_starts"), F.least(F.lit(1.0), floor / FULL_MATCH))).otherwise(F.col("label_starts"))
+    out = frame.withColumns({"_m": clip(minutes, 0.0, FULL_MATCH), "_s": clip(starts, 0.0, 1.0)})
+    out = out.withColumn("_a", F.greatest(F.col("_s"), F.when(F.col("_m") < 70.0, F.least(F.lit(1.0), F.col("_m") / 70.0)).otherwise(1.0)))
+    hour = F.round(F.greatest(F.lit(0.0), F.least(F.col("_a"), F.col("_s") * 0.9 + F.greatest(F.lit(0.0), (F.col("_m") - 60.0) / 30.0) * 0.1)), 6)
+    positive = lambda c: F.greatest(F.lit(0.0), F.coalesce(have(c), F.lit(0.0)))
+    out = out.withColumn("p_long", hour)
+    out = out.withColumns(
+        {
+            "p_short": F.greatest(F.lit(0.0), F.round("_a", 6) - F.col("p_long")),
+            "expected_goals": positive("label_goals_scored"),
+            "expected_assists": positive("label_assists"),
+            "expected_bonus": positive("label_bonus"),
+            "p_clean_sheet": F.least(F.lit(1.0), positive("label_clean_sheets") * F.col("p_long")),
+            "expected_conceded": positive("label_goals_conceded"),
+            "expected_saves": positive("label_saves"),
+            "expected_yellow": positive("label_yellow_cards"),
+            "p_defensive": F.lit(0.0),
+        }
+    )
+    out = out.withColumn("expected_points", expected_points(rules))
+    minutes_sd = F.round(30.0 * (1.0 - F.abs(F.col("_m") - 45.0) / 45.0) + 6.0, 6)
+    return out.withColumn("sd", F.round(F.greatest(F.lit(0.5), F.abs("expected_points") * (minutes_sd / FULL_MATCH) + 0.8), 6)).select(*given, "expected_points", "sd")

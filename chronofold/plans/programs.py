@@ -19,6 +19,7 @@ def entity(column: str) -> Node:
 
 def seeded() -> list[FeatureProgram]:
     """Fifteen programs over match history and what is known of the coming match."""
+    # Names and trees of the seeded programs.
     trees = {
         "xg_x_expected_minutes": Arith("mul", rate("expected_goals"), rolling("minutes", 5)),
         "xg_x_opponent_weakness": Arith("mul", rate("expected_goals"), entity("opponent_conceded_xg_mean_5")),
@@ -37,3 +38,19 @@ def seeded() -> list[FeatureProgram]:
         "points_ewm_10": EwmMean(Source("total_points"), 10, 3.0),
     }
     return [FeatureProgram(name, root) for name, root in trees.items()]
+
+
+# Mechanisms by which a metric may explain what is left over.
+MECHANISMS = {
+    "x_minutes": lambda m: Arith("mul", rate(m), rolling("minutes", 5)),
+    "x_opponent": lambda m: Arith("mul", rate(m), entity("opponent_conceded_xg_mean_5")),
+    "x_home": lambda m: Arith("mul", rate(m), entity("is_home")),
+    "vs_position": lambda m: GroupRel("zscore", "position", rolling(m, 5)),
+    "trend": lambda m: Trend(Source(m), 5),
+    "ceiling": lambda m: rolling(m, 5, "max"),
+}
+
+
+def residual_programs(metrics: list[str]) -> list[FeatureProgram]:
+    """Each mechanism over each metric."""
+    return [FeatureProgram(f"{m}_{name}", make(m)) for m in metrics for name, make in MECHANISMS.items()]

@@ -84,11 +84,6 @@ def latest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.latest_verdicts(t)
 
 
-def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("team_id"), F.pmod("s_suppkey", F.lit(11)).alias("ownership"))
-    return changes.refresh_plan(t, 8, 3)
-
-
 def live_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").select(F.col("user_id").alias("player_code"), F.col("ts").alias("available_time"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("expires_time"), "event_type")
     return changes.live_signals(t, F.expr("timestamp_ntz '2024-01-15 00:00:00'"))
@@ -137,8 +132,8 @@ def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _predictions(spark, sf_dir).withColumns({"price_band": F.element_at(F.array(F.lit("budget"), F.lit("mid"), F.lit("elite")), (F.pmod("player_code", F.lit(3)) + 1).cast("int")), "chance": F.when(F.col("player_code") % 4 > 0, F.pmod("player_code", F.lit(5)) * 25), "form": F.when(F.col("player_code") % 7 > 0, (F.pmod("player_code", F.lit(9)) - 4) / 10.0)})
-    out = scoring.adjusted(t, {"budget": -0.141, "mid": -0.241, "elite": 0.098})
+    t = _predictions(spark, sf_dir).withColumns({"price": F.when(F.col("player_code") % 6 > 0, 40 + F.pmod("player_code", F.lit(90))), "chance": F.when(F.col("player_code") % 4 > 0, F.pmod("player_code", F.lit(5)) * 25), "form": F.when(F.col("player_code") % 7 > 0, (F.pmod("player_code", F.lit(9)) - 4) / 10.0)})
+    out = scoring.adjusted(t)
     out = out.groupBy("player_code").agg(F.sum("raw_points").alias("raw_points"), F.sum("expected_points").alias("expected_points"), F.sum("sd").alias("sd"))
     return rounded(out, "raw_points", "expected_points", "sd")
 
@@ -159,15 +154,15 @@ def transfer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifteen parts a squad, by supplier; positions by place."""
-    w = Window.partitionBy("squad_id").orderBy("player_code")
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("squad_id"), F.col("l_partkey").alias("player_code")).distinct().withColumn("place", F.row_number().over(w)).where("place <= 15")
-    position = F.when(F.col("place") <= 2, "GKP").when(F.col("place") <= 7, "DEF").when(F.col("place") <= 12, "MID").otherwise("FWD")
-    return t.withColumn("position", position).withColumn("team_id", F.pmod("player_code", F.lit(9))).withColumn("price", 40 + F.pmod("player_code", F.lit(60))).withColumn("expected_points", F.pmod(F.col("player_code") * 7, F.lit(101)) / 10.0)
+    """All parts in squads of fifteen (the last one is short); positions by place."""
+    k = F.col("p_partkey")
+    place = (F.pmod(k, F.lit(15)) + 1).cast("int")
+    position = F.when(place <= 2, "GKP").when(place <= 7, "DEF").when(place <= 12, "MID").otherwise("FWD")
+    return table(spark, sf_dir, "part").select(F.floor(k / 15).alias("squad_id"), k.alias("player_code"), place.alias("place"), position.alias("position"), F.pmod(k * k, F.lit(9)).alias("team_id"), (40 + F.pmod(k * 3, F.lit(61))).alias("price"), (F.pmod(k * 7, F.lit(101)) / 10.0).alias("expected_points"))
 
 
-SQUAD_SQL = """sq AS (SELECT squad_id, player_code, place, CASE WHEN place <= 2 THEN 'GKP' WHEN place <= 7 THEN 'DEF' WHEN place <= 12 THEN 'MID' ELSE 'FWD' END AS position, player_code % 9 AS team_id, 40 + player_code % 60 AS price, (player_code * 7) % 101 / 10.0 AS expected_points
- FROM (SELECT *, row_number() OVER (PARTITION BY squad_id ORDER BY player_code) AS place FROM (SELECT DISTINCT l_suppkey AS squad_id, l_partkey AS player_code FROM lineitem)) WHERE place <= 15)"""
+SQUAD_SQL = """sq AS (SELECT p_partkey // 15 AS squad_id, p_partkey AS player_code, p_partkey % 15 + 1 AS place, CASE WHEN p_partkey % 15 < 2 THEN 'GKP' WHEN p_partkey % 15 < 7 THEN 'DEF' WHEN p_partkey % 15 < 12 THEN 'MID' ELSE 'FWD' END AS position,
+  (p_partkey * p_partkey) % 9 AS team_id, 40 + (p_partkey * 3) % 61 AS price, (p_partkey * 7) % 101 / 10.0 AS expected_points FROM part)"""
 
 
 def legality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,12 +177,6 @@ def best_eleven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(squads.best_eleven(squad_rows(spark, sf_dir)).select("squad_id", "total"), "total")
 
 
-def single_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = squad_rows(spark, sf_dir)
-    pool = s.select("player_code", "position", "team_id", "price", "expected_points").distinct()
-    return rounded(squads.single_transfers(s, pool, bank=5), "gain")
-
-
 def autosubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = squad_rows(spark, sf_dir)
     order = Window.partitionBy("squad_id").orderBy(F.when((F.col("place") % 5) == 2, 1).otherwise(0), "place")
@@ -210,11 +199,6 @@ def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squads.build_entities(players, _fixtures(spark, sf_dir), F.lit("2024-01-01")).groupBy("player_code", "gameweek_id").agg(F.max("fixture_index").alias("last_index"), F.max("fixture_count").alias("fixture_count"))
 
 
-def history_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coming = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_code"), F.pmod("c_custkey", F.lit(20)).alias("opponent_team_id"), F.expr("timestamp_ntz '2000-01-01 00:00:00'").alias("prediction_timestamp"))
-    return rounded(squads.history_notes(order_history(spark, sf_dir), coming), "points_against", "points_mean")
-
-
 def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return rounded(embeddings.comparables(t, "vec_id", "label", "v"), "d2")
@@ -239,7 +223,7 @@ def fitted_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.assign(out, centroids).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg("distance_to_centroid").alias("mean_distance"))
 
 
-QUERIES = {f.__name__: f for f in (conform, json_props, upsert, coverage, hazards, sql_parameters, club_ids, first_attributes, season_attribute, snapshot_diff, event_materiality, latest_verdicts, refresh_plan, live_signals, purchase_prices, realised_points, combine_fixtures, horizon, adjusted, beliefs, selling, transfer_ledger, legality, formations, best_eleven, single_transfers, autosubs, fixture_run, entity_rows, history_notes, comparables, memberships, rand_index, fitted_embedding)}
+QUERIES = {f.__name__: f for f in (conform, json_props, upsert, coverage, hazards, sql_parameters, club_ids, first_attributes, season_attribute, snapshot_diff, event_materiality, latest_verdicts, live_signals, purchase_prices, realised_points, combine_fixtures, horizon, adjusted, beliefs, selling, transfer_ledger, legality, formations, best_eleven, autosubs, fixture_run, entity_rows, comparables, memberships, rand_index, fitted_embedding)}
 
 _PREDS = "p AS (SELECT l_partkey % 500 AS player_code, l_orderkey % 10 AS gameweek_id, l_quantity / 10 AS ep, l_discount * 10 + 0.5 AS sd FROM lineitem)"
 _DIFF = f"""WITH {_SNAP.format(i=0)}, {_SNAP.format(i=1)}, b AS (SELECT coalesce(s0.code, s1.code) AS code, s0.code IS NULL AS came, s1.code IS NULL AS went, s0.status AS st0, s1.status AS st1, s0.chance AS c0, s1.chance AS c1, s0.news AS n0, s1.news AS n1, s0.price AS p0, s1.price AS p1,
@@ -265,15 +249,15 @@ SELECT h.player_code, h.season, h.fixture_id, coalesce(a.p, l.p) AS position FRO
     "event_materiality": f"""{_DIFF} SELECT code, kind, CASE WHEN code % 100 = 0 THEN 'critical' WHEN (code % 40) / 10.0 >= 2.0 OR (code % 60) / 10.0 >= 4.5 THEN 'material' ELSE 'minor' END AS materiality,
  CASE WHEN kind = 'availability' THEN sign(CASE after WHEN 'a' THEN 3 WHEN 'd' THEN 2 ELSE 1 END - CASE before WHEN 'a' THEN 3 WHEN 'd' THEN 2 ELSE 1 END)::INT END AS direction FROM e""",
     "latest_verdicts": "SELECT o_custkey AS feature, o_orderpriority AS objective, date_trunc('month', o_orderdate)::TIMESTAMP AS evaluated_at, o_orderstatus AS verdict, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY date_trunc('month', o_orderdate) DESC, o_orderstatus DESC, o_orderkey DESC) = 1",
-    "refresh_plan": "SELECT s_nationkey AS team_id, sum(s_suppkey % 11)::BIGINT AS weight, count(*) AS players FROM supplier WHERE s_suppkey % 11 >= 3 GROUP BY ALL ORDER BY weight DESC, team_id LIMIT 8",
     "live_signals": "SELECT user_id AS player_code, ts AS available_time, ts + INTERVAL 2 DAY AS expires_time, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 2 DAY > TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1",
     "purchase_prices": """WITH l AS (SELECT o_custkey AS owner, o_orderkey % 3 AS element, arg_max(CASE WHEN o_orderkey % 5 < 3 THEN 'buy' ELSE 'sell' END, o_orderkey) AS kind, arg_max(o_orderkey % 100, o_orderkey) AS price FROM orders GROUP BY ALL), o AS (SELECT c_custkey AS owner, c_custkey % 3 AS element FROM customer)
 SELECT coalesce(o.owner, l.owner) AS owner, coalesce(o.element, l.element) AS element, coalesce(l.price, 55) AS purchase_price FROM o FULL JOIN l ON o.owner = l.owner AND o.element = l.element WHERE l.kind IS NULL OR l.kind = 'buy'""",
     "realised_points": _points_sql(),
     "combine_fixtures": f"WITH {_PREDS} SELECT player_code, gameweek_id, round(sum(ep), 6) AS expected_points, round(sqrt(sum(sd * sd)), 6) AS sd, count(*) AS fixtures FROM p GROUP BY ALL",
     "horizon": f"WITH {_PREDS} SELECT player_code, round(sum(ep * power(0.85, gameweek_id - 2)), 6) AS horizon_value FROM p WHERE gameweek_id BETWEEN 2 AND 6 GROUP BY ALL",
-    "adjusted": f"""WITH {_PREDS}, a AS (SELECT *, coalesce(CASE WHEN player_code % 4 > 0 THEN player_code % 5 * 25 END / 100.0, 1.0) AS f, 1 + greatest(-0.15, least(0.15, coalesce(CASE WHEN player_code % 7 > 0 THEN (player_code % 9 - 4) / 10.0 END, 0))) AS g, CASE player_code % 3 WHEN 0 THEN -0.141 WHEN 1 THEN -0.241 ELSE 0.098 END AS b FROM p)
-SELECT player_code, round(sum(ep), 6) AS raw_points, round(sum((ep - b) * f * g), 6) AS expected_points, round(sum(sd * (1 + 2 * f * (1 - f))), 6) AS sd FROM a GROUP BY ALL""",
+    "adjusted": f"""WITH {_PREDS}, a AS (SELECT *, CASE WHEN player_code % 6 > 0 THEN 40 + player_code % 90 END AS price, coalesce(CASE WHEN player_code % 4 > 0 THEN player_code % 5 * 25 END / 100.0, 1.0) AS f, 1 + greatest(-0.15, least(0.15, coalesce(CASE WHEN player_code % 7 > 0 THEN (player_code % 9 - 4) / 10.0 END, 0))) AS g FROM p),
+ m AS (SELECT *, CASE WHEN price IS NULL OR abs(ep) <= 1e-9 THEN 0 WHEN price < 55 THEN 0.141 WHEN price < 80 THEN 0.241 WHEN price < 110 THEN 0.351 ELSE 0 END AS add, CASE WHEN price >= 110 THEN 1 + (0.6 - 0.31) / 0.6 ELSE 1 END AS wider FROM a)
+SELECT player_code, round(sum(ep), 6) AS raw_points, round(sum((ep + add) * f * g), 6) AS expected_points, round(sum(sd * wider * (1 + 2 * f * (1 - f))), 6) AS sd FROM m GROUP BY ALL""",
     "beliefs": "SELECT user_id AS player_code, round(1 + greatest(-0.25, least(0.25, sum((event_id % 7 - 3) / 100.0 * power(0.5, (event_id % 6) / 2.0)))), 6) AS belief_factor FROM events GROUP BY ALL",
     "selling": "SELECT p_partkey, CASE WHEN (p_partkey * 3) % 50 > p_partkey % 40 THEN p_partkey % 40 + floor(((p_partkey * 3) % 50 - p_partkey % 40) * 0.5)::BIGINT ELSE (p_partkey * 3) % 50 END AS price FROM part",
     "legality": f"""WITH {SQUAD_SQL}, c AS (SELECT squad_id, max(n) AS most FROM (SELECT squad_id, team_id, count(*) AS n FROM sq GROUP BY ALL) GROUP BY ALL),
@@ -284,21 +268,16 @@ SELECT squad_id, coalesce(array_to_string(list_sort(l), ','), '') AS issues FROM
     "best_eleven": f"""WITH {SQUAD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY squad_id, position ORDER BY expected_points DESC, player_code) AS k FROM sq), f AS (SELECT d, m, f FROM range(3, 6) a(d), range(2, 6) b(m), range(1, 4) c(f) WHERE 1 + d + m + f = 11),
  t AS (SELECT squad_id, d, m, f, sum(expected_points) + max(expected_points) AS total, count(*) AS n FROM r, f WHERE k <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m ELSE f END GROUP BY ALL)
 SELECT squad_id, round(max(total), 6) AS total FROM t WHERE n = 11 GROUP BY ALL""",
-    "single_transfers": f"""WITH {SQUAD_SQL}, pool AS (SELECT DISTINCT player_code, position, team_id, price, expected_points FROM sq), held AS (SELECT squad_id, team_id, count(*) AS n FROM sq GROUP BY ALL)
-SELECT s.squad_id, s.player_code AS out_code, p.player_code AS in_code, round(p.expected_points - s.expected_points, 6) AS gain, row_number() OVER w::INT AS place FROM sq s JOIN pool p ON p.position = s.position AND p.price <= s.price + 5 AND p.expected_points > s.expected_points
-LEFT JOIN held h ON h.squad_id = s.squad_id AND h.team_id = p.team_id WHERE NOT EXISTS (SELECT 1 FROM sq o WHERE o.squad_id = s.squad_id AND o.player_code = p.player_code) AND coalesce(h.n, 0) - (s.team_id = p.team_id)::INT < 3
-WINDOW w AS (PARTITION BY s.squad_id, s.player_code ORDER BY p.expected_points - s.expected_points DESC, p.player_code) QUALIFY row_number() OVER w <= 5""".replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"),
     "fixture_run": f"""WITH {_FIX}, g AS (SELECT team, w.w AS gw FROM (SELECT DISTINCT team FROM sd), range(36, 41) w(w)), e AS (SELECT team, gw, count(*) AS n, sum(d) AS d FROM sd GROUP BY ALL)
 SELECT g.team AS team_id, sum(coalesce(n, 0))::BIGINT AS matches, count(*) FILTER (WHERE n IS NULL) AS blanks, count(*) FILTER (WHERE n > 1) AS doubles, round(sum(d) / sum(n), 6) AS mean_difficulty FROM g LEFT JOIN e USING (team, gw) GROUP BY ALL""",
     "entity_rows": f"WITH {_FIX} SELECT s_suppkey AS player_code, gw AS gameweek_id, (greatest(count(id), 1) - 1)::INT AS last_index, count(id) AS fixture_count FROM supplier LEFT JOIN sd ON sd.team = s_suppkey % 25 GROUP BY ALL",
-    "history_notes": f"""WITH {ORDER_SQL} SELECT h.player_code, TIMESTAMP '2000-01-01' AS prediction_timestamp, count(*) FILTER (WHERE opponent_team_id = h.player_code % 20) AS meetings, round(avg(total_points) FILTER (WHERE opponent_team_id = h.player_code % 20), 6) AS points_against,
- round(avg(total_points), 6) AS points_mean, max(total_points) FILTER (WHERE opponent_team_id = h.player_code % 20) AS best_against FROM hist h WHERE available_time < TIMESTAMP '2000-01-01' GROUP BY ALL""",
     "comparables": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)]) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT vec_id, other, (row_number() OVER (PARTITION BY vec_id ORDER BY d, other))::INT AS place, round(d, 6) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, other) <= 4""",
-    "memberships": """WITH d AS (SELECT p_partkey, [(p_size / 10.0 - x) ** 2 + (p_retailprice / 1000.0 - y) ** 2 FOR x, y IN [1.0, 3.0, 4.5]] AS d FROM part)
-SELECT 1""",
     "rand_index": """WITH c AS (SELECT p_size % 4 AS a, p_partkey % 3 AS b, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT (SELECT sum(n) FROM c) AS n, (SELECT sum(n * (n - 1) / 2.0) FROM c) AS s, (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS ra, (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS rb)
 SELECT round((n * (n - 1) / 2.0 + 2 * s - ra - rb) / (n * (n - 1) / 2.0), 6) AS rand_index FROM s""",
 }
+ORACLE["transfer_ledger"] = """WITH RECURSIVE t AS (SELECT o_custkey AS owner, month(o_orderdate)::BIGINT AS w, count(*) AS n FROM orders GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY w) AS k FROM t),
+ r AS (SELECT owner, w, n, k, 1 AS free FROM i WHERE k = 1 UNION ALL SELECT i.owner, i.w, i.n, i.k, least(5, greatest(0, r.free - r.n) + 1)::INT FROM r JOIN i ON i.owner = r.owner AND i.k = r.k + 1)
+SELECT owner, w AS gameweek_id, n AS transfers, free::INT AS free, (greatest(0, n - free) * 4)::BIGINT AS hits FROM r"""
 ORACLE["memberships"] = """WITH d AS (SELECT p_partkey, (p_size / 10.0 - 1.0) ** 2 + (p_retailprice / 1000.0 - 1.0) ** 2 AS a, (p_size / 10.0 - 3.0) ** 2 + (p_retailprice / 1000.0 - 1.5) ** 2 AS b, (p_size / 10.0 - 4.5) ** 2 + (p_retailprice / 1000.0 - 1.0) ** 2 AS c FROM part),
  m AS (SELECT *, least(a, b, c) AS m FROM d) SELECT p_partkey, CASE WHEN a = m THEN 0 WHEN b = m THEN 1 ELSE 2 END AS cluster_id, round(sqrt(m), 6) AS distance, round(exp(-(b - m) / 0.5) / (exp(-(a - m) / 0.5) + exp(-(b - m) / 0.5) + exp(-(c - m) / 0.5)), 6) AS second FROM m"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronofold.queries import asof, decisions, domain, evaluation, families, statistics
+from chronofold.queries import asof, decisions, domain, evaluation, families, market, statistics
 
-_MODULES = [asof, families, statistics, domain, decisions, evaluation]
+_MODULES = [asof, families, statistics, domain, market, decisions, evaluation]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.sources.schema import CANONICAL, conform
+from chronofold.sources.schema import CANONICAL, conform, struct
 
 # Fixed values.
 POSITIONS = {1: "GKP", 2: "DEF", 3: "MID", 4: "FWD"}
@@ -120,6 +120,69 @@ def relabelled(position: Column) -> Column:
     return F.when(position == "GK", "GKP").otherwise(position)
 
 
+# Columns of a season's archive files.
+ARCHIVE = {
+    "matches": "element long, name string, position string, team string, round long, fixture long, opponent_team long, was_home boolean, minutes long, starts long, goals_scored long, assists long, clean_sheets long, goals_conceded long, saves long, yellow_cards long, red_cards long, own_goals long, penalties_saved long, penalties_missed long, bonus long, bps long, total_points long, expected_goals double, expected_assists double, expected_goal_involvements double, expected_goals_conceded double, value long, selected long, transfers_in long, transfers_out long, transfers_balance long, influence double, creativity double, threat double, ict_index double, kickoff_time string",
+    "players": "id long, code long, web_name string, first_name string, second_name string, element_type int, team long, now_cost long",
+}
+
+
+def read_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A season's CSV files (``matches`` or ``players``) by their header's names; values that can't be read are null, rows stay.
+
+    Columns are found by name, so their order and further ones don't matter; absent ones are null.
+    """
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return conform(raw, struct(ARCHIVE[kind].replace(" int", " long")))
+
+
+def backfill(seasons: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Seasons of (archive rows, elements) as one table, and a row a season of what was left out and why."""
+    kept = counts = None
+    for season, (rows, elements) in sorted(seasons.items()):
+        some, why = archive_season(rows, elements, season)
+        why = why.withColumn("season", F.lit(season))
+        kept, counts = (some, why) if kept is None else (kept.unionByName(some), counts.unionByName(why))
+    return kept, counts
+
+
+def tag_payloads(payloads: DataFrame, key: str = "element_id", body: str = "payload") -> DataFrame:
+    """JSON bodies with their key inside (``_element_id``), as the source's bodies don't say whom they describe."""
+    return payloads.withColumn(body, F.concat(F.lit('{"_element_id":'), F.col(key).cast("string"), F.when(F.regexp_replace(body, r"\s", "") == "{}", "").otherwise(","), F.regexp_replace(body, r"^\s*\{", "")))
+
+
+def latest_summaries(snapshots: DataFrame, match: str, body: str = "payload", available: str = "available_time") -> DataFrame:
+    """Match rows of each key's newest tagged body (``match``: DDL of one row of its ``history``); keys never seen give none."""
+    parsed = snapshots.withColumn("_p", F.from_json(body, f"_element_id long, history array<struct<{match}>>"))
+    newest = parsed.groupBy(F.col("_p._element_id").alias("element_id")).agg(F.max_by("_p.history", F.struct(available, body)).alias("h")).where("element_id IS NOT NULL")
+    return newest.select("element_id", F.explode("h").alias("r")).select("element_id", "r.*")
+
+
+def read_squad(spark: SparkSession, path: str) -> DataFrame:
+    """Picks of a squad file: element, position, purchase price and who leads."""
+    payload = spark.read.schema("picks array<struct<element: long, position: int, purchase_price: long, is_captain: boolean, is_vice_captain: boolean>>").option("multiLine", True).json(path)
+    return payload.select(F.explode("picks").alias("p")).select("p.*")
+
+
+def mapped_clubs(frame: DataFrame, clubs: DataFrame, name: str = "team_name") -> tuple[DataFrame, DataFrame]:
+    """The frame with ``team_id`` by club name, and one row: how many rows met no club, and their share."""
+    out = frame.join(F.broadcast(clubs.select(name, "team_id")), name, "left")
+    missing = F.count_if(F.col("team_id").isNull())
+    return out, out.agg(missing.alias("unmapped"), F.try_divide(missing, F.count(F.lit(1))).alias("share"))
+
+
+def population_means(frame: DataFrame, columns: list[str], points: str = "expected_points", price: str = "price") -> DataFrame:
+    """One row: the mean of each column over its values, and the mean of points per million over those with a price."""
+    efficiency = F.avg(F.when(F.col(price) > 0, F.col(points) / (F.col(price) / 10.0)))
+    return frame.agg(*(F.avg(c).alias(f"{c}_mean") for c in columns), efficiency.alias("points_per_million"))
+
+
+def ownership_before(players: DataFrame, stats: DataFrame, season: str, gameweek: int, selected: str = "selected") -> DataFrame:
+    """Players with what was owned of them in the gameweek before (0 if nothing): that week's own figure comes after its deadline."""
+    prior = stats.where((F.col("season") == season) & (F.col("gameweek_id") == gameweek - 1)).groupBy("player_code").agg(F.max(selected).alias("_s"))
+    return players.join(prior, "player_code", "left").withColumn("selected", F.coalesce("_s", F.lit(0))).drop("_s")
+
+
 def club_ids(rows: DataFrame, name: str = "team_name") -> DataFrame:
     """Clubs numbered from 1 by name."""
     from pyspark.sql import Window

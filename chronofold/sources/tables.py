@@ -18,6 +18,14 @@ def check_identifier(name: str) -> str:
     return name
 
 
+_NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def _wider(a: str, b: str) -> str:
+    """The type that holds values of both: the wider number, else text."""
+    return _NUMBERS[max(_NUMBERS.index(a), _NUMBERS.index(b))] if a in _NUMBERS and b in _NUMBERS else "string"
+
+
 class TableStore(Protocol):
     """What both stores offer."""
 
@@ -50,18 +58,45 @@ class ParquetStore:
         return hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
     def write_table(self, name: str, frame: DataFrame) -> None:
-        """Replace a table. The new files are complete before the old ones go, so a frame may read what it replaces."""
-        path, staged = self._path(name), f"{self.root}/_staged_{check_identifier(name)}"
+        """Replace a table. A frame may read what it replaces.
+
+        The new files are complete and the old ones set aside before the new ones take the name, so that a
+        crash at any point leaves one whole table: ``read_table`` and the next write take up what is set aside.
+        """
+        path, staged, old = (f"{self.root}/{prefix}{check_identifier(name)}" for prefix in ("", "_staged_", "_old_"))
+        self._recover(name)
         frame.write.mode("overwrite").parquet(staged)
         fs, target = self._fs(path)
-        fs.delete(target, True)
-        fs.rename(self._fs(staged)[1], target)
+        aside = self._fs(old)[1]
+        if fs.exists(target) and not fs.rename(target, aside):
+            raise OSError(f"could not set {path} aside")
+        if not fs.rename(self._fs(staged)[1], target):
+            raise OSError(f"could not name {path}")
+        fs.delete(aside, True)
+
+    def _recover(self, name: str) -> None:
+        """Undo or finish a replacement that a crash cut short."""
+        fs, target = self._fs(self._path(name))
+        aside = self._fs(f"{self.root}/_old_{check_identifier(name)}")[1]
+        if fs.exists(aside):
+            if fs.exists(target):
+                fs.delete(aside, True)
+            else:
+                fs.rename(aside, target)
 
     def append_table(self, name: str, frame: DataFrame) -> None:
-        """Add rows; readers merge the schemas of all files, so absent columns are null."""
+        """Add rows; new columns are null in old rows. Where a column's type changes to a wider one, the old rows are cast."""
+        if self.table_exists(name):
+            have = self.read_table(name)
+            kinds = dict(have.dtypes)
+            changed = {c: _wider(kinds[c], k) for c, k in frame.dtypes if c in kinds and kinds[c] != k}
+            frame = frame.withColumns({c: F.col(c).cast(k) for c, k in changed.items()})
+            if any(kinds[c] != k for c, k in changed.items()):
+                self.write_table(name, have.withColumns({c: F.col(c).cast(k) for c, k in changed.items()}))
         frame.write.mode("append").parquet(self._path(name))
 
     def read_table(self, name: str) -> DataFrame:
+        self._recover(name)
         if not self.table_exists(name):
             raise KeyError(name)
         return self.spark.read.option("mergeSchema", "true").parquet(self._path(name))
@@ -131,6 +166,58 @@ def training_manifest_hash(frame: DataFrame, season: str = "season", gameweek: s
     return hashlib.sha256(json.dumps({**row.asDict(), "types": frame.dtypes}, sort_keys=True).encode()).hexdigest()
 
 
+def write_importance(store: ParquetStore, name: str, frame: DataFrame) -> None:
+    store.write_table(name, frame)
+
+
+def read_importance(store: ParquetStore, name: str) -> DataFrame:
+    """An importance table; one from before positions were told apart is the pooled slice ("ALL"), with no rows counted."""
+    frame = store.read_table(name)
+    missing = {c: v for c, v in (("position", F.lit("ALL")), ("rows_measured", F.lit(0).cast("long"))) if c not in frame.columns}
+    return frame.withColumns(missing) if missing else frame
+
+
+class RunStore:
+    """Results of an experiment's units, one folder a unit, so that a run can be taken up where it stopped."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, unit: str) -> str:
+        return f"{self.root}/unit={check_identifier(unit)}"
+
+    def write_run(self, unit: str, frame: DataFrame) -> None:
+        """Keep a unit's rows. Spark marks a folder when all of it is written; without the mark it doesn't count."""
+        frame.write.mode("overwrite").parquet(self._path(unit))
+
+    def _done(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        marks = jvm.org.apache.hadoop.fs.Path(f"{self.root}/unit=*/_SUCCESS")
+        found = marks.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+        return sorted(s.getPath().getParent().getName().removeprefix("unit=") for s in found or [])
+
+    def read_run(self, unit: str, schema: str) -> DataFrame | None:
+        """A unit's rows, or nothing where it isn't complete."""
+        return self.spark.read.schema(schema).parquet(self._path(unit)) if unit in self._done() else None
+
+    def completed_units(self) -> DataFrame:
+        return self.spark.createDataFrame([(u,) for u in self._done()], "unit string")
+
+
+def plan_units(policies: DataFrame, squads: DataFrame, windows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The grid of an experiment's units: policy (with ``stochastic``) x squad x window, and x seed only where chance is in it."""
+    grid = policies.crossJoin(F.broadcast(squads)).crossJoin(F.broadcast(windows))
+    drawn = grid.where("stochastic").crossJoin(F.broadcast(seeds))
+    fixed = grid.where("NOT stochastic").withColumn("seed", F.lit(None).cast(seeds.schema["seed"].dataType))
+    both = fixed.unionByName(drawn)
+    return both.withColumn("unit", F.concat_ws("_", F.lit("u"), "policy", F.col("squad").cast("string"), "window", F.coalesce(F.col("seed").cast("string"), F.lit("any"))))
+
+
+def open_units(units: DataFrame, completed: DataFrame) -> DataFrame:
+    """The units that are still to be run."""
+    return units.join(completed.select("unit"), "unit", "left_anti")
+
+
 def coverage(frame: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: share of rows with a value, and whether it is constant."""
     aggregates = [a for c in columns for a in (F.count(c).alias(f"n_{c}"), F.count_distinct(c).alias(f"d_{c}"))]

@@ -27,7 +27,7 @@ def duck():
 
 def same(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6)
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
     return a == b
 
 

@@ -92,12 +92,34 @@ def test_ledger_and_prices(spark):
     assert changes.rule_drift({"a": {"b": 1}, "c": 2}, {"a": {"b": 3}, "c": 2}) == [("a.b", 1, 3)]
 
 
-def test_substitutes_keep_the_shape():
+def substitute(picks):
+    """Automatic substitutions of one squad and week, one absent starter after the other."""
+    bounds = {"GKP": (1, 1), "DEF": (3, 5), "MID": (2, 5), "FWD": (1, 3)}
+    picks = sorted(picks, key=lambda p: p["place"])
+    field = [p for p in picks if p["place"] <= 11]
+    for absent in [p for p in field if p["minutes"] == 0]:
+        for sub in picks[11:]:
+            trial = [p for p in field if p is not absent] + [sub]
+            if sub["minutes"] > 0 and sub not in field and all(low <= sum(p["position"] == k for p in trial) <= high for k, (low, high) in bounds.items()):
+                field = trial
+                break
+    lead = [p for p in field if p["is_captain"] and p["minutes"] > 0] or [p for p in field if p["is_vice"] and p["minutes"] > 0]
+    return {p["place"]: (2 if lead and p is lead[0] else 1) if p in field else 0 for p in picks}
+
+
+def test_substitutes_keep_the_shape(spark):
     positions = ["GKP"] + ["DEF"] * 3 + ["MID"] * 5 + ["FWD"] * 2 + ["GKP", "FWD", "DEF", "DEF"]
-    picks = [{"place": k + 1, "position": p, "minutes": 90, "is_captain": k == 9, "is_vice": k == 8} for k, p in enumerate(positions)]
-    picks[1]["minutes"] = picks[9]["minutes"] = 0
-    out = {p["place"]: p["multiplier"] for p in squads.substitute(picks)}
-    assert out[2] == 0 and out[10] == 0 and out[14] == 1 and out[13] == 1 and out[12] == 0 and out[9] == 2
+    rng, rows = np.random.default_rng(0), []
+    for squad in range(40):
+        absent = rng.random(15) < (0.3 if squad else 0)
+        rows += [(squad, 1, k + 1, p, 0 if absent[k] else 90, k == 9, k == 8) for k, p in enumerate(positions)]
+    table = spark.createDataFrame(rows, "squad_id int, gameweek_id int, place int, position string, minutes int, is_captain boolean, is_vice boolean")
+    out = squads.autosubs(table)
+    assert out.columns == [*table.columns, "multiplier"]
+    got = {(r.squad_id, r.place): r.multiplier for r in out.collect()}
+    for squad in range(40):
+        picks = [dict(zip(table.columns, r, strict=True)) for r in rows if r[0] == squad]
+        assert {p: got[squad, p] for p in range(1, 16)} == substitute(picks), squad
 
 
 def test_distribution_scores(spark):
