@@ -53,8 +53,10 @@ PIVOTS = 3
 PARTS = (("s", "n", "pos"), ("s", "n"))
 #: Entries of a list that lie in one cell, and partners of one set that are compared in one.
 CELL, PARTNERS = 512, 256
+#: Cells that the copies of one set are dealt to.
+COPY_CELLS = 64
 #: Tables up to this size in memory are broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 #: A set's row: its number, its doc_id and text hash, and whether that doc_id is null or has several rows.
 KEY = ["rid", "k_doc", "k_h", "many"]
 _LOW_LIMIT = np.uint64(int(LOW * 2**64))
@@ -259,14 +261,15 @@ def _verified(texts: Texts, keys: DataFrame, pairs: DataFrame, percent: int) ->
     sets, sets_path = storage.materialise(texts.whole_sets(_small(ids, ids_path)), "pair-sets")
     # A pivot may have any number of partners; they meet copies of its set, one for each PARTNERS of them.
     copies = F.ceil(F.col("count") / PARTNERS).cast("int").alias("copies")
+    fits = storage.fits(pairs, pairs_path, BROADCAST_BYTES)
     hot, hot_path = storage.materialise(pairs.groupBy("b").count().where(F.col("count") > PARTNERS).select("b", copies), "hot-sets")
     hot = _small(hot, hot_path)
-    dealt = _small(pairs, pairs_path).join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
     left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left")
     right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    joined = left.join(dealt, "a").join(right, ["b", "copy"])
+    joined = left.join(F.broadcast(dealt) if fits else dealt, "a").join(right, ["b", "copy"])
     found, _ = storage.materialise(joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "set-links")
     for path in (pairs_path, ids_path, sets_path, hot_path):
         storage.remove(texts.docs.sparkSession, path)
@@ -285,10 +288,13 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
     for path in (indexed_path, lists_path):
         storage.remove(spark, path)
     ids, _ = storage.materialise(unique.select(*KEY).join(active.select("rid").distinct(), "rid"), "index-ids")
-    in_lists = active.groupBy("rid").agg(F.count(F.lit(1)).alias("lists"))
-    active, next_path = storage.materialise(active.join(in_lists, "rid"), "index-entries")
-    storage.remove(spark, active_path)
-    active_path, component = next_path, ids.select("rid", F.col("rid").alias("component"))
+    in_lists, in_lists_path = storage.materialise(active.groupBy("rid").agg(F.count(F.lit(1)).alias("lists")), "index-counts")
+    active, next_path = storage.materialise(active.join(_small(in_lists, in_lists_path), "rid"), "index-entries")
+    for path in (active_path, in_lists_path):
+        storage.remove(spark, path)
+    active_path = next_path
+    component, component_path = storage.materialise(ids.select("rid", F.col("rid").alias("component")), "set-components")
+    component = _small(component, component_path)
 
     def merge(found: DataFrame, component: DataFrame) -> DataFrame:
         """Components after these links."""
@@ -296,7 +302,7 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
         contracted = found.join(c1, "a").join(c2, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = connected_components(contracted).select(F.col("v").alias("component"), F.col("component").alias("merged"))
         joined = component.join(merged, "component", "left").select("rid", F.coalesce("merged", "component").alias("component"))
-        return storage.materialise(joined, "set-components")[0]
+        return _small(*storage.materialise(joined, "set-components"))
 
     def meetings(parts: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         """Entries beside the pivot of their part of a list, and the pairs of them that can link."""
@@ -357,8 +363,12 @@ def _grouped(docs: DataFrame, words: int, percent: int, documents: bool) -> tupl
     repeated, repeated_path = storage.materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
     any_repeated = bool(repeated.limit(1).count())
     some = summaries.where("n > 0")
-    equal = some.groupBy("hi", "lo", "n").agg(F.min("rid").alias("set"))
-    copies, copies_path = storage.materialise(some.select("rid", "hi", "lo", "n").join(equal, ["hi", "lo", "n"]).where("rid <> set").select("rid", "set"), "equal-sets")
+    # Copies of one set lie in cells, so that a large group of them is no one task's work.
+    celled = some.select("rid", "hi", "lo", "n", F.pmod(F.xxhash64("rid"), F.lit(COPY_CELLS)).cast("int").alias("cell"))
+    in_cells = celled.groupBy("hi", "lo", "n", "cell").agg(F.min("rid").alias("set"), F.count(F.lit(1)).alias("rows"))
+    equal = in_cells.groupBy("hi", "lo", "n").agg(F.min("set").alias("set"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
+    known_cells = in_cells.select("hi", "lo", "n", "cell").join(equal, ["hi", "lo", "n"])
+    copies, copies_path = storage.materialise(celled.join(known_cells, ["hi", "lo", "n", "cell"]).where("rid <> set").select("rid", "set"), "equal-sets")
     small_copies = _small(copies.select(F.col("rid").alias("copy")), copies_path)
     unique = some.join(small_copies, F.col("rid") == F.col("copy"), "left_anti").select("rid", F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"), "n", "low")
     many = F.col("k_doc").isNull()
