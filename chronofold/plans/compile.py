@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -115,7 +116,13 @@ def _temporal(node: N.Node, history: WindowSpec) -> Column:
 _TEMPORAL = (N.Rolling, N.Lag, N.EwmMean, N.Trend, N.ShrunkRate)
 
 
-def compile_programs(entities: DataFrame, history: DataFrame, programs: Sequence[N.FeatureProgram], context: Context = Context()) -> DataFrame:
+class Stager(Protocol):
+    """How windowed columns of the history reach entity rows: ``attach`` by default, or what a caller brings."""
+
+    def __call__(self, entities: DataFrame, source: DataFrame, features: dict[str, Column], entity_keys: Sequence[str], history: WindowSpec, *, prediction_time: str, available_time: str, strict: bool = False) -> DataFrame: ...
+
+
+def compile_programs(entities: DataFrame, history: DataFrame, programs: Sequence[N.FeatureProgram], context: Context = Context(), stage: Stager = attach) -> DataFrame:
     """Entity rows with one double column for each program, by its name."""
     names = [p.name for p in programs]
     clash = sorted({n for n in names if n in entities.columns or names.count(n) > 1})
@@ -128,7 +135,7 @@ def compile_programs(entities: DataFrame, history: DataFrame, programs: Sequence
     every = {n.key(): n for p in programs for n in p.root.walk()}
     spec = history_frame(context.entity_keys, context.available_time, context.order_col, history.columns)
     temporal = {f"_p_{k}": _temporal(n, spec) for k, n in every.items() if isinstance(n, _TEMPORAL)}
-    out = attach(entities, history, temporal, context.entity_keys, spec, prediction_time=context.prediction_time, available_time=context.available_time) if temporal else entities
+    out = stage(entities, history, temporal, context.entity_keys, spec, prediction_time=context.prediction_time, available_time=context.available_time) if temporal else entities
     # A rate over an empty history is 0 only if there is a history; the rows stay apart from those without one.
     since = {}
     so_far = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -138,7 +145,7 @@ def compile_programs(entities: DataFrame, history: DataFrame, programs: Sequence
             counts = S.number(F.col(n.event_column)) > 0 if n.require_positive else F.lit(True)
             since[f"_p_{k}"] = F.max(F.when(counts, event)).over(so_far)
     if since:
-        out = attach(out, history, since, context.entity_keys, spec, prediction_time=context.prediction_time, available_time=context.available_time, strict=True)
+        out = stage(out, history, since, context.entity_keys, spec, prediction_time=context.prediction_time, available_time=context.available_time, strict=True)
         out = out.withColumns({c: S.days_between(F.col(context.prediction_time), F.col(c)) for c in since})
     built = dict.fromkeys([*temporal, *since])
 

@@ -37,5 +37,16 @@ def shuffled_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("season").agg(F.sum("minutes").alias("minutes"), F.sum("dealt").alias("dealt"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"walk_forward_scores": walk_forward_scores, "shuffled_control": shuffled_control}
+def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over programs of which one carries the label's own signal and one can't be compiled."""
+    from chronofold.plans.discover import Setting, discover
+    from chronofold.plans.nodes import FeatureProgram, Rolling, Source
+
+    rows, folds = _frame(spark, sf_dir)
+    s = Setting(rows, order_history(spark, sf_dir), ("player_code", "season", "gameweek_id"), "label_total_points", ("points_mean_5",), tuple(folds[:2]), policy=evaluate.Acceptance(folds=2), noise_trials=1)
+    programs = [FeatureProgram("planted", Source("signal", "entity")), FeatureProgram("goals_mean_3", Rolling(Source("goals_scored"), 3)), FeatureProgram("absent", Rolling(Source("nothing"), 3))]
+    return discover(s, programs).select("feature", "verdict", "leakage_passed")
+
+
+QUERIES = {"discovery": discovery, "walk_forward_scores": walk_forward_scores, "shuffled_control": shuffled_control}
 ORACLE = {"shuffled_control": "SELECT year(o_orderdate)::VARCHAR AS season, sum((o_orderkey * 7) % 91)::BIGINT AS minutes, sum((o_orderkey * 7) % 91)::BIGINT AS dealt, count(*) AS n FROM orders GROUP BY ALL"}
