@@ -298,6 +298,8 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
 
     def merge(found: DataFrame, component: DataFrame) -> DataFrame:
         """Components after these links."""
+        if not found.limit(1).count():
+            return component
         c1, c2 = component.select(F.col("rid").alias("a"), F.col("component").alias("ca")), component.select(F.col("rid").alias("b"), F.col("component").alias("cb"))
         contracted = found.join(c1, "a").join(c2, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = connected_components(contracted).select(F.col("v").alias("component"), F.col("component").alias("merged"))
@@ -323,16 +325,15 @@ def links(texts: Texts, unique: DataFrame, percent: int) -> DataFrame:
         storage.remove(spark, active_path)
         return out
 
-    for parts in PARTS:
-        _, pairs = meetings(parts)
-        component = merge(_verified(texts, ids, pairs, percent), component)
-        active, active_path = unsettled(active)
-    for _ in range(PIVOTS):
+    # Each part of a list first, then the list as a whole, whose pivots have met all of it and go.
+    for parts, again in [*((parts, True) for parts in PARTS), *((("s",), False) for _ in range(PIVOTS))]:
         if not active.limit(1).count():
             return component
-        met, pairs = meetings(("s",))
+        met, pairs = meetings(parts)
         component = merge(_verified(texts, ids, pairs, percent), component)
-        active, active_path = unsettled(met)
+        active, active_path = unsettled(active if again else met)
+    if not active.limit(1).count():
+        return component
     return merge(_verified(texts, ids, block_pairs(active.join(component, "rid"), percent), percent), component)
 
 
