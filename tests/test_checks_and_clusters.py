@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.operators import embeddings, leakage, metrics, ranks, scoring
+from chronofold.operators import embeddings, leakage, metrics, ranks, requests, scoring, squads
 from chronofold.plans import evaluate, frozen
 from chronofold.plans.folds import Fold
 from chronofold.plans.nodes import Arith, FeatureProgram, Rolling, Source
@@ -168,3 +168,22 @@ def test_price_calibration_of_bands(spark):
     assert [(round(r.expected_points, 6), round(r.sd, 6)) for r in got] == [(2.141, 1.0), (2.0, round(1 + 0.29 / 0.6, 6)), (2.0, 1.0), (0.0, 1.0)]
     thin = {"budget": (-1.0, 99, 0.0)}
     assert rows.withColumns(scoring.price_calibration(thin)).first()[1:] == (2.0, 2.0)
+
+
+def test_the_nearest_phrase_governs_a_name(spark):
+    texts = ["Avoid Salah and keep Haaland", "start Saka and Bruno Fernandes, no Bruno Guimaraes", "I want Smith in the squad", "Fernandes (c)", "Salah is nice", None]
+    asked = spark.createDataFrame(list(enumerate(texts)), "request_id int, text string")
+    names = spark.createDataFrame([("Salah", 1), ("Haaland", 2), ("Saka", 3), ("Bruno Fernandes", 4), ("Fernandes", 4), ("Bruno Guimaraes", 5), ("Bruno", 6), ("Smith", 7), ("Smith", 8)], "name string, player_code int")
+    got = {(r.request_id, r.player_code): r.kind for r in requests.mentions(asked, names).collect()}
+    assert got == {(0, 1): "exclude", (0, 2): "include", (1, 3): "start", (1, 4): "start", (1, 5): "exclude", (3, 4): "captain"}
+    more = spark.createDataFrame([(0, "play 3-5-2, at most three players from Hull and leave £1.5m in the bank"), (1, "4-4-4")], "request_id int, text string")
+    clubs = spark.createDataFrame([("Hull", 9)], "name string, team_id int")
+    assert [tuple(r) for r in requests.shapes(more).collect()] == [(0, "3-5-2")] and [tuple(r) for r in requests.bank_floors(more).collect()] == [(0, 15)]
+    assert requests.club_counts(asked, clubs).count() == 0
+
+
+def test_generated_squads_are_legal(spark):
+    players = spark.createDataFrame([(k, ("GKP", "DEF", "MID", "FWD")[k % 4], k % 11, 40 + k * 7 % 61) for k in range(200)], "player_code long, position string, team_id long, price long")
+    out = squads.generate_squads(players, spark.range(5).withColumnRenamed("id", "squad_id"), F.xxhash64("squad_id", "player_code").cast("double"))
+    assert all(r.issues == [] for r in squads.legality(out).collect()) and out.count() == 75
+    assert squads.generate_squads(players.withColumn("price", F.lit(90)), spark.range(2).withColumnRenamed("id", "squad_id"), F.lit(1.0)).count() == 0
