@@ -52,7 +52,9 @@ PIVOTS = 3
 #: Parts of a list that have pivots of their own, in turn, before the list as a whole has some.
 PARTS = (("s", "n", "pos"), ("s", "n"))
 #: Entries of a list that lie in one cell, and partners of one set that are compared in one.
-CELL, PARTNERS = 512, 256
+CELL, PARTNERS = 64, 256
+#: Cells that are one where whole blocks of a list meet.
+CELLS_OF_BLOCK = 8
 #: Cells that the copies of one set are dealt to.
 COPY_CELLS = 64
 #: Tables up to this size in memory are broadcast.
@@ -343,6 +345,7 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     Blocks of one size and position meet first, and whole pairs of blocks are skipped.
     """
     block = ["s", "n", "pos", "cell"]
+    entries = entries.withColumn("cell", F.floor(F.col("cell") / CELLS_OF_BLOCK).cast("int"))
     entries, _ = storage.materialise(entries.select(*block, "rid", "component"), "block-entries")
     blocks, _ = storage.materialise(entries.groupBy(*block).agg(F.min("component").alias("c1"), F.max("component").alias("c2")), "blocks")
     # The other side of a block comes to each cell of the list.
