@@ -91,8 +91,9 @@ def legal_transfers(squads: DataFrame, candidates: DataFrame, state: DataFrame,
     clubs = squads.groupBy("squad_id", F.col("team_id").alias("in_team")).agg(F.count(F.lit(1)).alias("_held"))
     pairs = pairs.join(clubs, ["squad_id", "in_team"], "left").where(F.coalesce("_held", F.lit(0)) - F.when(F.col("out_team") == F.col("in_team"), 1).otherwise(0) < CLUB_CAP)
     after = eleven_points({p: F.when(F.col("position") == p, swapped(F.col(f"_{p}"), F.col("out_points"), F.col("in_points"))).otherwise(F.col(f"_{p}")) for p in QUOTA})
-    moves = pairs.withColumn("gross_gain", after - F.col("hold_points")).withColumn("hit_cost", F.when(F.col("free_transfers") >= 1, 0).otherwise(HIT_COST)).withColumn("risk_penalty", RISK_WEIGHT * (F.col("in_sd") + F.col("out_sd")))
-    return moves.withColumn("net_gain", F.col("gross_gain") - F.col("hit_cost") - F.col("risk_penalty")).select("squad_id", "out_code", "in_code", "position", "gross_gain", "hit_cost", "risk_penalty", "net_gain", (F.col("selling_price") - F.col("in_price")).alias("bank_after"), "hold_points")
+    # Nine places, so that moves of one worth tie whatever the order their points were added in.
+    moves = pairs.withColumn("gross_gain", F.round(after - F.col("hold_points"), 9)).withColumn("hit_cost", F.when(F.col("free_transfers") >= 1, 0).otherwise(HIT_COST)).withColumn("risk_penalty", RISK_WEIGHT * (F.col("in_sd") + F.col("out_sd")))
+    return moves.withColumn("net_gain", F.round(F.col("gross_gain") - F.col("hit_cost") - F.col("risk_penalty"), 9)).select("squad_id", "out_code", "in_code", "position", "gross_gain", "hit_cost", "risk_penalty", "net_gain", (F.col("selling_price") - F.col("in_price")).alias("bank_after"), "hold_points")
 
 
 def transfer_board(moves: DataFrame, size: int = BOARD_SIZE) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +45,13 @@ def discover(s: Setting, programs: Sequence[FeatureProgram]) -> DataFrame:
     others are columns of one plan. Each is added alone to the base features; what it gains must beat the
     best of several columns of noise, and a copy of itself dealt anew among rows.
     """
+    s = replace(s, rows=s.rows.persist())
     proofs = {p.name: prove_program(p, s.rows, s.history, s.row_key, s.context) for p in programs}
     clean = [p for p in programs if proofs[p.name][0]]
     out = [(p.name, p.version(), "rejected", "leakage_suspected", 0.0, 0.0, 0.0, 0.0, 0.0, False, proofs[p.name][2]) for p in programs if not proofs[p.name][0]]
     if clean:
-        frame = compile_programs(s.rows, s.history, clean, s.context)
+        # Every score reads it; what an executor loses is computed again.
+        frame = compile_programs(s.rows, s.history, clean, s.context).persist()
         base = _by_fold(s, frame, s.base)
         base_mae = evaluate.weighted_mae(base)
         noise_mae, _ = evaluate.max_noise_control(frame, s.folds, list(s.base), s.label, list(s.row_key), s.noise_trials, seed=s.seed)
@@ -67,4 +69,6 @@ def discover(s: Setting, programs: Sequence[FeatureProgram]) -> DataFrame:
             kind = evaluate.complementarity(leaks=False, folds=won.n, incremental=incremental, stability=stability, win_rate=won.w, policy=s.policy)
             total, _, _ = evaluate.utility({"prediction": incremental, "stability": stability, "complementarity": incremental}, complexity=p.node_count, missingness=missing[p.name], turnover=None)
             out.append((p.name, p.version(), verdict, kind, float(total), float(incremental), float(won.w), float(stability), float(missing[p.name]), True, "; ".join(why)))
+        frame.unpersist()
+    s.rows.unpersist()
     return s.rows.sparkSession.createDataFrame(out, RECORD)

@@ -357,13 +357,13 @@ ORACLE = {
     "transfer_board": f"WITH {_ALL_MOVES} SELECT squad_id, ({_BEST.format(by='squad_id')})::INT AS place, out_code, in_code, round(gross_gain, 6) AS gross_gain, hit_cost, round(risk_penalty, 6) AS risk_penalty, round(net_gain, 6) AS net_gain, bank_after FROM mv QUALIFY {_BEST.format(by='squad_id')} <= 8",
     "pick_outcomes": f"""WITH {_MOVES.format(sellable="AND s.player_code % 10 <> 3")}, b AS (SELECT squad_id, out_code, in_code, net_gain, count(*) OVER (PARTITION BY squad_id, out_code) AS n FROM mv QUALIFY {_BEST.format(by='squad_id, out_code')} = 1),
  sh AS (SELECT s.squad_id, s.player_code, min(p.price) - max(s.price + s.squad_id % 20) AS short FROM sq s JOIN pool p ON p.position = s.position AND p.expected_points > s.expected_points AND p.player_code // 15 <> s.squad_id GROUP BY ALL)
-SELECT s.squad_id, s.player_code AS out_code, s.position, CASE WHEN s.player_code % 10 = 3 THEN 'held' WHEN net_gain >= 0.15 THEN 'move' WHEN in_code IS NULL THEN 'none legal' ELSE 'too little' END AS outcome, CASE WHEN net_gain >= 0.15 THEN in_code END AS in_code, round(net_gain, 6) AS best_gain, coalesce(n, 0) AS legal_replacements,
- CASE WHEN s.player_code % 10 <> 3 AND (in_code IS NULL OR net_gain < 0.15) AND short > 0 THEN short END AS shortfall FROM sq s LEFT JOIN b ON b.squad_id = s.squad_id AND b.out_code = s.player_code LEFT JOIN sh ON sh.squad_id = s.squad_id AND sh.player_code = s.player_code""",
+SELECT s.squad_id, s.player_code AS out_code, s.position, CASE WHEN s.player_code % 10 = 3 THEN 'held' WHEN round(net_gain, 9) >= 0.15 THEN 'move' WHEN in_code IS NULL THEN 'none legal' ELSE 'too little' END AS outcome, CASE WHEN round(net_gain, 9) >= 0.15 THEN in_code END AS in_code, round(net_gain, 6) AS best_gain, coalesce(n, 0) AS legal_replacements,
+ CASE WHEN s.player_code % 10 <> 3 AND (in_code IS NULL OR round(net_gain, 9) < 0.15) AND short > 0 THEN short END AS shortfall FROM sq s LEFT JOIN b ON b.squad_id = s.squad_id AND b.out_code = s.player_code LEFT JOIN sh ON sh.squad_id = s.squad_id AND sh.player_code = s.player_code""",
     "recommendations": f"""WITH {_ALL_MOVES}, b AS (SELECT * FROM mv QUALIFY {_BEST.format(by='squad_id')} = 1)
-SELECT o.squad_id, CASE WHEN net_gain >= 0.15 THEN 'transfer' ELSE 'hold' END AS action, CASE WHEN net_gain >= 0.15 THEN out_code END AS out_code, CASE WHEN net_gain >= 0.15 THEN in_code END AS in_code, round(o.h, 6) AS hold_points, round(o.h + CASE WHEN net_gain >= 0.15 THEN gross_gain - hit_cost ELSE 0 END, 6) AS expected_points,
- round(CASE WHEN net_gain >= 0.15 THEN risk_penalty ELSE 0 END, 6) AS risk_score, o.bank + CASE WHEN net_gain >= 0.15 THEN bank_after ELSE 0 END AS bank FROM hold o LEFT JOIN b USING (squad_id)""",
+SELECT o.squad_id, CASE WHEN round(net_gain, 9) >= 0.15 THEN 'transfer' ELSE 'hold' END AS action, CASE WHEN round(net_gain, 9) >= 0.15 THEN out_code END AS out_code, CASE WHEN round(net_gain, 9) >= 0.15 THEN in_code END AS in_code, round(o.h, 6) AS hold_points, round(o.h + CASE WHEN round(net_gain, 9) >= 0.15 THEN gross_gain - hit_cost ELSE 0 END, 6) AS expected_points,
+ round(CASE WHEN round(net_gain, 9) >= 0.15 THEN risk_penalty ELSE 0 END, 6) AS risk_score, o.bank + CASE WHEN round(net_gain, 9) >= 0.15 THEN bank_after ELSE 0 END AS bank FROM hold o LEFT JOIN b USING (squad_id)""",
     "policy_moves": f"""WITH {_ALL_MOVES}, k AS (SELECT *, {_BEST.format(by='squad_id')} AS a, row_number() OVER (PARTITION BY squad_id ORDER BY in_points DESC, round(net_gain, 9) DESC, in_code, out_code) AS b, row_number() OVER (PARTITION BY squad_id ORDER BY in_price DESC, round(net_gain, 9) DESC, in_code, out_code) AS c FROM mv)
-SELECT squad_id, 'model' AS policy, out_code, in_code, round(net_gain, 6) AS net_gain FROM k WHERE a = 1 AND net_gain >= 0.15 UNION ALL SELECT squad_id, 'highest_form', out_code, in_code, round(net_gain, 6) FROM k WHERE b = 1 UNION ALL SELECT squad_id, 'most_expensive', out_code, in_code, round(net_gain, 6) FROM k WHERE c = 1""",
+SELECT squad_id, 'model' AS policy, out_code, in_code, round(net_gain, 6) AS net_gain FROM k WHERE a = 1 AND round(net_gain, 9) >= 0.15 UNION ALL SELECT squad_id, 'highest_form', out_code, in_code, round(net_gain, 6) FROM k WHERE b = 1 UNION ALL SELECT squad_id, 'most_expensive', out_code, in_code, round(net_gain, 6) FROM k WHERE c = 1""",
     "constrained_pool": f"""WITH {SQUAD_SQL}, {_POOL}, r AS (SELECT squad_id, min(player_code) AS lo, max(player_code) AS hi, count(*) FILTER (WHERE position <> 'GKP') AS n FROM sq GROUP BY ALL)
 SELECT squad_id, (SELECT count(*) FROM sq s WHERE s.squad_id = r.squad_id AND s.position <> 'GKP' AND s.player_code <> r.lo) AS sellable, (SELECT count(*) FROM pool p WHERE p.player_code // 15 <> r.squad_id AND p.player_code <> r.hi + 1 AND p.team_id <> r.squad_id % 9) AS buyable FROM r""",
     "opportunity_cost": f"""WITH {SQUAD_SQL}, {_POOL}, w AS (SELECT *, (expected_points + 0.2 * sd - (player_code % 7) / 10.0 * expected_points * 0.5) * (1 + (1 - least(1, (player_code % 7) / 10.0 / 0.25)) * 0.3) AS value FROM pool),
