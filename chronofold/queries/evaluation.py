@@ -44,7 +44,7 @@ def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, folds = _frame(spark, sf_dir)
     s = Setting(rows, order_history(spark, sf_dir), ("player_code", "season", "gameweek_id"), "label_total_points", ("points_mean_5",), tuple(folds[:2]), policy=evaluate.Acceptance(folds=2), noise_trials=1)
-    programs = [FeatureProgram("planted", Source("signal", "entity")), FeatureProgram("goals_mean_3", Rolling(Source("goals_scored"), 3)), FeatureProgram("absent", Rolling(Source("nothing"), 3))]
+    programs = [FeatureProgram("planted", Source("signal", "entity")), FeatureProgram("absent", Rolling(Source("nothing"), 3))]
     return discover(s, programs).select("feature", "verdict", "leakage_passed")
 
 
