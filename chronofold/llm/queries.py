@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import ann, jaccard_join, line_dedup, media, mixing, packing, sharding, token_counts, token_files, toxicity
+from chronofold.llm import ann, jaccard_join, line_dedup, media, merkle, mixing, packing, prefix_trie, sharding, token_counts, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,10 +23,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.query,
         "op9_toxicity": toxicity.query,
         "op10_ngram_jaccard": jaccard_join.query,
+        "op11_merkle_manifest": merkle.query,
+        "op12_prefix_trie": prefix_trie.query,
+        "op13_warc": warc.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op4_mixing": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op10_ngram_jaccard": jaccard_join.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op10_ngram_jaccard": jaccard_join.SQL, "op11_merkle_manifest": merkle.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_warc": warc.SQL}
