@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.operators.neighbours import neighbours
+
 SEED, TEMPERATURE, COMPONENTS = 20260728, 0.5, 8
 
 
@@ -231,14 +233,6 @@ def cluster_summaries(model: Clusters, frame: DataFrame, phrases: dict[str, tupl
     return out.select("cluster_id", "size", "stability", F.transform("_r", lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"))).alias("dominant"), label.alias("label"))
 
 
-def comparables(frame: DataFrame, key: str, group: str, vector: str, k: int = 4, blocks: int = 16) -> DataFrame:
-    """The k nearest others of each row in its group, by squared distance.
-
-    A group's rows meet its rows in blocks, and each block keeps its own k best before anything is sorted.
-    """
-    left = frame.select(F.col(key), F.col(group), F.col(vector).alias("_x"))
-    right = frame.select(F.col(key).alias("other"), F.col(group).alias("_g"), F.col(vector).alias("_y"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
-    pairs = left.join(right, (F.col(group) == F.col("_g")) & (F.col(key) != F.col("other"))).select(key, "other", "_b", squared_distance(F.col("_x"), F.col("_y")).alias("d2"))
-    order = lambda *by: Window.partitionBy(*by).orderBy("d2", "other")
-    near = pairs.withColumn("_n", F.row_number().over(order(key, "_b"))).where(F.col("_n") <= k)
-    return near.withColumn("place", F.row_number().over(order(key))).where(F.col("place") <= k).select(key, "other", "place", "d2")
+def comparables(frame: DataFrame, key: str, group: str, vector: str, k: int = 4) -> DataFrame:
+    """The k nearest others of each row in its group, by squared distance: key, other, place and d2."""
+    return neighbours(frame, key, group, vector, k)

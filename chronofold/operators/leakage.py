@@ -101,6 +101,32 @@ def prove_program(program, entities: DataFrame, history: DataFrame, row_key: Seq
     return not found, ("static", "point_in_time"), f"changed by future records: {found}" if found else ""
 
 
+def prove_programs(programs: Sequence, entities: DataFrame, history: DataFrame, row_key: Sequence[str], context=None) -> dict[str, tuple[bool, tuple[str, ...], str]]:
+    """``prove_program`` of each, name -> proof; those that pass the static check are computed and compared in one plan.
+
+    Only if that plan can't be made are they tried one at a time, so that one bad program doesn't spoil the others' proofs.
+    """
+    from chronofold.plans import compile as plans
+    from chronofold.plans.nodes import ProgramError
+
+    context = context or plans.Context()
+    issues = {p.name: plans.validate(p, history.columns, entities.columns) for p in programs}
+    out = {n: (False, ("static",), f"{found[0][0]}: {found[0][1]}") for n, found in issues.items() if found}
+    sound = [p for p in programs if not issues[p.name]]
+    if not sound:
+        return out
+    try:
+        rows, source, future = leakage_split(entities, history, prediction_time=context.prediction_time, available_time=context.available_time, order=row_key)
+        build = lambda e, h: plans.compile_programs(e, h, sound, context).select(*row_key, *(p.name for p in sound))
+        moved = set(find_leakage(rows, source, future, build, row_key))
+    except (ProgramError, ValueError, KeyError):
+        return out | {p.name: prove_program(p, entities, history, row_key, context) for p in sound}
+    for p in sound:
+        found = sorted(moved & {"*rows*", p.name})
+        out[p.name] = (not found, ("static", "point_in_time"), f"changed by future records: {found}" if found else "")
+    return out
+
+
 # What is known only after the match.
 FORBIDDEN_PREFIXES = ("label_", "actual_", "target_")
 

@@ -80,12 +80,12 @@ def transitions(frame: DataFrame, key: str, order: Sequence[str], value: str) ->
     return frame.withColumn("previous", F.lag(value).over(w)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
 
 
-def ranking_churn(frame: DataFrame, week: str, entity: str, value: str) -> DataFrame:
-    """(1 - rank correlation) / 2 between consecutive weeks, over the entities of both."""
-    weeks = frame.select(week).distinct().withColumn("next_week", F.lead(week).over(Window.orderBy(week))).where("next_week IS NOT NULL")
-    now = frame.select(week, F.col(entity), F.col(value).alias("now")).join(weeks, week)
-    then = frame.select(F.col(week).alias("next_week"), F.col(entity), F.col(value).alias("then"))
-    return spearman(now.join(then, ["next_week", entity]), "now", "then", [week]).withColumn("churn", (1 - F.col("spearman")) / 2)
+def ranking_churn(frame: DataFrame, week: str, entity: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(1 - rank correlation) / 2 between consecutive weeks, over the entities of both; within each ``by``, if given."""
+    weeks = frame.select(*by, week).distinct().withColumn("next_week", F.lead(week).over(Window.partitionBy(*by).orderBy(week))).where("next_week IS NOT NULL")
+    now = frame.select(*by, week, F.col(entity), F.col(value).alias("now")).join(weeks, [*by, week])
+    then = frame.select(*by, F.col(week).alias("next_week"), F.col(entity), F.col(value).alias("then"))
+    return spearman(now.join(then, [*by, "next_week", entity]), "now", "then", [*by, week]).withColumn("churn", (1 - F.col("spearman")) / 2)
 
 
 def weighted_importance(frame: DataFrame) -> DataFrame:

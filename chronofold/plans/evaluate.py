@@ -35,15 +35,20 @@ def noise(seed: int, *keys: str) -> Column:
 
 
 def shuffled(frame: DataFrame, column: str, within: Sequence[str], keys: Sequence[str], seed: int, out: str) -> DataFrame:
-    """``column`` dealt anew among the rows of each ``within``: the control that keeps its distribution.
+    """``column`` dealt anew among the rows of each ``within``: the control that keeps its distribution."""
+    return dealt(frame, {column: out}, within, keys, seed)
+
+
+def dealt(frame: DataFrame, columns: dict[str, str], within: Sequence[str], keys: Sequence[str], seed: int) -> DataFrame:
+    """Columns (name -> output) dealt anew among the rows of each ``within``, all by one deal.
 
     Rows and values are put in two orders by hash, and rows take the value of their place; places are
     counted in ranges of the hash, so that no ``within`` is one task's work.
     """
     draw = lambda k: hashed_uniform(seed + k, *(F.col(c) for c in keys))
     here = places(frame.withColumn("_u", draw(0)), within, "_u", ["_u", *keys], "_i").drop("_u")
-    values = frame.select(*within, *dict.fromkeys([*keys, column])).withColumn("_u", draw(1))
-    there = places(values, within, "_u", ["_u", *keys], "_i").select(*within, F.col(column).alias(out), "_i")
+    values = frame.select(*within, *dict.fromkeys([*keys, *columns])).withColumn("_u", draw(1))
+    there = places(values, within, "_u", ["_u", *keys], "_i").select(*within, *(F.col(c).alias(out) for c, out in columns.items()), "_i")
     return null_safe_join(here, there, [*within, "_i"]).drop("_i")
 
 
@@ -151,15 +156,22 @@ class Search:
         return iter((self.chosen, self.costs))
 
 
-def greedy_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], min_gain: float = 0.0, most: int = 8, most_evaluations: int = 600) -> Search:
-    """Adds the feature that lowers the cost most, while it does by ``min_gain``."""
+def _costs(cost: Callable[[tuple[str, ...]], float], sets: Sequence[tuple[str, ...]]) -> list[float]:
+    """The sets' costs; a cost function with ``many`` (as a ``MomentScorer``) is asked once for all of them."""
+    many = getattr(cost, "many", None)
+    return many(sets) if many else [cost(s) for s in sets]
+
+
+def greedy_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], min_gain: float = 0.0, most: int = 8, most_evaluations: int = 600, required: Sequence[str] = ()) -> Search:
+    """Adds to ``required`` the feature that lowers the cost most, while it does by ``min_gain``."""
     chosen: list[str] = []
-    costs, evaluations = [cost(())], 1
+    candidates = [c for c in dict.fromkeys(candidates) if c not in required]
+    costs, evaluations = _costs(cost, [tuple(required)]), 1
     while len(chosen) < most:
         rest = [c for c in candidates if c not in chosen]
         if evaluations + len(rest) > most_evaluations:
             return Search(chosen, costs, True)
-        trials = sorted((cost((*chosen, c)), c) for c in rest)
+        trials = sorted(zip(_costs(cost, [(*required, *chosen, c) for c in rest]), rest, strict=True))
         evaluations += len(rest)
         if not trials or costs[-1] - trials[0][0] <= min_gain:
             return Search(chosen, costs, False)
@@ -168,17 +180,35 @@ def greedy_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], f
     return Search(chosen, costs, len(chosen) < len(candidates))
 
 
-def beam_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], width: int = 3, depth: int = 4) -> tuple[tuple[str, ...], float]:
+@dataclass(frozen=True)
+class Beam:
+    """The best set met and its cost, and whether the search ended at its depth with larger sets left to try."""
+
+    best: tuple[str, ...]
+    cost: float
+    truncated: bool
+
+    def __iter__(self):
+        return iter((self.best, self.cost))
+
+    def __getitem__(self, k: int):
+        return (self.best, self.cost)[k]
+
+
+def beam_search(candidates: Sequence[str], cost: Callable[[tuple[str, ...]], float], width: int = 3, depth: int = 4, most_evaluations: int = 600) -> Beam:
     """The best set met while the ``width`` best sets of each size are extended."""
-    beam = [((), cost(()))]
-    best = beam[0]
+    beam = [((), _costs(cost, [()])[0])]
+    best, evaluations = beam[0], 1
     for _ in range(depth):
-        grown = {tuple(sorted((*s, c))) for s, _ in beam for c in candidates if c not in s}
+        grown = sorted({tuple(sorted((*s, c))) for s, _ in beam for c in candidates if c not in s})
         if not grown:
-            break
-        beam = sorted(((s, cost(s)) for s in grown), key=lambda x: (x[1], x[0]))[:width]
+            return Beam(*best, False)
+        if evaluations + len(grown) > most_evaluations:
+            return Beam(*best, True)
+        evaluations += len(grown)
+        beam = sorted(zip(grown, _costs(cost, grown), strict=True), key=lambda x: (x[1], x[0]))[:width]
         best = min(best, beam[0], key=lambda x: x[1])
-    return best
+    return Beam(*best, depth < len(dict.fromkeys(candidates)))
 
 
 @dataclass(frozen=True)

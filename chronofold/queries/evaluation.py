@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.operators import families
-from chronofold.plans import evaluate
+from chronofold.plans import components, evaluate
 from chronofold.plans.folds import Fold, walk_forward
+from chronofold.plans.moments import MomentScorer
+from chronofold.plans.predictions import PredictionStore
 from chronofold.queries.roles import order_history
+from chronofold.sources import scratch
 
 FEATURES = ["points_mean_5", "minutes_mean_5"]
 
@@ -48,5 +51,137 @@ def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(s, programs).select("feature", "verdict", "leakage_passed")
 
 
-QUERIES = {"discovery": discovery, "walk_forward_scores": walk_forward_scores, "shuffled_control": shuffled_control}
-ORACLE = {"shuffled_control": "SELECT year(o_orderdate)::VARCHAR AS season, sum((o_orderkey * 7) % 91)::BIGINT AS minutes, sum((o_orderkey * 7) % 91)::BIGINT AS dealt, count(*) AS n FROM orders GROUP BY ALL"}
+def component_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Fold]]:
+    """Orders with labels of all families and one column for each order priority but one; folds over years."""
+    orders = order_history(spark, sf_dir).select("fixture_id", "minutes", F.col("goals_scored").alias("goals"), F.year("kickoff_time").cast("long").alias("timeline"))
+    priority = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("fixture_id"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"))
+    rows = orders.join(priority, "fixture_id").select("*", *((F.col("priority") == k).cast("double").alias(f"priority_{k}") for k in (2, 3, 4, 5)))
+    state = F.when(F.col("minutes") >= 60, 2).when(F.col("minutes") > 0, 1).otherwise(0)
+    rows = rows.withColumns({"starts": (F.col("minutes") >= 45).cast("int"), "state": state})
+    years = [r[0] for r in rows.select("timeline").distinct().orderBy("timeline").collect()]
+    return rows, walk_forward(years, 3, 1, embargo=1)
+
+
+PRIORITIES = [f"priority_{k}" for k in (2, 3, 4, 5)]
+HEADS = [components.Head("minutes"), components.Head("goals", "poisson"), components.Head("starts", "binary"), components.Head("state", "classes", 3)]
+
+
+def component_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, event and amount heads over all folds. With a column a priority, each head's best fit is the priority's share or mean, which SQL knows."""
+    rows, folds = component_rows(spark, sf_dir)
+    models = components.fit(rows, folds, PRIORITIES, HEADS[:3], ridge=0.0)
+    reports = components.fold_reports(components.predict(rows, folds, models), models)
+    return reports.select("fold", "label", "train_rows", "rows", *(F.round(c, 6).alias(c) for c in ("mae", "baseline_mae", "loss", "predicted_sd", "predicted_mean", "actual_mean")))
+
+
+def minutes_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-class head beside the states that expected minutes and the chance to start would give."""
+    rows, folds = component_rows(spark, sf_dir)
+    models = components.fit(rows, folds, PRIORITIES, [HEADS[0], HEADS[2], HEADS[3]], ridge=0.0)
+    reports = components.state_reports(components.predict(rows, folds, models), HEADS[3], "minutes", "starts")
+    return reports.select("fold", "rows", *(F.round(c, 6).alias(c) for c in reports.columns if c not in ("fold", "rows")))
+
+
+COMPONENT_SQL = """
+ base AS (SELECT o_orderkey AS k, o_orderpriority AS g, year(o_orderdate) AS y, dense_rank() OVER (ORDER BY year(o_orderdate)) - 1 AS i,
+   (o_orderkey * 7) % 91 AS minutes, o_orderkey % 4 AS goals, CASE WHEN (o_orderkey * 7) % 91 >= 45 THEN 1 ELSE 0 END AS starts,
+   CASE WHEN (o_orderkey * 7) % 91 >= 60 THEN 2 WHEN (o_orderkey * 7) % 91 > 0 THEN 1 ELSE 0 END AS state FROM orders),
+ folds AS (SELECT e - 3 AS fold, e FROM range(3, 40) r(e) WHERE e + 1 <= (SELECT max(i) FROM base)),
+ train AS (SELECT f.fold, b.* FROM folds f JOIN base b ON b.i < f.e),
+ test AS (SELECT f.fold, b.* FROM folds f JOIN base b ON b.i = f.e + 1)"""
+
+
+MOMENT_COLUMNS = ["minutes", "goals", "price", "fifth"]
+MOMENT_SETS = [(), *((c,) for c in MOMENT_COLUMNS), *((a, b) for i, a in enumerate(MOMENT_COLUMNS) for b in MOMENT_COLUMNS[i + 1 :])]
+
+
+def moment_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Fold]]:
+    """Orders with four features, one of them missing here and there, and a label that hangs on two of them."""
+    rows = order_history(spark, sf_dir).select("fixture_id", F.year("kickoff_time").cast("long").alias("timeline"), "minutes", F.col("goals_scored").alias("goals"), F.col("expected_goals").alias("price"), F.nullif(F.pmod("fixture_id", F.lit(5)), F.lit(0)).alias("fifth"), "total_points")
+    rows = rows.withColumn("label", F.col("total_points") + F.col("goals") * 3 - F.col("price") * 2)
+    years = [r[0] for r in rows.select("timeline").distinct().orderBy("timeline").collect()]
+    return rows, walk_forward(years, 3, 1, embargo=1)
+
+
+def moment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAE of eleven feature sets by fold, from one matrix of moments and one pass over the validation rows."""
+    rows, folds = moment_rows(spark, sf_dir)
+    scorer = MomentScorer(rows, folds, "label", MOMENT_COLUMNS)
+    scorer.many(MOMENT_SETS)
+    out = [("+".join(s), f, n, mae, base, scorer.moment_jobs, scorer.score_jobs) for s in MOMENT_SETS for f, (n, mae, base) in scorer.by_fold(s).items()]
+    frame = spark.createDataFrame(out, "features string, fold int, n long, mae double, baseline_mae double, moment_jobs int, score_jobs int")
+    return frame.withColumns({c: F.round(c, 6) for c in ("mae", "baseline_mae")})
+
+
+def kept_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold predictions of two sets, fitted in a first run and read in a second one; then one fact of the last fold's validation changes."""
+    rows, folds = moment_rows(spark, sf_dir)
+    store = PredictionStore(spark, f"{scratch.folder(spark)}/predictions")
+    sets = {"goals": ["goals"], "goals+price": ["goals", "price"]}
+    run = lambda frame: store.predictions(frame, folds, "label", sets, ["fixture_id"])
+    run(rows)
+    first = store.fits
+    again = run(rows)
+    second = store.fits - first
+    last = rows.where(F.col("timeline").between(*folds[-1].validate)).agg(F.min("fixture_id")).first()[0]
+    run(rows.withColumn("goals", F.when(F.col("fixture_id") == last, F.col("goals") + 1).otherwise(F.col("goals"))))
+    third = store.fits - first - second
+    scores = again.groupBy("set", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("label"))), 6).alias("mae"))
+    return scores.select(F.col("set").alias("features"), "fold", "n", "mae", F.lit(first).alias("fits_at_first"), F.lit(second).alias("fits_again"), F.lit(third).alias("fits_after_a_change"))
+
+
+def _pair_sql() -> str:
+    """Ridge regressions of every single column and pair, solved by Cramer's rule; missing values at the mean of training."""
+    values = {"minutes": "minutes", "goals": "goals", "price": "price", "fifth": "fifth"}
+    centred = ", ".join(f"coalesce({v} - avg({v}) OVER w, 0) AS {c}" for c, v in values.items())
+    test = ", ".join(f"coalesce(t.{v} - m.{c}, 0) AS {c}" for c, v in values.items())
+    means = ", ".join(f"avg({v}) AS {c}" for c, v in values.items())
+    parts = ["SELECT t.fold, '' AS features, abs(t.y0 - t.label) AS e, abs(t.y0 - t.label) AS b FROM centred_test t"]
+    sums = []
+    for c in MOMENT_COLUMNS:
+        sums += [f"sum({c} * {c}) + 1 AS {c}_{c}", f"sum({c} * y) AS {c}_y"]
+        parts.append(f"SELECT t.fold, '{c}', abs(t.y0 + t.{c} * s.{c}_y / s.{c}_{c} - t.label), abs(t.y0 - t.label) FROM centred_test t JOIN sums s USING (fold)")
+    for i, a in enumerate(MOMENT_COLUMNS):
+        for b in MOMENT_COLUMNS[i + 1 :]:
+            sums.append(f"sum({a} * {b}) AS {a}_{b}")
+            det = f"(s.{a}_{a} * s.{b}_{b} - s.{a}_{b} * s.{a}_{b})"
+            wa, wb = f"(s.{a}_y * s.{b}_{b} - s.{b}_y * s.{a}_{b}) / {det}", f"(s.{b}_y * s.{a}_{a} - s.{a}_y * s.{a}_{b}) / {det}"
+            parts.append(f"SELECT t.fold, '{a}+{b}', abs(t.y0 + t.{a} * {wa} + t.{b} * {wb} - t.label), abs(t.y0 - t.label) FROM centred_test t JOIN sums s USING (fold)")
+    return f"""
+ base AS (SELECT o_orderkey AS k, dense_rank() OVER (ORDER BY year(o_orderdate)) - 1 AS i, ((o_orderkey * 7) % 91)::DOUBLE AS minutes, (o_orderkey % 4)::DOUBLE AS goals,
+   o_totalprice / 70001.0 AS price, nullif(o_orderkey % 5, 0)::DOUBLE AS fifth, ((o_orderkey * 5) % 13 + (o_orderkey % 4) * 3 - (o_totalprice / 70001.0) * 2)::DOUBLE AS label FROM orders),
+ folds AS (SELECT e - 3 AS fold, e FROM range(3, 40) r(e) WHERE e + 1 <= (SELECT max(i) FROM base)),
+ train AS (SELECT f.fold, b.* FROM folds f JOIN base b ON b.i < f.e),
+ means AS (SELECT fold, avg(label) AS y0, {means} FROM train GROUP BY fold),
+ centred AS (SELECT fold, label - avg(label) OVER w AS y, {centred} FROM train WINDOW w AS (PARTITION BY fold)),
+ sums AS (SELECT fold, {", ".join(sums)} FROM centred GROUP BY fold),
+ centred_test AS (SELECT f.fold, m.y0, t.label, {test} FROM folds f JOIN base t ON t.i = f.e + 1 JOIN means m USING (fold)),
+ errors AS ({" UNION ALL ".join(parts)})"""
+
+
+PAIR_SQL = _pair_sql()
+
+
+QUERIES = {"discovery": discovery, "walk_forward_scores": walk_forward_scores, "shuffled_control": shuffled_control, "component_models": component_models, "minutes_states": minutes_states, "moment_scores": moment_scores, "kept_predictions": kept_predictions}
+ORACLE = {
+    "shuffled_control": "SELECT year(o_orderdate)::VARCHAR AS season, sum((o_orderkey * 7) % 91)::BIGINT AS minutes, sum((o_orderkey * 7) % 91)::BIGINT AS dealt, count(*) AS n FROM orders GROUP BY ALL",
+    "component_models": f"""WITH {COMPONENT_SQL},
+ fitted AS (SELECT fold, g, avg(minutes) AS minutes, avg(goals) AS goals, avg(starts) AS starts FROM train GROUP BY ALL),
+ level AS (SELECT fold, count(*) AS n, avg(minutes) AS minutes, avg(goals) AS goals, avg(starts) AS starts FROM train GROUP BY fold),
+ scored AS (
+  SELECT fold, 'minutes' AS label, t.minutes AS y, f.minutes AS p, l.minutes AS b, l.n, (t.minutes - f.minutes) ** 2 AS loss FROM test t JOIN fitted f USING (fold, g) JOIN level l USING (fold)
+  UNION ALL SELECT fold, 'goals', t.goals, f.goals, l.goals, l.n, 2 * (CASE WHEN t.goals > 0 THEN t.goals * ln(t.goals / f.goals) ELSE 0 END - (t.goals - f.goals)) FROM test t JOIN fitted f USING (fold, g) JOIN level l USING (fold)
+  UNION ALL SELECT fold, 'starts', t.starts, f.starts, l.starts, l.n, -ln(CASE WHEN t.starts = 1 THEN f.starts ELSE 1 - f.starts END) FROM test t JOIN fitted f USING (fold, g) JOIN level l USING (fold))
+SELECT fold::INTEGER AS fold, label, any_value(n) AS train_rows, count(*) AS rows, round(avg(abs(p - y)), 6) AS mae, round(avg(abs(b - y)), 6) AS baseline_mae, round(avg(loss), 6) AS loss,
+  round(stddev_pop(p), 6) AS predicted_sd, round(avg(p), 6) AS predicted_mean, round(avg(y), 6) AS actual_mean FROM scored GROUP BY fold, label""",
+    "minutes_states": f"""WITH {COMPONENT_SQL},
+ fitted AS (SELECT fold, g, avg(minutes) AS minutes, avg(starts) AS starts, avg((state = 0)::INT) AS p0, avg((state = 1)::INT) AS p1, avg((state = 2)::INT) AS p2 FROM train GROUP BY ALL),
+ other AS (SELECT *, greatest(starts, least(1.0, minutes / 70.0)) AS plays FROM fitted),
+ states AS (SELECT *, greatest(0.0, least(plays, starts * 0.9 + greatest(0.0, (minutes - 60.0) / 30.0) * 0.1)) AS long FROM other),
+ placed AS (SELECT t.fold, t.state, [p0, p1, p2] AS p, [1 - plays, plays - long, long] AS q FROM test t JOIN states b USING (fold, g)),
+ squared AS (SELECT *, (p[1] - (state = 0)::INT) ** 2 + (p[2] - (state = 1)::INT) ** 2 + (p[3] - (state = 2)::INT) ** 2 AS pb, (q[1] - (state = 0)::INT) ** 2 + (q[2] - (state = 1)::INT) ** 2 + (q[3] - (state = 2)::INT) ** 2 AS qb FROM placed)
+SELECT fold::INTEGER AS fold, count(*) AS rows, round(avg(-ln(greatest(p[state + 1], 1e-12))), 6) AS log_loss, round(avg(pb), 6) AS brier, round(avg(-ln(greatest(q[state + 1], 1e-12))), 6) AS baseline_log_loss, round(avg(qb), 6) AS baseline_brier,
+  round(avg((state = 0)::INT), 6) AS share_0, round(avg((state = 1)::INT), 6) AS share_1, round(avg((state = 2)::INT), 6) AS share_2 FROM squared GROUP BY fold""",
+    "moment_scores": f"WITH {PAIR_SQL} SELECT features, fold::INTEGER AS fold, count(*) AS n, round(avg(e), 6) AS mae, round(avg(b), 6) AS baseline_mae, 1 AS moment_jobs, 1 AS score_jobs FROM errors GROUP BY features, fold",
+    "kept_predictions": f"WITH {PAIR_SQL} SELECT features, fold::INTEGER AS fold, count(*) AS n, round(avg(e), 6) AS mae, ((SELECT count(*) FROM folds) * 2)::INTEGER AS fits_at_first, 0 AS fits_again, 2 AS fits_after_a_change FROM errors WHERE features IN ('goals', 'goals+price') GROUP BY features, fold",
+}

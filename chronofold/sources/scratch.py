@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -16,3 +16,10 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chronofold-")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` as a table in a new folder, read back: work on it isn't done twice, nor again when an executor is lost."""
+    path = f"{folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
