@@ -180,39 +180,6 @@ def opportunity_cost(locked: DataFrame, candidates: DataFrame, value: str = "val
     return locked.join(best, ["squad_id", "player_code"], "left").select("squad_id", "player_code", "alternative", F.round(F.coalesce(F.col("_best") - F.col(value), F.lit(0.0)), 6).alias("forgone"))
 
 
-def generate_squads(players: DataFrame, draws: DataFrame, order: Column, cap: int = CLUB_CAP, budget: int = BUDGET) -> DataFrame:
-    """One legal squad a row of ``draws``: players by falling ``order`` while money for the slots left is kept back.
-
-    players: player_code, position, team_id, price. ``order`` may use columns of both (a hash of seed and player
-    gives random squads, the price the dearest). Whom a squad may take hangs on whom it took before, so each
-    draw is filled in order by itself, over one market's players; a draw that can't be filled gives no rows.
-    """
-    import pandas as pd
-
-    names = [f for f in draws.columns]
-    rows = players.crossJoin(F.broadcast(draws)).withColumn("_order", order)
-    places = sorted(QUOTA.items(), key=lambda x: -x[1])
-
-    def fill(pool: pd.DataFrame) -> pd.DataFrame:
-        cheapest = {p: pool.loc[pool["position"] == p, "price"].min() for p in QUOTA}
-        spent, clubs, taken = 0, {}, []
-        for k, (position, slots) in enumerate(places):
-            later = sum(n * cheapest[p] for p, n in places[k + 1 :])
-            got = 0
-            for row in pool[pool["position"] == position].sort_values(["_order", "player_code"], ascending=[False, True]).itertuples():
-                if got == slots:
-                    break
-                if clubs.get(row.team_id, 0) < cap and spent + row.price + (slots - got - 1) * cheapest[position] + later <= budget:
-                    clubs[row.team_id] = clubs.get(row.team_id, 0) + 1
-                    spent, got = spent + row.price, got + 1
-                    taken.append(row.Index)
-            if got < slots:
-                return pool.iloc[:0]
-        return pool.loc[taken]
-
-    return rows.groupBy(*names).applyInPandas(fill, rows.schema).drop("_order")
-
-
 def fixture_sides(fixtures: DataFrame) -> DataFrame:
     """Each fixture once for each side."""
     side = lambda team, other, home, difficulty: F.struct(F.col(team).alias("team_id"), F.col(other).alias("opponent_team_id"), F.lit(home).alias("was_home"), F.col(difficulty).alias("difficulty"))

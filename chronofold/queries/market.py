@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import changes, embeddings, leakage, requests, scoring, squads
+from chronofold.operators import changes, embeddings, leakage, requests, scoring, squad_fill, squads
 from chronofold.queries.asof import rounded
 from chronofold.queries.domain import ORACLE as DOMAIN_SQL
 from chronofold.queries.domain import SQUAD_SQL, squad_rows
@@ -304,25 +304,32 @@ def component_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What requests built from all suppliers ask for."""
+    """What requests built from all suppliers ask for, and the clauses that nothing was made of."""
     k = F.col("s_suppkey")
-    name = F.concat(F.lit("Smith "), k)
-    verb = F.when(k % 4 == 0, F.concat(F.lit("Please start "), name)).when(k % 4 == 1, F.concat(F.lit("never pick "), name)).when(k % 4 == 2, F.concat(name, F.lit(" as captain"))).otherwise(F.concat(F.lit("I like "), name))
-    text = F.concat_ws(". ", verb, F.when(k % 5 == 0, F.lit("Play 4-4-2")), F.when(k % 6 == 0, F.lit("leave 2.5m in the bank")), F.when(k % 2 == 0, F.lit("At least two from Leeds")), F.when(k % 7 == 0, F.lit("no more than 3 players from Hull")))
-    asked = table(spark, sf_dir, "supplier").select(k.alias("request_id"), text.alias("text"))
+    name = F.concat(F.lit("J. Smith-Jones "), k)
+    verb = F.when(k % 4 == 0, F.concat(F.lit("Please start "), name)).when(k % 4 == 1, F.concat(F.lit("avoid a poor season, never pick "), name)).when(k % 4 == 2, F.concat(name, F.lit("'s (c)"))).otherwise(F.concat(F.lit("I like "), name))
+    more = [F.when(k % 5 == 0, F.lit("Play 4-4-2")), F.when(k % 6 == 0, F.lit("leave £2.5m in the bank")), F.when(k % 2 == 0, F.lit("At least two from Leeds")), F.when(k % 7 == 0, F.lit("no more than 3 players from Hull City"))]
+    more += [F.when(k % 3 == 0, F.lit("Be aggressive over the next four gameweeks")), F.when(k % 8 == 0, F.lit("no points hits")), F.when(k % 9 == 0, F.concat(F.lit("I think "), name, F.lit(" will score"))), F.when(k % 11 == 0, F.lit("sing me a lullaby"))]
+    asked = table(spark, sf_dir, "supplier").select(k.alias("request_id"), F.concat_ws(". ", verb, *more).alias("text"))
     names = table(spark, sf_dir, "supplier").select(name.alias("name"), k.alias("player_code"))
-    clubs = spark.createDataFrame([("Leeds", 1), ("Hull", 2)], "name string, team_id int")
+    clubs = spark.createDataFrame([("Leeds", 1), ("Hull City", 2)], "name string, team_id int")
     rows = lambda df, what, value: df.select("request_id", what.alias("what"), value.cast("string").alias("value"))
     out = rows(requests.mentions(asked, names), F.col("kind"), F.col("player_code")).unionByName(rows(requests.shapes(asked), F.lit("formation"), F.col("formation")))
-    return out.unionByName(rows(requests.club_counts(asked, clubs), F.concat("kind", F.lit(":"), "team_id"), F.col("count"))).unionByName(rows(requests.bank_floors(asked), F.lit("bank"), F.col("amount")))
+    out = out.unionByName(rows(requests.club_counts(asked, clubs), F.concat("kind", F.lit(":"), "team_id"), F.col("count"))).unionByName(rows(requests.bank_floors(asked), F.lit("bank"), F.col("amount")))
+    out = out.unionByName(rows(requests.objectives(asked).unionByName(requests.constraints(asked)).where("field <> 'constraint.minimum_bank'"), F.col("field"), F.col("value")))
+    out = out.unionByName(rows(requests.beliefs(asked, names), F.concat(F.lit("belief:"), "proposition"), F.col("confidence")))
+    return out.unionByName(rows(requests.not_understood(asked, names, clubs), F.lit("not understood"), F.col("clause")))
 
 
 def generated_squads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random squads of one market: all of them keep the rules."""
+    """A random squad for each nation out of one market, and the dearest one (-1): which rules they break, and of how many players they are."""
     pool = _squads(spark, sf_dir)[1].withColumn("team_id", F.pmod("player_code", F.lit(13)))
-    seeds = spark.range(8).withColumnRenamed("id", "squad_id")
-    out = squads.generate_squads(pool, seeds, F.xxhash64("squad_id", "player_code").cast("double"))
-    return squads.legality(out).select("squad_id", F.array_join("issues", ",").alias("issues"))
+    draws = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("squad_id"))
+    random = squad_fill.squads_of(squad_fill.fill_random(pool, draws))
+    dearest = squad_fill.squads_of(squad_fill.fill_ranked(pool, F.col("price"))).withColumn("squad_id", F.lit(-1).cast("long"))
+    out = random.unionByName(dearest)
+    sizes = out.groupBy("squad_id").agg(F.count_distinct("player_code").alias("players"))
+    return squads.legality(out).join(sizes, "squad_id").select("squad_id", F.array_join("issues", ",").alias("issues"), "players")
 
 
 QUERIES = {f.__name__: f for f in (transfer_board, pick_outcomes, recommendations, policy_moves, constrained_pool, opportunity_cost, objective_values, history_notes, refresh_plan, news_shortlist, usable_features, acceptance_report, registry_summary, event_order, believed, horizon_repriced, skill_shrunk, from_models, mapped_clubs, population_means, ownership_before, players, teams, gameweeks, fixtures, match_history, past_seasons, archive_season, backfill, element_codes, summaries, table_store, open_units, leakage_found, component_clusters, text_requests, generated_squads)}
@@ -415,9 +422,15 @@ SELECT season, count(*) FILTER (WHERE w = 'y') AS kept, count(*) FILTER (WHERE w
     "summaries": "WITH n AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0) SELECT o_custkey AS element_id, o_orderkey AS fixture, o_orderkey % 91 AS minutes FROM orders LEFT JOIN n ON k = o_custkey WHERE CASE WHEN k IS NULL THEN o_orderkey % 2 = 0 ELSE o_orderkey % 3 = 0 END",
     "table_store": "SELECT o_orderstatus, CASE WHEN o_orderkey % 2 = 1 THEN 'late' END AS part, count(*) AS n, sum(o_custkey)::DOUBLE AS customers FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey >= 10 GROUP BY ALL",
     "open_units": "SELECT regexp_replace(r_name, '[^A-Za-z]', '', 'g') AS policy, w AS \"window\", count(*) * CASE WHEN r_name > 'B' THEN 3 ELSE 1 END AS n, count(*) * CASE WHEN r_name > 'B' THEN 3 ELSE 0 END AS seeded FROM region, nation, (VALUES ('w1'), ('w2')) v(w) WHERE n_nationkey % 3 > 0 GROUP BY r_name, w",
-    "text_requests": """SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'exclude' ELSE 'captain' END AS what, s_suppkey::VARCHAR AS value FROM supplier WHERE s_suppkey % 4 < 3
- UNION ALL SELECT s_suppkey, 'formation', '4-4-2' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, 'bank', '25' FROM supplier WHERE s_suppkey % 6 = 0
- UNION ALL SELECT s_suppkey, 'club_floor:1', '2' FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'club_ceiling:2', '3' FROM supplier WHERE s_suppkey % 7 = 0""",
-    "generated_squads": "SELECT x AS squad_id, '' AS issues FROM range(8) r(x)",
+    "text_requests": """WITH s AS (SELECT s_suppkey AS k FROM supplier)
+ SELECT k AS request_id, CASE k % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'exclude' ELSE 'captain' END AS what, k::VARCHAR AS value FROM s WHERE k % 4 < 3
+ UNION ALL SELECT k, 'formation', '4-4-2' FROM s WHERE k % 5 = 0 UNION ALL SELECT k, 'bank', '25' FROM s WHERE k % 6 = 0
+ UNION ALL SELECT k, 'club_floor:1', '2' FROM s WHERE k % 2 = 0 UNION ALL SELECT k, 'club_ceiling:2', '3' FROM s WHERE k % 7 = 0
+ UNION ALL SELECT k, 'objective.risk_preference', 'aggressive' FROM s WHERE k % 3 = 0 UNION ALL SELECT k, 'objective.planning_horizon', '4' FROM s WHERE k % 3 = 0
+ UNION ALL SELECT k, 'objective.captaincy_weight', '1.4' FROM s WHERE false UNION ALL SELECT k, 'constraint.max_points_hit', '0' FROM s WHERE k % 8 = 0
+ UNION ALL SELECT k, 'belief:will_return', '0.75' FROM s WHERE k % 9 = 0 UNION ALL SELECT k, 'not understood', 'sing me a lullaby' FROM s WHERE k % 11 = 0
+ UNION ALL SELECT k, 'not understood', 'i like j smith jones ' || k FROM s WHERE k % 4 = 3 AND k % 9 <> 0 UNION ALL SELECT k, 'not understood', 'avoid a poor season' FROM s WHERE k % 4 = 1""",
+    "generated_squads": """WITH m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM part GROUP BY p_partkey % 4))
+ SELECT k AS squad_id, '' AS issues, 15 AS players FROM (SELECT n_nationkey::BIGINT AS k FROM nation UNION ALL SELECT -1), m WHERE m.n >= 5""",
     "leakage_found": "SELECT 'leaky' AS builder, 'all_events' AS \"column\" UNION ALL SELECT 'made', 'all_events'",
 }

@@ -180,10 +180,3 @@ def test_the_nearest_phrase_governs_a_name(spark):
     clubs = spark.createDataFrame([("Hull", 9)], "name string, team_id int")
     assert [tuple(r) for r in requests.shapes(more).collect()] == [(0, "3-5-2")] and [tuple(r) for r in requests.bank_floors(more).collect()] == [(0, 15)]
     assert requests.club_counts(asked, clubs).count() == 0
-
-
-def test_generated_squads_are_legal(spark):
-    players = spark.createDataFrame([(k, ("GKP", "DEF", "MID", "FWD")[k % 4], k % 11, 40 + k * 7 % 61) for k in range(200)], "player_code long, position string, team_id long, price long")
-    out = squads.generate_squads(players, spark.range(5).withColumnRenamed("id", "squad_id"), F.xxhash64("squad_id", "player_code").cast("double"))
-    assert all(r.issues == [] for r in squads.legality(out).collect()) and out.count() == 75
-    assert squads.generate_squads(players.withColumn("price", F.lit(90)), spark.range(2).withColumnRenamed("id", "squad_id"), F.lit(1.0)).count() == 0
