@@ -132,31 +132,6 @@ def seed_sensitivity(a: DataFrame, b: DataFrame, on: Sequence[str], value: str,
     return each.agg(F.count(F.lit(1)).alias("seeds"), F.min("m").alias("least"), F.max("m").alias("greatest"), F.stddev_pop("m").alias("spread"), (F.min(F.signum("m")) == F.max(F.signum("m"))).alias("sign_holds"))
 
 
-# Resamples of an interval, and the blocks below which conditions are resampled instead.
-RESAMPLES, LEAST_BLOCKS = 10_000, 3
-
-
-def block_bootstrap(frame: DataFrame, block: str, value: str, resamples: int = RESAMPLES, seed: int = 20260727, low: float = 0.025, high: float = 0.975, condition: Sequence[str] = ()) -> DataFrame:
-    """An interval of the mean from resampling whole blocks; draws depend on seed, resample and place only.
-
-    Below LEAST_BLOCKS blocks the rows of one ``condition`` are a block, if given. Blocks come down to one
-    row each (sum and count) before anything is multiplied.
-    """
-    sums = [F.sum(value).alias("_s"), F.count(value).alias("_n")]
-    blocks = frame.groupBy(F.col(block).alias("_block")).agg(*sums).withColumn("_by", F.lit("block"))
-    if condition:
-        n = blocks.agg(F.count(F.lit(1)).alias("_blocks"))
-        finer = frame.groupBy(F.to_json(F.struct(*condition)).alias("_block")).agg(*sums).withColumn("_by", F.lit("condition"))
-        both = blocks.withColumn("_block", F.col("_block").cast("string")).unionByName(finer).crossJoin(F.broadcast(n))
-        blocks = both.where((F.col("_blocks") >= LEAST_BLOCKS) == (F.col("_by") == "block")).drop("_blocks")
-    numbered = blocks.withColumn("_i", F.row_number().over(Window.orderBy("_block")) - 1)
-    count = numbered.agg(F.count(F.lit(1)).alias("_k"))
-    draws = count.select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"), "_k").select("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_d"), "_k")
-    draws = draws.withColumn("_i", F.floor(S.hashed_uniform(seed, F.col("_r"), F.col("_d")) * F.col("_k")))
-    means = draws.join(numbered, "_i").groupBy("_r").agg((F.sum("_s") / F.sum("_n")).alias("_m"))
-    return means.agg(F.percentile("_m", low).alias("low"), F.avg("_m").alias("mean"), F.percentile("_m", high).alias("high"))
-
-
 def subgroup_gain(frame: DataFrame, segment: str, base: str, full: str, actual: str, least: int = 200) -> DataFrame:
     """MAE of two predictions in each segment of enough rows, and the gain."""
     mae = lambda c: F.avg(F.abs(F.col(c) - F.col(actual)))

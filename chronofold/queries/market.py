@@ -432,5 +432,6 @@ SELECT season, count(*) FILTER (WHERE w = 'y') AS kept, count(*) FILTER (WHERE w
  UNION ALL SELECT k, 'not understood', 'i like j smith jones ' || k FROM s WHERE k % 4 = 3 AND k % 9 <> 0 UNION ALL SELECT k, 'not understood', 'avoid a poor season' FROM s WHERE k % 4 = 1""",
     "generated_squads": """WITH m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM part GROUP BY p_partkey % 4))
  SELECT k AS squad_id, '' AS issues, 15 AS players FROM (SELECT n_nationkey::BIGINT AS k FROM nation UNION ALL SELECT -1), m WHERE m.n >= 5""",
-    "leakage_found": "SELECT 'leaky' AS builder, 'all_events' AS \"column\" UNION ALL SELECT 'made', 'all_events'",
+    "leakage_found": """WITH c AS (SELECT date_trunc('day', min(ts)) + INTERVAL 14 DAY AS t FROM events), late AS (SELECT count(*) AS n FROM events, c WHERE ts > t), early AS (SELECT count(*) AS n FROM events, c WHERE ts <= t)
+ SELECT 'leaky' AS builder, 'all_events' AS "column" FROM late WHERE n > 0 UNION ALL SELECT 'made', 'all_events' FROM early WHERE n > 0""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars as S
-from chronofold.operators import calibration, metrics
+from chronofold.operators import bootstrap, calibration, metrics
 from chronofold.queries.asof import rounded
 from chronofold.queries.roles import table
 
@@ -189,8 +189,12 @@ def gaussian_pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", F.round(calibration.mean_of(F.col("pmf"), F.col("pmf_support_min")), 6).alias("mean"), F.round(calibration.crps(F.col("pmf"), F.col("pmf_support_min"), F.col("actual")), 6).alias("crps"))
 
 
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.block_bootstrap(table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate")), "y", "o_totalprice", 500)
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the mean order, 10,000 resamples each: of years (drawn), of days (weighed), and of two halves, too few, so of their priorities."""
+    orders = table(spark, sf_dir, "orders").withColumns({"year": F.year("o_orderdate"), "day": F.date_format("o_orderdate", "yyyy-MM-dd"), "half": F.pmod("o_orderkey", F.lit(2))})
+    runs = [("year", ()), ("day", ()), ("half", ("half", "o_orderpriority"))]
+    out = [bootstrap.block_bootstrap(orders, by, "o_totalprice", condition=c).withColumn("by", F.lit(by)) for by, c in runs]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]), "low", "mean", "high")
 
 
 QUERIES = {
@@ -222,7 +226,7 @@ QUERIES = {
     "label_importance": label_importance,
     "seed_sensitivity": seed_sensitivity,
     "gaussian_pmf": gaussian_pmf,
-    "block_bootstrap": bootstrap,
+    "block_bootstrap": block_bootstrap,
 }
 
 
@@ -230,7 +234,24 @@ def _avg_rank(c: str, over: str) -> str:
     return f"(rank() OVER ({over} ORDER BY {c}) + (count({c}) OVER ({over} ORDER BY {c} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0)"
 
 
+_UNIFORM = "('0x' || substr(md5({key}), 8 * {k} + 1, 8))::BIGINT / 4294967296.0"
+_POISSON = "(" + " + ".join(f"(u >= {p!r})::INT" for p in bootstrap.POISSON) + ")"
+
+
+def _drawn_sql(blocks: str) -> str:
+    u = _UNIFORM.format(key="'20260727:' || r || ':' || (d // 4)", k="(d % 4)")
+    return f"""(SELECT quantile_cont(m, 0.025) AS low, avg(m) AS mean, quantile_cont(m, 0.975) AS high, any_value(k) AS blocks FROM
+  (SELECT r, sum(s) / sum(n) AS m, any_value(k) AS k FROM (SELECT r, d, floor({u} * k) AS i, k FROM range(10000) a(r), (SELECT count(*) AS k FROM {blocks}), range(512) b(d) WHERE d < k) JOIN
+   (SELECT s, n, row_number() OVER (ORDER BY b) - 1 AS i FROM {blocks}) USING (i) GROUP BY r))"""
+
+
 ORACLE = {
+    "block_bootstrap": f"""WITH o AS (SELECT *, year(o_orderdate)::VARCHAR AS y, strftime(o_orderdate, '%Y-%m-%d') AS day, '{{"half":' || (o_orderkey % 2) || ',"o_orderpriority":"' || o_orderpriority || '"}}' AS half FROM orders),
+ y AS (SELECT y AS b, sum(o_totalprice) AS s, count(*) AS n FROM o GROUP BY ALL), d AS (SELECT day AS b, sum(o_totalprice) AS s, count(*) AS n FROM o GROUP BY ALL), h AS (SELECT half AS b, sum(o_totalprice) AS s, count(*) AS n FROM o GROUP BY ALL),
+ w AS (SELECT r, sum({_POISSON} * s) / sum({_POISSON} * n) AS m FROM (SELECT r, s, n, {_UNIFORM.format(key="'20260727:' || b || ':' || (r // 4)", k="(r % 4)")} AS u FROM d, range(10000) a(r)) GROUP BY r)
+SELECT 'year' AS by, round(low, 6) AS low, round(mean, 6) AS mean, round(high, 6) AS high, blocks, 'drawn' AS how FROM {_drawn_sql("y")}
+UNION ALL SELECT 'half', round(low, 6), round(mean, 6), round(high, 6), blocks, 'drawn' FROM {_drawn_sql("h")}
+UNION ALL SELECT 'day', round(quantile_cont(m, 0.025), 6), round(avg(m), 6), round(quantile_cont(m, 0.975), 6), (SELECT count(*) FROM d), 'weighed' FROM w""",
     "group_relatives": f"""WITH t AS (SELECT c_custkey, c_mktsegment AS g, CASE WHEN c_custkey % 17 > 0 THEN round(c_acctbal / 100) * 100 + 0.0 END AS v FROM customer)
 SELECT c_custkey, CASE WHEN v IS NOT NULL THEN round((rank() OVER (PARTITION BY g ORDER BY v NULLS LAST) + (count(v) OVER (PARTITION BY g ORDER BY v RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0 - 1) / (count(v) OVER (PARTITION BY g) - 1), 6) END AS unit_rank,
  round(v / sum(v) OVER (PARTITION BY g), 6) AS share, round(v - avg(v) OVER (PARTITION BY g), 6) AS deviation, round((v - avg(v) OVER (PARTITION BY g)) / stddev_samp(v) OVER (PARTITION BY g), 6) AS zscore FROM t""",
