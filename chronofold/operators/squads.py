@@ -119,9 +119,13 @@ def shortfall(squads: DataFrame, candidates: DataFrame, state: DataFrame, spread
     return met.groupBy("squad_id", "out_code").agg((F.min("_price") - F.max("_budget")).alias("_short")).select("squad_id", "out_code", F.when(F.col("_short") > 0, F.col("_short")).alias("shortfall"))
 
 
-def every_pick(squads: DataFrame, moves: DataFrame, candidates: DataFrame, state: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
-    """One row a pick: its best move if that is worth it, and else why there is none: held, no legal move, or too little gain."""
+def every_pick(squads: DataFrame, moves: DataFrame, candidates: DataFrame, state: DataFrame, least: float = LEAST_GAIN, counts: DataFrame | None = None) -> DataFrame:
+    """One row a pick: its best move if that is worth it, and else why there is none: held, no legal move, or too little gain.
+
+    Where ``moves`` are those of a frontier only, ``counts`` (squad_id, out_code, legal_replacements) says how many were legal.
+    """
     best = best_moves(moves, ["squad_id", "out_code"])
+    best = best if counts is None else best.drop("legal_replacements").join(counts, ["squad_id", "out_code"], "full")
     held = ~F.col("sellable") if "sellable" in squads.columns else F.lit(False)
     rows = squads.withColumn("_held", held).select("squad_id", F.col("player_code").alias("out_code"), "position", "_held").join(best, ["squad_id", "out_code"], "left").join(shortfall(squads, candidates, state), ["squad_id", "out_code"], "left")
     worth = F.col("net_gain") >= least

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import changes, embeddings, leakage, requests, scoring, squad_fill, squads
+from chronofold.operators import changes, embeddings, frontier, leakage, requests, scoring, squad_fill, squads
 from chronofold.queries.asof import rounded
 from chronofold.queries.domain import ORACLE as DOMAIN_SQL
 from chronofold.queries.domain import SQUAD_SQL, squad_rows
@@ -26,7 +26,7 @@ def _squads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def transfer_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks, pool, state = _squads(spark, sf_dir)
-    board = squads.transfer_board(squads.legal_transfers(picks, pool, state))
+    board = squads.transfer_board(squads.legal_transfers(picks, frontier.frontier(pool), state))
     return rounded(board.select("squad_id", "place", "out_code", "in_code", "gross_gain", "hit_cost", "risk_penalty", "net_gain", "bank_after"), "gross_gain", "risk_penalty", "net_gain")
 
 
@@ -34,12 +34,13 @@ def pick_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pick's best move or why there is none; some picks are held."""
     picks, pool, state = _squads(spark, sf_dir)
     picks = picks.withColumn("sellable", F.col("player_code") % 10 != 3)
-    return rounded(squads.every_pick(picks, squads.legal_transfers(picks, pool, state), pool, state), "best_gain")
+    moves = squads.legal_transfers(picks, frontier.frontier(pool), state)
+    return rounded(squads.every_pick(picks, moves, frontier.better_and_cheap(pool), state, counts=frontier.legal_counts(picks, pool, state)), "best_gain")
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks, pool, state = _squads(spark, sf_dir)
-    return rounded(squads.recommendation(picks, squads.legal_transfers(picks, pool, state), state), "hold_points", "expected_points", "risk_score")
+    return rounded(squads.recommendation(picks, squads.legal_transfers(picks, frontier.frontier(pool), state), state), "hold_points", "expected_points", "risk_score")
 
 
 def policy_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
