@@ -1,6 +1,6 @@
 """Sharding through fixed virtual slots, with DataFrame functions only.
 
-Every record hashes to one of ``VIRTUAL_SLOTS`` slots for good. Bytes and rows are summed by slot; a
+Every record hashes to one of ``VIRTUAL_SLOTS`` slots for good, and so does every further copy of a record, by its number among them. Bytes and rows are summed by slot; a
 versioned map says which shard holds a slot. Version 0 deals the slots out in turn. ``rebalance``
 edits a map: shards above the mean give slots up, the lightest take them, then single moves and swaps
 between the heaviest and the lightest narrow the gap. Only slots are moved, never single records, and
@@ -8,13 +8,14 @@ the map (4,096 slots of 16 cells, whatever the data) is all that the driver ever
 
 The law of ``query`` is ``bytes``: shards' sizes are near equal. A record's hash takes its doc_id and
 its text's checksum, so that one doc_id with many texts spreads as well. Null text has 0 bytes and
-checksum 0; null doc_ids hash like any value; repeated rows share a slot and have places of their own;
+checksum 0; null doc_ids hash like any value; copies of a row are numbered, so that no slot must hold them all;
 an empty table gives no rows; other columns are left aside.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +27,8 @@ SHARDS = 24
 VIRTUAL_SLOTS = 4096
 #: Cells that a slot's records lie in, by their number in the written table, so that copies of one record spread too.
 CELLS = 16
-_MAP = "version int, virtual_slot int, shard int"
+#: Tables up to this size in memory are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def records(docs: DataFrame, virtual_slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -93,18 +95,42 @@ def rebalance(current: Sequence[int], weight: Sequence[int], shards: int, rounds
     return out
 
 
-def write_map(spark: SparkSession, path: str, version: int, shards: Sequence[int]) -> None:
-    """Add a version to the stored map; a version that is there is left as it is."""
-    target = f"{path}/version={version}"
-    if storage.exists(spark, target):
-        return
-    rows = [(slot, shard) for slot, shard in enumerate(shards)]
-    spark.createDataFrame(rows, "virtual_slot int, shard int").coalesce(1).write.parquet(target)
+def write_map(spark: SparkSession, path: str, version: int, shards: Sequence[int]) -> bool:
+    """Add a version to the stored map, whole or not at all; a version that is there is left as it is (False)."""
+    return storage.publish_text(spark, f"{path}/version-{version}", json.dumps(list(shards)))
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     """virtual_slot and shard as of a version."""
-    return spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
+    shards = json.loads(storage.read_texts(spark, path)[f"version-{version}"])
+    return spark.createDataFrame(list(enumerate(shards)), "virtual_slot int, shard int")
+
+
+def numbered_copies(rows: DataFrame, virtual_slots: int) -> DataFrame:
+    """The written rows (.., row), copies of one (doc_id, text_crc32) moved to slots by their number among them.
+
+    Copies are numbered within cells, and cells of one record begin where those before them end, so that a
+    record with any number of copies is no one task's work.
+    """
+    keyed = rows.withColumn("cell", F.pmod("row", F.lit(CELLS)).cast("int"))
+    cells = keyed.groupBy("doc_id", "text_crc32", "cell").agg(F.count(F.lit(1)).alias("n"))
+    again = cells.groupBy(F.col("doc_id").alias("k_doc"), F.col("text_crc32").alias("k_crc")).agg(F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+    again, again_path = storage.materialise(again, "shard-copies")
+    if not again.limit(1).count():
+        return rows
+    small = storage.fits(again, again_path, BROADCAST_BYTES)
+    known = F.broadcast(again) if small else again
+    same = lambda d: d["doc_id"].eqNullSafe(known["k_doc"]) & (d["text_crc32"] == known["k_crc"])
+    before = Window.partitionBy("doc_id", "text_crc32").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.join(known, same(cells), "left_semi").select(F.col("doc_id").alias("s_doc"), F.col("text_crc32").alias("s_crc"), F.col("cell").alias("s_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = F.broadcast(starts) if small else starts
+    in_cell = Window.partitionBy("doc_id", "text_crc32", "cell").orderBy("row")
+    copies = keyed.join(known, same(keyed), "left_semi").withColumn("number", F.row_number().over(in_cell) - 1)
+    placed = copies.join(starts, copies["doc_id"].eqNullSafe(F.col("s_doc")) & (F.col("text_crc32") == F.col("s_crc")) & (F.col("cell") == F.col("s_cell"))).withColumn("number", F.col("start") + F.col("number"))
+    moved = F.pmod(F.xxhash64("doc_id", "text_crc32", "number"), F.lit(virtual_slots)).cast("int")
+    placed = placed.withColumn("virtual_slot", F.when(F.col("number") == 0, F.col("virtual_slot")).otherwise(moved))
+    out, _ = storage.materialise(rows.join(known, same(rows), "left_anti").unionByName(placed.select(*rows.columns)), "shard-records")
+    return out
 
 
 def shard(docs: DataFrame, map_path: str, shards: int = SHARDS, virtual_slots: int = VIRTUAL_SLOTS, by: str = "bytes") -> DataFrame:
@@ -114,6 +140,7 @@ def shard(docs: DataFrame, map_path: str, shards: int = SHARDS, virtual_slots: i
     """
     spark = docs.sparkSession
     rows, _ = storage.materialise(records(docs, virtual_slots).withColumn("row", F.monotonically_increasing_id()), "shard-records")
+    rows = numbered_copies(rows, virtual_slots)
     rows = rows.withColumn("cell", F.pmod("row", F.lit(CELLS)).cast("int"))
     cells, _ = storage.materialise(rows.groupBy("virtual_slot", "cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "slot-sums")
     slots = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))

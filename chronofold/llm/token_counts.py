@@ -7,6 +7,9 @@ sum over committed batches, and ``compact`` may fold any of them into one. A bat
 its marker is there: a file named by the batch's id that says which attempt's table holds the sums, complete
 before it gets that name and never put over another one. So a batch counts once or not at all: a rerun of
 one that is there, or of one whose writer died, or two writers of one id at once, change nothing that was counted.
+A fold first claims each batch by a marker that only one fold can put there, and sums only what it claimed, so
+two folds at once never stand for the same batch; a fold that died goes on under its own name. Folded tables
+stay until ``sweep``, so that readers that began before a fold can end.
 
 Null source or language is a group of its own. Null text counts as no tokens (its document counts).
 Repeated rows count each time, as each is a change. Empty batches commit and add nothing. Groups whose
@@ -92,16 +95,30 @@ class Rollup:
         return self._publish("batches", batch_id, summed, [])
 
     def compact(self, into: str, batch_ids: list[str]) -> None:
-        """Fold committed batches into one; their ids stay known and add nothing from then on, and their tables go."""
-        batches, folded = self._state()
-        these = {b: batches[b] for b in sorted(set(batch_ids)) if b not in folded}
-        if into in self._markers("folds") or not these:
+        """Fold committed batches into one; their ids stay known and add nothing from then on.
+
+        Batches that another fold has claimed are left to it.
+        """
+        folds, batches = self._state()
+        folded = {b for fold in folds.values() for b in fold["stands_for"]}
+        if into in folds:
             return
-        sums = self._read(list(these.values())).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        # One name makes the fold visible: it lists what it stands for.
-        if self._publish("folds", into, sums, list(these)):
-            for data in these.values():
-                storage.remove(self.spark, f"{self.path}/{data}")
+        mine = {}
+        for b in sorted(set(batch_ids) & set(batches) - folded):
+            claim = self._marker("claims", b)
+            if storage.publish_text(self.spark, claim, into) or storage.read_texts(self.spark, f"{self.path}/claims")[b] == into:
+                mine[b] = batches[b]["data"]
+        if mine:
+            sums = self._read(list(mine.values())).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            # One name makes the fold visible: it lists what it stands for.
+            self._publish("folds", into, sums, list(mine))
+
+    def sweep(self) -> None:
+        """Delete the tables of batches that folds stand for; for when no reader is left that began before those folds."""
+        folds, batches = self._state()
+        for fold in folds.values():
+            for b in fold["stands_for"]:
+                storage.remove(self.spark, f"{self.path}/{batches[b]['data']}")
 
     def _markers(self, kind: str) -> dict[str, dict]:
         return {name: json.loads(text) for name, text in storage.read_texts(self.spark, f"{self.path}/{kind}").items()}
@@ -111,16 +128,17 @@ class Rollup:
             return self.spark.createDataFrame([], _CHANGES)
         return self.spark.read.schema(_CHANGES).parquet(*(f"{self.path}/{t}" for t in tables))
 
-    def _state(self) -> tuple[dict[str, str], set[str]]:
-        """Every batch's table, and the batches that a fold stands for."""
-        folded = {b for fold in self._markers("folds").values() for b in fold["stands_for"]}
-        return {name: m["data"] for name, m in self._markers("batches").items()}, folded
+    def _state(self) -> tuple[dict[str, dict], dict[str, dict]]:
+        """The markers of folds, then of batches, each read once: a fold that lands in between is not seen, and its batches count as they are."""
+        folds = self._markers("folds")
+        return folds, self._markers("batches")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens over all committed batches."""
-        batches, folded = self._state()
-        live = [data for name, data in sorted(batches.items()) if name not in folded]
-        rows = self._read(live + [fold["data"] for _, fold in sorted(self._markers("folds").items())])
+        folds, batches = self._state()
+        folded = {b for fold in folds.values() for b in fold["stands_for"]}
+        live = [m["data"] for name, m in sorted(batches.items()) if name not in folded]
+        rows = self._read(live + [fold["data"] for _, fold in sorted(folds.items())])
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
@@ -139,4 +157,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch_id, changes in batches:
         rollup.commit(batch_id, changes)
     rollup.compact("fold-0", ["load-0", "load-1"])
+    rollup.sweep()
     return rollup.totals()

@@ -327,6 +327,26 @@ def test_sharding(spark, make_docs, odd_rows):
     assert sharding.shard(make_docs([]), storage.new_path(spark, "map")).count() == 0
 
 
+def test_copies_of_one_record_spread_over_shards(spark, make_docs):
+    rows = [(7, "the same text of 25 bytes")] * 2000 + [(k, "t" * 25) for k in range(100, 2100)] + [(None, "n")] * 40
+    got = sharding.shard(make_docs(rows), storage.new_path(spark, "map")).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((d, zlib.crc32(t.encode())) for d, t in rows)
+    loads, places = Counter(), defaultdict(list)
+    for r in got:
+        loads[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(loads) == 24 and max(loads.values()) - min(loads.values()) < 0.03 * sum(loads.values()) / 24
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    again = sharding.shard(make_docs(rows).repartition(5), storage.new_path(spark, "map")).collect()
+    assert Counter((r.doc_id, r.shard) for r in got) == Counter((r.doc_id, r.shard) for r in again)
+
+
+def test_a_map_version_is_written_once_and_whole(spark):
+    path = storage.new_path(spark, "map")
+    assert sharding.write_map(spark, path, 0, [1, 0, 2]) and not sharding.write_map(spark, path, 0, [0, 0, 0])
+    assert [r.shard for r in sharding.read_map(spark, path, 0).orderBy("virtual_slot").collect()] == [1, 0, 2]
+
+
 def test_rebalance_is_near_even_and_moves_slots_only():
     random.seed(1)
     weight = [random.randint(0, 1000) for _ in range(4096)]
@@ -366,6 +386,8 @@ def test_token_counts(spark, make_docs, odd_rows, tokenizer):
     assert total() == [(len(odd_rows) - 1, n - k)]
     rollup.compact("abc", ["a", "b"])
     assert total() == [(len(odd_rows) - 1, n - k)]
+    rollup.sweep()
+    assert total() == [(len(odd_rows) - 1, n - k)]
     assert len(storage.read_texts(spark, f"{rollup.path}/batches")) == 3
     assert not rollup.commit("b", token_counts.inserts(rows)) and total() == [(len(odd_rows) - 1, n - k)]
     rollup.commit("empty", token_counts.inserts(rows.limit(0)))
@@ -374,3 +396,34 @@ def test_token_counts(spark, make_docs, odd_rows, tokenizer):
     assert total() == []
     with pytest.raises(ValueError):
         rollup.commit("../x", token_counts.inserts(rows))
+
+
+def test_two_folds_at_once_stand_for_a_batch_once(spark, monkeypatch):
+    rollup = token_counts.Rollup(spark, storage.new_path(spark, "rollup"))
+    rows = spark.createDataFrame([("s", "en", "v", 10)], "source string, lang string, tokenizer string, n_tokens long")
+    for name in ("a", "b"):
+        rollup.commit(name, token_counts.inserts(rows))
+    total = lambda: [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()]
+    other, publish = token_counts.Rollup(spark, rollup.path), rollup._publish
+
+    def late(*args):
+        # Another fold of the same batches begins and ends before this one publishes.
+        other.compact("second", ["a", "b"])
+        return publish(*args)
+
+    monkeypatch.setattr(rollup, "_publish", late)
+    rollup.compact("first", ["a", "b"])
+    assert total() == [(2, 20)]
+    # A fold that died behind its claims goes on under its name, and no other one takes its batches.
+    rollup.commit("c", token_counts.inserts(rows))
+    storage.publish_text(spark, f"{rollup.path}/claims/c", "third")
+    other.compact("fourth", ["c"])
+    assert "fourth" not in storage.read_texts(spark, f"{rollup.path}/folds") and total() == [(3, 30)]
+    other.compact("third", ["c"])
+    assert "third" in storage.read_texts(spark, f"{rollup.path}/folds") and total() == [(3, 30)]
+    # A reader that read the folds before one landed counts its batches as they are.
+    folds, batches = rollup._state()
+    rollup.commit("d", token_counts.inserts(rows))
+    other.compact("fifth", ["d"])
+    monkeypatch.setattr(rollup, "_state", lambda: (folds, rollup._markers("batches")))
+    assert total() == [(4, 40)]
