@@ -316,7 +316,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             signs = [signature(s) for s in shingle_sets(batch.column("text"), 3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary())], ["text", "toxic", "sign"])
 
-    signed = narrow.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(sign, "text string, toxic int, sign binary")
+    # A doc_id may have any number of rows: equal ones are one text, and the bound holds for texts as well.
+    texts = narrow.join(F.broadcast(sample), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    bounded = texts.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(train_rows)
+    signed = bounded.select("text", "toxic").mapInArrow(sign, "text string, toxic int, sign binary")
     rows, path = storage.materialise(signed.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
     known_rows = [(r.row, int(r.toxic > 0), bytes(r.sign)) for r in rows.select("row", "toxic", "sign").collect()]
     group = near_copies(known_rows)

@@ -242,6 +242,19 @@ def test_misspelt_words_below_a_stem_are_met():
     assert lexicon.match("idiotic") == (0, 0) and lexicon.match("plain") == (-1, 0)
 
 
+def test_training_rows_are_bounded_when_a_labelled_id_repeats(spark, make_docs, monkeypatch):
+    rows = [(1, f"numpty number {k % 3000}") for k in range(3500)] + [(k, "fine words here") for k in range(2, 60)]
+    labels = spark.createDataFrame([(k, 1, int(k == 1)) for k in range(1, 60)], "doc_id long, quality int, toxic int")
+    seen = []
+    original = toxicity.near_copies
+    monkeypatch.setattr(toxicity, "near_copies", lambda known: seen.append(len(known)) or original(known))
+    toxicity.train(make_docs(rows), labels, train_rows=100)
+    assert seen and seen[0] <= 100
+    repeated = [(1, "numpty it is")] * 500 + rows[3500:]
+    toxicity.train(make_docs(repeated), labels, train_rows=100)
+    assert seen[1] <= 59
+
+
 def test_toxicity_without_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(odd_rows)
