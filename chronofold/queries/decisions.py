@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.operators import decisions, scoring
+from chronofold.operators import decisions, explain, scoring, squads
 from chronofold.queries.asof import rounded
+from chronofold.queries.domain import SQUAD_SQL, squad_rows
 from chronofold.queries.roles import table
 from chronofold.queries.statistics import PRED_SQL, predictions
 from chronofold.sources import normalise
@@ -33,13 +34,38 @@ def reachable_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("position", "reachable").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
 
 
-def expected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expectation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     u = lambda n: F.pmod(F.col("l_partkey") * n, F.lit(10)) / 10.0
-    rows = t.select("l_orderkey", "l_linenumber", "l_partkey", F.element_at(F.array(*map(F.lit, ("GKP", "DEF", "MID", "FWD"))), (F.pmod("l_suppkey", F.lit(4)) + 1).cast("int")).alias("position"), u(1).alias("p_short"), u(2).alias("p_long"), u(3).alias("expected_goals"), u(4).alias("expected_assists"), u(5).alias("p_clean_sheet"), u(6).alias("expected_conceded"), u(7).alias("expected_saves"), u(8).alias("expected_bonus"), u(9).alias("expected_yellow"), u(11).alias("p_defensive"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.element_at(F.array(*map(F.lit, ("GKP", "DEF", "MID", "FWD"))), (F.pmod("l_suppkey", F.lit(4)) + 1).cast("int")).alias("position"), u(1).alias("p_short"), u(2).alias("p_long"), u(3).alias("expected_goals"), u(4).alias("expected_assists"), u(5).alias("p_clean_sheet"), u(6).alias("expected_conceded"), u(7).alias("expected_saves"), u(8).alias("expected_bonus"), u(9).alias("expected_yellow"), u(11).alias("p_defensive"))
+
+
+def expected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = expectation_rows(spark, sf_dir)
     return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", scoring.expected_points().alias("points")), "points")
 
 
+def points_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What expected points of all lines are made of, by position and component, and whether every line's terms come to its total."""
+    rows = explain.derivation(expectation_rows(spark, sf_dir), scoring.expected_points())
+    each = rows.select("position", "reconciles", F.posexplode("terms").alias("place", "t"))
+    out = each.groupBy("position", F.col("t.component").alias("component")).agg(F.count(F.lit(1)).alias("n"), F.sum("t.expectation").alias("expectation"), F.avg("t.rate").alias("rate"), F.sum("t.points").alias("points"), F.count_if(F.col("place") == 0).alias("largest"), F.min("reconciles").alias("reconciles"))
+    return rounded(out.where("component <> 'appearing' OR n > 0"), "expectation", "rate", "points").drop("largest")
+
+
+def lineup_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a plain 4-4-2 of each whole squad differs from its best eleven."""
+    rows = squad_rows(spark, sf_dir).withColumn("points", F.col("expected_points").cast("double"))
+    best = squads.best_eleven(rows)
+    yours = rows.where(F.col("place").isin(1, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14)).join(best.select("squad_id"), "squad_id")
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("squad_id", "position").orderBy(F.desc("points"), "player_code"))).join(best, "squad_id")
+    room = F.when(F.col("position") == "GKP", 1).when(F.col("position") == "DEF", F.col("n_def")).when(F.col("position") == "MID", F.col("n_mid")).otherwise(F.col("n_fwd"))
+    ours = ranked.where(F.col("_n") <= room)
+    captains = yours.where("place = 13").select("squad_id", F.col("player_code").alias("yours")).join(best.select("squad_id", F.col("captain").alias("ours")), "squad_id")
+    pick = lambda e: e.select("squad_id", "player_code", "position", "points")
+    return rounded(explain.lineup_difference(pick(yours), pick(ours), captains), "yours_points", "ours_points", "swap_delta", "captain_delta", "shape_delta")
+
+
 def closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     part = lambda n: F.pmod(k * (n + 2), F.lit(n)).cast("double")
@@ -68,7 +94,7 @@ def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.archetypes(t, ["a", "b", "flat"]).groupBy("position", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, closed_form, name_index, ranked_page, archetypes)} | {"stratified_sample": sample}
+QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, points_derivation, lineup_difference, closed_form, name_index, ranked_page, archetypes)} | {"stratified_sample": sample}
 
 
 def _pct(c: str) -> str:
@@ -77,7 +103,18 @@ def _pct(c: str) -> str:
 
 
 _U = {n: f"((l_partkey * {k}) % 10 / 10.0)" for n, k in {"p_short": 1, "p_long": 2, "g": 3, "a": 4, "cs": 5, "con": 6, "sv": 7, "bo": 8, "ye": 9, "de": 11}.items()}
+_TERMS = [("goals", "g", "CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END"), ("assists", "a", "3"), ("clean_sheet", "cs", "CASE position WHEN 'MID' THEN 1 WHEN 'FWD' THEN 0 ELSE 4 END"), ("conceded", "con", "CASE WHEN position IN ('GKP', 'DEF') THEN -0.5 ELSE 0 END"), ("saves", "sv", "1 / 3.0"), ("bonus", "bo", "1"), ("cards", "ye", "-1"), ("defence", "de", "CASE position WHEN 'GKP' THEN 0 ELSE 2 END")]
 ORACLE = {
+    "points_derivation": f"""WITH m AS (SELECT ['GKP', 'DEF', 'MID', 'FWD'][l_suppkey % 4 + 1] AS position, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in _U.items())} FROM lineitem),
+ t AS (SELECT position, 'appearing' AS component, p_short + p_long AS x, CASE WHEN p_short + p_long > 0 THEN (p_short + 2 * p_long) / (p_short + p_long) ELSE 0 END AS r FROM m {' '.join(f"UNION ALL SELECT position, '{n}', {c}, {r} FROM m" for n, c, r in _TERMS)})
+SELECT position, component, count(*) AS n, round(sum(x), 6) AS expectation, round(avg(r), 6) AS rate, round(sum(x * r), 6) AS points, true AS reconciles FROM t WHERE abs(x * r) >= 0.005 GROUP BY position, component""",
+    "lineup_difference": f"""WITH {SQUAD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY squad_id, position ORDER BY expected_points DESC, player_code) AS k FROM sq), f AS (SELECT d, m, f FROM range(3, 6) a(d), range(2, 6) b(m), range(1, 4) c(f) WHERE 1 + d + m + f = 11),
+ t AS (SELECT squad_id, d, m, f, sum(expected_points) + max(expected_points) AS total, count(*) AS n FROM r, f WHERE k <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m ELSE f END GROUP BY ALL HAVING n = 11),
+ best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY squad_id ORDER BY total DESC, d DESC, m DESC, f DESC) = 1),
+ pairs AS (SELECT r.*, b.d, b.m, b.f, r.place IN (1, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14) AS mine, k <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m ELSE f END AS theirs FROM r JOIN best b USING (squad_id)),
+ s AS (SELECT squad_id, sum(greatest(o, i)) AS swaps FROM (SELECT squad_id, position, count(*) FILTER (WHERE mine AND NOT theirs) AS o, count(*) FILTER (WHERE theirs AND NOT mine) AS i FROM pairs GROUP BY ALL) GROUP BY ALL),
+ a AS (SELECT squad_id, any_value(d || '-' || m || '-' || f) AS ours_shape, sum(expected_points) FILTER (WHERE mine) AS y, sum(expected_points) FILTER (WHERE theirs) AS o, max(expected_points) FILTER (WHERE theirs) AS oc, max(expected_points) FILTER (WHERE place = 13) AS yc FROM pairs GROUP BY ALL)
+SELECT squad_id, round(y + yc, 6)::DOUBLE AS yours_points, round(o + oc, 6)::DOUBLE AS ours_points, swaps::BIGINT AS swaps, round(o - y, 6)::DOUBLE AS swap_delta, round(oc - yc, 6)::DOUBLE AS captain_delta, 0.0::DOUBLE AS shape_delta, '4-4-2' AS yours_shape, ours_shape FROM a JOIN s USING (squad_id)""",
     "pick_metrics": f"""WITH {PRED_SQL}, q AS (SELECT *, player_code % 10 / 20.0 AS o FROM p), k AS (SELECT * FROM q ORDER BY predicted DESC, player_code LIMIT 20), c AS (SELECT avg(actual) AS c FROM (SELECT actual FROM q QUALIFY row_number() OVER (PARTITION BY gameweek_id ORDER BY predicted DESC, player_code) = 1))
 SELECT round(avg(actual), 6) AS points, round(avg(actual * (1 - o)), 6) AS rank_gain, round(quantile_cont(actual, 0.1), 6) AS downside, round(coalesce(avg(actual) FILTER (WHERE o < 0.1), 0), 6) AS differential, round((SELECT c FROM c), 6) AS captaincy FROM k""",
     "positional_percentiles": f"WITH {PRED_SQL} SELECT player_code, {_pct('predicted')} AS predicted_percentile, {_pct('actual')} AS actual_percentile FROM p",

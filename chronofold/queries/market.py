@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import changes, embeddings, frontier, leakage, requests, scoring, squad_fill, squads
+from chronofold.operators import changes, context, embeddings, frontier, leakage, requests, scoring, squad_fill, squads
 from chronofold.queries.asof import rounded
 from chronofold.queries.domain import ORACLE as DOMAIN_SQL
 from chronofold.queries.domain import SQUAD_SQL, squad_rows
@@ -304,6 +304,29 @@ def component_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.cluster_summaries(model, t).select("cluster_id", "size", "label")
 
 
+CONTEXT_SHOWN = ["objective_metric_expected_points", "objective_planning_horizon", "transfer_free_transfers", "transfer_max_bound", "transfer_max_points_hit", "slot_pressure_fwd", "slot_pressure_def", "club_max_concentration", "club_locked_concentration", "club_share_at_ceiling", "budget_bank_share", "budget_headroom_per_open_slot", "budget_squad_value_share", "budget_bank_is_binding", "budget_sell_on_drag", "formation_defenders", "formation_reachable_share", "fixture_locked_load", "fixture_sellable_load", "belief_count", "belief_mean_signed_confidence", "belief_squad_share"]
+
+
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Situations of all squads as vectors; every eleventh manager has no squad."""
+    k = F.col("manager_id")
+    picks = squad_rows(spark, sf_dir).withColumnRenamed("squad_id", "manager_id")
+    managers = picks.select("manager_id").distinct()
+    whole = lambda c, kind: c.cast(kind)
+    contexts = managers.select(
+        "manager_id", F.element_at(F.array(*map(F.lit, context.METRICS)), (F.pmod(k, F.lit(len(context.METRICS))) + 1).cast("int")).alias("primary_metric"),
+        (F.pmod(k, F.lit(3)) / 10.0).alias("uncertainty_penalty"), whole(F.pmod(k, F.lit(3)) - 1, "int").alias("ownership_sign"), whole(F.pmod(k, F.lit(10)) + 1, "int").alias("planning_horizon"),
+        F.lit(0.5).alias("team_value_weight"), F.lit(1.0).alias("captaincy_weight"), F.lit(1.0).alias("transfer_cost_weight"),
+        whole(F.when(k % 2 == 0, F.pmod(k, F.lit(6))), "int").alias("max_transfers"), whole(F.pmod(k, F.lit(4)) * 4, "int").alias("max_points_hit"), F.pmod(k, F.lit(7)).alias("minimum_bank"), F.pmod(k, F.lit(20)).alias("bank"), whole(F.pmod(k, F.lit(6)), "int").alias("free_transfers"),
+        F.when(k % 5 == 0, "4-4-2").alias("formation"), F.array(k * 15 + 3).alias("locked_players"), F.when(k % 3 == 0, F.array(F.lit("FWD"))).alias("locked_positions"),
+    )
+    squads_held = picks.where(k % 11 != 7).withColumn("selling_price", F.col("price") - F.pmod("player_code", F.lit(4)))
+    said = managers.where(k % 4 == 1).select("manager_id", F.explode(F.array(k * 15 + 1, k * 15 + 1000)).alias("player_code")).withColumn("proposition", F.when(F.col("player_code") % 2 == 0, "will_start").otherwise("will_not_start")).withColumn("confidence", F.lit(0.8))
+    loads = table(spark, sf_dir, "nation").where("n_nationkey < 24").select(F.pmod("n_nationkey", F.lit(8)).cast("long").alias("team_id"), (F.floor(F.col("n_nationkey") / 8) + 1).cast("int").alias("ahead"), (F.pmod(F.col("n_nationkey") * 7, F.lit(5)) + 1).cast("double").alias("load"))
+    out = context.encode(contexts, squads_held, said, loads)
+    return out.select("manager_id", *(F.round(context.value(F.col("vector"), n), 6).alias(n) for n in CONTEXT_SHOWN), F.col("mask")["budget"].alias("has_squad"))
+
+
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What requests built from all suppliers ask for, and the clauses that nothing was made of."""
     k = F.col("s_suppkey")
@@ -333,7 +356,7 @@ def generated_squads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squads.legality(out).join(sizes, "squad_id").select("squad_id", F.array_join("issues", ",").alias("issues"), "players")
 
 
-QUERIES = {f.__name__: f for f in (transfer_board, pick_outcomes, recommendations, policy_moves, constrained_pool, opportunity_cost, objective_values, history_notes, refresh_plan, news_shortlist, usable_features, acceptance_report, registry_summary, event_order, believed, horizon_repriced, skill_shrunk, from_models, mapped_clubs, population_means, ownership_before, players, teams, gameweeks, fixtures, match_history, past_seasons, archive_season, backfill, element_codes, summaries, table_store, open_units, leakage_found, component_clusters, text_requests, generated_squads)}
+QUERIES = {f.__name__: f for f in (transfer_board, pick_outcomes, recommendations, policy_moves, constrained_pool, opportunity_cost, objective_values, history_notes, refresh_plan, news_shortlist, usable_features, acceptance_report, registry_summary, event_order, believed, horizon_repriced, skill_shrunk, from_models, mapped_clubs, population_means, ownership_before, players, teams, gameweeks, fixtures, match_history, past_seasons, archive_season, backfill, element_codes, summaries, table_store, open_units, leakage_found, component_clusters, text_requests, generated_squads, context_vectors)}
 
 _SHAPES = [(d, m, 10 - d - m) for d in (3, 4, 5) for m in (2, 3, 4, 5) if 1 <= 10 - d - m <= 3]
 
@@ -435,4 +458,21 @@ SELECT season, count(*) FILTER (WHERE w = 'y') AS kept, count(*) FILTER (WHERE w
  SELECT k AS squad_id, '' AS issues, 15 AS players FROM (SELECT n_nationkey::BIGINT AS k FROM nation UNION ALL SELECT -1), m WHERE m.n >= 5""",
     "leakage_found": """WITH c AS (SELECT date_trunc('day', min(ts)) + INTERVAL 14 DAY AS t FROM events), late AS (SELECT count(*) AS n FROM events, c WHERE ts > t), early AS (SELECT count(*) AS n FROM events, c WHERE ts <= t)
  SELECT 'leaky' AS builder, 'all_events' AS "column" FROM late WHERE n > 0 UNION ALL SELECT 'made', 'all_events' FROM early WHERE n > 0""",
+    "context_vectors": f"""WITH {SQUAD_SQL}, m AS (SELECT DISTINCT squad_id AS k FROM sq), p AS (SELECT squad_id AS k, *, price - player_code % 4 AS selling, (player_code = squad_id * 15 + 3 OR (squad_id % 3 = 0 AND position = 'FWD')) AS frozen FROM sq WHERE squad_id % 11 <> 7),
+ l AS (SELECT n_nationkey % 8 AS team_id, n_nationkey // 8 + 1 AS ahead, (n_nationkey * 7) % 5 + 1 AS load FROM nation WHERE n_nationkey < 24),
+ cl AS (SELECT k, team_id, avg(load) AS load FROM (SELECT DISTINCT k, team_id FROM p) JOIN l USING (team_id) WHERE ahead <= k % 10 + 1 GROUP BY ALL),
+ c AS (SELECT k, max(n) / 3.0 AS most, max(f) / 3.0 AS most_frozen, count(*) FILTER (WHERE n >= 3) / 5.0 AS at_cap FROM (SELECT k, team_id, count(*) AS n, count(*) FILTER (WHERE frozen) AS f FROM p GROUP BY ALL) GROUP BY k),
+ a AS (SELECT k, count(*) AS size, sum(selling) + any_value(k % 20) AS worth, count(*) FILTER (WHERE NOT frozen) AS free, coalesce(sum(selling) FILTER (WHERE NOT frozen), 0) AS sells, coalesce(avg((price - selling) / price::DOUBLE) FILTER (WHERE NOT frozen), 0) AS drag,
+   count(*) FILTER (WHERE frozen AND position = 'FWD') / 3.0 AS fwd, count(*) FILTER (WHERE frozen AND position = 'DEF') / 5.0 AS def, coalesce(avg(load) FILTER (WHERE frozen), 0) AS fl, coalesce(avg(load) FILTER (WHERE NOT frozen), 0) AS sl, count(*) FILTER (WHERE player_code = k * 15 + 1) AS about
+  FROM p LEFT JOIN cl USING (k, team_id) GROUP BY k)
+SELECT m.k AS manager_id, (m.k % 8 = 0)::INT::DOUBLE AS objective_metric_expected_points, round((m.k % 10 + 1) / 10.0, 6) AS objective_planning_horizon, CASE WHEN size IS NULL THEN 0.2 ELSE round((m.k % 6) / 5.0, 6) END AS transfer_free_transfers,
+ CASE WHEN m.k % 2 = 0 THEN round((m.k % 6) / 5.0, 6) ELSE 1.0 END AS transfer_max_bound, least((m.k % 4) * 4 / 8.0, 1.0) AS transfer_max_points_hit, round(coalesce(fwd, 0), 6) AS slot_pressure_fwd, round(coalesce(def, 0), 6) AS slot_pressure_def,
+ round(coalesce(most, 0), 6) AS club_max_concentration, round(coalesce(most_frozen, 0), 6) AS club_locked_concentration, round(coalesce(at_cap, 0), 6) AS club_share_at_ceiling,
+ CASE WHEN size IS NULL THEN 1.0 ELSE round((m.k % 20) / (m.k % 20 + worth)::DOUBLE, 6) END AS budget_bank_share,
+ CASE WHEN size IS NULL THEN 1.0 WHEN free = 0 THEN 0.0 ELSE round(least((m.k % 20 + sells - m.k % 7) / free / (1000 / 15.0), 1.0), 6) END AS budget_headroom_per_open_slot, round(coalesce(worth / 1000.0, 0), 6) AS budget_squad_value_share,
+ (size IS NOT NULL AND m.k % 20 <= m.k % 7)::INT::DOUBLE AS budget_bank_is_binding, round(coalesce(drag, 0), 6) AS budget_sell_on_drag, CASE WHEN m.k % 5 = 0 THEN 0.4::DOUBLE ELSE 0.0 END AS formation_defenders, CASE WHEN m.k % 5 = 0 THEN round(1 / {len(context.SHAPES)}.0, 6) ELSE 1.0 END AS formation_reachable_share,
+ round(coalesce(fl, 0), 6) AS fixture_locked_load, round(coalesce(sl, 0), 6) AS fixture_sellable_load, CASE WHEN m.k % 4 = 1 THEN 0.4::DOUBLE ELSE 0.0 END AS belief_count,
+ CASE WHEN m.k % 4 = 1 THEN round((CASE WHEN (m.k * 15 + 1) % 2 = 0 THEN 0.8 ELSE -0.8 END + CASE WHEN (m.k * 15 + 1000) % 2 = 0 THEN 0.8 ELSE -0.8 END) / 2, 6) ELSE 0.0 END AS belief_mean_signed_confidence,
+ CASE WHEN m.k % 4 = 1 AND size > 0 THEN round(about / size::DOUBLE, 6) ELSE 0.0 END AS belief_squad_share, size IS NOT NULL AS has_squad
+FROM m LEFT JOIN a USING (k) LEFT JOIN c USING (k)""",
 }
