@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars as S
-from chronofold.operators.embeddings import assign, fit_clusters
+from chronofold.operators.embeddings import squared_distance
 from chronofold.operators.ranks import unit_ranks
+from chronofold.sources.scratch import written
 
 # Fixed values.
 PICKS, TEMPLATE_SHARE, LEAST_POPULATION = 20, 0.1, 8
-STYLE_LEAST_PLAYERS, STYLE_LEAST_SPREAD, STYLE_CLUSTERS = 24, 0.05, 4
+STYLE_LEAST_PLAYERS, STYLE_LEAST_SPREAD, STYLE_CLUSTERS, STYLE_DEFINING, STYLE_WORDS = 24, 0.05, 4, 0.45, 4
+#: Rows of a position that first centres are sought in, starts, and the most steps.
+STYLE_SAMPLE, STYLE_STARTS, STYLE_STEPS = 2048, 8, 30
 
 
 def pick_metrics(frame: DataFrame, keys: Sequence[str], k: int = PICKS, template_share: float = TEMPLATE_SHARE) -> DataFrame:
@@ -63,17 +68,112 @@ def style_axes(frame: DataFrame, columns: Sequence[str], position: str = "positi
     return {p: axes for p, axes in kept.items() if len(axes) >= 2}
 
 
-def archetypes(frame: DataFrame, columns: Sequence[str], position: str = "position", key: str = "player_code") -> DataFrame:
-    """Position, cluster and distance of each player, clustered within positions on standardised axes."""
-    out = None
-    for p, axes in sorted(style_axes(frame, columns, position).items()):
-        rows = frame.where(F.col(position) == p)
-        group = Window.partitionBy(position)
-        z = rows.select(key, position, F.array(*(F.coalesce((F.col(c) - F.avg(c).over(group)) / F.stddev_pop(c).over(group), F.lit(0.0)) for c in axes)).alias("embedding"))
-        k = max(1, min(STYLE_CLUSTERS, rows.count() // 6))
-        part = assign(z, fit_clusters(z, k)).select(key, position, "cluster_id", "distance_to_centroid")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else frame.limit(0).select(key, position, F.lit(0).alias("cluster_id"), F.lit(0.0).alias("distance_to_centroid"))
+@dataclass(frozen=True)
+class Styles:
+    """Archetypes of each position: its axes, how they are scaled, centres (in scaled values of all columns) and labels."""
+
+    columns: tuple[str, ...]
+    axes: dict[str, list[str]]
+    scale: dict[str, dict[str, tuple[float, float]]]
+    centres: dict[str, list[list[float]]]
+    labels: dict[str, list[str]]
+
+    def vectors(self, frame: DataFrame, key: str, position: str) -> DataFrame:
+        """key, position and embedding of the rows of clustered positions; columns that are no axis of a position are zero there, and so are unknown values."""
+        parts = []
+        for c in self.columns:
+            value = F.lit(0.0)
+            for p, axes in self.axes.items():
+                if c in axes:
+                    mean, sd = self.scale[p][c]
+                    value = F.when(F.col(position) == p, F.coalesce((F.col(c).cast("double") - mean) / sd, F.lit(0.0))).otherwise(value)
+            parts.append(value)
+        return frame.where(F.col(position).isin(*self.axes)).select(key, position, F.array(*parts).alias("embedding"))
+
+    def place(self, vectors: DataFrame, position: str) -> DataFrame:
+        """Adds cluster_id, distance_to_centroid and label."""
+        centres = F.create_map(*[x for p, rows in self.centres.items() for x in (F.lit(p), F.array(*(F.array(*map(F.lit, c)) for c in rows)))])[F.col(position)]
+        names = F.create_map(*[x for p, rows in self.labels.items() for x in (F.lit(p), F.array(*map(F.lit, rows)))])[F.col(position)]
+        near = vectors.withColumn("_d", F.transform(centres, lambda c: squared_distance(F.col("embedding"), c)))
+        at = F.array_position("_d", F.array_min("_d")).cast("int")
+        return near.select(*vectors.columns, (at - 1).alias("cluster_id"), F.sqrt(F.array_min("_d")).alias("distance_to_centroid"), F.element_at(names, at).alias("label"))
+
+
+def _seeded_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The best of some k-means runs over a sample: starts far apart, then means of what is nearest."""
+    best, least = sample[:k], np.inf
+    for turn in range(STYLE_STARTS):
+        rng = np.random.default_rng([seed, turn])
+        centres = [sample[rng.integers(len(sample))]]
+        while len(centres) < k:
+            gaps = np.min([((sample - c) ** 2).sum(1) for c in centres], axis=0)
+            centres.append(sample[rng.choice(len(sample), p=gaps / gaps.sum()) if gaps.sum() > 0 else 0])
+        at = np.array(centres)
+        for _ in range(STYLE_STEPS):
+            own = ((sample[:, None] - at[None]) ** 2).sum(2).argmin(1)
+            moved = np.array([sample[own == c].mean(0) if (own == c).any() else at[c] for c in range(k)])
+            if np.allclose(moved, at):
+                break
+            at = moved
+        cost = ((sample[:, None] - at[None]) ** 2).sum(2).min(1).sum()
+        if cost < least - 1e-9:
+            best, least = at, cost
+    return best[np.lexsort(np.round(best, 6).T[::-1])]
+
+
+def style_labels(position: str, centres: Sequence[Sequence[float]], columns: Sequence[str], words: dict[str, tuple[str, str]]) -> list[str]:
+    """A name for each centre from the axes it is extreme on, as many as tell the position's centres apart; those that nothing tells apart are numbered."""
+    def named(centre: Sequence[float], most: int) -> str:
+        far = sorted((k for k in range(len(columns)) if abs(centre[k]) >= STYLE_DEFINING), key=lambda k: (-round(abs(centre[k]), 6), columns[k]))[:most]
+        said = [words.get(columns[k], (f"high {columns[k]}", f"low {columns[k]}"))[0 if centre[k] > 0 else 1] for k in far]
+        return f"{', '.join(said)} {position}" if said else f"typical {position}"
+
+    for most in range(2, STYLE_WORDS + 1):
+        names = [named(c, most) for c in centres]
+        if len(set(names)) == len(names):
+            return names
+    return [n if names[:k].count(n) == 0 else f"{n} ({names[:k].count(n) + 1})" for k, n in enumerate(names)]
+
+
+def fit_styles(frame: DataFrame, columns: Sequence[str], words: dict[str, tuple[str, str]] | None = None, position: str = "position", key: str = "player_code", seed: int = 20260728) -> tuple[Styles, DataFrame]:
+    """Archetypes of all positions together, and every player's place: key, position, embedding, cluster_id, distance_to_centroid, label.
+
+    One pass finds axes and scales, a bounded sample of each position gives first centres, and each further pass moves all
+    positions' centres to the means of what is nearest, sums being taken where the rows are. A position of any size is no one task's work.
+    """
+    axes = style_axes(frame, columns, position)
+    if not axes:
+        none = Styles(tuple(columns), {}, {}, {}, {})
+        return none, frame.limit(0).select(key, position, F.array().cast("array<double>").alias("embedding"), F.lit(0).alias("cluster_id"), F.lit(0.0).alias("distance_to_centroid"), F.lit("").alias("label"))
+    rows = frame.where(F.col(position).isin(*axes))
+    stats = {r[position]: r for r in rows.groupBy(position).agg(F.count(F.lit(1)).alias("n"), *(a for c in columns for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")))).collect()}
+    scale = {p: {c: (float(stats[p][f"m_{c}"]), float(stats[p][f"s_{c}"]) or 1.0) for c in cs} for p, cs in axes.items()}
+    styles = Styles(tuple(columns), axes, scale, {}, {})
+    vectors = written(styles.vectors(rows, key, position))
+    order = Window.partitionBy(position).orderBy(F.xxhash64(key), key)
+    sample = vectors.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= STYLE_SAMPLE).select(position, "embedding").toPandas()
+    centres = {}
+    for p in axes:
+        some = np.array(sample.loc[sample[position] == p, "embedding"].tolist())
+        centres[p] = _seeded_centres(some, max(1, min(STYLE_CLUSTERS, stats[p].n // 6)), seed).tolist()
+    for _ in range(STYLE_STEPS):
+        placed = Styles(styles.columns, axes, scale, centres, {p: [""] * len(c) for p, c in centres.items()}).place(vectors, position)
+        means = placed.groupBy(position, "cluster_id").agg(*(F.avg(F.col("embedding")[k]).alias(f"v{k}") for k in range(len(columns)))).collect()  # positions x clusters rows
+        moved = {p: [list(c) for c in rows_] for p, rows_ in centres.items()}
+        for r in means:
+            moved[r[position]][r.cluster_id] = [r[f"v{k}"] for k in range(len(columns))]
+        done = all(np.allclose(moved[p], centres[p], atol=1e-9) for p in centres)
+        centres = moved
+        if done:
+            break
+    labels = {p: style_labels(p, c, columns, words or {}) for p, c in centres.items()}
+    fitted = Styles(styles.columns, axes, scale, centres, labels)
+    return fitted, fitted.place(vectors, position)
+
+
+def archetypes(frame: DataFrame, columns: Sequence[str], position: str = "position", key: str = "player_code", words: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Position, cluster, distance and label of each player, clustered within positions on standardised axes."""
+    return fit_styles(frame, columns, words, position, key)[1].select(key, position, "cluster_id", "distance_to_centroid", "label")
 
 
 def name_index(players: DataFrame, names: Sequence[str], key: str = "player_code") -> DataFrame:

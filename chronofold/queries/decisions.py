@@ -90,8 +90,12 @@ def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_code"), F.col("c_mktsegment").alias("position"), F.col("c_acctbal").alias("a"), F.pmod("c_custkey", F.lit(17)).cast("double").alias("b"), F.lit(1.0).alias("flat"))
-    return decisions.archetypes(t, ["a", "b", "flat"]).groupBy("position", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    """Styles of all customers within their segments; two axes have two levels each, a third one is the same for all."""
+    k = F.col("c_custkey")
+    level = lambda bit, n: (F.floor(k / bit) % 2) * 10 + F.pmod(k * n, F.lit(7)) / 7.0
+    t = table(spark, sf_dir, "customer").select(k.alias("player_code"), F.col("c_mktsegment").alias("position"), level(1, 3).alias("a"), level(2, 5).alias("b"), F.lit(1.0).alias("flat"))
+    out = decisions.archetypes(t, ["a", "b", "flat"], words={"a": ("keen", "calm")})
+    return out.groupBy("position", "label").agg(F.count(F.lit(1)).alias("n"), F.min("player_code").alias("first"), F.max("player_code").alias("last"))
 
 
 QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, points_derivation, lineup_difference, closed_form, name_index, ranked_page, archetypes)} | {"stratified_sample": sample}
@@ -104,7 +108,12 @@ def _pct(c: str) -> str:
 
 _U = {n: f"((l_partkey * {k}) % 10 / 10.0)" for n, k in {"p_short": 1, "p_long": 2, "g": 3, "a": 4, "cs": 5, "con": 6, "sv": 7, "bo": 8, "ye": 9, "de": 11}.items()}
 _TERMS = [("goals", "g", "CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END"), ("assists", "a", "3"), ("clean_sheet", "cs", "CASE position WHEN 'MID' THEN 1 WHEN 'FWD' THEN 0 ELSE 4 END"), ("conceded", "con", "CASE WHEN position IN ('GKP', 'DEF') THEN -0.5 ELSE 0 END"), ("saves", "sv", "1 / 3.0"), ("bonus", "bo", "1"), ("cards", "ye", "-1"), ("defence", "de", "CASE position WHEN 'GKP' THEN 0 ELSE 2 END")]
+_STYLE = "(CASE WHEN c_custkey % 2 = 1 THEN 'keen' ELSE 'calm' END)"
 ORACLE = {
+    "archetypes": f"""WITH c AS (SELECT *, {_STYLE} AS a, CASE WHEN c_custkey // 2 % 2 = 1 THEN 'high b' ELSE 'low b' END AS b, c_mktsegment AS position FROM customer),
+ z AS (SELECT position, avg((c_custkey % 2) * 10 + (c_custkey * 3) % 7 / 7.0) AS am, stddev_pop((c_custkey % 2) * 10 + (c_custkey * 3) % 7 / 7.0) AS sa, avg((c_custkey // 2 % 2) * 10 + (c_custkey * 5) % 7 / 7.0) AS bm, stddev_pop((c_custkey // 2 % 2) * 10 + (c_custkey * 5) % 7 / 7.0) AS sb FROM c GROUP BY ALL),
+ g AS (SELECT c.position, a, b, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last, abs(avg(((c_custkey % 2) * 10 + (c_custkey * 3) % 7 / 7.0 - am) / sa)) AS fa, abs(avg(((c_custkey // 2 % 2) * 10 + (c_custkey * 5) % 7 / 7.0 - bm) / sb)) AS fb FROM c JOIN z USING (position) GROUP BY ALL)
+SELECT position, CASE WHEN round(fa, 6) >= round(fb, 6) THEN a || ', ' || b ELSE b || ', ' || a END || ' ' || position AS label, n, first, last FROM g""",
     "points_derivation": f"""WITH m AS (SELECT ['GKP', 'DEF', 'MID', 'FWD'][l_suppkey % 4 + 1] AS position, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in _U.items())} FROM lineitem),
  t AS (SELECT position, 'appearing' AS component, p_short + p_long AS x, CASE WHEN p_short + p_long > 0 THEN (p_short + 2 * p_long) / (p_short + p_long) ELSE 0 END AS r FROM m {' '.join(f"UNION ALL SELECT position, '{n}', {c}, {r} FROM m" for n, c, r in _TERMS)})
 SELECT position, component, count(*) AS n, round(sum(x), 6) AS expectation, round(avg(r), 6) AS rate, round(sum(x * r), 6) AS points, true AS reconciles FROM t WHERE abs(x * r) >= 0.005 GROUP BY position, component""",
