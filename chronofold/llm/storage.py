@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.sources import files
+
 _created: list[tuple[SparkSession, str]] = []
 
 
@@ -55,22 +57,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def publish_text(spark: SparkSession, path: str, text: str) -> bool:
     """A small file with this content, complete before it gets its name; False if the name is taken."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    fs, target = _filesystem(spark, path)
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(staged, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        # Without options this rename never replaces, and never moves into, what is there.
-        files.rename(staged, target, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        return True
-    except Exception:
-        fs.delete(staged, False)
-        if fs.exists(target):
-            return False
-        raise
+    return files.publish(spark, path, text.encode())
 
 
 def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -81,7 +68,7 @@ def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
     out = {}
     for status in fs.listStatus(hpath):
         name = status.getPath().getName()
-        if not name.endswith(".tmp"):
+        if not name.startswith("."):
             stream = fs.open(status.getPath())
             out[name] = bytes(stream.readAllBytes()).decode()
             stream.close()
