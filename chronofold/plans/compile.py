@@ -2,8 +2,9 @@
 
 A batch of programs becomes one plan: equal subtrees are one column, all windowed nodes are frames over
 one sort of the history that meet the entity rows in one as-of join, and ``time_since`` nodes share a
-second, strict one. What is relative to a batch or group is a window over the rows of one cutoff
-(``batch`` names other columns, or none for the whole table).
+second, strict one. What is relative to a batch or group counts rows of one cutoff (``batch`` names other columns, or none
+for the whole table): rows so far are written once for each depth of nesting, means and spreads are aggregates that
+are joined back, and ranks are counted by value (``operators/ranks.py``), so a cutoff of any size is no one task's work.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars as S
+from chronofold.operators.ranks import null_safe_join, unit_ranks
 from chronofold.operators.rolling import aggregate, attach, history_frame, last_rows, shrunk
 from chronofold.plans import nodes as N
+from chronofold.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -163,39 +166,70 @@ def compile_programs(entities: DataFrame, history: DataFrame, programs: Sequence
             return _arith(node, column(node.left), column(node.right))
         if isinstance(node, N.Unary) and node.op not in N.BATCH_UNARY:
             return _unary(node, column(node.child))
-        child = f"_p_{node.child.key()}_in"
-        if child not in built:
-            # Windows don't nest, so what a window reads is a column first.
-            out = out.withColumn(child, column(node.child))
-            built[child] = None
-        c = F.col(child)
-        if isinstance(node, N.Unary):
-            group = Window.partitionBy(*context.group("all"))
-            value = S.zscore(c, group) if node.op == "zscore" else S.unit_rank(c, group)
-        elif isinstance(node, N.GroupRel):
-            group = Window.partitionBy(*context.group(node.by))
-            value = {"rank": S.unit_rank, "share": S.share_of_total, "dev_from_mean": S.deviation, "zscore": S.zscore}[node.op](c, group)
-        else:
-            value = cluster(node, c)
-        out = out.withColumn(name, value)
+        if isinstance(node, N.ClusterRel) and node.op == "gate":
+            return gate(node)
+        raise N.ProgramError(f"{node.kind} was not computed before it is read")
+
+    def scoped(node: N.ClusterRel) -> DataFrame:
+        if context.memberships is None:
+            raise N.ProgramError("a cluster expression needs memberships")
+        return context.memberships.where(F.col("cluster_model_version") == node.cluster_model_version)
+
+    def gate(node: N.ClusterRel) -> Column:
+        nonlocal out
+        keys, name = list(context.entity_keys), f"_p_{node.key()}"
+        wanted = scoped(node).where(F.col("cluster_id") == node.cluster_id).select(*keys, F.col("membership_probability").cast("double").alias(f"_c_{node.key()}"))
+        value = column(node.child)
+        out = out.join(wanted, keys, "left").withColumn(name, value * F.coalesce(f"_c_{node.key()}", F.lit(0.0)))
         built[name] = None
         return F.col(name)
 
-    def cluster(node: N.ClusterRel, c: Column) -> Column:
+    def grouping(node: N.Node) -> tuple[str, ...]:
+        """The columns whose rows a node is relative to."""
         nonlocal out
-        if context.memberships is None:
-            raise N.ProgramError("a cluster expression needs memberships")
-        keys = list(context.entity_keys)
-        scoped = context.memberships.where(F.col("cluster_model_version") == node.cluster_model_version)
-        mark = f"_c_{node.key()}"
-        if node.op == "gate":
-            wanted = scoped.where(F.col("cluster_id") == node.cluster_id).select(*keys, F.col("membership_probability").cast("double").alias(mark))
-            out = out.join(wanted, keys, "left")
-            return c * F.coalesce(mark, F.lit(0.0))
-        best = scoped.groupBy(*keys).agg(F.max_by("cluster_id", F.struct("membership_probability", -F.col("cluster_id"))).alias(mark))
-        out = out.join(best, keys, "left").withColumn(mark, F.coalesce(mark, F.lit(-1)))
-        group = Window.partitionBy(*context.group("all"), mark)
-        return S.unit_rank(c, group) if node.op == "rank" else S.deviation(c, group)
+        if not isinstance(node, N.ClusterRel):
+            return tuple(context.group("all" if isinstance(node, N.Unary) else node.by))
+        keys, mark = list(context.entity_keys), f"_c_{node.cluster_model_version}"
+        if mark not in built:
+            best = scoped(node).groupBy(*keys).agg(F.max_by("cluster_id", F.struct("membership_probability", -F.col("cluster_id"))).alias(mark))
+            out = out.join(best, keys, "left").withColumn(mark, F.coalesce(mark, F.lit(-1)))
+            built[mark] = None
+        return (*context.group("all"), mark)
+
+    def relate(nodes: Sequence[N.Node]) -> None:
+        """Compute nodes that are relative to groups, whose own parts are there."""
+        nonlocal out
+        groups: dict[tuple[str, ...], list[N.Node]] = {}
+        for n in nodes:
+            groups.setdefault(grouping(n), []).append(n)
+        children = {n.child.key(): column(n.child) for n in nodes}
+        out = written(out.withColumns({f"_p_{k}_in": c for k, c in children.items()}))
+        for group, some in groups.items():
+            ranked = {f"_p_{n.child.key()}_in": f"_p_{n.child.key()}_rank" for n in some if n.op in ("rank", "percentile_rank")}
+            spread = {f"_p_{n.child.key()}_in" for n in some if n.op not in ("rank", "percentile_rank")}
+            if spread:
+                totals = out.groupBy(*group).agg(*(f(c).alias(f"{c}_{what}") for c in sorted(spread) for what, f in (("mean", F.avg), ("sd", F.stddev_samp), ("sum", F.sum))))
+                out = null_safe_join(out, totals, group, "left")
+            for n in some:
+                c = F.col(f"_p_{n.child.key()}_in")
+                mean, sd, total = (F.col(f"_p_{n.child.key()}_in_{what}") for what in ("mean", "sd", "sum"))
+                if n.op not in ("rank", "percentile_rank"):
+                    value = {"zscore": F.when(sd > S.TINY, (c - mean) / sd), "share": F.when(F.abs(total) > S.TINY, c / total)}.get(n.op, c - mean)
+                    out = out.withColumn(f"_p_{n.key()}", value)
+            out = out.drop(*(f"{c}_{what}" for c in spread for what in ("mean", "sd", "sum")))
+            if ranked:
+                out = unit_ranks(out, group, ranked)
+                out = out.withColumns({f"_p_{n.key()}": F.col(f"_p_{n.child.key()}_rank") for n in some if n.op in ("rank", "percentile_rank")}).drop(*ranked.values())
+        built.update(dict.fromkeys(f"_p_{n.key()}" for n in nodes))
+
+    relative = {k: n for k, n in every.items() if (isinstance(n, N.Unary) and n.op in N.BATCH_UNARY) or isinstance(n, N.GroupRel) or (isinstance(n, N.ClusterRel) and n.op != "gate")}
+
+    def nesting(node: N.Node) -> int:
+        return 1 + max((nesting(m) for m in node.walk() if m is not node and m.key() in relative and m.key() != node.key()), default=0)
+
+    depths = {k: nesting(n) for k, n in relative.items()}
+    for depth in sorted(set(depths.values())):
+        relate([relative[k] for k, d in depths.items() if d == depth])
 
     for p in programs:
         value = column(p.root)

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,29 @@ def test_folds(spark):
     train, validate = folds.split(frame, out[0])
     assert train.count() == 12 and validate.count() == 4
     assert folds.fold_rows(frame, out).where("fold = 1 AND part = 'train'").count() == 16
+
+
+def test_groups_of_many_rows_and_nested_relatives(spark):
+    from chronofold.plans.compile import compile_programs
+    from chronofold.plans.nodes import Arith, FeatureProgram, GroupRel, Source, Unary
+
+    n = 20_000
+    day = F.lit("2024-01-05").cast("timestamp_ntz")
+    entities = spark.range(n).select(F.col("id").alias("player_code"), day.alias("prediction_timestamp"), F.when(F.col("id") % 10 > 0, (F.col("id") * 7919 % 1000).cast("double")).alias("x"), F.when(F.col("id") % 3 > 0, F.lit("MID")).alias("position"), (F.col("id") % 5).alias("team_name"))
+    history = spark.createDataFrame([(1, "2024-01-01", "2024-01-01", 1.0)], "player_code long, a string, k string, y double").select("player_code", F.col("a").cast("timestamp_ntz").alias("available_time"), F.col("k").cast("timestamp_ntz").alias("kickoff_time"), "y")
+    x = Source("x", "entity")
+    programs = [FeatureProgram("r", GroupRel("rank", "all", x)), FeatureProgram("z", GroupRel("zscore", "position", x)), FeatureProgram("nested", GroupRel("dev_from_mean", "team", Arith("mul", Unary("percentile_rank", x), GroupRel("share", "all", x)))), FeatureProgram("same", Unary("zscore", x))]
+    got = {r.player_code: r for r in compile_programs(entities, history, programs).collect()}
+    value = {k: float(k * 7919 % 1000) for k in range(n) if k % 10}
+    ordered = np.sort(list(value.values()))
+    low, high = np.searchsorted(ordered, list(value.values()), "left"), np.searchsorted(ordered, list(value.values()), "right")
+    rank = dict(zip(value, ((low + high + 1) / 2 - 1) / (len(value) - 1), strict=True))
+    total = sum(value.values())
+    product = {k: rank[k] * value[k] / total for k in value}
+    team = [np.mean([product[k] for k in value if k % 5 == t]) for t in range(5)]
+    mid = [value[k] for k in value if k % 3]
+    for k in (1, 2, 3, 4444, 19_999):
+        assert got[k].r == pytest.approx(rank[k]) and got[k].nested == pytest.approx(product[k] - team[k % 5], abs=1e-12)
+        group = mid if k % 3 else [value[j] for j in value if j % 3 == 0]
+        assert got[k].z == pytest.approx((value[k] - np.mean(group)) / np.std(group, ddof=1))
+    assert got[10].r is None and got[10].nested is None and got[10].z is None and len(got) == n
