@@ -35,6 +35,8 @@ from chronofold.llm.jaccard_join import shingle_sets
 
 #: The most labelled rows that the lexicon and the regression are fitted on.
 TRAIN_ROWS = 20_000
+#: Parts that the training texts are dealt to.
+SIGN_PARTS = 32
 MOST_TERMS = 512
 STEMS = (4, 5, 6, 7, 8)
 FUZZY_FROM = 5
@@ -316,10 +318,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             signs = [signature(s) for s in shingle_sets(batch.column("text"), 3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary())], ["text", "toxic", "sign"])
 
-    # A doc_id may have any number of rows: equal ones are one text, and the bound holds for texts as well.
-    texts = narrow.join(F.broadcast(sample), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    bounded = texts.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(train_rows)
-    signed = bounded.select("text", "toxic").mapInArrow(sign, "text string, toxic int, sign binary")
+    # A doc_id may have any number of rows: equal ones are one text, and the bound holds for texts as well. Which they
+    # are is settled by hashes; then each task keeps one row of a text before any text is shuffled.
+    hashed = narrow.withColumn("h", F.xxhash64("text"))
+    keys = hashed.select("doc_id", "h").join(F.broadcast(sample), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(train_rows)
+    keys, keys_path = storage.materialise(keys, "toxicity-keys")
+    texts = hashed.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    signed = texts.select("text", "toxic").repartition(SIGN_PARTS).mapInArrow(sign, "text string, toxic int, sign binary")
     rows, path = storage.materialise(signed.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
     known_rows = [(r.row, int(r.toxic > 0), bytes(r.sign)) for r in rows.select("row", "toxic", "sign").collect()]
     group = near_copies(known_rows)
@@ -370,6 +375,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     y = np.repeat((fitted["toxic"].to_numpy() > 0).astype(float), fitted["count"])
     storage.remove(docs.sparkSession, path)
     storage.remove(docs.sparkSession, usual_path)
+    storage.remove(docs.sparkSession, keys_path)
     return Model(terms, fit_logistic(x, y))
 
 
