@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.operators import asof, rolling
+from chronofold.operators.catalogue import catalogue_specs
 from chronofold.queries.roles import ORDER_SQL, WEEKLY_SQL, YEARLY_SQL, event_history, order_history, weekly_entities, yearly_entities
 
 
@@ -87,6 +88,40 @@ def _catalogue_sql() -> str:
     return f"{ranked} SELECT player_code, prediction_timestamp, {', '.join(cols)} FROM r GROUP BY ALL"
 
 
+METRICS = sorted({c for spec in catalogue_specs() for c in (spec.column, spec.denominator) if c})
+#: A metric's values by its place in the list: multiplier, modulus, and every which row lacks it (0: none does).
+_MADE = {m: (2 * k + 3, 4 + k % 9, 0 if m == "minutes" else (0, 11, 13)[k % 3]) for k, m in enumerate(METRICS)}
+
+
+def whole_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 180 declared aggregates of every customer at three cutoffs, in one pass."""
+    k = F.col("o_orderkey")
+    made = {m: (F.pmod(k * a, F.lit(b)) if m != "minutes" else F.pmod(k * 7, F.lit(91))).cast("double") for m, (a, b, _) in _MADE.items()}
+    columns = [F.when(k % gap > 0, made[m]).alias(m) if gap else made[m].alias(m) for m, (_, _, gap) in _MADE.items()]
+    history = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("player_code"), F.col("o_orderdate").alias("kickoff_time"), (F.col("o_orderdate") + F.expr("INTERVAL 3 HOURS")).alias("available_time"), *columns)
+    specs = catalogue_specs()
+    out = rolling.build_catalogue(yearly_entities(spark, sf_dir).select("player_code", "prediction_timestamp"), history, specs, ["player_code"])
+    return rounded(out, *(x.name for x in specs))
+
+
+def _whole_catalogue_sql() -> str:
+    made = ", ".join(f"{f'CASE WHEN o_orderkey % {gap} > 0 THEN ' if gap else ''}((o_orderkey * {7 if m == 'minutes' else a}) % {91 if m == 'minutes' else b})::DOUBLE{' END' if gap else ''} AS {m}" for m, (a, b, gap) in _MADE.items())
+    order = ", ".join(f"h.{m} DESC NULLS LAST" for m in METRICS)
+
+    def value(x: rolling.FeatureSpec) -> str:
+        within = f"FILTER (WHERE k <= {x.window})"
+        if x.how == "shrunk_rate":
+            return f"coalesce(sum({x.column}) {within}, 0) / (coalesce(sum({x.denominator}) {within}, 0) + {x.prior_strength} * {x.scale}) * {x.scale}"
+        f = {"mean": "avg", "std": "stddev_samp"}.get(x.how, x.how)
+        return f"CASE WHEN count({x.column}) {within} >= {x.min_periods} THEN {f}({x.column}) {within} END"
+
+    columns = ", ".join(f"round({value(x)}, 6) AS {x.name}" for x in catalogue_specs())
+    return f"""WITH {YEARLY_SQL}, h AS (SELECT o_custkey AS player_code, o_orderdate AS kickoff_time, o_orderdate + INTERVAL 3 HOUR AS available_time, {made} FROM orders),
+ r AS (SELECT e.player_code, e.prediction_timestamp, h.* EXCLUDE (player_code), row_number() OVER (PARTITION BY e.player_code, e.prediction_timestamp ORDER BY h.available_time DESC NULLS LAST, h.kickoff_time DESC NULLS LAST, {order}) AS k
+  FROM ents e LEFT JOIN h ON h.player_code = e.player_code AND h.available_time <= e.prediction_timestamp)
+SELECT player_code, prediction_timestamp, {columns} FROM r GROUP BY player_code, prediction_timestamp"""
+
+
 QUERIES = {
     "asof_latest_event": asof_latest_event,
     "asof_bucketed": asof_bucketed,
@@ -98,6 +133,7 @@ QUERIES = {
     "rolling_aggregates": rolling_aggregates,
     "shrunk_rate": shrunk_rate,
     "catalogue": catalogue,
+    "whole_catalogue": whole_catalogue,
 }
 
 _LATEST = f"""WITH {WEEKLY_SQL}
@@ -140,4 +176,5 @@ SELECT user_id, prediction_timestamp, CASE WHEN n >= 3 THEN round(a, 6) END AS m
     "shrunk_rate": f"""SELECT player_code, prediction_timestamp, CASE WHEN d = 0 AND n = 0 THEN 0.4 ELSE round((n + 0.4 * 3) / (d + 270) * 90, 6) END AS fixed_prior,
  round(CASE WHEN d = 0 AND n = 0 THEN prior ELSE (n + prior * 3) / (d + 270) * 90 END, 6) AS pooled_prior FROM ({_SHRUNK})""",
     "catalogue": _catalogue_sql(),
+    "whole_catalogue": _whole_catalogue_sql(),
 }
