@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from chronofold.functions import scalars as S
 from chronofold.operators.embeddings import squared_distance
 from chronofold.operators.ranks import unit_ranks
+from chronofold.operators.squads import CLUB_CAP, QUOTA
 from chronofold.sources.scratch import written
 
+# Bands of the share of a pool that is reachable and of what a slot may cost; the last of each has no end.
+SHARE_BANDS = [(0.05, "under_5pc"), (0.15, "5_15pc"), (0.35, "15_35pc"), (0.6, "35_60pc"), (0.85, "60_85pc"), (None, "over_85pc")]
+BUDGET_BANDS = [(40, "under_4.0"), (60, "4.0_6.0"), (80, "6.0_8.0"), (110, "8.0_11.0"), (None, "over_11.0")]
 # Fixed values.
 PICKS, TEMPLATE_SHARE, LEAST_POPULATION = 20, 0.1, 8
 STYLE_LEAST_PLAYERS, STYLE_LEAST_SPREAD, STYLE_CLUSTERS, STYLE_DEFINING, STYLE_WORDS = 24, 0.05, 4, 0.45, 4
@@ -61,6 +65,46 @@ def reachable(frame: DataFrame, *, excluded: Sequence[int] = (), locked: Sequenc
     return frame.withColumn("reachable", ok | F.col(key).isin(*locked) if locked else ok)
 
 
+def _banded(value: Column, bands: Sequence[tuple[float | None, str]]) -> Column:
+    out = F.lit(bands[-1][1])
+    for ceiling, label in reversed(bands[:-1]):
+        out = F.when(value < ceiling, label).otherwise(out)
+    return out
+
+
+def pool_signatures(limits: DataFrame, squads: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What part of the market each squad's situation leaves within reach, as a signature that evidence may be filed under.
+
+    limits: squad_id, bank, minimum_bank and locked_players; squads: squad_id, player_code, position, team_id, selling_price;
+    candidates: player_code, position, team_id, price. A position whose slots are all locked is closed; an open slot may cost what the money
+    of the sellable picks allows once the others get the market's cheapest; a club is full with a squad's cap of locked picks. Gives squad_id,
+    positions_open, slot_budget, budget_band, reachable, pool_share_band and club_restricted. Candidates are counted by price once, and no squad meets any.
+    """
+    lock = F.coalesce(F.array_contains(F.col("locked_players"), F.col("player_code")), F.lit(False))
+    picks = squads.join(limits, "squad_id").withColumn("_locked", lock)
+    closed = F.array_compact(F.array(*(F.when(F.count_if(F.col("_locked") & (F.col("position") == p)) >= n, F.lit(p)) for p, n in QUOTA.items())))
+    market = candidates.agg(F.min("price").alias("_cheapest"), F.count(F.lit(1)).alias("_all"))
+    money = picks.groupBy("squad_id").agg(closed.alias("_closed"), F.count_if(~F.col("_locked")).alias("_open"), F.coalesce(F.sum(F.when(~F.col("_locked"), F.col("selling_price"))), F.lit(0)).alias("_sells"), F.first(F.coalesce("bank", F.lit(0))).alias("_bank"), F.first(F.coalesce("minimum_bank", F.lit(0))).alias("_least")).crossJoin(market)
+    ceiling = F.col("_bank") + F.col("_sells") - F.col("_least") - F.col("_cheapest") * (F.col("_open") - 1)
+    money = written(money.withColumn("slot_budget", F.when((F.col("_open") > 0) & (ceiling > 0), ceiling)))
+    full = picks.where("_locked").groupBy("squad_id", "team_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CLUB_CAP).select("squad_id", "team_id")
+    levels = candidates.groupBy("position", "team_id", "price").agg(F.count(F.lit(1)).alias("n"))
+    # Budgets are whole tenths: there are few, and each is counted once for all squads that have it.
+    budgets = money.select(F.coalesce("slot_budget", F.lit(1 << 40)).alias("_b")).distinct()
+    counted = written(budgets.join(levels, F.coalesce(F.col("price"), F.lit(0)) <= F.col("_b")).groupBy("_b", "position", "team_id").agg(F.sum("n").alias("n")))
+    by_position = counted.groupBy("_b").agg(*(F.coalesce(F.sum(F.when(F.col("position") == p, F.col("n"))), F.lit(0)).alias(f"_{p}") for p in QUOTA))
+    keyed = money.withColumn("_b", F.coalesce("slot_budget", F.lit(1 << 40)))
+    barred = full.join(keyed.select("squad_id", "_b", "_closed"), "squad_id").join(counted, ["_b", "team_id"]).where(~F.array_contains("_closed", F.col("position"))).groupBy("squad_id").agg(F.sum("n").alias("_barred"))
+    restricted = full.select("squad_id").distinct().withColumn("club_restricted", F.lit(True))
+    out = keyed.join(by_position, "_b", "left").join(barred, "squad_id", "left").join(restricted, "squad_id", "left")
+    within = F.lit(0)
+    for p in QUOTA:
+        within = within + F.when(F.array_contains("_closed", p), 0).otherwise(F.coalesce(F.col(f"_{p}"), F.lit(0)))
+    reachable_ = within - F.coalesce("_barred", F.lit(0))
+    positions = F.filter(F.array(*map(F.lit, QUOTA)), lambda p: ~F.array_contains("_closed", p))
+    return out.select("squad_id", positions.alias("positions_open"), "slot_budget", F.when(F.col("slot_budget").isNull(), "global").otherwise(_banded(F.col("slot_budget"), BUDGET_BANDS)).alias("budget_band"), reachable_.cast("long").alias("reachable"), _banded(reachable_ / F.col("_all"), SHARE_BANDS).alias("pool_share_band"), F.coalesce("club_restricted", F.lit(False)).alias("club_restricted"))
+
+
 def style_axes(frame: DataFrame, columns: Sequence[str], position: str = "position") -> dict[str, list[str]]:
     """Of each position with enough players, the columns whose relative spread is worth an axis (a row a position)."""
     rows = frame.groupBy(position).agg(F.count(F.lit(1)).alias("n"), *(a for c in columns for a in (F.stddev_pop(c).alias(f"s_{c}"), F.avg(c).alias(f"m_{c}")))).collect()

@@ -113,6 +113,11 @@ def labels(stats: DataFrame, components: Sequence[str], keys: Sequence[str] = ("
     return out.withColumn("label_minutes_class", F.when(minutes >= 60, 2).when(minutes > 0, 1).otherwise(0)) if "minutes" in components else out
 
 
+def actuals(stats: DataFrame, components: Sequence[str], keys: Sequence[str] = ("player_code", "season", "gameweek_id"), fixture: str = "fixture_id") -> DataFrame:
+    """What took place: sums by player and gameweek, and in how many fixtures."""
+    return stats.groupBy(*keys).agg(*(F.sum(c).alias(f"actual_{c}") for c in components), F.count_distinct(fixture).alias("fixtures"))
+
+
 def timeline(frame: DataFrame, season: str = "season", gameweek: str = "gameweek_id") -> DataFrame:
     """``timeline``: one number that orders gameweeks over seasons."""
     seasons = frame.select(F.col(season).alias("_s")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("_s")) - 1)

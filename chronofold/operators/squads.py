@@ -158,19 +158,19 @@ def policy_moves(moves: DataFrame, incoming: DataFrame, seed: int = 20260727, le
 
 
 def constrained(squads: DataFrame, candidates: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Squads with ``sellable``, and (squad_id, player_code) of the candidates that each may buy.
+    """Squads with ``sellable``, and (squad_id, player_code) of the candidates that each may not buy: owned, excluded, or of an excluded club.
 
     constraints: squad_id and arrays locked_players, locked_positions, excluded_players, excluded_teams (null: none).
-    What is forbidden never reaches a ranking.
+    What is forbidden is few beside what isn't, so bans are listed and moves are anti-joined with them.
     """
     empty = lambda c: F.coalesce(c, F.array())
     has = lambda c, x: F.coalesce(F.array_contains(F.col(c), F.col(x)), F.lit(False))
     picks = squads.join(constraints, "squad_id", "left").withColumn("sellable", ~(has("locked_players", "player_code") | has("locked_positions", "position"))).select(*squads.columns, "sellable")
-    banned = constraints.select("squad_id", F.explode(empty(F.col("excluded_players"))).alias("player_code"))
+    known = candidates.select("player_code", "team_id").distinct()
+    named = squads.join(constraints.select("squad_id"), "squad_id").select("squad_id", "player_code").unionByName(constraints.select("squad_id", F.explode(empty(F.col("excluded_players"))).alias("player_code")))
     clubs = constraints.select("squad_id", F.explode(empty(F.col("excluded_teams"))).alias("team_id"))
-    who = candidates.select("player_code", "team_id").crossJoin(F.broadcast(constraints.select("squad_id")))
-    out = who.join(squads.select("squad_id", "player_code"), ["squad_id", "player_code"], "left_anti").join(banned, ["squad_id", "player_code"], "left_anti").join(clubs, ["squad_id", "team_id"], "left_anti")
-    return picks, out.select("squad_id", "player_code")
+    bans = named.join(known.select("player_code"), "player_code", "left_semi").select("squad_id", "player_code").unionByName(clubs.join(known, "team_id").select("squad_id", "player_code"))
+    return picks, bans.distinct()
 
 
 def opportunity_cost(locked: DataFrame, candidates: DataFrame, value: str = "value") -> DataFrame:

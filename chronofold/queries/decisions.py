@@ -85,6 +85,13 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders of each season and club a sample keeps: five of a club and season, then twelve of a club."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.year("o_orderdate").alias("season"), F.pmod("o_custkey", F.lit(20)).alias("club"))
+    out = normalise.quota_sample(rows, "key", 7, {("season", "club"): 5, ("club",): 12})
+    return out.groupBy("club").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
 def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.ranked_page(predictions(spark, sf_dir).select("player_code", "predicted", "actual"), "actual", "player_code", 2, 25)
 
@@ -98,7 +105,7 @@ def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("position", "label").agg(F.count(F.lit(1)).alias("n"), F.min("player_code").alias("first"), F.max("player_code").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, points_derivation, lineup_difference, closed_form, name_index, ranked_page, archetypes)} | {"stratified_sample": sample}
+QUERIES = {f.__name__: f for f in (pick_metrics, positional_percentiles, evidence, reachable_pool, expected_points, points_derivation, lineup_difference, closed_form, name_index, ranked_page, archetypes, quota_sample)} | {"stratified_sample": sample}
 
 
 def _pct(c: str) -> str:
@@ -141,6 +148,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(p_short + 2 * p_long + g * CAS
   - 1.35 * em / 90 / 2 * (pos IN ('GKP', 'DEF'))::INT + CASE WHEN pos = 'GKP' THEN 2.6 * em / 90 / 3 ELSE 0 END - 0.12 * em / 90 - 0.012 * em / 90 AS ep FROM m)
 SELECT l_orderkey, l_linenumber, round(ep, 6) AS expected_points, round(greatest(0.5, abs(ep) * ms / 90 + 0.8), 6) AS sd FROM e""",
     "name_index": "WITH n AS (SELECT p_partkey AS player_code, unnest([lower(trim(p_brand)), lower(trim(concat_ws(' ', p_brand, p_type, p_size::VARCHAR)))]) AS name FROM part) SELECT name, min(player_code) AS player_code FROM n GROUP BY name HAVING count(DISTINCT player_code) = 1",
+    "quota_sample": "SELECT club, least(12, sum(least(5, n)))::BIGINT AS n, least(12, sum(least(5, n)))::BIGINT AS keys FROM (SELECT year(o_orderdate) AS season, o_custkey % 20 AS club, count(*) AS n FROM orders GROUP BY ALL) GROUP BY club",
     "stratified_sample": "SELECT c_nationkey, c_mktsegment, least(4, count(*)) AS n FROM customer GROUP BY ALL",
     "ranked_page": f"WITH {PRED_SQL} SELECT player_code, predicted, actual FROM p ORDER BY actual DESC, player_code LIMIT 25 OFFSET 50",
 }

@@ -234,7 +234,26 @@ _DIFF = f"""WITH {_SNAP.format(i=0)}, {_SNAP.format(i=1)}, b AS (SELECT coalesce
   UNION ALL SELECT code, 'news', n0, n1 FROM b WHERE NOT came AND NOT went AND st0 = st1 AND NOT moved AND n0 IS DISTINCT FROM n1
   UNION ALL SELECT code, 'price', p0::VARCHAR, p1::VARCHAR FROM b WHERE NOT came AND NOT went AND p0 <> p1)"""
 _FIX = "fx AS (SELECT o_orderkey % 38 AS gw, o_orderkey AS id, o_orderdate AS ko, o_orderkey % 20 AS h, o_custkey % 20 AS a, o_orderkey % 5 AS hd, o_custkey % 5 AS ad FROM orders WHERE o_orderkey % 20 <> o_custkey % 20), sd AS (SELECT gw, id, ko, h AS team, hd AS d FROM fx UNION ALL SELECT gw, id, ko, a, ad FROM fx)"
+def _autosubs_sql() -> str:
+    """The substitutions, one absent starter a step of a recursion."""
+    shape = {"GKP": ("g", 1, 1), "DEF": ("d", 3, 5), "MID": ("m", 2, 5), "FWD": ("f", 1, 3)}
+    after = lambda p, c, x: f"{c} - (o.position = '{p}')::INT + ({x}.position = '{p}')::INT"
+    fits = " AND ".join(f"{after(p, f's.{c}', 'x')} BETWEEN {low} AND {high}" for p, (c, low, high) in shape.items())
+    moved = ", ".join(f"CASE WHEN sub IS NULL THEN {c} ELSE {c} - (gone = '{p}')::INT + (sub.position = '{p}')::INT END" for p, (c, _, _) in shape.items())
+    return f"""WITH RECURSIVE {SQUAD_SQL}, p AS (SELECT squad_id, player_code, position, (player_code % 4) * 30 AS minutes, (row_number() OVER (PARTITION BY squad_id ORDER BY CASE WHEN place % 5 = 2 THEN 1 ELSE 0 END, place))::INTEGER AS place FROM sq),
+ absent AS (SELECT squad_id, position, place, row_number() OVER (PARTITION BY squad_id ORDER BY place) AS i FROM p WHERE place <= 11 AND minutes = 0),
+ bench AS (SELECT squad_id, list({{'place': place, 'position': position}} ORDER BY place) FILTER (WHERE place > 11 AND minutes > 0) AS b, {", ".join(f"count(*) FILTER (WHERE place <= 11 AND position = '{p}') AS {c}" for p, (c, _, _) in shape.items())} FROM p GROUP BY squad_id),
+ st AS (SELECT squad_id, 0::BIGINT AS step, g, d, m, f, []::INTEGER[] AS came, []::INTEGER[] AS went, b FROM bench
+  UNION ALL SELECT squad_id, step + 1, {moved}, CASE WHEN sub IS NULL THEN came ELSE list_append(came, sub.place) END, CASE WHEN sub IS NULL THEN went ELSE list_append(went, gone_place) END, b
+  FROM (SELECT s.*, o.position AS gone, o.place AS gone_place, list_filter(coalesce(s.b, []), lambda x: NOT list_contains(s.came, x.place) AND {fits})[1] AS sub FROM st s JOIN absent o ON o.squad_id = s.squad_id AND o.i = s.step + 1)),
+ done AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY squad_id ORDER BY step DESC) = 1),
+ played AS (SELECT p.*, (p.place <= 11 AND NOT list_contains(d.went, p.place)) OR list_contains(d.came, p.place) AS plays FROM p JOIN done d USING (squad_id)),
+ lead AS (SELECT squad_id, min(CASE WHEN place = 5 THEN 0 ELSE 1 END) AS who FROM played WHERE plays AND minutes > 0 AND place IN (5, 8) GROUP BY squad_id)
+SELECT squad_id, player_code, (CASE WHEN NOT plays THEN 0 WHEN (who = 0 AND place = 5) OR (who = 1 AND place = 8) THEN 2 ELSE 1 END)::INTEGER AS multiplier FROM played LEFT JOIN lead USING (squad_id)"""
+
+
 ORACLE = {
+    "autosubs": _autosubs_sql(),
     "conform": "SELECT user_id::VARCHAR AS user_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, NULL::BIGINT AS missing FROM events",
     "json_props": "SELECT (props->>'k')::BIGINT AS k, count(*) AS n, max(ts) AS newest FROM events GROUP BY ALL",
     "upsert": "SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey % 2 DESC, o_orderkey DESC, o_totalprice DESC) = 1",

@@ -10,7 +10,7 @@ from chronofold.plans import components, evaluate
 from chronofold.plans.folds import Fold, walk_forward
 from chronofold.plans.moments import MomentScorer
 from chronofold.plans.predictions import PredictionStore
-from chronofold.queries.roles import order_history
+from chronofold.queries.roles import ORDER_SQL, order_history
 from chronofold.sources import scratch
 
 FEATURES = ["points_mean_5", "minutes_mean_5"]
@@ -41,14 +41,36 @@ def shuffled_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts over programs of which one carries the label's own signal and one can't be compiled."""
+    """What a run over all folds measures of three programs: one that carries the label's own signal, a window over history, and one that can't be computed."""
     from chronofold.plans.discover import Setting, discover
     from chronofold.plans.nodes import FeatureProgram, Rolling, Source
 
     rows, folds = _frame(spark, sf_dir)
-    s = Setting(rows, order_history(spark, sf_dir), ("player_code", "season", "gameweek_id"), "label_total_points", ("points_mean_5",), tuple(folds[:2]), policy=evaluate.Acceptance(folds=2), noise_trials=1)
-    programs = [FeatureProgram("planted", Source("signal", "entity")), FeatureProgram("absent", Rolling(Source("nothing"), 3))]
-    return discover(s, programs).select("feature", "verdict", "leakage_passed")
+    rows = rows.withColumn("signal", F.col("label_total_points") * 0.5 + F.pmod(F.col("player_code") * 31 + F.col("gameweek_id") * 17, F.lit(13)) / 13.0)
+    s = Setting(rows, order_history(spark, sf_dir), ("player_code", "season", "gameweek_id"), "label_total_points", ("points_mean_5",), tuple(folds), noise_trials=2, entity="player_code")
+    programs = [FeatureProgram("planted", Source("signal", "entity")), FeatureProgram("window", Rolling(Source("total_points"), 3)), FeatureProgram("absent", Rolling(Source("nothing"), 3))]
+    out = discover(s, programs)
+    return out.select("feature", "leakage_passed", (F.col("verdict") == "accepted").alias("accepted"), *(F.round(c, 6).alias(c) for c in ("incremental", "win_rate", "missingness")))
+
+
+DISCOVERY_SQL = f"""WITH {ORDER_SQL}, d AS (SELECT season, gameweek_id, min(kickoff_time) - INTERVAL 90 MINUTE AS t FROM hist GROUP BY ALL),
+ l AS (SELECT player_code, season, gameweek_id, sum(total_points)::DOUBLE AS label FROM hist GROUP BY ALL),
+ r AS (SELECT l.*, h.total_points AS p, row_number() OVER (PARTITION BY l.player_code, l.season, l.gameweek_id ORDER BY h.available_time DESC, h.kickoff_time DESC, h.season DESC, h.gameweek_id DESC, h.fixture_id DESC) AS k
+  FROM l JOIN d USING (season, gameweek_id) LEFT JOIN hist h ON h.player_code = l.player_code AND h.available_time <= d.t),
+ w AS (SELECT player_code, season, gameweek_id, label, avg(p) FILTER (WHERE k <= 5) AS base, avg(p) FILTER (WHERE k <= 3) AS win, label * 0.5 + (player_code * 31 + gameweek_id * 17) % 13 / 13.0 AS planted FROM r GROUP BY ALL),
+ i AS (SELECT *, dense_rank() OVER (ORDER BY season, gameweek_id) - 1 AS i FROM w),
+ f AS (SELECT x AS fold, 150 + 60 * x AS e FROM range(50) q(x) WHERE 150 + 60 * x + 1 + 60 <= (SELECT max(i) + 1 FROM i)),
+ tr AS (SELECT f.fold, i.* FROM f JOIN i ON i.i < f.e), te AS (SELECT f.fold, i.* FROM f JOIN i ON i.i BETWEEN f.e + 1 AND f.e + 60),
+ m AS (SELECT fold, avg(label) AS y0, coalesce(avg(base), 0) AS mb, coalesce(avg(win), 0) AS mw, coalesce(avg(planted), 0) AS mp FROM tr GROUP BY fold),
+ c AS (SELECT fold, label - y0 AS y, coalesce(base - mb, 0) AS b, coalesce(win - mw, 0) AS w, coalesce(planted - mp, 0) AS p FROM tr JOIN m USING (fold)),
+ s AS (SELECT fold, sum(b * b) + 1 AS bb, sum(b * y) AS byy, sum(w * w) + 1 AS ww, sum(w * y) AS wy, sum(b * w) AS bw, sum(p * p) + 1 AS pp, sum(p * y) AS py, sum(b * p) AS bp FROM c GROUP BY fold),
+ x AS (SELECT te.fold, label, y0, coalesce(base - mb, 0) AS b, coalesce(win - mw, 0) AS w, coalesce(planted - mp, 0) AS p FROM te JOIN m USING (fold)),
+ e AS (SELECT fold, count(*) AS n, avg(abs(y0 + b * byy / bb - label)) AS was,
+   avg(abs(y0 + b * (byy * ww - wy * bw) / (bb * ww - bw * bw) + w * (wy * bb - byy * bw) / (bb * ww - bw * bw) - label)) AS win,
+   avg(abs(y0 + b * (byy * pp - py * bp) / (bb * pp - bp * bp) + p * (py * bb - byy * bp) / (bb * pp - bp * bp) - label)) AS planted FROM x JOIN s USING (fold) GROUP BY fold)
+SELECT 'planted' AS feature, true AS leakage_passed, true AS accepted, round(1 - sum(planted * n) / sum(was * n), 6) AS incremental, round(avg((planted < was)::INT), 6) AS win_rate, 0.0::DOUBLE AS missingness FROM e
+UNION ALL SELECT 'window', true, false, round(1 - sum(win * n) / sum(was * n), 6), round(avg((win < was)::INT), 6), (SELECT round(avg((win IS NULL)::INT), 6) FROM w) FROM e
+UNION ALL SELECT 'absent', false, false, 0.0, 0.0, 0.0"""
 
 
 def component_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Fold]]:
@@ -164,6 +186,7 @@ PAIR_SQL = _pair_sql()
 
 QUERIES = {"discovery": discovery, "walk_forward_scores": walk_forward_scores, "shuffled_control": shuffled_control, "component_models": component_models, "minutes_states": minutes_states, "moment_scores": moment_scores, "kept_predictions": kept_predictions}
 ORACLE = {
+    "discovery": DISCOVERY_SQL,
     "shuffled_control": "SELECT year(o_orderdate)::VARCHAR AS season, sum((o_orderkey * 7) % 91)::BIGINT AS minutes, sum((o_orderkey * 7) % 91)::BIGINT AS dealt, count(*) AS n FROM orders GROUP BY ALL",
     "component_models": f"""WITH {COMPONENT_SQL},
  fitted AS (SELECT fold, g, avg(minutes) AS minutes, avg(goals) AS goals, avg(starts) AS starts FROM train GROUP BY ALL),

@@ -68,6 +68,11 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "points_mean_5")
 
 
+def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and minutes of all players and weeks, and their number of fixtures."""
+    return families.actuals(_history(spark, sf_dir), ["minutes", "total_points"])
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.timeline(_history(spark, sf_dir)).groupBy("season", "gameweek_id", "timeline").agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,6 +178,7 @@ QUERIES = {
     "labels": labels,
     "training_frame": training_frame,
     "timeline": timeline,
+    "actuals": actuals,
     "last_price": last_price,
     "season_lines": season_lines,
     "walk_forward_folds": fold_counts,
@@ -209,6 +215,7 @@ SELECT player_code, prediction_timestamp, round(coalesce(min(age), 999), 6) AS d
   FROM l JOIN d USING (season, gameweek_id) LEFT JOIN hist h ON h.player_code = l.player_code AND h.available_time <= d.t)
 SELECT season, gameweek_id, player_code, label_minutes, label_total_points, CASE WHEN label_minutes >= 60 THEN 2 WHEN label_minutes > 0 THEN 1 ELSE 0 END AS label_minutes_class, t AS prediction_timestamp,
  round(avg(p) FILTER (WHERE k <= 5), 6) AS points_mean_5, sum(m) FILTER (WHERE k <= 3)::DOUBLE AS minutes_sum_3 FROM r GROUP BY ALL""",
+    "actuals": f"WITH {ORDER_SQL} SELECT player_code, season, gameweek_id, sum(minutes)::BIGINT AS actual_minutes, sum(total_points)::BIGINT AS actual_total_points, count(DISTINCT fixture_id) AS fixtures FROM hist GROUP BY ALL",
     "timeline": f"WITH {ORDER_SQL} SELECT season, gameweek_id, ((SELECT count(DISTINCT season) FROM hist h2 WHERE h2.season < hist.season) * 100 + gameweek_id)::BIGINT AS timeline, count(*) AS n FROM hist GROUP BY season, gameweek_id",
     "last_price": f"WITH {ORDER_SQL} SELECT player_code, season, arg_max(fixture_id, (kickoff_time, fixture_id)) AS value FROM hist WHERE minutes % 3 > 0 GROUP BY ALL",
     "season_lines": f"WITH {ORDER_SQL} SELECT * FROM (SELECT player_code, season, count(*) AS appearances, sum(minutes)::BIGINT AS minutes, sum(goals_scored)::BIGINT AS goals_scored, sum(total_points)::BIGINT AS total_points FROM hist WHERE minutes > 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY player_code ORDER BY season DESC) <= 3",

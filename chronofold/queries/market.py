@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import changes, context, embeddings, frontier, leakage, requests, scoring, squad_fill, squads
+from chronofold.operators import changes, context, decisions, embeddings, frontier, leakage, requests, scoring, squad_fill, squads
 from chronofold.queries.asof import rounded
 from chronofold.queries.domain import ORACLE as DOMAIN_SQL
 from chronofold.queries.domain import SQUAD_SQL, squad_rows
@@ -55,8 +55,19 @@ def constrained_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many picks may go and how many candidates may come, by squad."""
     picks, pool, _ = _squads(spark, sf_dir)
     limits = picks.groupBy("squad_id").agg(F.array(F.min("player_code")).alias("locked_players"), F.array(F.lit("GKP")).alias("locked_positions"), F.array(F.max("player_code") + 1).alias("excluded_players"), F.array(F.pmod("squad_id", F.lit(9))).alias("excluded_teams"))
-    marked, buyable = squads.constrained(picks, pool, limits)
-    return marked.groupBy("squad_id").agg(F.count_if("sellable").alias("sellable")).join(buyable.groupBy("squad_id").agg(F.count(F.lit(1)).alias("buyable")), "squad_id")
+    marked, bans = squads.constrained(picks, pool, limits)
+    banned = bans.groupBy("squad_id").agg(F.count(F.lit(1)).alias("_banned"))
+    counts = marked.groupBy("squad_id").agg(F.count_if("sellable").alias("sellable")).join(banned, "squad_id", "left").crossJoin(pool.agg(F.count(F.lit(1)).alias("_all")))
+    return counts.select("squad_id", "sellable", (F.col("_all") - F.coalesce("_banned", F.lit(0))).alias("buyable"))
+
+
+def pool_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each squad's locks and money leave of the market; all its forwards and two other picks are locked, here and there a whole club."""
+    picks, pool, state = _squads(spark, sf_dir)
+    locked = picks.groupBy("squad_id").agg(F.collect_list(F.when((F.col("position") == "FWD") | (F.col("place") <= 2) | ((F.col("squad_id") % 3 == 0) & (F.col("team_id") == 0)), F.col("player_code"))).alias("locked_players"))
+    limits = locked.join(state, "squad_id").select("squad_id", "bank", F.pmod("squad_id", F.lit(7)).alias("minimum_bank"), F.when(F.col("squad_id") % 4 > 0, F.col("locked_players")).alias("locked_players"))
+    out = decisions.pool_signatures(limits, picks, pool)
+    return out.withColumn("positions_open", F.array_join("positions_open", ","))
 
 
 def opportunity_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +367,7 @@ def generated_squads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squads.legality(out).join(sizes, "squad_id").select("squad_id", F.array_join("issues", ",").alias("issues"), "players")
 
 
-QUERIES = {f.__name__: f for f in (transfer_board, pick_outcomes, recommendations, policy_moves, constrained_pool, opportunity_cost, objective_values, history_notes, refresh_plan, news_shortlist, usable_features, acceptance_report, registry_summary, event_order, believed, horizon_repriced, skill_shrunk, from_models, mapped_clubs, population_means, ownership_before, players, teams, gameweeks, fixtures, match_history, past_seasons, archive_season, backfill, element_codes, summaries, table_store, open_units, leakage_found, component_clusters, text_requests, generated_squads, context_vectors)}
+QUERIES = {f.__name__: f for f in (transfer_board, pick_outcomes, recommendations, policy_moves, constrained_pool, opportunity_cost, objective_values, history_notes, refresh_plan, news_shortlist, usable_features, acceptance_report, registry_summary, event_order, believed, horizon_repriced, skill_shrunk, from_models, mapped_clubs, population_means, ownership_before, players, teams, gameweeks, fixtures, match_history, past_seasons, archive_season, backfill, element_codes, summaries, table_store, open_units, leakage_found, component_clusters, text_requests, generated_squads, context_vectors, pool_signatures)}
 
 _SHAPES = [(d, m, 10 - d - m) for d in (3, 4, 5) for m in (2, 3, 4, 5) if 1 <= 10 - d - m <= 3]
 
@@ -475,4 +486,13 @@ SELECT m.k AS manager_id, (m.k % 8 = 0)::INT::DOUBLE AS objective_metric_expecte
  CASE WHEN m.k % 4 = 1 THEN round((CASE WHEN (m.k * 15 + 1) % 2 = 0 THEN 0.8 ELSE -0.8 END + CASE WHEN (m.k * 15 + 1000) % 2 = 0 THEN 0.8 ELSE -0.8 END) / 2, 6) ELSE 0.0 END AS belief_mean_signed_confidence,
  CASE WHEN m.k % 4 = 1 AND size > 0 THEN round(about / size::DOUBLE, 6) ELSE 0.0 END AS belief_squad_share, size IS NOT NULL AS has_squad
 FROM m LEFT JOIN a USING (k) LEFT JOIN c USING (k)""",
+    "pool_signatures": f"""WITH {SQUAD_SQL}, {_POOL}, p AS (SELECT *, squad_id % 4 > 0 AND (position = 'FWD' OR place <= 2 OR (squad_id % 3 = 0 AND team_id = 0)) AS locked FROM sq),
+ a AS (SELECT squad_id, count(*) FILTER (WHERE NOT locked) AS open, coalesce(sum(price) FILTER (WHERE NOT locked), 0) + any_value(squad_id % 20 - squad_id % 7) AS money, {", ".join(f"count(*) FILTER (WHERE locked AND position = '{p}') >= {n} AS c{p}" for p, n in squads.QUOTA.items())} FROM p GROUP BY squad_id),
+ b AS (SELECT a.*, CASE WHEN open > 0 AND money - low * (open - 1) > 0 THEN money - low * (open - 1) END AS slot FROM a, (SELECT min(price) AS low FROM pool)),
+ f AS (SELECT squad_id, team_id FROM p WHERE locked GROUP BY ALL HAVING count(*) >= 3),
+ r AS (SELECT b.squad_id, count(q.player_code) AS n FROM b LEFT JOIN pool q ON q.price <= coalesce(b.slot, 1000000) AND NOT CASE q.position WHEN 'GKP' THEN cGKP WHEN 'DEF' THEN cDEF WHEN 'MID' THEN cMID ELSE cFWD END AND NOT EXISTS (SELECT 1 FROM f WHERE f.squad_id = b.squad_id AND f.team_id = q.team_id) GROUP BY ALL)
+SELECT squad_id, concat_ws(',', CASE WHEN NOT cGKP THEN 'GKP' END, CASE WHEN NOT cDEF THEN 'DEF' END, CASE WHEN NOT cMID THEN 'MID' END, CASE WHEN NOT cFWD THEN 'FWD' END) AS positions_open, slot::BIGINT AS slot_budget,
+ CASE WHEN slot IS NULL THEN 'global' WHEN slot < 40 THEN 'under_4.0' WHEN slot < 60 THEN '4.0_6.0' WHEN slot < 80 THEN '6.0_8.0' WHEN slot < 110 THEN '8.0_11.0' ELSE 'over_11.0' END AS budget_band, n AS reachable,
+ CASE WHEN n / t < 0.05 THEN 'under_5pc' WHEN n / t < 0.15 THEN '5_15pc' WHEN n / t < 0.35 THEN '15_35pc' WHEN n / t < 0.6 THEN '35_60pc' WHEN n / t < 0.85 THEN '60_85pc' ELSE 'over_85pc' END AS pool_share_band, squad_id IN (SELECT squad_id FROM f) AS club_restricted
+FROM b JOIN r USING (squad_id), (SELECT count(*)::DOUBLE AS t FROM pool)""",
 }

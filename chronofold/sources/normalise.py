@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.operators.scoring import Rules
+from chronofold.sources import files
 from chronofold.sources.schema import CANONICAL, conform, struct
 
 # Fixed values.
@@ -166,7 +172,7 @@ def read_squad(spark: SparkSession, path: str) -> DataFrame:
 
 def mapped_clubs(frame: DataFrame, clubs: DataFrame, name: str = "team_name") -> tuple[DataFrame, DataFrame]:
     """The frame with ``team_id`` by club name, and one row: how many rows met no club, and their share."""
-    out = frame.join(F.broadcast(clubs.select(name, "team_id")), name, "left")
+    out = frame.join(clubs.select(name, "team_id"), name, "left")
     missing = F.count_if(F.col("team_id").isNull())
     return out, out.agg(missing.alias("unmapped"), F.try_divide(missing, F.count(F.lit(1))).alias("share"))
 
@@ -203,3 +209,27 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, quota: Colum
 
     w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).drop("_n")
+
+
+def quota_sample(rows: DataFrame, key: str, seed: int, quotas: dict[tuple[str, ...], int]) -> DataFrame:
+    """A sample that keeps at most so many rows of each stratum, by a hash of seed and key; quotas are applied in order, each to what the ones before left."""
+    out = rows
+    for strata, most in quotas.items():
+        out = stratified_sample(out, list(strata), key, F.lit(most), seed)
+    return out
+
+
+def read_rules(spark: SparkSession, path: str, pin: str | None = None) -> Rules:
+    """Scoring rules out of a JSON file on any store; where a pin (the SHA-256 of its bytes) is given, another file is refused.
+
+    Keys are those of ``Rules``; ``per_event`` and tables by position are merged over the defaults, and unknown keys are an error.
+    """
+    payload = files.read(spark, path)
+    found = hashlib.sha256(payload).hexdigest()
+    if pin is not None and found != pin:
+        raise ValueError(f"{path} has the sum {found}, not {pin}")
+    given, rules = json.loads(payload), Rules()
+    unknown = sorted(set(given) - {"goals", "clean_sheets", "conceded", "defensive", "defensive_from", "per_event"})
+    if unknown:
+        raise ValueError(f"{path} has keys that no rule goes by: {unknown}")
+    return replace(rules, **{k: {**getattr(rules, k), **v} for k, v in given.items()})

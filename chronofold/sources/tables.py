@@ -206,8 +206,8 @@ class RunStore:
 
 def plan_units(policies: DataFrame, squads: DataFrame, windows: DataFrame, seeds: DataFrame) -> DataFrame:
     """The grid of an experiment's units: policy (with ``stochastic``) x squad x window, and x seed only where chance is in it."""
-    grid = policies.crossJoin(F.broadcast(squads)).crossJoin(F.broadcast(windows))
-    drawn = grid.where("stochastic").crossJoin(F.broadcast(seeds))
+    grid = policies.crossJoin(squads).crossJoin(windows)
+    drawn = grid.where("stochastic").crossJoin(seeds)
     fixed = grid.where("NOT stochastic").withColumn("seed", F.lit(None).cast(seeds.schema["seed"].dataType))
     both = fixed.unionByName(drawn)
     return both.withColumn("unit", F.concat_ws("_", F.lit("u"), "policy", F.col("squad").cast("string"), "window", F.coalesce(F.col("seed").cast("string"), F.lit("any"))))
