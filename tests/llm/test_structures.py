@@ -64,7 +64,7 @@ def plain_manifest(rows):
 MANIFEST_SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, digest string, g string, row long, pos int"
 
 
-@pytest.mark.parametrize(("count", "levels"), [(1, 2), (2, 1), (9, 2), (70, 2), (70, 3), (64, 3), (65, 12)])
+@pytest.mark.parametrize(("count", "levels"), [(1, 2), (2, 1), (70, 2), (64, 3), (65, 12)])
 def test_manifest(spark, count, levels):
     langs = ["en", None, "de", "", "é", "zz"]
     rows = [(k // 2 if k % 9 == 0 else k, None if k % 5 == 0 else f"s{k}", langs[0] if k % 3 else langs[k % 6], None if k % 11 == 0 else k, None if k % 7 == 3 else "ü\n" * (k % 4)) for k in range(count)]
