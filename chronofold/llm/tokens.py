@@ -8,6 +8,7 @@ distinct core of a worker goes to the library once; the rest of the work is Arro
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -22,6 +23,10 @@ SLICE_BYTES = 4 << 20
 END_ID = 2
 _TAIL = ".,;:!?|"
 _coders: dict[str, "ChunkCoder"] = {}
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
 
 def default_path() -> str:
@@ -152,8 +157,15 @@ class ChunkCoder:
         return out, counts + 1
 
 
+def release_memory() -> None:
+    """Give what finished batches took back to the system: workers are reused by later stages, and would keep it else."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` bytes of text, so that long texts don't add up."""
+    """The batch in pieces of about ``most`` bytes of text, so that long texts don't add up; memory is given back behind the last."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes, dtype=np.int64) // most
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)])) if len(sizes) else np.array([0])
@@ -161,3 +173,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         part = batch.slice(int(a), int(b - a))
         # Copied, as some string kernels misread arrays that begin inside a buffer.
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, c.slice(0, 0)]) for c in part.columns], schema=part.schema) if a else part
+    release_memory()

@@ -346,6 +346,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
                     some = batch.column("text").take(pa.array(at))
                     total.update({(*k, g): n for k, n in term_counts(some, among).items()})
             keys = list(total)
+            tokens.release_memory()
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "copies", "n"])
 
