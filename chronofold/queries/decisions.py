@@ -117,7 +117,7 @@ _U = {n: f"((l_partkey * {k}) % 10 / 10.0)" for n, k in {"p_short": 1, "p_long":
 _TERMS = [("goals", "g", "CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END"), ("assists", "a", "3"), ("clean_sheet", "cs", "CASE position WHEN 'MID' THEN 1 WHEN 'FWD' THEN 0 ELSE 4 END"), ("conceded", "con", "CASE WHEN position IN ('GKP', 'DEF') THEN -0.5 ELSE 0 END"), ("saves", "sv", "1 / 3.0"), ("bonus", "bo", "1"), ("cards", "ye", "-1"), ("defence", "de", "CASE position WHEN 'GKP' THEN 0 ELSE 2 END")]
 _STYLE = "(CASE WHEN c_custkey % 2 = 1 THEN 'keen' ELSE 'calm' END)"
 ORACLE = {
-    "archetypes": f"""WITH c AS (SELECT *, {_STYLE} AS a, CASE WHEN c_custkey // 2 % 2 = 1 THEN 'high b' ELSE 'low b' END AS b, c_mktsegment AS position FROM customer),
+    "archetypes": f"""WITH c AS (SELECT *, {_STYLE} AS a, CASE WHEN c_custkey // 2 % 2 = 1 THEN 'high b' ELSE 'low b' END AS b, c_mktsegment AS position FROM customer QUALIFY count(*) OVER (PARTITION BY c_mktsegment) >= 24),
  z AS (SELECT position, avg((c_custkey % 2) * 10 + (c_custkey * 3) % 7 / 7.0) AS am, stddev_pop((c_custkey % 2) * 10 + (c_custkey * 3) % 7 / 7.0) AS sa, avg((c_custkey // 2 % 2) * 10 + (c_custkey * 5) % 7 / 7.0) AS bm, stddev_pop((c_custkey // 2 % 2) * 10 + (c_custkey * 5) % 7 / 7.0) AS sb FROM c GROUP BY ALL),
  g AS (SELECT c.position, a, b, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last, abs(avg(((c_custkey % 2) * 10 + (c_custkey * 3) % 7 / 7.0 - am) / sa)) AS fa, abs(avg(((c_custkey // 2 % 2) * 10 + (c_custkey * 5) % 7 / 7.0 - bm) / sb)) AS fb FROM c JOIN z USING (position) GROUP BY ALL)
 SELECT position, CASE WHEN round(fa, 6) >= round(fb, 6) THEN a || ', ' || b ELSE b || ', ' || a END || ' ' || position AS label, n, first, last FROM g""",
