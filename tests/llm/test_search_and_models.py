@@ -83,6 +83,22 @@ def test_ann_splits_lists_and_their_queries(spark, monkeypatch):
     assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == want
 
 
+def test_ann_queries_spread_beside_clustered_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_VECTORS", 64)
+    monkeypatch.setattr(ann, "LEAST_SEEN", 64)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 16))[rng.integers(60, size=6000)] + 0.02 * rng.normal(size=(6000, 16))
+    asked = np.arange(0, 6000, 100)
+    x[asked] = rng.normal(size=(60, 16))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(table, table.where("vec_id % 100 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    d = np.sqrt(((x[asked][:, None] - x[None]) ** 2).sum(2))
+    true = {int(q): set(np.argsort(row)[1:11].tolist()) for q, row in zip(asked, d, strict=True)}
+    assert sum(len(found[q] & true[q]) for q in true) >= 0.9 * 600
+
+
 def test_ann_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(table, table).count() == 0
