@@ -157,6 +157,12 @@ def policy_moves(moves: DataFrame, incoming: DataFrame, seed: int = 20260727, le
     return out.where((F.col("policy") != "model") | (F.col("net_gain") >= least))
 
 
+def sellable(squads: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Squads with ``sellable``: neither the player nor its position is locked."""
+    has = lambda c, x: F.coalesce(F.array_contains(F.col(c), F.col(x)), F.lit(False))
+    return squads.join(constraints, "squad_id", "left").withColumn("sellable", ~(has("locked_players", "player_code") | has("locked_positions", "position"))).select(*squads.columns, "sellable")
+
+
 def constrained(squads: DataFrame, candidates: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Squads with ``sellable``, and (squad_id, player_code) of the candidates that each may not buy: owned, excluded, or of an excluded club.
 
@@ -164,13 +170,24 @@ def constrained(squads: DataFrame, candidates: DataFrame, constraints: DataFrame
     What is forbidden is few beside what isn't, so bans are listed and moves are anti-joined with them.
     """
     empty = lambda c: F.coalesce(c, F.array())
-    has = lambda c, x: F.coalesce(F.array_contains(F.col(c), F.col(x)), F.lit(False))
-    picks = squads.join(constraints, "squad_id", "left").withColumn("sellable", ~(has("locked_players", "player_code") | has("locked_positions", "position"))).select(*squads.columns, "sellable")
     known = candidates.select("player_code", "team_id").distinct()
     named = squads.join(constraints.select("squad_id"), "squad_id").select("squad_id", "player_code").unionByName(constraints.select("squad_id", F.explode(empty(F.col("excluded_players"))).alias("player_code")))
     clubs = constraints.select("squad_id", F.explode(empty(F.col("excluded_teams"))).alias("team_id"))
     bans = named.join(known.select("player_code"), "player_code", "left_semi").select("squad_id", "player_code").unionByName(clubs.join(known, "team_id").select("squad_id", "player_code"))
-    return picks, bans.distinct()
+    return sellable(squads, constraints), bans.distinct()
+
+
+def buyable_counts(squads: DataFrame, candidates: DataFrame, constraints: DataFrame) -> DataFrame:
+    """squad_id and ``buyable``: how many candidates ``constrained`` leaves, by clubs' sizes, without meeting those of an excluded club."""
+    sizes = candidates.groupBy("player_code", "team_id").agg(F.count(F.lit(1)).alias("_n"))
+    clubs = constraints.select("squad_id", F.explode("excluded_teams").alias("team_id")).distinct()
+    by_club = clubs.join(sizes.groupBy("team_id").agg(F.sum("_n").alias("_n")), "team_id").select("squad_id", "_n")
+    owned = squads.join(constraints.select("squad_id"), "squad_id", "left_semi").select("squad_id", "player_code")
+    named = owned.unionByName(constraints.select("squad_id", F.explode("excluded_players").alias("player_code"))).distinct()
+    by_name = named.join(sizes, "player_code").join(clubs, ["squad_id", "team_id"], "left_anti").select("squad_id", "_n")
+    banned = by_club.unionByName(by_name).groupBy("squad_id").agg(F.sum("_n").alias("_banned"))
+    counts = squads.select("squad_id").distinct().join(banned, "squad_id", "left").crossJoin(F.broadcast(candidates.agg(F.count(F.lit(1)).alias("_all"))))
+    return counts.select("squad_id", (F.col("_all") - F.coalesce("_banned", F.lit(0))).alias("buyable"))
 
 
 def opportunity_cost(locked: DataFrame, candidates: DataFrame, value: str = "value") -> DataFrame:
