@@ -215,6 +215,16 @@ def build_entities(players: DataFrame, fixtures: DataFrame, cutoff) -> DataFrame
     return rows.withColumn("fixture_index", F.row_number().over(w.orderBy("kickoff_time", "fixture_id")) - 1).withColumn("fixture_count", F.count("fixture_id").over(w))
 
 
+def entity_weeks(players: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """player_code, gameweek_id, last_index and fixture_count: what ``build_entities`` comes to by week, out of its teams' matches.
+
+    A team's week is counted once for all its players, so that no player meets each match.
+    """
+    weeks = fixture_sides(fixtures).groupBy("season", "team_id", "gameweek_id").agg(F.count(F.lit(1)).alias("_rows"), F.count("fixture_id").alias("_n"))
+    rows = players.join(weeks, ["season", "team_id"], "left").groupBy("player_code", "gameweek_id")
+    return rows.agg((F.sum(F.coalesce("_rows", F.lit(1))) - 1).cast("int").alias("last_index"), F.sum(F.coalesce("_n", F.lit(0))).alias("fixture_count"))
+
+
 def fixture_run(sides: DataFrame, first: int, weeks: int = 5) -> DataFrame:
     """The coming weeks of each team: matches, blanks, doubles and mean difficulty."""
     grid = sides.select("team_id").distinct().withColumn("gameweek_id", F.explode(F.sequence(F.lit(first), F.lit(first + weeks - 1))))

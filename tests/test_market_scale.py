@@ -15,3 +15,10 @@ def test_buyable_is_counted_as_bans_are_listed(spark):
     left = {r.squad_id: 60 - r["count"] for r in bans.groupBy("squad_id").count().collect()}
     counts = squads.buyable_counts(picks, pool, limits)
     assert {r.squad_id: r.buyable for r in counts.collect()} == left
+
+
+def test_weeks_of_entities_agree_with_their_rows(spark):
+    players = spark.createDataFrame([(1, "s", 1), (2, "s", 1), (2, "s", 3), (3, "s", 9), (4, "t", 1)], "player_code long, season string, team_id long")
+    fixtures = spark.createDataFrame([("s", g, f, f, a, b, 1, 2) for f, (g, a, b) in enumerate([(1, 1, 2), (1, 3, 1), (2, 1, 3), (2, 1, 1), (3, 2, 4)])], "season string, gameweek_id long, fixture_id long, kickoff_time long, home_team_id long, away_team_id long, home_difficulty long, away_difficulty long")
+    rows = squads.build_entities(players, fixtures, F.lit("2024")).groupBy("player_code", "gameweek_id").agg(F.max("fixture_index").alias("last_index"), F.max("fixture_count").alias("fixture_count"))
+    assert sorted(map(str, squads.entity_weeks(players, fixtures).collect())) == sorted(map(str, rows.collect()))
