@@ -194,11 +194,22 @@ def opportunity_cost(locked: DataFrame, candidates: DataFrame, value: str = "val
     """What holding each locked pick gives up: the best affordable alternative of its position and the value forgone.
 
     locked: squad_id, player_code, position, budget and ``value``; candidates: player_code, position, price and ``value``.
+    A pick's alternative is one of the two best players that its budget buys, as one may be itself. These are found for each
+    price, then for each budget; budgets are whole tenths, so there are few.
     """
-    pool = candidates.select(F.col("player_code").alias("_alt"), "position", F.col("price").alias("_price"), F.col(value).alias("_value"))
-    better = locked.join(pool, "position").where((F.col("_alt") != F.col("player_code")) & (F.col("_price") <= F.col("budget")) & (F.col("_value") > F.col(value)))
-    best = better.groupBy("squad_id", "player_code").agg(F.max_by("_alt", F.struct("_value", -F.col("_alt"))).alias("alternative"), F.max("_value").alias("_best"))
-    return locked.join(best, ["squad_id", "player_code"], "left").select("squad_id", "player_code", "alternative", F.round(F.coalesce(F.col("_best") - F.col(value), F.lit(0.0)), 6).alias("forgone"))
+    pool = candidates.select("position", F.col("price").alias("_price"), F.col("player_code").alias("_alt"), F.col(value).alias("_value")).where("_price IS NOT NULL AND _alt IS NOT NULL AND _value IS NOT NULL")
+
+    def two_best(rows: DataFrame, *by: str) -> DataFrame:
+        each = rows.groupBy(*by, "_alt").agg(F.max("_value").alias("_value"))
+        return each.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_value"), "_alt"))).where("_n <= 2").drop("_n")
+
+    levels = two_best(pool, "position", "_price")
+    asked = locked.select("position", "budget").distinct()
+    best = two_best(asked.join(levels, "position").where(F.col("_price") <= F.col("budget")), "position", "budget")
+    best = best.groupBy("position", "budget").agg(F.sort_array(F.collect_list(F.struct(F.col("_value"), (-F.col("_alt")).alias("_order"), F.col("_alt"))), asc=False).alias("_two"))
+    rows = locked.join(best, ["position", "budget"], "left")
+    found = F.try_element_at(F.filter("_two", lambda x: (x["_alt"] != F.col("player_code")) & (x["_value"] > F.col(value))), F.lit(1))
+    return rows.select("squad_id", "player_code", found["_alt"].alias("alternative"), F.round(F.coalesce(found["_value"] - F.col(value), F.lit(0.0)), 6).alias("forgone"))
 
 
 def fixture_sides(fixtures: DataFrame) -> DataFrame:

@@ -22,3 +22,15 @@ def test_weeks_of_entities_agree_with_their_rows(spark):
     fixtures = spark.createDataFrame([("s", g, f, f, a, b, 1, 2) for f, (g, a, b) in enumerate([(1, 1, 2), (1, 3, 1), (2, 1, 3), (2, 1, 1), (3, 2, 4)])], "season string, gameweek_id long, fixture_id long, kickoff_time long, home_team_id long, away_team_id long, home_difficulty long, away_difficulty long")
     rows = squads.build_entities(players, fixtures, F.lit("2024")).groupBy("player_code", "gameweek_id").agg(F.max("fixture_index").alias("last_index"), F.max("fixture_count").alias("fixture_count"))
     assert sorted(map(str, squads.entity_weeks(players, fixtures).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_opportunity_cost_meets_prices_and_not_candidates(spark):
+    pool = [(k, "DEF" if k % 2 else "MID", 40 + k % 7, (k * 37 % 11) / 2) for k in range(90)] + [(500, "DEF", None, 99.0), (501, "DEF", 40, None)]
+    locked = [(s, k, "DEF" if k % 2 else "MID", 39 + s % 9, (k * 37 % 11) / 2) for s, k in enumerate(range(40))]
+    got = squads.opportunity_cost(spark.createDataFrame(locked, "squad_id long, player_code long, position string, budget long, value double"), spark.createDataFrame(pool, "player_code long, position string, price long, value double"))
+    want = set()
+    for s, k, p, budget, v in locked:
+        better = [(-w, c) for c, q, price, w in pool if q == p and price is not None and w is not None and price <= budget and w > v and c != k]
+        want.add((s, k, min(better)[1] if better else None, round(-min(better)[0] - v, 6) if better else 0.0))
+    assert {tuple(r) for r in got.collect()} == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
