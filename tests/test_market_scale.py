@@ -34,3 +34,13 @@ def test_opportunity_cost_meets_prices_and_not_candidates(spark):
         want.add((s, k, min(better)[1] if better else None, round(-min(better)[0] - v, 6) if better else 0.0))
     assert {tuple(r) for r in got.collect()} == want
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaks_are_found_whichever_users_they_touch(spark, tmp_path):
+    from chronofold.queries import market
+
+    # The first events by number, and all that come after the cutoff, are of users beyond the first 400.
+    rows = [(u, f"2024-01-{1 + u % 3:02d} 08:00:00", 600 - u, 1.0) for u in range(600)] + [(1000 + u, "2024-01-25 08:00:00", u, 2.0) for u in range(500, 600)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "'a' AS event_type", "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, market.leakage_found(spark, str(tmp_path)).collect())) == [("leaky", "all_events"), ("made", "all_events")]
