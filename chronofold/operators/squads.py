@@ -70,7 +70,13 @@ def swapped(points: Column, out: Column, incoming: Column) -> Column:
     return F.sort_array(F.concat(rest, F.array(incoming)), asc=False)
 
 
-def legal_transfers(squads: DataFrame, candidates: DataFrame, state: DataFrame, spread: int = 16) -> DataFrame:
+def known_worth(points: str, sd: str) -> Column:
+    """Whether a candidate's points and spread are numbers."""
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return number(points) & number(sd)
+
+
+def legal_transfers(squads: DataFrame, candidates: DataFrame, state: DataFrame, spread: int = 16, picked: DataFrame | None = None) -> DataFrame:
     """Every legal single transfer with its gains.
 
     squads: squad_id, player_code, position, team_id, selling_price, expected_points, sd and optionally sellable.
@@ -79,14 +85,19 @@ def legal_transfers(squads: DataFrame, candidates: DataFrame, state: DataFrame,
     nobody who is owned. Its gross gain is what the best eleven scores after it less what it scores before:
     only the moved position's list changes. Net gain takes off the hit (none while a transfer is free) and
     RISK_WEIGHT of both spreads. Positions are few, so both sides of the join are dealt to ``spread`` parts each.
+    With ``picked`` (squad_id, out_code, in_code) only these moves are met, and those to candidates without points or sd.
     """
     owned = squads.select("squad_id", F.col("player_code").alias("out_code"), "position", F.col("team_id").alias("out_team"), F.col("selling_price"), F.col("expected_points").cast("double").alias("out_points"), F.col("sd").alias("out_sd"), *(["sellable"] if "sellable" in squads.columns else []))
     owned = owned.where("sellable").drop("sellable") if "sellable" in squads.columns else owned
     lists = position_lists(squads)
     before = lists.join(state, "squad_id").withColumn("hold_points", eleven_points({p: F.col(f"_{p}") for p in QUOTA}))
     left = owned.join(before, "squad_id").withColumn("_part", F.pmod(F.xxhash64("squad_id", "out_code"), F.lit(spread)).cast("int"))
-    pool = candidates.select(F.col("player_code").alias("in_code"), "position", F.col("team_id").alias("in_team"), F.col("price").alias("in_price"), F.col("expected_points").cast("double").alias("in_points"), F.col("sd").alias("in_sd"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_part"))
-    pairs = left.join(pool, ["position", "_part"]).where(F.col("in_price") <= F.col("selling_price") + F.col("bank"))
+    pool = candidates.select(F.col("player_code").alias("in_code"), "position", F.col("team_id").alias("in_team"), F.col("price").alias("in_price"), F.col("expected_points").cast("double").alias("in_points"), F.col("sd").alias("in_sd"))
+    dealt = pool if picked is None else pool.where(~known_worth("in_points", "in_sd"))
+    pairs = left.join(dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["position", "_part"])
+    if picked is not None:
+        pairs = pairs.unionByName(left.join(picked, ["squad_id", "out_code"]).join(pool.where(known_worth("in_points", "in_sd")), ["position", "in_code"]))
+    pairs = pairs.where(F.col("in_price") <= F.col("selling_price") + F.col("bank"))
     pairs = pairs.join(squads.select("squad_id", F.col("player_code").alias("in_code")), ["squad_id", "in_code"], "left_anti")
     clubs = squads.groupBy("squad_id", F.col("team_id").alias("in_team")).agg(F.count(F.lit(1)).alias("_held"))
     pairs = pairs.join(clubs, ["squad_id", "in_team"], "left").where(F.coalesce("_held", F.lit(0)) - F.when(F.col("out_team") == F.col("in_team"), 1).otherwise(0) < CLUB_CAP)
@@ -113,9 +124,10 @@ def shortfall(squads: DataFrame, candidates: DataFrame, state: DataFrame, spread
 
     Null where one can be afforded (money isn't what stops) or there is none.
     """
-    picks = squads.join(state, "squad_id").select("squad_id", F.col("player_code").alias("out_code"), "position", F.col("expected_points").alias("_points"), (F.col("selling_price") + F.col("bank")).alias("_budget"), F.pmod(F.xxhash64("squad_id", "player_code"), F.lit(spread)).cast("int").alias("_part"))
+    owned = squads.groupBy("squad_id").agg(F.collect_set("player_code").alias("_owned"))
+    picks = squads.join(state, "squad_id").join(owned, "squad_id").select("squad_id", F.col("player_code").alias("out_code"), "position", "_owned", F.col("expected_points").alias("_points"), (F.col("selling_price") + F.col("bank")).alias("_budget"), F.pmod(F.xxhash64("squad_id", "player_code"), F.lit(spread)).cast("int").alias("_part"))
     pool = candidates.select(F.col("player_code").alias("in_code"), "position", F.col("price").alias("_price"), F.col("expected_points").alias("_better"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_part"))
-    met = picks.join(pool, ["position", "_part"]).where(F.col("_better") > F.col("_points")).join(squads.select("squad_id", F.col("player_code").alias("in_code")), ["squad_id", "in_code"], "left_anti")
+    met = picks.join(pool, ["position", "_part"]).where(F.col("_better") > F.col("_points")).where(~F.coalesce(F.array_contains("_owned", F.col("in_code")), F.lit(False)))
     return met.groupBy("squad_id", "out_code").agg((F.min("_price") - F.max("_budget")).alias("_short")).select("squad_id", "out_code", F.when(F.col("_short") > 0, F.col("_short")).alias("shortfall"))
 
 

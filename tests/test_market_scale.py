@@ -44,3 +44,29 @@ def test_leaks_are_found_whichever_users_they_touch(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "'a' AS event_type", "value")
     events.write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(map(tuple, market.leakage_found(spark, str(tmp_path)).collect())) == [("leaky", "all_events"), ("made", "all_events")]
+
+
+def test_picked_moves_are_the_best_of_all_moves(spark):
+    import random
+
+    from chronofold.operators import frontier
+
+    rng = random.Random(4)
+    spots = ["GKP"] * 2 + ["DEF"] * 5 + ["MID"] * 5 + ["FWD"] * 3
+    picks = [(s, s * 15 + k, spots[k], rng.randrange(6), rng.randrange(40, 70), rng.randrange(40) / 4, rng.choice([0.5, 1.0])) for s in range(5) for k in range(15 if s < 4 else 9)]
+    pool = [(c, rng.choice(spots), rng.choice([*range(6), None]), rng.choice([*range(38, 72), None]), rng.choice([x / 4 for x in range(40)] + [None]), rng.choice([0.5, 1.0, 1.5] * 9 + [None])) for c in range(240)]
+    kind = "player_code long, position string, team_id int, {} int, expected_points double, sd double"
+    picks = spark.createDataFrame(picks, "squad_id long, " + kind.format("selling_price"))
+    pool = spark.createDataFrame(pool, kind.format("price"))
+    state = spark.createDataFrame([(s, s, s % 2) for s in range(5)], "squad_id long, bank int, free_transfers int")
+    everything = squads.legal_transfers(picks, pool, state).cache()
+    few = frontier.best_incoming(picks, pool, state, squads.BOARD_SIZE)
+    assert few.groupBy("squad_id", "out_code").count().where(f"count > {squads.BOARD_SIZE}").count() == 0
+    some = squads.legal_transfers(picks, pool, state, picked=few).cache()
+    board = lambda moves: sorted(map(str, squads.transfer_board(moves).drop("hold_points", "position").collect()))
+    assert board(some) == board(everything)
+    assert some.count() < everything.count()
+    incoming = pool.select(F.col("player_code").alias("in_code"), F.col("expected_points").alias("in_points"), F.col("price").alias("in_price"))
+    by = few.unionByName(frontier.best_incoming(picks, pool, state, by="expected_points")).unionByName(frontier.best_incoming(picks, pool, state, by="price")).distinct()
+    policies = lambda moves: sorted(map(str, squads.policy_moves(moves, incoming).where("policy <> 'random'").collect()))
+    assert policies(squads.legal_transfers(picks, pool, state, picked=by)) == policies(everything)
