@@ -6,10 +6,12 @@ of about ``BLOCK``. A row first meets its own block, which bounds how far its k-
 inequality no row whose distance from a pivot differs by more than that bound can be nearer, so whole cells, then
 blocks of the others, are skipped, and the row meets what is left. Nothing is approximate: the answer is that of comparing all.
 
-Work that is dense (distances of many rows to few) runs in Arrow batches: the few come first in a sorted
-stream, the many follow in slices. The few are a block or a group's pivots, the many are dealt to parts, so neither
-a large group nor a crowded cell is one task's work. On rows without any clusters bounds are weak and
-most blocks are met; then the work is that of all pairs, as it must be.
+Blocks that lie near each other form tiles of about ``TILE`` rows. Whether a block must be met is settled by block, and a
+block goes once to each tile that must meet it; there its rows follow the tile's in slices, and each of the tile's rows keeps
+the k + 1 nearest so far, ties to the smaller key. Distances are first bounded by a matrix product, and only those that the
+bound leaves are computed. So no table has a row for each pair, a vector is sent once for each tile and
+not for each row it meets, and no task holds more than a tile and a slice. On rows without any clusters most blocks
+are met; then the work is that of all pairs, as it must be, and rows are sent as often as their group has tiles.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from chronofold.sources.scratch import written
 WHOLE = 2048
 #: Rows of a block, rows that follow one copy of a group's pivots, and the most pivots of a group.
 BLOCK, PART, MOST_PIVOTS = 64, 20_000, 2048
+#: Rows of a tile, and rows that follow one copy of it.
+TILE, FOLLOW = 4096, 200_000
 #: Rows of one vector above which its answer has copies.
 HOT = 10_000
 #: Slack of bounds, as distances are rounded.
@@ -48,38 +52,53 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _followed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict, dict | None]]:
+    """The few of each key with each slice of its many (dicts of numpy columns), then once with None."""
+    now, held, first = None, None, []
+    for batch in batches:
+        key = list(zip(*(batch.column(k).to_pylist() for k in keys), batch.column("_kind").to_pylist(), strict=True))
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "a", "b", "c")}
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            part = {c: x[at:end] for c, x in columns.items()} | {"v": _matrix(batch.column("v").slice(at, end - at))}
+            if key[at][:-1] != now:
+                if held is not None:
+                    yield held, None
+                now, held, first = key[at][:-1], None, []
+            if key[at][-1] == 0:
+                first.append(part)
+                continue
+            if held is None and first:
+                held = {c: np.concatenate([p[c] for p in first]) for c in part}
+            if held is not None:
+                yield held, part
+    if held is not None:
+        yield held, None
+
+
+def _streamed(few: DataFrame, many: DataFrame, keys: list[str]) -> DataFrame:
+    rows = few.select(*keys, F.lit(0).alias("_kind"), "uid", "v", "a", "b", "c").union(many.select(*keys, F.lit(1).alias("_kind"), "uid", "v", "a", "b", "c"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_kind", "uid")
+
+
 def _beside(few: DataFrame, many: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
     """``run(few, many)`` (dicts of numpy columns) over every key's rows of ``few`` and slices of its rows of ``many``.
 
     Both have the keys, uid, v, and a, b, c (doubles). What ``run`` returns is a dict of columns of ``schema``.
     """
-    rows = few.select(*keys, F.lit(0).alias("_kind"), "uid", "v", "a", "b", "c").union(many.select(*keys, F.lit(1).alias("_kind"), "uid", "v", "a", "b", "c"))
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, first = None, None, []
-        for batch in batches:
-            key = list(zip(*(batch.column(k).to_pylist() for k in keys), batch.column("_kind").to_pylist(), strict=True))
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "a", "b", "c")}
-            columns["v"] = _matrix(batch.column("v"))
-            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                part = {c: x[at:end] for c, x in columns.items()}
-                if key[at][:-1] != now:
-                    now, held, first = key[at][:-1], None, []
-                if key[at][-1] == 0:
-                    first.append(part)
-                    continue
-                if held is None:
-                    held = {c: np.concatenate([p[c] for p in first]) for c in part} if first else None
-                if held is not None:
-                    out = run(held, part)
-                    if len(out[names[0]]):
-                        yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
+        for held, part in _followed(batches, keys):
+            step = max(1, _SLICE // max(1, len(held["uid"]))) if part else 0
+            for at in range(0, len(part["uid"]) if part else 0, step or 1):
+                out = run(held, {c: x[at : at + step] for c, x in part.items()})
+                if len(out[names[0]]):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "_kind", "uid").mapInArrow(stream, schema)
+    return _streamed(few, many, keys).mapInArrow(stream, schema)
 
 
 def unique_vectors(frame: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:
@@ -90,14 +109,16 @@ def unique_vectors(frame: DataFrame, key: str, group: str, vector: str, k: int)
     placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy("g", "v").orderBy("key"))).where(F.col("_n") <= k + 1)
     keys = placed.groupBy("g", "v").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     counts = rows.groupBy(F.col("g").alias("_g"), F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    return written(keys.join(counts, (F.col("g") == F.col("_g")) & (F.col("v") == F.col("_v"))).select("g", "v", "n", "keys").withColumn("uid", F.monotonically_increasing_id()))
+    both = keys.join(counts, (F.col("g") == F.col("_g")) & (F.col("v") == F.col("_v"))).select("g", "v", "n", "keys")
+    # Numbers rise with the smallest key, so that ties between vectors can be settled by them.
+    return written(both.orderBy(F.element_at("keys", 1)).withColumn("uid", F.monotonically_increasing_id()))
 
 
 def blocks_of(unique: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pivots (gid, cell, v), rows (gid, uid, v, cell, block, d: distance from their pivot) and parts of each group (gid, parts)."""
     groups = unique.groupBy("g").agg(F.min("uid").alias("gid"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups.select("g", "gid", F.least(F.ceil(F.sqrt("n")), F.lit(MOST_PIVOTS)).alias("pivots"), F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    rows = unique.join(groups, "g").select("gid", "uid", "v", "pivots", "parts")
+    groups = written(groups.select("g", "gid", "n", F.least(F.ceil(F.sqrt("n")), F.lit(MOST_PIVOTS)).alias("pivots"), F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    rows = unique.drop("n").join(groups, "g").select("gid", "uid", "v", "pivots", "parts")
     order = Window.partitionBy("gid").orderBy(F.xxhash64("uid"))
     pivots = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_PIVOTS).where(F.col("_n") <= F.col("pivots"))
     pivots = written(pivots.select("gid", F.col("uid").alias("cell"), "v", "parts"))
@@ -121,7 +142,7 @@ def _zeros() -> list[Column]:
 
 
 def visits(unique: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (uid, v, block, ..), each one's ``bound`` (uid, bound), and (uid, block, bound) of all blocks that it must meet."""
+    """Rows (uid, v, block, ..), blocks (block, cell, gid, n, tile), and (block, to, rows) of all pairs of blocks that must meet."""
     pivots, rows, groups = blocks_of(unique)
     own = rows.select("block", "uid", "v", *_zeros())
 
@@ -131,10 +152,12 @@ def visits(unique: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         return {"uid": many["uid"], "bound": known}
 
     bounds = written(_beside(own, own, ["block"], bound, "uid long, bound double"))
-    spans = rows.groupBy("gid", "cell").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"))
+    rings = written(rows.groupBy("gid", "cell", "block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n")))
+    spans = rings.groupBy("gid", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     known = written(pivots.join(spans, ["gid", "cell"]).join(groups.select("gid", F.col("parts").alias("p")), "gid"))
     few = known.select("gid", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("part"), F.col("cell").alias("uid"), "v", F.col("low").alias("a"), F.col("high").alias("b"), F.col("n").cast("double").alias("c"))
-    many = rows.join(bounds, "uid").join(groups.select("gid", "parts"), "gid").select("gid", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), "uid", "v", F.col("bound").alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    # Rows come by block, so that a slice's rows of one block are summed up before they leave.
+    many = rows.hint("merge").join(bounds, "uid").join(groups.select("gid", "parts"), "gid").select("gid", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int").alias("part"), F.col("block").alias("uid"), "v", F.col("bound").alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
 
     def reach(few: dict, many: dict) -> dict:
         d = np.sqrt(_squared(many["v"], few["v"]))
@@ -144,47 +167,116 @@ def visits(unique: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         enough = (np.cumsum(few["c"][order], axis=1) > k).argmax(1)
         full = np.take_along_axis(far, order, 1)[np.arange(len(d)), enough] if few["c"].sum() > k else np.full(len(d), np.inf)
         limit = np.minimum(many["a"], full)
-        limit = limit + SLACK * (1 + np.where(np.isinf(limit), 0, limit))
-        x, c = np.nonzero((d - few["b"] <= limit[:, None]) & (few["a"] - d <= limit[:, None]))
-        return {"uid": many["uid"][x], "cell": few["uid"][c], "from": d[x, c], "limit": limit[x]}
+        limit = (limit + SLACK * (1 + np.where(np.isinf(limit), 0, limit)))[:, None]
+        met = (d - few["b"] <= limit) & (few["a"] - d <= limit)
+        starts = np.flatnonzero(np.r_[True, many["uid"][1:] != many["uid"][:-1]])
+        x, c = np.nonzero(np.logical_or.reduceat(met, starts, axis=0))
+        near = np.minimum.reduceat(np.where(met, d - limit, np.inf), starts, axis=0)
+        away = np.maximum.reduceat(np.where(met, d + limit, -np.inf), starts, axis=0)
+        return {"block": many["uid"][starts][x], "cell": few["uid"][c], "near": near[x, c], "away": away[x, c]}
+
+    cells = _beside(few, many, ["gid", "part"], reach, "block long, cell long, near double, away double")
+    cells = cells.groupBy("block", "cell").agg(F.min("near").alias("near"), F.max("away").alias("away"))
+    to = rings.select("cell", F.col("block").alias("to"), "low", "high", F.col("n").alias("_n"))
+    met = cells.hint("merge").join(to, "cell").where((F.col("low") <= F.col("away")) & (F.col("high") >= F.col("near")))
+    blocks = tiles_of(known, rings, groups)
+    return rows, blocks, met.hint("merge").join(blocks.select("block", "n"), "block").select("block", "to", (F.col("n") * F.col("_n")).alias("rows"))
+
+
+def tiles_of(pivots: DataFrame, rings: DataFrame, groups: DataFrame) -> DataFrame:
+    """Blocks (block, cell, gid, n) with their tile: cells come together by the nearest of a few pivots, and are counted off."""
+    order = Window.partitionBy("gid").orderBy(F.xxhash64("cell"))
+    ranked = pivots.select("gid", F.col("cell").alias("uid"), "cell", "v", *_zeros()).join(groups.select("gid", F.ceil(F.col("n") / TILE).alias("_tiles")), "gid").withColumn("_n", F.row_number().over(order))
 
-    cells = _beside(few, many, ["gid", "part"], reach, "uid long, cell long, from double, limit double")
-    rings = rows.groupBy("cell", "block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"))
-    met = cells.join(rings, "cell").where((F.col("low") - F.col("from") <= F.col("limit")) & (F.col("from") - F.col("high") <= F.col("limit")))
-    return rows, bounds, met.select("uid", "block", "limit", F.col("n").alias("rows"))
+    def nearest(few: dict, many: dict) -> dict:
+        return {"cell": many["uid"], "home": few["uid"][_squared(many["v"], few["v"]).argmin(1)]}
+
+    homes = _beside(ranked.where(F.col("_n") <= F.col("_tiles")), ranked, ["gid"], nearest, "cell long, home long")
+    counted = Window.partitionBy("gid", "home").orderBy("cell", "block")
+    placed = rings.hint("merge").join(homes, "cell").withColumn("_at", F.sum("n").over(counted) - F.col("n"))
+    return written(placed.select("block", "cell", "gid", "n", F.xxhash64("gid", "home", F.floor(F.col("_at") / TILE)).alias("tile")))
+
+
+class _Nearest:
+    """The k + 1 nearest so far of each of a few rows, by exact squared distance and then number; rows are met in slices."""
+
+    def __init__(self, few: dict, k: int) -> None:
+        self.few, self.k = few, k
+        self.d2 = np.full((len(few["uid"]), k + 1), np.inf)
+        self.uid = np.full(self.d2.shape, np.iinfo(np.int64).max)
+        self.centre = few["v"].mean(0)
+        self.x = few["v"] - self.centre
+        self.size = (self.x**2).sum(1)
+        # Rounding of a product's sums, of norms and of exact distances, as a share of both norms.
+        self.tolerance = 8 * (self.x.shape[1] + 8) * np.finfo(float).eps
+
+    def meet(self, many: dict) -> None:
+        y = many["v"] - self.centre
+        size = (y**2).sum(1)
+        step = max(1, _SLICE // len(y))
+        for at in range(0, len(self.x), step):
+            here = slice(at, at + step)
+            near = self.size[here, None] + size - 2 * (self.x[here] @ y.T)
+            error = self.tolerance * (self.size[here] + size.max())
+            limit = self.d2[here, self.k]
+            if len(y) > self.k and np.isinf(limit).any():
+                limit = np.fmin(limit, np.partition(near, self.k, axis=1)[:, self.k] + error)
+            # What overflows is no number, and is compared too.
+            x, c = np.nonzero(~(near > (limit + error)[:, None]))
+            most = max(1, _SLICE // max(1, y.shape[1]))
+            for p in range(0, len(x), most):
+                self._take(x[p : p + most] + at, c[p : p + most], many)
+
+    def _take(self, x: np.ndarray, c: np.ndarray, many: dict) -> None:
+        d2 = ((self.few["v"][x] - many["v"][c]) ** 2).sum(1)
+        rows = np.unique(x)
+        of = np.concatenate([np.repeat(rows, self.k + 1), x])
+        d2, uid = np.concatenate([self.d2[rows].ravel(), d2]), np.concatenate([self.uid[rows].ravel(), many["uid"][c]])
+        order = np.lexsort((uid, d2, of))
+        of, d2, uid = of[order], d2[order], uid[order]
+        first = np.searchsorted(of, rows)
+        best = first[:, None] + np.arange(self.k + 1)
+        self.d2[rows], self.uid[rows] = d2[best], uid[best]
+
+    def found(self) -> pa.RecordBatch:
+        x, c = np.nonzero(self.uid < np.iinfo(np.int64).max)
+        return pa.RecordBatch.from_arrays([pa.array(self.few["uid"][x]), pa.array(self.uid[x, c]), pa.array(self.d2[x, c])], ["uid", "to", "d2"])
 
 
 def _candidates(few: DataFrame, many: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """uid, to and d2 of the nearest of ``few`` to each of ``many``, within the limit that it comes with (a)."""
+    """uid, to and d2 of the k + 1 nearest of a key's ``many`` to each of its ``few``; ties go to the smaller number."""
 
-    def compare(few: dict, many: dict) -> dict:
-        d2 = _squared(many["v"], few["v"])
-        near = np.sqrt(d2) <= many["a"][:, None] + SLACK
-        # Of one key's rows the k + 1 nearest are enough, and all that are as near as the last of them.
-        if d2.shape[1] > k + 1:
-            near &= d2 <= np.partition(d2, k, axis=1)[:, k : k + 1]
-        x, y = np.nonzero(near)
-        return {"uid": many["uid"][x], "to": few["uid"][y], "d2": d2[x, y]}
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        with np.errstate(all="ignore"):
+            for held, part in _followed(batches, keys):
+                best = best or _Nearest(held, k)
+                if part is not None:
+                    best.meet(part)
+                else:
+                    yield best.found()
+                    best = None
 
-    return _beside(few, many, keys, compare, "uid long, to long, d2 double")
+    return _streamed(few, many, keys).mapInArrow(stream, "uid long, to long, d2 double")
 
 
 def _in_small_groups(unique: DataFrame, k: int) -> DataFrame:
     """Candidates where a whole group is one block."""
-    rows = unique.select("g", "uid", "v", F.lit(float("inf")).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    rows = unique.select("g", "uid", "v", *_zeros())
     return _candidates(rows, rows, ["g"], k)
 
 
 def _in_large_groups(unique: DataFrame, k: int) -> DataFrame:
     """Candidates out of the blocks that bounds leave."""
-    rows, _, met = visits(unique, k)
-    few = rows.select("block", "uid", "v", *_zeros())
-    # A block may be met by any number of rows: they come in parts, each with its own copy of the block.
-    table = written(met.select("uid", "block", "limit"))
-    sized = table.groupBy("block").agg(F.least(F.ceil(F.count(F.lit(1)) / PART), F.lit(1 << 12)).cast("int").alias("copies"))
-    few = few.join(sized, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    many = table.join(rows.select("uid", "v"), "uid").join(sized, "block").select("block", F.pmod(F.xxhash64("uid"), F.col("copies")).cast("int").alias("part"), "uid", "v", F.col("limit").alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
-    return _candidates(few, many, ["block", "part"], k)
+    rows, blocks, met = visits(unique, k)
+    tiles = blocks.select("block", "tile")
+    meets = met.hint("merge").join(tiles, "block").select("tile", F.col("to").alias("block")).distinct()
+    meets = written(meets.hint("merge").join(blocks.select("block", "n"), "block"))
+    # A tile may meet any number of rows: they come in parts, each with its own copy of the tile.
+    sized = meets.groupBy("tile").agg(F.ceil(F.sum("n") / FOLLOW).cast("int").alias("copies"))
+    few = rows.hint("merge").join(tiles, "block").join(sized, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("tile", "part", "uid", "v", *_zeros())
+    many = rows.hint("merge").join(meets, "block").join(sized, "tile").select("tile", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int").alias("part"), "uid", "v", *_zeros())
+    return _candidates(few, many, ["tile", "part"], k)
 
 
 def neighbours(frame: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:

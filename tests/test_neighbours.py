@@ -58,3 +58,22 @@ def test_most_pairs_of_clustered_rows_are_never_compared(spark):
     compared = met.agg(F.sum("rows")).first()[0]
     every = sum(n * n for n in (sum(r[1] == g for r in rows) for g in "ab"))
     assert compared < every / 6
+
+
+def test_spread_rows_meet_in_tiles_and_no_table_has_a_row_for_each_pair(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, "g", rng.normal(0, 1, 16).tolist()) for k in range(1200)]
+    rows += [(k + 5000, "far", (1e7 + rng.normal(0, 1, 3)).tolist()) for k in range(90)]
+    rows += [(9000 + k, "even", [float(k == i) for i in range(40)]) for k in range(40)]  # all equally far from each other
+    for name, value in (("WHOLE", 10), ("BLOCK", 8), ("TILE", 200), ("FOLLOW", 300)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    sizes, write = [], neighbours.written
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "written", counted)
+    assert got(spark, rows, 3) == plain(rows, 3)
+    assert max(sizes) <= 2 * len(rows)
