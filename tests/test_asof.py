@@ -145,3 +145,25 @@ def test_asof_plan_is_two_shuffles_at_most(tables):
     _, _, source, entities = tables
     plan = asof.asof_join(entities, source, ["player_code"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and "CartesianProduct" not in plan
+
+
+def test_catalogue_aggregates_are_taken_where_the_rows_stand(spark):
+    random.seed(4)
+    facts = [(p, random.choice([None, *map(day, range(12))]), k, random.choice([None, 0.0, 1.5, -2.25, 7.0, float("nan")]), random.choice([None, 30, 90])) for p in (1, 2, None) for k in range(60)]
+    facts += [(5, None, k, 1.0, 90) for k in range(3)]
+    rows = [(p, t, f"{p}{t}") for p in (1, 2, 4, 5, None) for t in (None, day(-1), *map(day, range(0, 12, 2)))]
+    source = spark.createDataFrame(facts, "player_code long, available_time timestamp, match long, x double, minutes long")
+    entities = spark.createDataFrame(rows, "player_code long, prediction_timestamp timestamp, name string")
+    hows = [(h, w) for h in ("mean", "sum", "min", "max", "std", "median", "count") for w in (1, 4, 30)]
+    specs = [rolling.FeatureSpec(f"{h}_{w}", "x", w, h, 2 if w == 4 else 1) for h, w in hows] + [rolling.FeatureSpec("rate", "x", 4, "shrunk_rate", denominator="minutes")]
+    out = rolling.build_catalogue(entities, source, specs, ["player_code"], order_col="match")
+    # One shuffle, of facts and rows: aggregates are in none.
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    # What the aggregates are by Spark's own windows along the history.
+    used = source.select("player_code", "available_time", "match", "minutes", "x")
+    history = rolling.history_frame(["player_code"], "available_time", "match", used.columns)
+    plain = {f"{h}_{w}": rolling.aggregate(F.col("x"), h, rolling.last_rows(history, w), 2 if w == 4 else 1) for h, w in hows}
+    plain["rate"] = rolling.shrunk(F.col("x"), F.col("minutes").cast("double"), rolling.last_rows(history, 4), 3.0, 90.0)
+    want = rolling.attach(entities, used, plain, ["player_code"], history).withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    as_text = lambda frame: sorted(str(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r)) for r in frame.collect())
+    assert out.dtypes == want.dtypes and as_text(out) == as_text(want)
