@@ -178,3 +178,18 @@ def test_proofs_of_a_batch_are_those_of_its_programs(spark):
     programs = [FeatureProgram("mean", Rolling(Source("points"), 3)), FeatureProgram("absent", Rolling(Source("nothing"), 3)), FeatureProgram("last", Rolling(Source("points"), 1))]
     batch = leakage.prove_programs(programs, entities, facts, ["player_code", "d"])
     assert batch == {p.name: leakage.prove_program(p, entities, facts, ["player_code", "d"]) for p in programs}
+
+
+def test_walk_forward_scores_read_their_rows_once(spark):
+    from chronofold.queries import evaluation
+
+    out = evaluation.walk_forward_scores(spark, "/root/testdata/sf0.01")
+    # Nothing of the frame is left to be computed again behind the scores.
+    assert not out.inputFiles()
+    rows, folds = evaluation._frame(spark, "/root/testdata/sf0.01")
+    assert all("/orders.parquet" not in f for f in rows.inputFiles())
+    want = {r.fold: r for r in evaluate.score(rows, folds, [*evaluation.FEATURES, "signal"], "label_total_points").collect()}
+    got = {r.fold: r for r in out.where("features = 'signal'").collect()}
+    assert want.keys() == got.keys() and len(got) >= 3
+    for f, r in want.items():
+        assert got[f].n == r.n and got[f].mae == pytest.approx(r.mae, abs=1e-9) and got[f].baseline_mae == pytest.approx(r.baseline_mae, abs=1e-9)
