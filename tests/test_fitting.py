@@ -193,3 +193,14 @@ def test_walk_forward_scores_read_their_rows_once(spark):
     assert want.keys() == got.keys() and len(got) >= 3
     for f, r in want.items():
         assert got[f].n == r.n and got[f].mae == pytest.approx(r.mae, abs=1e-9) and got[f].baseline_mae == pytest.approx(r.baseline_mae, abs=1e-9)
+
+
+def test_discovery_deals_only_what_it_scores(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 20).alias("player_code"), (F.col("id") / 20).cast("long").alias("timeline"), (F.col("id") % 7).cast("double").alias("y"), (F.col("id") % 3).cast("double").alias("x"), F.lit("w").alias("wide"))
+    rows = rows.withColumn("prediction_timestamp", F.timestamp_seconds(F.col("timeline") * 86400).cast("timestamp_ntz"))
+    history = rows.select("player_code", F.col("y").alias("past"), F.col("prediction_timestamp").alias("available_time"), F.col("prediction_timestamp").alias("kickoff_time"))
+    seen, write = [], discover.written
+    monkeypatch.setattr(discover, "written", lambda df: seen.append(df.columns) or write(df))
+    s = discover.Setting(rows, history, ("player_code", "timeline"), "y", ("x",), (Fold(0, (0, 9), (11, 14)),), noise_trials=1)
+    discover.discover(s, [FeatureProgram("last", Rolling(Source("past"), 2))])
+    assert [sorted(c) for c in seen] == [["last", "player_code", "timeline", "x", "y"]]
