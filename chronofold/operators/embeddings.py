@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from chronofold.operators.neighbours import neighbours
 
 SEED, TEMPERATURE, COMPONENTS = 20260728, 0.5, 8
+#: Rows that one task of a clustering reads.
+CLUSTER_PART = 500_000
 
 
 @dataclass(frozen=True)
@@ -56,11 +59,15 @@ def fit_embedding(frame: DataFrame, columns: list[str], components: int = COMPON
 
 
 def fit_clusters(frame: DataFrame, k: int, vector: str = "embedding", seed: int = SEED) -> list[list[float]]:
-    """Centroids by distributed k-means."""
+    """Centroids by distributed k-means. Every pass reads vectors as objects, so a task's share is bounded by rows and not by the files' size."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=k, seed=seed, maxIter=100, featuresCol="_v").fit(frame.select(array_to_vector(vector).alias("_v")))
+    rows = frame.select(vector)
+    n = rows.count()
+    if n > CLUSTER_PART:
+        rows = rows.repartition(max(math.ceil(n / CLUSTER_PART), frame.sparkSession.sparkContext.defaultParallelism))
+    model = KMeans(k=k, seed=seed, maxIter=100, featuresCol="_v").fit(rows.select(array_to_vector(vector).alias("_v")))
     return [c.tolist() for c in model.clusterCenters()]
 
 

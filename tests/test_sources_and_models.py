@@ -184,3 +184,15 @@ def test_streamed_facts_are_kept_once(spark, tmp_path):
     query = ingest.append_facts(stream, f"{tmp_path}/out", f"{tmp_path}/mark")
     query.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == facts.distinct().count()
+
+
+def test_no_task_of_a_clustering_reads_more_than_its_share(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    frame = spark.range(0, 1000, 1, 1).select(F.array((F.col("id") % 2 * 10).cast("double"), (F.col("id") % 7 / 10.0)).alias("embedding"))
+    monkeypatch.setattr(embeddings, "CLUSTER_PART", 100, raising=False)
+    sizes, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) or fit(self, rows))
+    centroids = embeddings.fit_clusters(frame, 2)
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+    assert sorted(round(c[0]) for c in centroids) == [0, 10]
