@@ -94,14 +94,20 @@ def legal_transfers(squads: DataFrame, candidates: DataFrame, state: DataFrame,
     left = owned.join(before, "squad_id").withColumn("_part", F.pmod(F.xxhash64("squad_id", "out_code"), F.lit(spread)).cast("int"))
     pool = candidates.select(F.col("player_code").alias("in_code"), "position", F.col("team_id").alias("in_team"), F.col("price").alias("in_price"), F.col("expected_points").cast("double").alias("in_points"), F.col("sd").alias("in_sd"))
     dealt = pool if picked is None else pool.where(~known_worth("in_points", "in_sd"))
-    pairs = left.join(dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["position", "_part"])
-    if picked is not None:
-        pairs = pairs.unionByName(left.join(picked, ["squad_id", "out_code"]).join(pool.where(known_worth("in_points", "in_sd")), ["position", "in_code"]))
+    meet = lambda: left.join(dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["position", "_part"])
+    if picked is None:
+        pairs = meet()
+    else:
+        pairs = left.join(picked, ["squad_id", "out_code"]).join(pool.where(known_worth("in_points", "in_sd")), ["position", "in_code"])
+        # Every pick would be shuffled for candidates whose worth isn't known; mostly there are none.
+        pairs = pairs if dealt.isEmpty() else pairs.unionByName(meet())
     pairs = pairs.where(F.col("in_price") <= F.col("selling_price") + F.col("bank"))
     pairs = pairs.join(squads.select("squad_id", F.col("player_code").alias("in_code")), ["squad_id", "in_code"], "left_anti")
     clubs = squads.groupBy("squad_id", F.col("team_id").alias("in_team")).agg(F.count(F.lit(1)).alias("_held"))
     pairs = pairs.join(clubs, ["squad_id", "in_team"], "left").where(F.coalesce("_held", F.lit(0)) - F.when(F.col("out_team") == F.col("in_team"), 1).otherwise(0) < CLUB_CAP)
-    after = eleven_points({p: F.when(F.col("position") == p, swapped(F.col(f"_{p}"), F.col("out_points"), F.col("in_points"))).otherwise(F.col(f"_{p}")) for p in QUOTA})
+    # Lists after the move are columns of their own, so that they are made once and not for each shape that reads them.
+    pairs = pairs.withColumns({f"_after_{p}": F.when(F.col("position") == p, swapped(F.col(f"_{p}"), F.col("out_points"), F.col("in_points"))).otherwise(F.col(f"_{p}")) for p in QUOTA})
+    after = eleven_points({p: F.col(f"_after_{p}") for p in QUOTA})
     # Nine places, so that moves of one worth tie whatever the order their points were added in.
     moves = pairs.withColumn("gross_gain", F.round(after - F.col("hold_points"), 9)).withColumn("hit_cost", F.when(F.col("free_transfers") >= 1, 0).otherwise(HIT_COST)).withColumn("risk_penalty", RISK_WEIGHT * (F.col("in_sd") + F.col("out_sd")))
     return moves.withColumn("net_gain", F.round(F.col("gross_gain") - F.col("hit_cost") - F.col("risk_penalty"), 9)).select("squad_id", "out_code", "in_code", "position", "gross_gain", "hit_cost", "risk_penalty", "net_gain", (F.col("selling_price") - F.col("in_price")).alias("bank_after"), "hold_points")
@@ -131,15 +137,16 @@ def shortfall(squads: DataFrame, candidates: DataFrame, state: DataFrame, spread
     return met.groupBy("squad_id", "out_code").agg((F.min("_price") - F.max("_budget")).alias("_short")).select("squad_id", "out_code", F.when(F.col("_short") > 0, F.col("_short")).alias("shortfall"))
 
 
-def every_pick(squads: DataFrame, moves: DataFrame, candidates: DataFrame, state: DataFrame, least: float = LEAST_GAIN, counts: DataFrame | None = None) -> DataFrame:
+def every_pick(squads: DataFrame, moves: DataFrame, candidates: DataFrame, state: DataFrame, least: float = LEAST_GAIN, counts: DataFrame | None = None, short: DataFrame | None = None) -> DataFrame:
     """One row a pick: its best move if that is worth it, and else why there is none: held, no legal move, or too little gain.
 
     Where ``moves`` are those of a frontier only, ``counts`` (squad_id, out_code, legal_replacements) says how many were legal.
+    ``short`` is the shortfall where it is known already.
     """
     best = best_moves(moves, ["squad_id", "out_code"])
     best = best if counts is None else best.drop("legal_replacements").join(counts, ["squad_id", "out_code"], "full")
     held = ~F.col("sellable") if "sellable" in squads.columns else F.lit(False)
-    rows = squads.withColumn("_held", held).select("squad_id", F.col("player_code").alias("out_code"), "position", "_held").join(best, ["squad_id", "out_code"], "left").join(shortfall(squads, candidates, state), ["squad_id", "out_code"], "left")
+    rows = squads.withColumn("_held", held).select("squad_id", F.col("player_code").alias("out_code"), "position", "_held").join(best, ["squad_id", "out_code"], "left").join(shortfall(squads, candidates, state) if short is None else short, ["squad_id", "out_code"], "left")
     worth = F.col("net_gain") >= least
     outcome = F.when(F.col("_held"), "held").when(worth, "move").when(F.col("in_code").isNull(), "none legal").otherwise("too little")
     return rows.select("squad_id", "out_code", "position", outcome.alias("outcome"), F.when(worth, F.col("in_code")).alias("in_code"), F.col("net_gain").alias("best_gain"), F.coalesce("legal_replacements", F.lit(0)).alias("legal_replacements"), F.when(outcome.isin("none legal", "too little"), F.col("shortfall")).alias("shortfall"))
